@@ -2,8 +2,10 @@
 
 Two zstandard dictionaries are trained, one on windows of ordinary and one on windows of
 toxic text. A window is compressed once knowing the ordinary dictionary and once knowing
-the toxic one placed behind the ordinary one; the bytes saved are its distance. The
-largest and the total distance of a text's overlapping windows go through a logistic
+the toxic one placed behind the ordinary one; the bytes saved are its distance. The toxic
+dictionary is trained on what is left of toxic windows when only words with support are
+kept that are several times as frequent there as in ordinary text: otherwise it fills up
+with words that either class has, and the distances measure its size. The largest and the total distance of a text's overlapping windows go through a logistic
 calibration, learned on labelled texts the dictionaries haven't seen.
 
 Zstandard counts whole bytes, and a short word that the dictionary knows saves hardly one
@@ -24,6 +26,7 @@ count once each, and null labels are left out.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -72,7 +75,8 @@ class Distance:
             known.precompute_compress(level=level)
             return zstandard.ZstdCompressor(level=level, dict_data=known, write_content_size=False, write_checksum=False, write_dict_id=False)
 
-        self.plain, self.both = compressor(ordinary), compressor(ordinary + toxic)
+        # Zeros in the toxic dictionary's place keep the ordinary one equally far away.
+        self.plain, self.both = compressor(ordinary + bytes(len(toxic))), compressor(ordinary + toxic)
 
     def of(self, windows: list[bytes]) -> np.ndarray:
         plain, both = self.plain.compress, self.both.compress
@@ -85,9 +89,23 @@ class Distance:
 
 
 def train_dictionary(windows: list[bytes], size: int, code: int = CODE) -> bytes:
-    """The content of a dictionary of frequent codes; the most frequent ones come last."""
-    trained = zstandard.train_dictionary(size, windows, k=max(16, 2 * code), d=8, level=3).as_bytes()
-    return trained
+    """The content of a dictionary of frequent codes; of too little text, that text's end."""
+    text = b"".join(windows)
+    try:
+        return zstandard.train_dictionary(min(size, max(512, len(text) // 4)), windows, k=2 * code, d=8, level=3).as_bytes()
+    except zstandard.ZstdError:
+        return text[-size:] or bytes(code)
+
+
+def contrast(windows: list[list[bytes]], labels: np.ndarray, share: float = 0.005, times: float = 4.0, code: int = CODE) -> list[bytes]:
+    """Toxic windows cut down to codes in at least 3 and this share of the toxic texts, several times their share of ordinary ones."""
+    texts = [Counter(), Counter()]
+    for ws, y in zip(windows, labels, strict=True):
+        texts[y].update({w[i : i + code] for w in ws[::2] for i in range(0, len(w), code)})
+    n = np.bincount(labels, minlength=2)
+    keep = {c for c, k in texts[1].items() if k >= max(3, share * n[1]) and k / n[1] >= times * (texts[0][c] + 1) / n[0]}
+    kept = b"".join(w[i : i + code] for ws, y in zip(windows, labels, strict=True) if y for w in ws[::2] for i in range(0, len(w), code) if w[i : i + code] in keep)
+    return [kept[i : i + 32 * code] for i in range(0, len(kept), 32 * code)]
 
 
 def calibrate(x: np.ndarray, y: np.ndarray, steps: int = 50) -> np.ndarray:
@@ -121,7 +139,7 @@ class Model:
         return score
 
 
-def fit(rows: list[tuple[str, int]], *, ordinary_size: int = 1 << 16, toxic_size: int = 1 << 12, train_words: int = 400_000) -> Model:
+def fit(rows: list[tuple[str, int]], *, ordinary_size: int = 1 << 16, toxic_size: int = 1 << 10, train_words: int = 1_000_000) -> Model:
     """Dictionaries from every other row, the calibration from the rest, then dictionaries from all rows."""
     coder = Coder()
     labels = np.array([y for _, y in rows])
@@ -130,19 +148,13 @@ def fit(rows: list[tuple[str, int]], *, ordinary_size: int = 1 << 16, toxic_size
     windows = [coder.windows(t) for t, _ in rows]
 
     def learn(some: list[int]) -> tuple[bytes, bytes]:
-        out = []
-        for label, size in ((0, ordinary_size), (1, toxic_size)):
-            samples, left = [], train_words
-            for i in some:
-                if labels[i] == label and left > 0:
-                    samples += windows[i][::2]  # every other window: those do not overlap
-                    left -= sum(len(w) for w in windows[i][::2]) // CODE
-            content = sum(map(len, samples))
-            try:
-                out.append(train_dictionary(samples, min(size, max(512, content // 4))))
-            except zstandard.ZstdError:  # too little text to train on
-                out.append(b"".join(samples)[-size:] or b"\x00" * CODE)
-        return out[0], out[1]
+        ws, ys = [windows[i] for i in some], labels[some]
+        plain, left = [], train_words
+        for w, y in zip(ws, ys, strict=True):
+            if not y and left > 0:
+                plain += w[::2]  # every other window: those do not overlap
+                left -= sum(map(len, w[::2])) // CODE
+        return train_dictionary(plain, ordinary_size), train_dictionary(contrast(ws, ys), toxic_size)
 
     by_class = [np.flatnonzero(labels == k) for k in (0, 1)]
     halves = [sorted(int(i) for c in by_class for i in c[h::2]) for h in (0, 1)]
