@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from hayrick.llm.decontamination import op8_decontamination
 from hayrick.llm.media import op9_audio_features
 from hayrick.llm.packing import op5_best_fit_packing
 from hayrick.llm.token_codes import op2_token_codes
@@ -13,6 +14,6 @@ from hayrick.llm.toxicity import op3_toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_token_codes, op3_toxicity, op5_best_fit_packing, op9_audio_features)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_token_codes, op3_toxicity, op5_best_fit_packing, op8_decontamination, op9_audio_features)}
 
 ORACLE_SQL: dict[str, str] = {}
