@@ -56,6 +56,7 @@ _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _rng = np.random.Generator(np.random.PCG64(20240607))
 _TABLE = _rng.integers(0, 1 << 64, 256, dtype=np.uint64)
+_EXACT = _TABLE.copy()
 _TABLE[65:91] = _TABLE[97:123]  # A-Z hash as a-z
 MIX = _rng.integers(0, 1 << 63, 16, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SPACE = np.zeros(256, bool)
@@ -109,6 +110,20 @@ def hash_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return hashes, np.searchsorted(starts, offsets).astype(np.int64)
 
 
+_OTHER = _rng.integers(0, 1 << 64, 256, dtype=np.uint64)
+
+
+def hash_spans(data: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent 64-bit hashes of each span of bytes."""
+    up, down = _power(len(data) + 1)
+    out = []
+    for values in (_EXACT, _OTHER):
+        total = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(values[data] * up[: len(data)], out=total[1:])
+        out.append(mix((total[ends] - total[begins]) * down[begins] + (ends - begins).astype(np.uint64) * MIX[15]))
+    return out[0], out[1]
+
+
 def text_slices(column: pa.Array | pa.ChunkedArray, most: int = 2 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, offsets) of a string column without nulls, cut at about `most` bytes between texts."""
     base = 0
