@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from hayrick.llm.decontamination import op8_decontamination
 from hayrick.llm.jaccard_join import op6_jaccard_join
 from hayrick.llm.language_model import op1_language_model
+from hayrick.llm.licenses import op4_licenses
 from hayrick.llm.media import op9_audio_features
 from hayrick.llm.packing import op5_best_fit_packing
 from hayrick.llm.secrets import op10_secrets
@@ -17,6 +18,6 @@ from hayrick.llm.toxicity import op3_toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_language_model, op2_token_codes, op3_toxicity, op5_best_fit_packing, op6_jaccard_join, op8_decontamination, op9_audio_features, op10_secrets)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_language_model, op2_token_codes, op3_toxicity, op4_licenses, op5_best_fit_packing, op6_jaccard_join, op8_decontamination, op9_audio_features, op10_secrets)}
 
 ORACLE_SQL: dict[str, str] = {}
