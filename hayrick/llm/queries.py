@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from hayrick.llm.cotraining import op7_cotraining
 from hayrick.llm.decontamination import op8_decontamination
 from hayrick.llm.jaccard_join import op6_jaccard_join
 from hayrick.llm.language_model import op1_language_model
@@ -18,6 +19,6 @@ from hayrick.llm.toxicity import op3_toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_language_model, op2_token_codes, op3_toxicity, op4_licenses, op5_best_fit_packing, op6_jaccard_join, op8_decontamination, op9_audio_features, op10_secrets)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_language_model, op2_token_codes, op3_toxicity, op4_licenses, op5_best_fit_packing, op6_jaccard_join, op7_cotraining, op8_decontamination, op9_audio_features, op10_secrets)}
 
 ORACLE_SQL: dict[str, str] = {}
