@@ -1,6 +1,554 @@
-"""Every registered query of the retrieval engine with the SQL that gives the same rows."""
+"""Every registered query of the retrieval engine with the SQL that gives the same rows.
+
+Documents stand for symbols (doc_id, a path made of language and source, the text as body),
+embeddings for their vectors, benchmark items for queries and events for a journal. Every
+query reads its whole tables; limits are those of the feature (top k, a page).
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from hayrick.functions import roles, text, vectors
+from hayrick.functions.porter import stem
+from hayrick.operators import dense, evaluate, fusion, lexical, maintenance
+from hayrick.sources import symbols as parser
+from hayrick.streaming import freshness
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def registered(sql: str | None = None) -> Callable[[Query], Query]:
+    def keep(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return keep
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def path_of() -> Column:
+    place = F.when(F.col("lang") == "en", "src/").when(F.col("lang") == "de", "tests/").when(F.col("lang") == "fr", "examples/").otherwise("tests/fixtures/")
+    return F.concat(place, F.col("source"), F.lit("/doc_"), F.col("doc_id"), F.lit(".py"))
+
+
+PATH = "concat(case lang when 'en' then 'src/' when 'de' then 'tests/' when 'fr' then 'examples/' else 'tests/fixtures/' end, source, '/doc_', doc_id, '.py')"
+DIR = "concat(case lang when 'en' then 'src/' when 'de' then 'tests/' when 'fr' then 'examples/' else 'tests/fixtures/' end, source)"
+NAME = "regexp_extract(p, '[^/]*$')"
+ROLE = f"""case when p = '' then 'unknown'
+ when regexp_matches(p, '{roles.FIXTURE_PLACES}') or regexp_matches({NAME}, '{roles.FIXTURE_NAMES}') then 'fixture'
+ when regexp_matches(p, '{roles.GENERATED_PLACES}') or regexp_matches({NAME}, '{roles.GENERATED_NAMES}') then 'generated'
+ when regexp_matches(p, '{roles.TEST_PLACES}') or regexp_matches({NAME}, '{roles.TEST_NAMES}') then 'test'
+ when regexp_matches(p, '{roles.EXAMPLE_PLACES}') or regexp_matches({NAME}, '{roles.EXAMPLE_NAMES}') then 'example'
+ else 'production' end"""
+TOKENS = r"regexp_extract_all(lower(text), '[\p{L}\p{N}]+')"
+TERMS2 = r"regexp_extract_all(text, '[\p{L}\p{N}_]{2,}')"
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as symbols: id, path, dir (the file that siblings share), name, qualname, body, source_role."""
+    docs = table(spark, sf_dir, "documents").withColumn("path", path_of())
+    name = F.concat(F.lit("doc_"), F.col("doc_id"))
+    return docs.select(F.col("doc_id").alias("id"), "path", F.regexp_replace("path", "/[^/]*$", "").alias("dir"), name.alias("name"), F.concat_ws(".", "source", name).alias("qualname"), F.col("text").alias("body"), roles.source_role(F.col("path")).alias("source_role"), "lang", "source", "n_chars")
+
+
+SYMBOLS = f"select doc_id as id, {PATH} as path, {DIR} as dir, 'doc_' || doc_id as name, source || '.doc_' || doc_id as qualname, text as body, lang, source, n_chars, (select {ROLE} from (select {PATH} as p)) as source_role from documents"
+
+
+# ------------------------------------------------------------ scans, lookups, predicates
+
+
+@registered(f"select doc_id as id, {PATH} as path, 'doc_' || doc_id as name, source || '.doc_' || doc_id as qualname, n_chars, lang from documents")
+def scan_projection(spark, sf_dir):
+    return documents(spark, sf_dir).select("id", "path", "name", "qualname", "n_chars", "lang")
+
+
+@registered("""select q.n_name as query, c.p_partkey as id, c.p_name as name, row_number() over (partition by q.n_name order by length(c.p_type), c.p_type, c.p_size, c.p_partkey) as rank
+from (select distinct p_name as n_name from part where regexp_full_match(trim(p_name), '[\\p{L}\\p{N}_.# ]+') and length(p_name) <= 200) q join part c on c.p_name = q.n_name
+qualify rank <= 10""")
+def exact_match(spark, sf_dir):
+    """Exact lookup of a batch of names: ten matches each, in a fixed order."""
+    part = table(spark, sf_dir, "part")
+    wanted = part.where(F.trim("p_name").rlike(r"^[\p{L}\p{N}_.# ]+$") & (F.length("p_name") <= 200)).select(F.col("p_name").alias("query")).distinct()
+    order = Window.partitionBy("query").orderBy(F.length("p_type"), "p_type", "p_size", "p_partkey")
+    found = wanted.join(part, F.col("query") == F.col("p_name")).withColumn("rank", F.row_number().over(order))
+    return found.where("rank <= 10").select("query", F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), "rank")
+
+
+@registered("""select query, id, rank from (select p_brand as query, p_partkey as id, p_size, row_number() over (partition by p_brand order by length(p_type), p_type, p_name, p_partkey) as rank from part) where rank <= 10 and p_size <= 25""")
+def exact_match_then_role(spark, sf_dir):
+    """The filter comes after the limit: matches it drops are not replaced."""
+    order = Window.partitionBy("p_brand").orderBy(F.length("p_type"), "p_type", "p_name", "p_partkey")
+    ranked = table(spark, sf_dir, "part").withColumn("rank", F.row_number().over(order)).where("rank <= 10")
+    return ranked.where("p_size <= 25").select(F.col("p_brand").alias("query"), F.col("p_partkey").alias("id"), "rank")
+
+
+@registered("""with m as (select page_id, url, row_number() over (order by url, page_id) as n from pages where url ilike 'http%/%1%')
+select page_id, url, (select count(*) from m) > 30 as more from m where n > 10 and n <= 30""")
+def glob_page(spark, sf_dir):
+    """The second page of paths under a glob, and whether there are more."""
+    found = table(spark, sf_dir, "pages").where(F.col("url").ilike(text.like_pattern("http*/*1*"))).orderBy("url", "page_id").offset(10).limit(21)
+    numbered = found.select("page_id", "url", F.row_number().over(Window.orderBy("url", "page_id")).alias("n"), F.count(F.lit(1)).over(Window.partitionBy()).alias("total"))  # 21 rows at most
+    return numbered.where("n <= 20").select("page_id", "url", (F.col("total") > 20).alias("more"))
+
+
+@registered(f"select id, path, role from (select doc_id as id, {PATH} as path, {ROLE} as role from (select *, {PATH} as p from documents))")
+def role_classify(spark, sf_dir):
+    return documents(spark, sf_dir).select("id", "path", F.col("source_role").alias("role"))
+
+
+@registered(f"select id, source_role from ({SYMBOLS}) where source_role in ('test', 'fixture')")
+def role_filter_tests(spark, sf_dir):
+    return documents(spark, sf_dir).where(roles.is_test(F.col("source_role"))).select("id", "source_role")
+
+
+@registered(f"select coalesce(language, 'none') as language, count(*) as n from (select case regexp_extract({PATH}, '\\.[^./]+$') when '.py' then 'python' end as language from documents) group by 1")
+def language_discovery(spark, sf_dir):
+    return documents(spark, sf_dir).groupBy(F.coalesce(roles.language_of(F.col("path")), F.lit("none")).alias("language")).agg(F.count(F.lit(1)).alias("n"))
+
+
+# ------------------------------------------------------------ lexical index and ranking
+
+FREQS = f"freqs as (select id, term, count(*) as tf from (select doc_id as id, unnest({TOKENS}) as term from documents) group by 1, 2), lens as (select doc_id as id, len({TOKENS}) as dl from documents), stats as (select count(*) as ndocs, avg(dl) as avgdl from lens)"
+BM25 = f"""{FREQS}, wanted as (select qid, term, count(*) as times from q group by 1, 2), df as (select term, count(*) as n from freqs where term in (select term from wanted) group by 1),
+scores as (select qid, f.id, sum(w.times * greatest_idf * f.tf * 2.2::double / (f.tf + 1.2::double * (0.25::double + 0.75::double * l.dl / avgdl))) as score
+ from wanted w join freqs f using (term) join (select term, case when ln((ndocs - n + 0.5::double) / (n + 0.5::double)) > 0 then ln((ndocs - n + 0.5::double) / (n + 0.5::double)) else 1e-6::double end as greatest_idf, avgdl from df, stats) d using (term) join lens l on l.id = f.id group by 1, 2)"""
+ITEMS = f"q as (select item_id as qid, unnest({TOKENS}) as term from benchmark)"
+RANKED = "lex as (select qid, id, score, row_number() over (partition by qid order by round(score, 9) desc, id) as rank from scores)"
+
+
+def freqs_and_lengths(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return lexical.frequencies(docs), lexical.lengths(docs)
+
+
+def item_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.explode(text.index_tokens(F.col("text"))).alias("term"))
+
+
+def lexical_rankings(spark: SparkSession, sf_dir: str, k: int = 50) -> DataFrame:
+    return lexical.top_k(lexical.bm25(item_terms(spark, sf_dir), *freqs_and_lengths(spark, sf_dir)), k)
+
+
+@registered(f"select doc_id, len(t) as dl, len(list_distinct(t)) as n_terms from (select doc_id, {TOKENS} as t from documents)")
+def tokenize_counts(spark, sf_dir):
+    tokens = text.index_tokens(F.col("text"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.size(tokens).alias("dl"), F.size(F.array_distinct(tokens)).alias("n_terms"))
+
+
+@registered(f"select term, id, count(*) as tf, min(pos) as first_position, max(pos) as last_position from (select doc_id as id, unnest({TOKENS}) as term, generate_subscripts({TOKENS}, 1) - 1 as pos from documents) group by 1, 2")
+def postings_build(spark, sf_dir):
+    index = lexical.postings(table(spark, sf_dir, "documents"))
+    return index.select("term", "id", "tf", F.element_at("positions", 1).alias("first_position"), F.element_at("positions", -1).alias("last_position"))
+
+
+@registered(f"select count(*) as ndocs, round(avg(len({TOKENS})), 6) as avgdl from documents")
+def corpus_stats(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return lexical.corpus_stats(lexical.lengths(docs)).select("ndocs", F.round("avgdl", 6).alias("avgdl"))
+
+
+@registered(f"with q as (select 0 as qid, unnest(['and', 'of', 'tion']) as term), {BM25}, {RANKED} select id, round(score, 6) as score, rank from lex where rank <= 10")
+def bm25_topk(spark, sf_dir):
+    query = spark.createDataFrame([(0, t) for t in ("and", "of", "tion")], "qid int, term string")
+    best = lexical.top_k(lexical.bm25(query, *freqs_and_lengths(spark, sf_dir)), 10)
+    return best.select("id", F.round("score", 6).alias("score"), "rank")
+
+
+@registered(f"with {ITEMS}, {BM25}, {RANKED} select qid, id, round(score, 6) as score, rank from lex where rank <= 50")
+def bm25_multi_query(spark, sf_dir):
+    return lexical_rankings(spark, sf_dir).select("qid", "id", F.round("score", 6).alias("score"), "rank")
+
+
+@registered(f"with w as (select doc_id as id, unnest({TOKENS}) as term, generate_subscripts({TOKENS}, 1) as pos from documents) select a.id, count(*) as tf from w a join w b on a.id = b.id and b.pos = a.pos + 1 where a.term = 'of' and b.term = 'the' group by 1")
+def phrase_match(spark, sf_dir):
+    return lexical.phrase_counts(lexical.postings(table(spark, sf_dir, "documents")), ["of", "the"])
+
+
+def _distinct(column: str) -> str:
+    """SQL for the distinct elements of a list in their order."""
+    return f"list_filter({column}, lambda x, i: list_position({column}, x) = i)"
+
+
+@registered(f"select conv_id, turn, array_to_string({_distinct('t')}, ' ') as terms from (select conv_id, turn, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]{{3,}}') as t from conversations)")
+def query_terms_distinct(spark, sf_dir):
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.array_join(text.distinct_terms(F.col("text")), " ").alias("terms"))
+
+
+@registered(f"select conv_id, turn, len({TERMS2}) as n_terms, array_to_string({TERMS2}, ' ') as terms from conversations")
+def match_terms(spark, sf_dir):
+    terms = text.match_terms(F.col("text"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.size(terms).alias("n_terms"), F.array_join(terms, " ").alias("terms"))
+
+
+@registered("select doc_id, (least((length(text) - length(replace(text, 'tion', ''))) // 4, 3) + least((length(text) - length(replace(text, 'en', ''))) // 2, 3)) * 0.25::double as score from documents")
+def occurrence_counts(spark, sf_dir):
+    terms = F.array(F.lit("tion"), F.lit("en"))
+    return table(spark, sf_dir, "documents").select("doc_id", text.capped_occurrences(F.col("text"), terms).alias("score"))
+
+
+@registered(r"select doc_id, (select sum(regexp_matches(lower(text), '(^|[^\p{L}\p{N}_])' || t)::int) from unnest(['tion', 'the', 'ein', 'las']) u(t)) as hits from documents")
+def term_hits(spark, sf_dir):
+    terms = F.array(*map(F.lit, ("tion", "the", "ein", "las")))
+    return table(spark, sf_dir, "documents").select("doc_id", text.term_hits(F.col("text"), terms).alias("hits"))
+
+
+@registered(r"""with h as (select doc_id, text, left(text, 400) as head from documents),
+c as (select *, case when position(chr(10) in head) > 0 and length(head) - position(chr(10) in reverse(head)) > 0 then left(head, length(head) - position(chr(10) in reverse(head))) else head end as cut from h),
+n as (select *, len(string_split(regexp_replace(text, '\n\z', ''), chr(10))) - len(string_split(regexp_replace(cut, '\n\z', ''), chr(10))) as missing from c)
+select doc_id, case when length(text) <= 400 then text when missing > 0 then cut || chr(10) || '… (+' || missing || ' lines)' else cut || chr(10) || '…' end as body from n""")
+def bounded_body(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", text.bounded_body(F.col("text"), 400).alias("body"))
+
+
+@registered(r"""with t as (select page_id, unnest(regexp_extract_all(url, '[A-Za-z_][A-Za-z0-9_.]*')) as token, generate_subscripts(regexp_extract_all(url, '[A-Za-z_][A-Za-z0-9_.]*'), 1) as pos from pages),
+s as (select *, array_to_string(list_filter(regexp_split_to_array(regexp_replace(regexp_replace(regexp_replace(replace(token, '_', ' '), '([a-z0-9])([A-Z])', '\1 \2', 'g'), '([A-Z]+)([A-Z][a-z])', '\1 \2', 'g'), '([A-Z][A-Z]+)([0-9])', '\1 \2', 'g'), '[^A-Za-z0-9]+'), lambda x: x <> ''), ' ') as words from t)
+select p.page_id, coalesce(string_agg(words, '|' order by pos) filter (where contains(words, ' ') and lower(words) <> lower(token)), '') as variants from pages p left join s using (page_id) group by 1""")
+def lexical_variants(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", F.array_join(text.lexical_variants(F.col("url")), "|").alias("variants"))
+
+
+# ------------------------------------------------------------ vectors
+
+DIST = "sqrt(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda x: (x[1]::double - x[2]::double) * (x[1]::double - x[2]::double))))"
+NORM = "sqrt(list_sum(list_transform(embedding, lambda x: x::double * x::double)))"
+
+
+def neighbours(spark: SparkSession, sf_dir: str, k: int = 10) -> DataFrame:
+    """Queries are the vectors whose id is divisible by 100, sought in all rows."""
+    rows = table(spark, sf_dir, "embeddings")
+    return dense.knn(rows.where("vec_id % 100 = 0").withColumnRenamed("vec_id", "qid"), rows, k)
+
+
+@registered(f"select qid, id, round(d, 6) as distance, rank from (select a.vec_id as qid, b.vec_id as id, {DIST} as d, row_number() over (partition by a.vec_id order by round({DIST}, 9), b.vec_id) as rank from embeddings a, embeddings b where a.vec_id % 100 = 0) where rank <= 10")
+def knn_l2_topk(spark, sf_dir):
+    return neighbours(spark, sf_dir).select("qid", "id", F.round("distance", 6).alias("distance"), "rank")
+
+
+@registered("select b.vec_id, round(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda x: x[1]::double * x[2]::double)) / (sqrt(list_sum(list_transform(a.embedding, lambda x: x::double * x::double))) * sqrt(list_sum(list_transform(b.embedding, lambda x: x::double * x::double)))), 6) as cosine from embeddings b, (select embedding from embeddings where vec_id = 0) a")
+def cosine_similarity(spark, sf_dir):
+    """All vectors against one query vector."""
+    rows = table(spark, sf_dir, "embeddings")
+    query = F.broadcast(rows.where("vec_id = 0").select(F.col("embedding").alias("q")))  # one row
+    return rows.join(query).select("vec_id", F.round(vectors.cosine(F.col("embedding"), F.col("q")), 6).alias("cosine"))
+
+
+@registered(f"select vec_id, round(n, 6) as norm, round(embedding[1]::double / n, 6) as first, round(list_sum(list_transform(embedding, lambda x: x::double / n)), 6) as total from (select *, {NORM} as n from embeddings)")
+def l2_normalize(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings").withColumn("v", vectors.normalized(F.col("embedding")))
+    return rows.select("vec_id", F.round(vectors.norm(F.col("embedding")), 6).alias("norm"), F.round(F.col("v")[0], 6).alias("first"), F.round(F.aggregate("v", F.lit(0.0), lambda s, x: s + x), 6).alias("total"))
+
+
+# ------------------------------------------------------------ fusion and composite search
+
+DENSE = f"dn as (select qid, id, rank from (select a.vec_id as qid, b.vec_id as id, row_number() over (partition by a.vec_id order by round({DIST}, 9), b.vec_id) as rank from embeddings a join embeddings b on true where a.vec_id in (select item_id from benchmark)) where rank <= 50)"
+FUSED = "lists as (select qid, 0 as list_no, rank, id from lex where rank <= 50 union all select qid, 1, rank, id from dn), fs as (select qid, id, sum(1::double / (60 + rank)) as score, min(list_no * 1000000000 + rank) as first_seen from lists group by 1, 2), fused as (select qid, id, score, row_number() over (partition by qid order by round(score, 12) desc, first_seen) as rank from fs)"
+
+
+def both_rankings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lexical and dense rankings of every benchmark item (its vector is the one with its id)."""
+    rows = table(spark, sf_dir, "embeddings")
+    queries = rows.join(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("vec_id")), "vec_id", "left_semi").withColumnRenamed("vec_id", "qid")
+    near = dense.knn(queries, rows, 50).select("qid", F.lit(1).alias("list_no"), "rank", "id")
+    return lexical_rankings(spark, sf_dir).select("qid", F.lit(0).alias("list_no"), "rank", "id").unionByName(near)
+
+
+@registered(f"with {ITEMS}, {BM25}, {RANKED}, {DENSE}, {FUSED} select qid, id, round(score, 9) as score, rank from fused where rank <= 50")
+def rrf_fuse(spark, sf_dir):
+    return fusion.fuse(both_rankings(spark, sf_dir), 50).select("qid", "id", F.round("score", 9).alias("score"), "rank")
+
+
+def pool(spark: SparkSession, sf_dir: str, limit: int = 50) -> DataFrame:
+    """Fused candidates with their columns; ids that are no symbols are dropped."""
+    fused = fusion.fuse(both_rankings(spark, sf_dir), limit)
+    return fused.join(documents(spark, sf_dir), "id")
+
+
+POOL = f"{ITEMS}, {BM25}, {RANKED}, {DENSE}, {FUSED}, sym as ({SYMBOLS}), pool as (select f.qid, f.score, f.rank, s.* from fused f join sym s using (id) where f.rank <= 50)"
+
+
+@registered(f"with {POOL}, o as (select qid, id, path, score, source_role, row_number() over (partition by qid order by round(score + case when source_role = 'production' then 0.01::double else 0 end, 9) desc, rank) as new_rank from pool) select qid, id, path, round(score, 9) as score, source_role, new_rank from o where new_rank <= 10")
+def hybrid_search(spark, sf_dir):
+    """Lexical and dense lists, fused, joined with their symbols, production code preferred: ten a query."""
+    best = fusion.prefer_production(pool(spark, sf_dir)).where("new_rank <= 10")
+    return best.select("qid", "id", "path", F.round("score", 9).alias("score"), "source_role", "new_rank")
+
+
+@registered(f"""with {POOL}, best as (select qid, dir, max(score) as best, min(rank) as first from pool where score > 0 group by 1, 2),
+files as (select *, row_number() over (partition by qid order by round(best, 12) desc, first) as file_rank from best),
+sib as (select f.qid, f.file_rank, s.id, s.dir, (s.n_chars % 7)::int as hits, round(s.n_chars / 100000.0::double, 9) as cosine from sym s join files f using (dir) where not exists (select 1 from pool p where p.qid = f.qid and p.id = s.id)),
+kept as (select *, row_number() over (partition by qid, dir order by hits desc, round(cosine, 9) desc, id) as in_file from sib qualify in_file <= 3)
+select qid, id, dir, in_file, row_number() over (partition by qid order by file_rank, in_file) as position from kept qualify position <= 50""")
+def pool_expansion(spark, sf_dir):
+    """Siblings of pooled candidates: three a file, fifty a query (term hits and similarity stand-ins from n_chars)."""
+    candidates = pool(spark, sf_dir).select("qid", "id", F.col("dir").alias("path"), "score", "rank")
+    siblings = documents(spark, sf_dir).select("id", F.col("dir").alias("path"), (F.col("n_chars") % 7).cast("int").alias("hits"), F.round(F.col("n_chars") / 100000.0, 9).alias("cosine"))
+    return fusion.expand_pool(candidates, siblings).select("qid", "id", F.col("path").alias("dir"), "in_file", "position")
+
+
+OCC = "least((length(lower(body)) - length(replace(lower(body), t, ''))) // length(t), 3)"
+
+
+@registered(f"""with {POOL}, terms as (select item_id as qid, unnest(list_transform({TERMS2}, lambda x: lower(x))) as t from benchmark),
+e as (select p.qid, p.id, p.rank, p.source_role, sum(case when t = lower(qualname) then 3.0::double when contains(lower(qualname), t) then 2.0::double else 0 end + case when contains(lower(path), t) then 0.5::double else 0 end + {OCC} * 0.25::double) as evidence from pool p join terms using (qid) group by all)
+select qid, id, round(s, 6) as evidence, row_number() over (partition by qid order by round(s, 9) desc, rank) as new_rank from (select *, evidence + case when source_role = 'production' then 0.01::double else 0 end as s from e)""")
+def fallback_rank(spark, sf_dir):
+    """The pool by evidence of the query's terms, as without a reranker."""
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), text.match_terms(F.col("text")).alias("terms"))
+    scored = pool(spark, sf_dir).join(items, "qid").withColumn("evidence", text.evidence(F.col("terms"), F.col("qualname"), F.col("path"), F.col("body"), F.col("source_role") == "production"))
+    return fusion.reorder(scored, F.col("evidence")).select("qid", "id", F.round("evidence", 6).alias("evidence"), "new_rank")
+
+
+@registered(f"with {POOL} select qid, id, row_number() over (partition by qid order by round(score + case when source_role = 'production' then 0.01::double else 0 end, 9) desc, rank) as new_rank from pool")
+def production_prior(spark, sf_dir):
+    return fusion.prefer_production(pool(spark, sf_dir)).select("qid", "id", "new_rank")
+
+
+@registered(f"""with {POOL}, small as (select qid, id, score, row_number() over (partition by qid order by rank) as r from pool), reply as (select qid, r - 1 as idx, case when qid % 3 = 0 and r = 1 then null else (id * 37 % 101)::double end as s, -r as response_pos from small),
+v as (select qid, count(*) = count(s) as valid from reply group by 1)
+select qid, id, valid, row_number() over (partition by qid order by round(case when valid then s else score end, 9) desc, case when valid then response_pos else r end) as new_rank from small join reply using (qid) join v using (qid) where reply.idx = small.r - 1""")
+def rerank_apply(spark, sf_dir):
+    """Replies of a made-up reranker, every third of them unusable: those queries keep the fused order."""
+    order = Window.partitionBy("qid").orderBy("rank")
+    candidates = pool(spark, sf_dir).select("qid", "id", "score", F.row_number().over(order).alias("rank"))
+    made_up = F.when((F.col("qid") % 3 == 0) & (F.col("rank") == 1), None).otherwise((F.col("id") * 37 % 101).cast("double"))
+    replies = candidates.select("qid", (F.col("rank") - 1).alias("idx"), made_up.alias("score"), (-F.col("rank")).alias("response_pos"))
+    valid = fusion.valid_orders(replies, candidates.groupBy("qid").agg(F.count(F.lit(1)).alias("size")))
+    return fusion.apply_rerank(candidates, replies, valid, F.col("score")).select("qid", "id", "valid", "new_rank")
+
+
+# ------------------------------------------------------------ maintenance
+
+
+@registered("select doc_id from documents where doc_id not in (select vec_id from embeddings)")
+def missing_vectors(spark, sf_dir):
+    vectors_ = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"))
+    return maintenance.missing(table(spark, sf_dir, "documents").select("doc_id"), vectors_, "doc_id")
+
+
+STATUS = "case event_type when 'error' then 'error' when 'view' then 'ok' when 'click' then 'ok' when 'signup' then 'partial' else 'empty' end"
+
+
+def parse_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = F.col("event_type")
+    status = F.when(kind == "error", "error").when(kind.isin("view", "click"), "ok").when(kind == "signup", "partial").otherwise("empty")
+    return table(spark, sf_dir, "events").select(F.col("event_id").alias("path"), status.alias("status"))
+
+
+@registered(f"""select *, array_to_string(list_filter([case when n_missing > 0 then 'DENSE_INDEX_PARTIAL' end, case when n_issues > 0 then 'PARSE_COVERAGE_PARTIAL' end], lambda x: x is not null), ',') as reasons
+from (select (select count(*) from documents) as n_symbols, (select count(*) from documents where doc_id not in (select vec_id from embeddings)) as n_missing, (select count(*) from events where {STATUS} in ('partial', 'error')) as n_issues)""")
+def dense_coverage(spark, sf_dir):
+    ids = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"))
+    return maintenance.coverage_reasons(ids, table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id")), parse_states(spark, sf_dir))
+
+
+@registered(f"select {STATUS} as status, count(*) as n from events group by 1")
+def parse_coverage(spark, sf_dir):
+    return maintenance.parse_coverage(parse_states(spark, sf_dir))
+
+
+@registered("select sha256(text) as embed_key, count(*) as n_rows, min(doc_id) as first_id from documents group by 1")
+def embed_key_dedup(spark, sf_dir):
+    return maintenance.distinct_inputs(table(spark, sf_dir, "documents")).select("embed_key", "n_rows", "first_id")
+
+
+@registered("select sha256(text) as embed_key, bool_or(doc_id in (select vec_id from embeddings where len(embedding) = 64)) as hit from documents group by 1")
+def cache_hit_miss(spark, sf_dir):
+    """Distinct inputs that a cache of the known vectors has, and has not."""
+    docs = table(spark, sf_dir, "documents")
+    cache = docs.join(table(spark, sf_dir, "embeddings"), F.col("doc_id") == F.col("vec_id")).select(F.sha2(F.col("text").cast("binary"), 256).alias("input_hash"), F.size("embedding").alias("dim"), F.col("embedding").alias("vector"))
+    return maintenance.cache_split(maintenance.distinct_inputs(docs), cache, 64).select("embed_key", "hit")
+
+
+EDITED = "(case when doc_id in (select doc_id from labels where toxic = 1) then text || ' edited' else text end)"
+
+
+def edited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents after an edit: texts labelled toxic are changed, those of low quality are gone."""
+    marks = table(spark, sf_dir, "labels")
+    docs = table(spark, sf_dir, "documents").join(marks.where("quality = 0").select("doc_id"), "doc_id", "left_anti")
+    changed = marks.where("toxic = 1").select("doc_id", F.lit(True).alias("changed"))
+    return docs.join(changed, "doc_id", "left").withColumn("text", F.when(F.col("changed"), F.concat("text", F.lit(" edited"))).otherwise(F.col("text"))).drop("changed")
+
+
+@registered(f"select a.doc_id from documents a join (select doc_id, {EDITED} as text from documents where doc_id not in (select doc_id from labels where quality = 0)) b on a.doc_id = b.doc_id and sha256(a.text) = sha256(b.text)")
+def attach_guard(spark, sf_dir):
+    """Results computed before the edit that may still be attached after it."""
+    key = lambda df: df.select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("embed_key"))
+    return maintenance.attachable(key(table(spark, sf_dir, "documents")), key(edited(spark, sf_dir)), ["doc_id", "embed_key"]).select("doc_id")
+
+
+def states_of(df: DataFrame) -> DataFrame:
+    return df.select(F.col("doc_id").cast("string").alias("path"), F.lit(1).alias("mtime_ns"), F.length("text").alias("size"))
+
+
+DIFF = f"""select coalesce(a.doc_id, b.doc_id)::varchar as path, case when b.doc_id is null then 'removed' when a.doc_id is null then 'new' when length(a.text) <> length(b.text) then 'changed' else 'same' end as change
+from documents a full join (select doc_id, {EDITED} as text from documents where doc_id not in (select doc_id from labels where quality = 0) union all select item_id + 1000000000, text from benchmark) b on a.doc_id = b.doc_id"""
+
+
+def inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fresh = table(spark, sf_dir, "benchmark").select((F.col("item_id") + 1_000_000_000).alias("doc_id"), "text")
+    return states_of(edited(spark, sf_dir).select("doc_id", "text").unionByName(fresh))
+
+
+@registered(DIFF)
+def incremental_diff(spark, sf_dir):
+    return maintenance.diff(inventory(spark, sf_dir), states_of(table(spark, sf_dir, "documents")))
+
+
+@registered(f"select count(*) filter (change = 'removed') as gone, count(*) filter (change = 'new') as new, count(*) filter (change = 'changed') as changed from ({DIFF})")
+def file_drift(spark, sf_dir):
+    return maintenance.drift(inventory(spark, sf_dir), states_of(table(spark, sf_dir, "documents")))
+
+
+@registered("""with st as (select doc_id, case when quality = 0 then 'error' else 'ok' end as status from labels where toxic = 1 or quality = 0)
+select doc_id, sha256(text) as digest from documents where doc_id not in (select doc_id from st where status = 'ok') and source <> 'src3'
+union all select d.doc_id, sha256(d.text || ' edited') from documents d join st on d.doc_id = st.doc_id where status = 'ok' and source <> 'src3'
+union all select d.doc_id, sha256(d.text || ' edited') from documents d join st on d.doc_id = st.doc_id where status = 'ok' and source = 'src3'""")
+def publish_merge(spark, sf_dir):
+    """A publication: staged files replace theirs, unparsable ones keep theirs, removed ones go."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), "text", "source")
+    marks = table(spark, sf_dir, "labels").where("toxic = 1 or quality = 0").select(F.col("doc_id").alias("path"), F.when(F.col("quality") == 0, "error").otherwise("ok").alias("status"))
+    staged = docs.join(marks, "path").withColumn("text", F.concat("text", F.lit(" edited"))).select("path", "text", "source")
+    after = maintenance.publish(docs, staged, marks, docs.where("source = 'src3'"))
+    return after.select(F.col("path").alias("doc_id"), F.sha2(F.col("text").cast("binary"), 256).alias("digest"))
+
+
+@registered("select user_id, arg_max(event_type, struct_pack(ts := ts, id := event_id)) as state, max(struct_pack(ts := ts, id := event_id)).id as last_event from events group by 1")
+def job_latest_state(spark, sf_dir):
+    last = maintenance.latest(table(spark, sf_dir, "events"), "user_id", F.col("ts"), F.col("event_id"))
+    return last.select("user_id", F.col("event_type").alias("state"), F.col("event_id").alias("last_event"))
+
+
+JOB_STATE = "case event_type when 'view' then 'queued' when 'click' then 'running' when 'error' then 'failed' else 'completed' end"
+
+
+def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = F.col("event_type")
+    state = F.when(kind == "view", "queued").when(kind == "click", "running").when(kind == "error", "failed").otherwise("completed")
+    return table(spark, sf_dir, "events").select(F.col("event_id").alias("job_id"), F.col("user_id").alias("repo"), F.col("ts").alias("created_at"), state.alias("state"))
+
+
+@registered(f"select job_id, case when state in ('queued', 'running') and job_id <> 7 then 'interrupted' else state end as state from (select event_id as job_id, {JOB_STATE} as state from events)")
+def job_reconcile(spark, sf_dir):
+    return maintenance.reconcile(jobs(spark, sf_dir), F.lit(7)).select("job_id", "state")
+
+
+@registered(f"select repo, arg_min(job_id, struct_pack(a := created_at, b := job_id)) as job_id from (select event_id as job_id, user_id as repo, ts as created_at, {JOB_STATE} as state from events) where state in ('queued', 'running') group by 1")
+def job_joined(spark, sf_dir):
+    return maintenance.joined_job(jobs(spark, sf_dir).where("state in ('queued', 'running')")).select("repo", "job_id")
+
+
+@registered("""with g as (select user_id, ts, coalesce(epoch(ts) - epoch(lag(ts) over (partition by user_id order by ts)) >= 21600, true)::int as fresh from events), s as (select *, sum(fresh) over (partition by user_id order by ts rows unbounded preceding) as session from g)
+select user_id, session, min(ts) as start, max(ts) as "end", count(*) as n from s group by 1, 2""")
+def debounce_sessions(spark, sf_dir):
+    """Changes of a repository that one submission covers: no gap of six hours between them."""
+    events = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    found = maintenance.sessions(events, 21600, ["user_id"])
+    return found.select("user_id", "session", *(F.col(c).cast("timestamp_ntz").alias(c) for c in ("start", "end")), "n")
+
+
+@registered("select user_id, n, least(2.0::double * pow(2.0::double, n), 300.0::double) as wait from (select user_id, count(*) filter (event_type = 'error') as n from events group by 1)")
+def backoff_schedule(spark, sf_dir):
+    failures = table(spark, sf_dir, "events").groupBy("user_id").agg(F.count_if(F.col("event_type") == "error").alias("n"))
+    return failures.withColumn("wait", maintenance.backoff(F.col("n")))
+
+
+@registered("select user_id, case when s < 60 then printf('%.0fs', s) when s < 3600 then printf('%.0fm', s / 60) when s < 86400 then printf('%.1fh', s / 3600) else printf('%.1fd', s / 86400) end as age from (select user_id, floor(epoch(timestamp '2030-01-01') - epoch(max(ts)))::double as s from events group by 1)")
+def index_age(spark, sf_dir):
+    last = table(spark, sf_dir, "events").groupBy("user_id").agg(F.max(F.col("ts").cast("timestamp")).alias("ts"))
+    seconds = F.floor(F.unix_timestamp(F.lit("2030-01-01 00:00:00").cast("timestamp")) - F.col("ts").cast("double")).cast("double")
+    return last.select("user_id", text.age(seconds).alias("age"))
+
+
+# ------------------------------------------------------------ evaluation
+
+CASES = "cases as (select l.doc_id as qid, l.doc_id as gold_id, d.source as gold_path from labels l join documents d using (doc_id)), results as (select a.doc_id as qid, b.doc_id as id, b.source as path, row_number() over (partition by a.doc_id order by abs(a.n_chars - b.n_chars), b.doc_id) as rank from (select d.* from documents d join labels using (doc_id)) a join documents b on a.lang = b.lang and a.source = b.source)"
+
+
+def graded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cases made of labelled documents: results are those of their language and source by nearness of length."""
+    docs = table(spark, sf_dir, "documents")
+    mine = docs.join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id").select(F.col("doc_id").alias("qid"), F.col("n_chars").alias("n"), "lang", "source")
+    order = Window.partitionBy("qid").orderBy(F.abs(F.col("n") - F.col("n_chars")), "doc_id")
+    results = mine.join(docs.select("doc_id", "n_chars", "lang", "source"), ["lang", "source"]).select("qid", F.col("doc_id").alias("id"), F.col("source").alias("path"), F.row_number().over(order).alias("rank"))
+    return evaluate.case_ranks(results, mine.select("qid", F.col("qid").alias("gold_id"), F.col("source").alias("gold_path")))
+
+
+@registered(f"with {CASES}, r as (select c.qid, min(case when id = gold_id then rank end) as rank, min(case when path = gold_path then rank end) as path_rank from cases c left join results using (qid) group by 1) select count(*) as n_cases, round(avg(case when rank <= 10 then 1.0::double else 0 end), 6) as recall, round(avg(case when rank <= 10 then 1.0::double / rank else 0 end), 6) as mrr, round(avg(case when path_rank <= 10 then 1.0::double else 0 end), 6) as file_presence, list_sort(list(qid % 997 / 10.0::double))[greatest(1, ceil(count(*) * 0.5::double)::int)] as p50, list_sort(list(qid % 997 / 10.0::double))[greatest(1, ceil(count(*) * 0.95::double)::int)] as p95, count(*) filter (qid % 5 = 0) as with_warnings from r")
+def eval_rank_metrics(spark, sf_dir):
+    cases = graded(spark, sf_dir).withColumn("latency", F.col("qid") % 997 / F.lit(10.0)).withColumn("warnings", F.when(F.col("qid") % 5 == 0, F.array(F.lit("slow"))).otherwise(F.array().cast("array<string>")))
+    found = evaluate.summary(cases, 10)
+    return found.select("n_cases", *(F.round(c, 6).alias(c) for c in ("recall", "mrr", "file_presence")), "p50", "p95", "with_warnings")
+
+
+@registered(f"with {CASES}, r as (select c.qid, min(case when id = gold_id then rank end) as rank from cases c left join results using (qid) group by 1) select qid, case when rank <= 10 then null when qid % 2 = 0 and rank is null then 'not_fetched' when qid % 2 = 0 then 'ranked_deep' when qid % 3 = 0 then 'pool_cutoff' else 'not_retrieved' end as stage, array_to_string(list_filter([case when qid % 3 = 0 then 'fts' end, case when qid % 5 = 0 then 'dense' end, case when qid % 7 = 0 then 'expansion' end], lambda x: x is not null), ',') as sources from r")
+def eval_loss_stage(spark, sf_dir):
+    q = F.col("qid")
+    found = graded(spark, sf_dir)
+    return found.select("qid", evaluate.loss_stage(F.col("rank"), q % 2 == 0, q % 3 == 0, 10).alias("stage"), F.array_join(evaluate.retrieved_by(q % 3 == 0, q % 5 == 0, q % 7 == 0), ",").alias("sources"))
+
+
+@registered("select event_type, list_sort(list(value))[greatest(1, ceil(count(value) * 0.5::double)::int)] as p50, list_sort(list(value))[greatest(1, ceil(count(value) * 0.95::double)::int)] as p95 from events group by 1")
+def eval_percentiles(spark, sf_dir):
+    return table(spark, sf_dir, "events").groupBy("event_type").agg(evaluate.percentile(F.col("value"), 0.5).alias("p50"), evaluate.percentile(F.col("value"), 0.95).alias("p95"))
+
+
+@registered("""with e as (select vec_id, embedding[1]::double as a, embedding[2]::double as b, embedding[3]::double as c from embeddings), f as (select *, case when label % 3 = 1 then null else a end as y, case when label % 3 = 2 then null else b end as n, label from e join embeddings using (vec_id)),
+g as (select *, least(coalesce(y, c), coalesce(n, c), c) as fl from f) select vec_id, round(exp(coalesce(y, fl)) / (exp(coalesce(y, fl)) + exp(coalesce(n, fl))), 6) as score from g""")
+def logprob_score(spark, sf_dir):
+    v = F.col("embedding")
+    entry = lambda t, x: F.struct(t.alias("token"), x.cast("double").alias("logprob"))
+    kind = F.col("label") % 3
+    entries = F.array(entry(F.when(kind == 1, "maybe").otherwise("yes"), F.when(kind == 1, v[2]).otherwise(v[0])), entry(F.when(kind == 2, "maybe").otherwise("no"), F.when(kind == 2, v[2]).otherwise(v[1])), entry(F.lit("other"), v[2]))
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.round(evaluate.yes_no_score(entries), 6).alias("score"))
+
+
+@registered("select lang as qid, count(distinct source || '.' || n_chars) as n_before, count(distinct source || '.' || (n_chars // 100)) as n_after, count(distinct source || '.' || n_chars) = count(distinct source || '.' || (n_chars // 100)) as \"unique\" from documents group by 1")
+def locator_uniqueness(spark, sf_dir):
+    """Whether coarser names would still tell candidates apart."""
+    docs = table(spark, sf_dir, "documents").select(F.col("lang").alias("qid"), F.col("source").alias("path"), F.col("n_chars").alias("qualname"))
+    return evaluate.locators_unique(docs, docs.withColumn("qualname", F.floor(F.col("qualname") / 100)))
+
+
+@registered("select text, count(*) as n from documents group by 1 having count(*) > 1")
+def duplicate_cases(spark, sf_dir):
+    return evaluate.duplicates(table(spark, sf_dir, "documents"), "text")
+
+
+# ------------------------------------------------------------ beyond SQL
+
+
+@registered()
+def porter_bm25(spark, sf_dir):
+    """BM25 over stemmed terms without accents."""
+    stemmed = lambda df: stem(text.index_tokens(F.col("text")))
+    docs = table(spark, sf_dir, "documents")
+    queries = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.explode(stemmed(None)).alias("term"))
+    found = lexical.bm25(queries, lexical.frequencies(docs, tokens=stemmed(docs)), lexical.lengths(docs))
+    return lexical.top_k(found, 50).select("qid", "id", F.round("score", 6).alias("score"), "rank")
+
+
+@registered()
+def parse_symbols(spark, sf_dir):
+    """Symbols of made-up Python files, one a part."""
+    name = F.concat(F.lit("make_"), F.col("p_partkey"))
+    source = F.concat(F.lit('class Part:\n    """A part."""\n\n    def '), name, F.lit("(self):\n        return "), F.col("p_size"), F.lit("\n"))
+    files = table(spark, sf_dir, "part").select(F.concat(F.lit("src/part_"), F.col("p_partkey"), F.lit(".py")).alias("path"), source.cast("binary").alias("content"))
+    return parser.parse(files).where("qualname is not null").select("path", "qualname", "kind", "line", "end_line", "signature")
+
+
+@registered()
+def stream_sessions(spark, sf_dir):
+    """The sessions of debounce_sessions from a stream of change events."""
+    return freshness.stream_sessions(spark, f"{sf_dir}/events.parquet")
