@@ -201,28 +201,33 @@ def linked(percent: int) -> F.Column:
     return F.lit(100) * F.col("shared") >= F.lit(percent) * (F.col("na") + F.col("nb") - F.col("shared"))
 
 
-def search_list(node: np.ndarray, n: np.ndarray, at: np.ndarray, root: np.ndarray, pivot: np.ndarray, far: np.ndarray, percent: int, block: int = 128) -> list[tuple[np.ndarray, np.ndarray]]:
+def search_list(node: np.ndarray, n: np.ndarray, at: np.ndarray, own: np.ndarray, root: np.ndarray, pivot: np.ndarray, far: np.ndarray, met: np.ndarray, percent: int, block: int = 128) -> list[tuple[np.ndarray, np.ndarray]]:
     """Pairs of one index list that may link and are of different components."""
     order = np.lexsort((at, n))
-    node, n, at, root, pivot, far = (x[order] for x in (node, n, at, root, pivot, far))
+    node, n, at, own, root, pivot, far, met = (x[order] for x in (node, n, at, own, root, pivot, far, met))
     roots, sizes = np.unique(root, return_counts=True)
     outside = np.flatnonzero(root != roots[sizes.argmax()])
     edges = np.arange(0, len(n), block)
-    low, high = np.minimum.reduceat(at, edges), np.maximum.reduceat(at, edges)
+    before = at - own  # of the shingles before this entry those that other sets may have
+    low, high = np.minimum.reduceat(at, edges), np.maximum.reduceat(before, edges)
     small, large = np.minimum.reduceat(n, edges), np.maximum.reduceat(n, edges)
     rank = np.full(len(n), -1)
     rank[outside] = np.arange(len(outside))
     out = []
     for i in outside:
-        # Of sizes n and m, positions i and j: at most min(i, j) + min(n - i, m - j) shingles are shared.
+        # Of sizes n and m, positions i and j: of the shingles before the entry at most as many
+        # are shared as either set has that aren't its own, of the others min(n - i, m - j).
         need = lambda m: -(-percent * (n[i] + m) // (100 + percent))
         fits = (large * 100 >= percent * n[i]) & (small * percent <= 100 * n[i])
-        fits &= np.minimum(at[i], high) + np.minimum(n[i] - at[i], large - low) >= need(small)
+        fits &= np.minimum(before[i], high) + np.minimum(n[i] - at[i], large - low) >= need(small)
         some = np.concatenate([np.arange(e, min(e + block, len(n))) for e in edges[fits]]) if fits.any() else np.zeros(0, np.int64)
         m, j = n[some], at[some]
         good = (root[some] != root[i]) & (rank[some] < rank[i]) & (np.minimum(n[i], m) * 100 >= percent * np.maximum(n[i], m))
-        good &= np.minimum(at[i], j) + np.minimum(n[i] - at[i], m - j) >= need(m)
-        good &= (pivot[some] != pivot[i]) | (np.abs(far[some] - far[i]) <= 1 - percent / 100 + 1e-9)
+        good &= np.minimum(before[i], before[some]) + np.minimum(n[i] - at[i], m - j) >= need(m)
+        # Of what a common pivot has, two sets share no more than either shares with it; of the
+        # rest, no more than either has besides its own shingles.
+        most = np.minimum(met[i], met[some]) + np.minimum(n[i] - met[i] - own[i], m - met[some] - own[some])
+        good &= (pivot[some] != pivot[i]) | (np.abs(far[some] - far[i]) <= 1 - percent / 100 + 1e-9) & (most >= need(m))
         if good.any():
             out.append((np.full(int(good.sum()), node[i]), node[some[good]]))
     return out
@@ -237,7 +242,7 @@ def _search(percent: int) -> Callable:
         def pairs(rows: pd.DataFrame) -> Iterator[pa.RecordBatch]:
             entry = rows["entry"].to_numpy()
             cuts = np.flatnonzero(np.concatenate([[True], entry[1:] != entry[:-1]]))
-            columns = [rows[c].to_numpy() for c in ("node", "n", "at", "root", "pivot", "far")]
+            columns = [rows[c].to_numpy() for c in ("node", "n", "at", "own", "root", "pivot", "far", "met")]
             found = []
             for a, b in zip(cuts, [*cuts[1:], len(entry)], strict=True):
                 found += search_list(*(c[a:b] for c in columns), percent)
@@ -273,7 +278,7 @@ def classes(docs: DataFrame, *, width: int = SHINGLE, percent: int = PERCENT) ->
     entries = nodes.select("node", "n", "own", F.posexplode("entries").alias("at", "entry")).withColumn("at", F.col("at") + F.col("own"))
     lists = entries.groupBy("entry").agg(F.count(F.lit(1)).alias("members"), F.min(F.struct(F.col("own") / F.col("n"), "node")).alias("p"))
     index = entries.join(lists.where("members > 1").select("entry", F.col("p.node").alias("list_pivot")), "entry")
-    index = common.materialize(index.select("entry", "node", "n", "at", "list_pivot"), "index")
+    index = common.materialize(index.select("entry", "node", "n", "at", "own", "list_pivot"), "index")
     met = index.where("node != list_pivot").groupBy("node", "list_pivot").agg(F.count(F.lit(1)).alias("times"))
     first = met.groupBy("node").agg(F.max(F.struct("times", F.col("list_pivot").alias("pivot"))).alias("m"))
     pairs = common.materialize(first.select(F.col("node").alias("a"), F.col("m.pivot").alias("b")), "pairs")
@@ -282,15 +287,16 @@ def classes(docs: DataFrame, *, width: int = SHINGLE, percent: int = PERCENT) ->
     links = answers.where(linked(percent)).select("a", "b")
     roots = components(links)
     far = 1 - F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared"))
-    known = answers.select(F.col("a").alias("node"), F.col("b").alias("pivot"), far.alias("far"))
+    known = answers.select(F.col("a").alias("node"), F.col("b").alias("pivot"), far.alias("far"), F.col("shared").alias("met"))
     # A pivot is at distance 0 of itself, unless it was compared with another.
-    known = known.unionByName(known.select("pivot").distinct().join(known.select(F.col("node").alias("pivot")), "pivot", "left_anti").select(F.col("pivot").alias("node"), "pivot", F.lit(0.0).alias("far")))
+    known = known.unionByName(known.select("pivot").distinct().join(known.select(F.col("node").alias("pivot")), "pivot", "left_anti").select(F.col("pivot").alias("node"), "pivot", F.lit(0.0).alias("far"), F.lit(None).cast("int").alias("met")))
     state = index.select("node").distinct().join(roots, "node", "left").join(known, "node", "left")
-    state = state.select("node", F.coalesce("root", "node").alias("root"), F.coalesce("pivot", "node").alias("pivot"), F.coalesce("far", F.lit(0.0)).alias("far"))
-    full = index.select("entry", "node", "n", "at").join(state, "node")
+    state = state.select("node", F.coalesce("root", "node").alias("root"), F.coalesce("pivot", "node").alias("pivot"), F.coalesce("far", F.lit(0.0)).alias("far"), "met")
+    # A pivot shares with itself all but, in the bound, its own shingles.
+    full = index.select("entry", "node", "n", "at", "own").join(state, "node").withColumn("met", F.coalesce("met", F.col("n") - F.col("own")))
     several = full.groupBy("entry").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("entry")
     unsettled = full.join(several, "entry").repartition("entry").sortWithinPartitions("entry")
-    found = unsettled.select("entry", "node", "n", "at", "root", "pivot", "far").mapInArrow(_search(percent), "a bigint, b bigint")
+    found = unsettled.select("entry", "node", "n", "at", "own", "root", "pivot", "far", "met").mapInArrow(_search(percent), "a bigint, b bigint")
     counted = found.groupBy("a", "b").agg(F.count(F.lit(1)).alias("common"))
     sized = counted.join(nodes.select(F.col("node").alias("a"), F.col("n").alias("na")), "a").join(nodes.select(F.col("node").alias("b"), F.col("n").alias("nb")), "b")
     rest = lambda n: F.ceil(n * percent / 100) - 1  # noqa: E731  shingles behind the prefix
