@@ -159,15 +159,18 @@ COLUMNS = ("text", "lang", "source", "n_chars")
 
 
 def train(docs: DataFrame, labels: DataFrame, *, modulus: int = 4, held: int = 2, most: int = 3000, pool: int = 3000) -> Model:
+    outside = common.fold("doc_id", modulus) != held
     known = labels.where(F.col("quality").isin(0, 1)).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     rank = F.xxhash64(F.col("doc_id").cast("string"))
-    rows = docs.select("doc_id", common.whole_text().alias("text"), "lang", "source", "n_chars").join(known, "doc_id", "left").where(common.fold("doc_id", modulus) != held)
+    # Ids are drawn first, so that no text is shuffled; at most `most` and `pool` of them are broadcast.
+    some = known.where(outside).orderBy(rank, "doc_id").limit(most)
+    others = docs.select("doc_id").where(outside).distinct().join(known, "doc_id", "left_anti").orderBy(rank, "doc_id").limit(pool)
+    rows = docs.select("doc_id", common.whole_text().alias("text"), "lang", "source", "n_chars")
 
-    def drawn(some: DataFrame, limit: int):
-        return some.orderBy(rank, "doc_id", "text").limit(limit).toArrow()
+    def drawn(ids: DataFrame, limit: int):
+        return rows.join(F.broadcast(ids), "doc_id").orderBy(rank, "doc_id", "text").limit(limit).toArrow()
 
-    with_labels = drawn(rows.where(F.col("quality").isNotNull()), most)
-    without = drawn(rows.where(F.col("quality").isNull()).drop("quality"), pool)
+    with_labels, without = drawn(some, most), drawn(others, pool)
     y = np.array(with_labels.column("quality").to_pylist(), int)
     return co_train(views(with_labels), y, views(without))
 
