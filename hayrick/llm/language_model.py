@@ -12,8 +12,10 @@ sends them, sorted and packed, to buckets of the hash space. A task for each buc
 the counts up and sends back to each block the totals of its keys that it can't know by
 itself: those that other blocks have too. Then each block's documents meet the totals and
 are scored. Nothing is broadcast but a few numbers and at most 32 sets of weights; blocks
-and buckets grow in number with the input, not in size. Two given words or pairs share a
-hash with a chance of about 2**-63; the statistics are exact otherwise.
+and buckets grow in number with the input, not in size. Two given words share a hash with a
+chance of about 2**-63, so counts of words are exact but for that. Hashes of pairs keep as
+many bits as the input needs: any pair shares its hash with another one of the corpus with
+a chance of less than 2**-18.
 
 Words: runs of bytes other than white space, with A-Z in lower case; each text ends with
 an end token, and begins after a start that is only a context.
@@ -69,7 +71,7 @@ def unpack_counts(data: bytes) -> np.ndarray:
 class Block:
     """The words of a block's documents, as numbers of their distinct keys."""
 
-    def __init__(self, texts: pa.ChunkedArray):
+    def __init__(self, texts: pa.ChunkedArray, mask: np.uint64):
         tokens, ends = [], [0]
         for _, _, data, offsets in common.text_slices(texts):
             words, at = common.hash_words(data, offsets)
@@ -90,7 +92,7 @@ class Block:
         place = np.empty(len(order), np.int64)
         place[order] = np.arange(len(order))
         self.word_keys, self.word = keys[order], place[codes]
-        codes, keys = pd.factorize(mix(before * MIX[0] + words * MIX[1]))
+        codes, keys = pd.factorize(mix(before * MIX[0] + words * MIX[1]) & mask)
         order = np.argsort(keys)
         place = np.empty(len(order), np.int64)
         place[order] = np.arange(len(order))
@@ -111,12 +113,12 @@ SENT = "bucket bigint, block bigint, fold int, order int, keys binary, counts bi
 TOTALS = "block bigint, fold int, order int, keys binary, counts binary, deleted binary, n_tokens bigint, n_words bigint, n_deleted bigint"
 
 
-def _send(shift: int) -> Callable[[pa.Table], pa.Table]:
+def _send(shift: int, mask: np.uint64) -> Callable[[pa.Table], pa.Table]:
     """Each distinct key of a block with its count, to the bucket of the key's highest bits."""
 
     def run(table: pa.Table) -> pa.Table:
         block, fold = table.column("block")[0].as_py(), table.column("fold")[0].as_py()
-        seen, rows = Block(table.column("text")), []
+        seen, rows = Block(table.column("text"), mask), []
         for order in (1, 2):
             keys, counts = seen.keys(order), seen.counts(order)
             bucket = (keys >> np.uint64(shift)).astype(np.int64) if shift < 64 else np.zeros(len(keys), np.int64)
@@ -199,7 +201,7 @@ def _gather(numbers: dict) -> Callable:
     def run(docs: pa.Table, back: pa.Table) -> pa.Table:
         if not len(docs):
             return pa.table({c: pa.array([], t) for c, t in (("bucket", pa.int32()), ("two", pa.int32()), ("one", pa.int32()), ("tokens", pa.float64()), ("log_two", pa.float64()), ("log_one", pa.float64()))})
-        seen = Block(docs.column("text"))
+        seen = Block(docs.column("text"), numbers["mask"])
         word_total, word_deleted = _totals(seen, DELETED, back, 1)
         pair_total, pair_deleted = _totals(seen, DELETED, back, 2)
         words, pairs = word_total - word_deleted, pair_total - pair_deleted
@@ -243,7 +245,7 @@ def _score(numbers: dict, weights: np.ndarray) -> Callable:
         names = ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"]
         if not len(docs):
             return pa.table({n: pa.array([], t) for n, t in zip(names, (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64()), strict=True)})
-        fold, seen = docs.column("fold")[0].as_py(), Block(docs.column("text"))
+        fold, seen = docs.column("fold")[0].as_py(), Block(docs.column("text"), numbers["mask"])
         words, _ = _totals(seen, fold, back, 1)
         pairs, _ = _totals(seen, fold, back, 2)
         n, v = numbers["n"], numbers["v"]
@@ -272,10 +274,13 @@ def score_texts(docs: DataFrame, *, modulus: int = 7, held: int = 2, deleted: in
     block = F.element_at(F.array(*[F.pmod(hashed, F.lit(n)) + F.lit(a) for n, a in zip(parts, first, strict=True)]), F.col("fold") + 1)
     texts = docs.select(F.col("doc_id").cast("bigint"), common.whole_text().alias("text")).withColumn("fold", fold).withColumn("block", block)
     bits = max(0, math.ceil(math.log2(max(1, size / bucket_bytes))))
-    sent = texts.groupBy("block").applyInArrow(_send(64 - bits), SENT)
+    # Whole bytes are dropped, since only those make packed keys shorter.
+    dropped = max(0, 64 - math.ceil(math.log2(max(2, size))) - 18) // 8 * 8
+    mask = np.uint64((1 << 64) - (1 << dropped))
+    sent = texts.groupBy("block").applyInArrow(_send(64 - bits, mask), SENT)
     totals = common.materialize(sent.groupBy("bucket").applyInArrow(_add_up, TOTALS), "totals")
     row = totals.where("block = -1").agg(F.sum("n_tokens").alias("n"), F.sum("n_words").alias("v"), F.sum("n_deleted").alias("deleted")).first()
-    numbers = {k: int(row[k] or 0) for k in ("n", "v", "deleted")}
+    numbers = {k: int(row[k] or 0) for k in ("n", "v", "deleted")} | {"mask": mask}
     numbers["ends"] = texts.where(F.col("fold") != HELD).count()
     back = totals.where("block >= 0").select("block", "fold", "order", "keys", "counts", "deleted")
     some = texts.where(F.col("fold") == DELETED).groupBy("block").cogroup(back.where(F.col("fold") == DELETED).groupBy("block")).applyInArrow(_gather(numbers), GATHERED)
