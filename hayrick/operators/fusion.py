@@ -10,7 +10,7 @@ RRF = 60
 
 def fuse(rankings: DataFrame, limit: int | None = None) -> DataFrame:
     """Reciprocal-rank fusion. rankings: qid, list_no, rank (from 1), id. Ties keep the order of first appearance over the lists."""
-    seen = F.col("list_no") * F.lit(1_000_000_000) + F.col("rank")
+    seen = F.col("list_no").cast("bigint") * F.lit(1_000_000_000) + F.col("rank")
     fused = rankings.groupBy("qid", "id").agg(F.sum(1 / (F.lit(RRF) + F.col("rank"))).alias("score"), F.min(seen).alias("first_seen"))
     order = Window.partitionBy("qid").orderBy(F.round("score", 12).desc(), "first_seen")
     ranked = fused.withColumn("rank", F.row_number().over(order))

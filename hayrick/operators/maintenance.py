@@ -75,8 +75,8 @@ def cache_split(inputs: DataFrame, cache: DataFrame, dim: int) -> DataFrame:
 def latest(events: DataFrame, key: str, *order: Column) -> DataFrame:
     """The last row of each key: a journal's current state. Aggregated before the shuffle."""
     rest = [c for c in events.columns if c != key]
-    last = events.groupBy(key).agg(F.max(F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)], F.struct(*rest).alias("row"))).alias("m"))
-    return last.select(key, "m.row.*")
+    last = events.groupBy(key).agg(F.max_by(F.struct(*rest), F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)])).alias("row"))
+    return last.select(key, "row.*")
 
 
 def joined_job(active: DataFrame) -> DataFrame:

@@ -16,7 +16,7 @@ import ast
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from hayrick.functions.roles import LANGUAGES
@@ -122,17 +122,17 @@ def parse_source(content: bytes, lang: str | None) -> tuple[list[dict], str, str
 
 def parse(files: DataFrame) -> DataFrame:
     """files: path and content (binary; null if it couldn't be read)."""
-    names = [c.split()[0] for c in SCHEMA.split(", ")]
+    kinds = {"string": pa.string(), "int": pa.int32()}
+    fields = pa.schema([(name, kinds[kind]) for name, kind in (c.split() for c in SCHEMA.split(", "))])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for path, content in zip(batch["path"], batch["content"], strict=True):
+            for path, content in zip(*(batch.column(k).to_pylist() for k in (0, 1)), strict=True):
                 lang = language(path)
-                found, status, detail = ([], "unreadable", None) if content is None else parse_source(bytes(content), lang)
+                found, status, detail = ([], "unreadable", None) if content is None else parse_source(content, lang)
                 file = {"path": path, "lang": lang, "status": status, "detail": detail}
                 rows += [file, *(file | s for s in found)]
-            out = pd.DataFrame(rows, columns=names)
-            yield out.astype({"line": "Int32", "end_line": "Int32"})
+            yield pa.RecordBatch.from_pylist(rows, fields)
 
-    return files.select("path", "content").mapInPandas(run, SCHEMA)
+    return files.select("path", "content").mapInArrow(run, SCHEMA)
