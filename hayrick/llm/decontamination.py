@@ -13,7 +13,7 @@ are seeded whole; shorter ones are never found. Items of equal words are joined
 reported as the smallest item_id.
 
 The seeds of the benchmark are broadcast if there are at most `broadcast_rows`, and
-shuffled otherwise; so are the documents' verified-to-be hits.
+shuffled otherwise; so are the hits, if they carry at most as many words of items.
 
 Defined cases: null and empty texts contain nothing; very long texts are seeded whole;
 repeated documents are reported each; an empty benchmark leaves all documents clean; an
@@ -54,7 +54,7 @@ def _seeds(rows: DataFrame, keep: list[str], lengths: list[int]) -> DataFrame:
     return each.select(*keep, "position", F.explode(F.array(*seeds)).alias("seed")).where(F.col("seed").isNotNull())
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, share: float = SHARE, broadcast_rows: int = 2_000_000) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, share: float = SHARE, broadcast_rows: int = 1_000_000) -> DataFrame:
     """docs with `items` (array of found item ids, ascending) and `overlap` (the largest share of agreeing positions, 0 if nothing hit)."""
     items = benchmark.where(F.col("item_id").isNotNull()).select(F.col("item_id").cast("bigint"), item_words(common.whole_text()).alias("words"))
     items = items.where(F.size("words") >= SHORTEST).groupBy("words").agg(F.min("item_id").alias("item_id"))
@@ -79,7 +79,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW,
     known = items.withColumnRenamed("words", "item_words")
     with_words = hits.join(F.broadcast(known) if small else known, "item_id")
     grouped = with_words.groupBy("hit_doc").agg(F.collect_list(F.struct("item_id", "diagonal", "item_words")).alias("hits"))
-    if hits.count() <= broadcast_rows // 10:
+    carried = with_words.agg(F.sum(F.size("item_words"))).first()[0] or 0
+    if carried <= broadcast_rows:
         grouped = F.broadcast(grouped)
 
     def agreement(doc_words: Column, hit: Column) -> Column:

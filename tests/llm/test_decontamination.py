@@ -57,7 +57,7 @@ def planted(items):
     return [*out, (3, out[3][1]), (None, items[3][1])]
 
 
-@pytest.mark.parametrize("limit", [2_000_000, 0])
+@pytest.mark.parametrize("limit", [1_000_000, 0])
 def test_against_brute_force(spark, planted, items, limit):
     docs = spark.createDataFrame([(i, t, "x") for i, t in planted], "doc_id bigint, text string, items string").drop("items")
     found = d.contaminated(docs, spark.createDataFrame(items, "item_id bigint, text string"), broadcast_rows=limit).collect()
