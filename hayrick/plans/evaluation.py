@@ -14,6 +14,7 @@ from hayrick.errors import HayrickError
 from hayrick.functions import text
 from hayrick.operators import evaluate, fusion
 from hayrick.plans import search
+from hayrick.sources import inventory
 from hayrick.sources.store import Store
 
 
@@ -70,6 +71,27 @@ def replay(pools: DataFrame, rerank: Callable, form: str = "body", score: F.Colu
     return fusion.apply_rerank(pool, replies, valid, F.col("score") if score is None else score).select("qid", "path", "qualname", "rank", "new_rank", "valid")
 
 
+def attach_bodies(pools: DataFrame, parsed: DataFrame) -> DataFrame:
+    """Bodies and ends from a snapshot parsed anew, by path, qualified name and line; of spans that repeat, the first.
+
+    A candidate that the snapshot lacks means it is another one: that is an error.
+    """
+    keys = ["path", "qualname", "line"]
+    spans = parsed.where(F.col("qualname").isNotNull()).groupBy(*keys).agg(F.min(F.struct("end_line", "body")).alias("s"))
+    found = pools.drop("body", "end_line").join(spans, keys, "left")
+    lost = [r["qualname"] for r in found.where(F.col("s").isNull()).select("qualname").limit(5).collect()]
+    if lost:
+        raise HayrickError("INVALID_ARGUMENT", f"the snapshot lacks {', '.join(map(str, lost))}")
+    return found.select("*", "s.end_line", "s.body").drop("s")
+
+
+def check_snapshot(root: str, revision: str) -> None:
+    """The worktree must be clean and at the suite's revision."""
+    commit, dirty = inventory.head(root)
+    if commit != revision or dirty:
+        raise HayrickError("INVALID_ARGUMENT", "the worktree is not a clean checkout of the suite's revision", expected=revision, found=commit)
+
+
 def save(report: dict, path: str) -> None:
     Path(path).write_text(json.dumps(report, indent=2, ensure_ascii=False) + "\n", encoding="utf-8")
 
