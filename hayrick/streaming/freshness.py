@@ -18,6 +18,7 @@ def session_submissions(changes: DataFrame, gap: str = "6 hours", late: str = "0
     """One row for each run of changes of a repository without a gap: works on batches and on streams.
 
     A refresh of a run that deletes anything covers the whole repository, others their paths.
+    Changes exactly a gap apart are one run here, two in maintenance.sessions.
     """
     events = changes.withWatermark("ts", late) if changes.isStreaming else changes
     runs = events.groupBy("repo", F.session_window("ts", gap).alias("w"))
