@@ -166,20 +166,26 @@ def shingle_sets(docs: DataFrame, *, width: int = SHINGLE, percent: int = PERCEN
     return common.materialize(both.applyInArrow(_sets(width, key_bits, percent), SETS), "sets")
 
 
-COMPARED = "a bigint, b bigint, shared int, na int, nb int"
+COMPARED = "a bigint, b bigint, shared int, na int, nb int, gone0 bigint, gone1 bigint"
 
 
 def _compare(table: pa.Table) -> pa.Table:
-    """Intersection sizes of members with their pivots."""
+    """Intersection sizes of members with their pivots, and which of 128 bits the pivot's shingles that a member lacks set."""
     pivots = {b: np.frombuffer(s, np.uint64) for a, b, s in zip(*(table.column(c).to_pylist() for c in ("a", "b", "shingles")), strict=True) if a == b}
     rows = set()
     for a, b, s in zip(*(table.column(c).to_pylist() for c in ("a", "b", "shingles")), strict=True):
         if a != b and b in pivots:
             x, y = np.frombuffer(s, np.uint64), pivots[b]
             at = np.minimum(np.searchsorted(y, x), len(y) - 1)
-            rows.add((a, b, int((y[at] == x).sum()), len(x), len(y)))
-    columns = list(zip(*rows, strict=True)) or [[]] * 5
-    return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()), strict=True)], ["a", "b", "shared", "na", "nb"])
+            both = y[at] == x
+            lacking = np.ones(len(y), bool)
+            lacking[at[both]] = False
+            spots = y[lacking] & np.uint64(127)
+            gone = [int(np.bitwise_or.reduce(np.uint64(1) << (spots[spots >> np.uint64(6) == k] & np.uint64(63)), initial=np.uint64(0)).view(np.int64)) for k in (0, 1)]
+            rows.add((a, b, int(both.sum()), len(x), len(y), *gone))
+    columns = list(zip(*rows, strict=True)) or [[]] * 7
+    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
+    return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["a", "b", "shared", "na", "nb", "gone0", "gone1"])
 
 
 def compare(pairs: DataFrame, sets: DataFrame, *, chunk: int = 256) -> DataFrame:
@@ -201,10 +207,10 @@ def linked(percent: int) -> F.Column:
     return F.lit(100) * F.col("shared") >= F.lit(percent) * (F.col("na") + F.col("nb") - F.col("shared"))
 
 
-def search_list(node: np.ndarray, n: np.ndarray, at: np.ndarray, own: np.ndarray, root: np.ndarray, pivot: np.ndarray, far: np.ndarray, met: np.ndarray, percent: int, block: int = 128) -> list[tuple[np.ndarray, np.ndarray]]:
+def search_list(node: np.ndarray, n: np.ndarray, at: np.ndarray, own: np.ndarray, root: np.ndarray, pivot: np.ndarray, far: np.ndarray, met: np.ndarray, size: np.ndarray, gone0: np.ndarray, gone1: np.ndarray, percent: int, block: int = 128) -> list[tuple[np.ndarray, np.ndarray]]:
     """Pairs of one index list that may link and are of different components."""
     order = np.lexsort((at, n))
-    node, n, at, own, root, pivot, far, met = (x[order] for x in (node, n, at, own, root, pivot, far, met))
+    node, n, at, own, root, pivot, far, met, size, gone0, gone1 = (x[order] for x in (node, n, at, own, root, pivot, far, met, size, gone0, gone1))
     roots, sizes = np.unique(root, return_counts=True)
     outside = np.flatnonzero(root != roots[sizes.argmax()])
     edges = np.arange(0, len(n), block)
@@ -224,9 +230,10 @@ def search_list(node: np.ndarray, n: np.ndarray, at: np.ndarray, own: np.ndarray
         m, j = n[some], at[some]
         good = (root[some] != root[i]) & (rank[some] < rank[i]) & (np.minimum(n[i], m) * 100 >= percent * np.maximum(n[i], m))
         good &= np.minimum(before[i], before[some]) + np.minimum(n[i] - at[i], m - j) >= need(m)
-        # Of what a common pivot has, two sets share no more than either shares with it; of the
-        # rest, no more than either has besides its own shingles.
-        most = np.minimum(met[i], met[some]) + np.minimum(n[i] - met[i] - own[i], m - met[some] - own[some])
+        # Of what a common pivot has, two sets share no more than either shares with it, and
+        # nothing that either lacks; of the rest, no more than either has besides its own shingles.
+        lacked = np.bitwise_count(gone0[some] | gone0[i]).astype(np.int64) + np.bitwise_count(gone1[some] | gone1[i])
+        most = np.minimum(np.minimum(met[i], met[some]), size[some] - lacked) + np.minimum(n[i] - met[i] - own[i], m - met[some] - own[some])
         good &= (pivot[some] != pivot[i]) | (np.abs(far[some] - far[i]) <= 1 - percent / 100 + 1e-9) & (most >= need(m))
         if good.any():
             out.append((np.full(int(good.sum()), node[i]), node[some[good]]))
@@ -242,7 +249,7 @@ def _search(percent: int) -> Callable:
         def pairs(rows: pd.DataFrame) -> Iterator[pa.RecordBatch]:
             entry = rows["entry"].to_numpy()
             cuts = np.flatnonzero(np.concatenate([[True], entry[1:] != entry[:-1]]))
-            columns = [rows[c].to_numpy() for c in ("node", "n", "at", "own", "root", "pivot", "far", "met")]
+            columns = [rows[c].to_numpy() for c in ("node", "n", "at", "own", "root", "pivot", "far", "met", "size")] + [rows[c].to_numpy().view(np.uint64) for c in ("gone0", "gone1")]
             found = []
             for a, b in zip(cuts, [*cuts[1:], len(entry)], strict=True):
                 found += search_list(*(c[a:b] for c in columns), percent)
@@ -287,16 +294,16 @@ def classes(docs: DataFrame, *, width: int = SHINGLE, percent: int = PERCENT) ->
     links = answers.where(linked(percent)).select("a", "b")
     roots = components(links)
     far = 1 - F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared"))
-    known = answers.select(F.col("a").alias("node"), F.col("b").alias("pivot"), far.alias("far"), F.col("shared").alias("met"))
+    known = answers.select(F.col("a").alias("node"), F.col("b").alias("pivot"), far.alias("far"), F.col("shared").alias("met"), F.col("nb").alias("size"), "gone0", "gone1")
     # A pivot is at distance 0 of itself, unless it was compared with another.
-    known = known.unionByName(known.select("pivot").distinct().join(known.select(F.col("node").alias("pivot")), "pivot", "left_anti").select(F.col("pivot").alias("node"), "pivot", F.lit(0.0).alias("far"), F.lit(None).cast("int").alias("met")))
+    known = known.unionByName(known.select("pivot").distinct().join(known.select(F.col("node").alias("pivot")), "pivot", "left_anti").select(F.col("pivot").alias("node"), "pivot", F.lit(0.0).alias("far"), *(F.lit(None).cast(t).alias(c) for c, t in (("met", "int"), ("size", "int"), ("gone0", "bigint"), ("gone1", "bigint")))))
     state = index.select("node").distinct().join(roots, "node", "left").join(known, "node", "left")
-    state = state.select("node", F.coalesce("root", "node").alias("root"), F.coalesce("pivot", "node").alias("pivot"), F.coalesce("far", F.lit(0.0)).alias("far"), "met")
+    state = state.select("node", F.coalesce("root", "node").alias("root"), F.coalesce("pivot", "node").alias("pivot"), F.coalesce("far", F.lit(0.0)).alias("far"), "met", "size", F.coalesce("gone0", F.lit(0)).alias("gone0"), F.coalesce("gone1", F.lit(0)).alias("gone1"))
     # A pivot shares with itself all but, in the bound, its own shingles.
-    full = index.select("entry", "node", "n", "at", "own").join(state, "node").withColumn("met", F.coalesce("met", F.col("n") - F.col("own")))
+    full = index.select("entry", "node", "n", "at", "own").join(state, "node").withColumns({"met": F.coalesce("met", F.col("n") - F.col("own")), "size": F.coalesce("size", "n")})
     several = full.groupBy("entry").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("entry")
     unsettled = full.join(several, "entry").repartition("entry").sortWithinPartitions("entry")
-    found = unsettled.select("entry", "node", "n", "at", "own", "root", "pivot", "far", "met").mapInArrow(_search(percent), "a bigint, b bigint")
+    found = unsettled.select("entry", "node", "n", "at", "own", "root", "pivot", "far", "met", "size", "gone0", "gone1").mapInArrow(_search(percent), "a bigint, b bigint")
     counted = found.groupBy("a", "b").agg(F.count(F.lit(1)).alias("common"))
     sized = counted.join(nodes.select(F.col("node").alias("a"), F.col("n").alias("na")), "a").join(nodes.select(F.col("node").alias("b"), F.col("n").alias("nb")), "b")
     rest = lambda n: F.ceil(n * percent / 100) - 1  # noqa: E731  shingles behind the prefix

@@ -68,7 +68,8 @@ def test_list_search_finds_every_pair_that_may_link():
     root = rnd.integers(0, 5, size)
     node = np.arange(size)
     met = n - own
-    args = (node, n, at, own, root, node, np.zeros(size), met)
+    none = np.zeros(size, np.uint64)
+    args = (node, n, at, own, root, node, np.zeros(size), met, n, none, none)
     found = {tuple(sorted(map(int, p))) for x, y in jaccard_join.search_list(*args, 80, block=16) for p in zip(x, y, strict=True)}
     expected = set()
     for i in range(size):
@@ -79,6 +80,27 @@ def test_list_search_finds_every_pair_that_may_link():
     assert found == expected
 
 
+def test_answers_of_a_common_pivot_lose_no_pair():
+    """Sets around one pivot: whatever links is found in the list of any shingle that both have."""
+    rnd = random.Random(9)
+    hub = frozenset(range(100))
+    sets = []
+    for k in range(80):
+        s = set(hub) - set(rnd.sample(range(100), rnd.randint(0, 12))) | {1000 + rnd.randrange(40) for _ in range(rnd.randint(0, 8))}
+        sets.append(s | {5000 + 100 * k + j for j in range(rnd.randint(0, 6))})
+    n = np.array([len(s) for s in sets])
+    own = np.array([sum(x >= 5000 for x in s) for s in sets])
+    met = np.array([len(s & hub) for s in sets])
+    far = 1 - met / (n + 100 - met)
+    bits = [[sum({1 << (h & 63) for h in hub - s if (h >> 6) & 1 == k}) for s in sets] for k in (0, 1)]
+    node, pivot, size = np.arange(80), np.zeros(80, int), np.full(80, 100)
+    at = own  # the shared shingle comes right behind their own ones
+    found = jaccard_join.search_list(node, n, at, own, node, pivot, far, met, size, *(np.array(b, np.uint64) for b in bits), 80, block=8)
+    pairs = {tuple(sorted(map(int, p))) for x, y in found for p in zip(x, y, strict=True)}
+    links = {(j, i) for i in range(80) for j in range(i) if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])}
+    assert links <= pairs and 0 < len(links) < len(pairs) < 80 * 79 // 2
+
+
 def test_components(spark):
     rnd = random.Random(2)
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, k) for k in range(101, 140)] + [(rnd.randrange(200, 260), rnd.randrange(200, 260)) for _ in range(40)] + [(7, 7)]
