@@ -323,3 +323,14 @@ def classes(docs: DataFrame, *, width: int = SHINGLE, percent: int = PERCENT) ->
 
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classes(common.table(spark, sf_dir, "documents"))
+
+
+#: The same by brute force; words joined by blanks stand for shingles.
+OP6_SQL = r"""with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+s as (select doc_id, case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')] else list_distinct([array_to_string(w[i : i + 4], ' ') for i in range(1, len(w) - 3)]) end as s from w),
+e as (select doc_id, unnest(s) as g from s),
+p as (select a.doc_id as x, b.doc_id as y, count(*) as c from e a join e b on a.g = b.g and a.doc_id < b.doc_id group by 1, 2),
+l as (select x, y from p join s a on a.doc_id = x join s b on b.doc_id = y where 100 * c >= 80 * (len(a.s) + len(b.s) - c)),
+both_ways as (select x, y from l union all select y, x from l),
+r(doc_id, reached) as (select doc_id, doc_id from documents union select b.y, r.reached from r join both_ways b on b.x = r.doc_id)
+select s.doc_id, len(s.s) as n_shingles, c.component_id from s join (select doc_id, min(reached) as component_id from r group by 1) c using (doc_id)"""

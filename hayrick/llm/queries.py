@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from hayrick.llm.cotraining import op7_cotraining
 from hayrick.llm.decontamination import op8_decontamination
-from hayrick.llm.jaccard_join import op6_jaccard_join
+from hayrick.llm.jaccard_join import OP6_SQL, op6_jaccard_join
 from hayrick.llm.language_model import op1_language_model
 from hayrick.llm.licenses import op4_licenses
 from hayrick.llm.media import op9_audio_features
@@ -21,4 +21,5 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_language_model, op2_token_codes, op3_toxicity, op4_licenses, op5_best_fit_packing, op6_jaccard_join, op7_cotraining, op8_decontamination, op9_audio_features, op10_secrets)}
 
-ORACLE_SQL: dict[str, str] = {}
+#: The others read tokenizers, learn, compress or decode, which SQL can't.
+ORACLE_SQL: dict[str, str] = {"op6_jaccard_join": OP6_SQL}

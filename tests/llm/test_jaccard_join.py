@@ -118,3 +118,20 @@ def test_components(spark):
     wanted = {x: find(x) for e in edges if e[0] != e[1] for x in e}
     assert found == wanted
     assert components(spark.createDataFrame([], "a bigint, b bigint")).collect() == []
+
+
+def test_query_against_its_sql(spark):
+    from pathlib import Path
+
+    import duckdb
+
+    from hayrick.llm import queries
+
+    sf = "/root/testdata/sf0.001"
+    if not Path(sf).is_dir():
+        pytest.skip("no test tables")
+    db = duckdb.connect()
+    db.execute(f"create view documents as select * from '{sf}/documents.parquet'")
+    expected = sorted(db.execute(f"select doc_id, n_shingles, component_id from ({queries.ORACLE_SQL['op6_jaccard_join']})").fetchall())
+    found = queries.QUERIES["op6_jaccard_join"](spark, sf).select("doc_id", "n_shingles", "component_id")
+    assert sorted(map(tuple, found.collect())) == expected
