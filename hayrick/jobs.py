@@ -21,7 +21,6 @@ from hayrick.sources.store import TABLES
 
 # States of a job, and what a mode covers.
 ACTIVE = ("queued", "running")
-FINAL = ("completed", "degraded", "failed", "cancelled", "interrupted")
 COVERS = {"rebuild": ("rebuild", "refresh"), "refresh": ("refresh",)}
 
 

@@ -25,6 +25,3 @@ def spark():
     session.sparkContext.setLogLevel("OFF")
     return session
 
-
-def rows(df, *order):
-    return [tuple(r) for r in (df.orderBy(*order) if order else df).collect()]
