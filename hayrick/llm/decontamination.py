@@ -1,15 +1,19 @@
-"""Benchmark decontamination by spaced-seed hashing, in DataFrame operations only.
-
-A seed hashes the words of `span` neighbouring positions that a fixed mask keeps, so words
-at ignored positions may differ. Seeds of all masks at every position of every benchmark
-item are joined with those at every position of every document. A hit gives an item and a
-diagonal (where in the document the item would begin); around it, words of the document
-and the item are compared position by position. An item is in a document if some
-`window` neighbouring aligned positions (the whole item, if it is shorter) agree in at
-least `share` of them: substituted words are tolerated, single shared seeds are not enough.
-
-Words are runs of letters and digits in lower case. Items of `shortest` to span - 1 words
-are seeded whole; shorter ones are never found. Items of equal words are joined as one and
+"""Benchmark decontamination by seeds of neighbouring words, in DataFrame operations only.
+
+An item is in a document if some `window` neighbouring aligned positions (the whole item,
+if it is shorter) agree in at least `share` of them: substituted words are tolerated.
+
+Seeds are hashes of neighbouring words. An accepted window with k words replaced is cut by
+them into at most k + 1 runs of equal words, so its longest run has at least a known number
+of words; seeds are no longer than that, and no accepted window lacks one. With the given
+window and share that is 3 words (2 for items of 5 or 8 words). Seeds at every position of
+every item are joined with those of every document. A hit gives an item and a diagonal
+(where in the document the item would begin). Each replaced word spoils at most as many
+seeds as a seed has words, so diagonals with fewer hits than an accepted window keeps are
+left out; along the others words are compared position by position.
+
+Words are runs of letters and digits in lower case. Items of fewer than
+SHORTEST words are never looked for. Items of equal words are joined as one and
 reported as the smallest item_id.
 
 The seeds of the benchmark are broadcast if there are at most `broadcast_rows`, and
@@ -23,14 +27,16 @@ input are kept.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hayrick.llm import common
 
-SPAN = 12
-#: Positions that each mask keeps; no word of the item is ignored by both.
-MASKS = ((0, 1, 3, 4, 6, 8, 10, 11), (0, 2, 3, 5, 7, 8, 9, 11))
+#: Words of a seed, where an accepted window always has so many equal ones in a row
+SPAN = 3
+MASKS = (tuple(range(SPAN)),)
 SHORTEST = 5
 WINDOW, SHARE = 20, 0.75
 
@@ -43,40 +49,49 @@ def item_words(text: Column) -> Column:
     return F.filter(words(text), lambda w: w != "")
 
 
-def _seeds(rows: DataFrame, keep: list[str], lengths: list[int]) -> DataFrame:
-    """keep, position and seed of every position and mask; `lengths` are whole short items, each a mask of its own."""
-    widest = SPAN if lengths is None else max([SPAN, *lengths])
-    shifted = [(F.slice("words", k + 1, F.greatest(F.size("words") - k, F.lit(0))) if k else F.col("words")).alias(f"w{k}") for k in range(widest)]
+def _plan(n: int, window: int, share: float) -> tuple[int, int]:
+    """For an item of n words: words of a seed, and seeds of a diagonal that any accepted window keeps."""
+    width = min(window, n)
+    replaced = width - next(m for m in range(width + 1) if m / width >= share)
+    span = max(1, min(SPAN, math.ceil((width - replaced) / (replaced + 1))))
+    return span, max(1, width - span + 1 - span * replaced)
+
+
+def _seeds(rows: DataFrame, keep: list[str], spans: list[int]) -> DataFrame:
+    """keep, position and seed of every position, for seeds of each number of words in `spans`."""
+    shifted = [(F.slice("words", k + 1, F.greatest(F.size("words") - k, F.lit(0))) if k else F.col("words")).alias(f"w{k}") for k in range(max(spans))]
     each = rows.select(*keep, F.posexplode(F.arrays_zip(*shifted)).alias("position", "z"))
-    masks = [(0, *m) for m in MASKS] + [(n, *range(n)) for n in lengths]
-    # A mask that reaches past the end would hash fewer words: it has no seed there.
-    seeds = [F.when(F.col(f"z.w{m[-1]}").isNotNull(), F.xxhash64(F.lit(i if m[0] == 0 else 100 + m[0]), *[F.col(f"z.w{k}") for k in m[1:]])) for i, m in enumerate(masks)]
+    # A seed that reaches past the end would hash fewer words: there is none there.
+    seeds = [F.when(F.col(f"z.w{n - 1}").isNotNull(), F.xxhash64(F.lit(n), *[F.col(f"z.w{k}") for k in range(n)])) for n in spans]
+    if len(seeds) == 1:
+        return each.select(*keep, "position", seeds[0].alias("seed")).where(F.col("seed").isNotNull())
     return each.select(*keep, "position", F.explode(F.array(*seeds)).alias("seed")).where(F.col("seed").isNotNull())
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, share: float = SHARE, broadcast_rows: int = 1_000_000) -> DataFrame:
-    """docs with `items` (array of found item ids, ascending) and `overlap` (the largest share of agreeing positions, 0 if nothing hit)."""
+    """docs with `items` (array of found item ids, ascending) and `overlap` (the largest share of agreeing positions, 0 if no diagonal was compared)."""
+    plans = [_plan(n, window, share) for n in range(1, window + 1)]
     items = benchmark.where(F.col("item_id").isNotNull()).select(F.col("item_id").cast("bigint"), item_words(common.whole_text()).alias("words"))
     items = items.where(F.size("words") >= SHORTEST).groupBy("words").agg(F.min("item_id").alias("item_id"))
-    items = common.materialize(items.select("item_id", "words"), "items")
-    about = items.agg(F.sum(F.size("words")).alias("positions"), F.collect_set(F.when(F.size("words") < SPAN, F.size("words"))).alias("short")).first()  # at most 7 lengths
-    small = (about["positions"] or 0) * (len(MASKS) + 1) <= broadcast_rows
-    short = sorted(about["short"])
-    long_seeds = _seeds(items.where(F.size("words") >= SPAN), ["item_id"], [])
-    seeds = long_seeds
-    for n in short:
-        seeds = seeds.unionByName(_seeds(items.where(F.size("words") == n), ["item_id"], [n]).where(F.col("position") == 0))
-    seeds = seeds.groupBy("seed").agg(F.collect_set(F.struct("item_id", "position")).alias("places"))
+    of_size = lambda k: F.element_at(F.array(*[F.lit(p[k]) for p in plans]), F.least(F.size("words"), F.lit(window)))
+    items = common.materialize(items.select("item_id", "words", of_size(0).alias("span"), of_size(1).alias("least")), "items")
+    about = items.agg(F.sum(F.size("words")).alias("positions"), F.collect_set("span").alias("spans")).first()  # at most SPAN numbers
+    small = (about["positions"] or 0) <= broadcast_rows
+    spans = sorted(about["spans"]) or [SPAN]
+    seeds = _seeds(items.where(F.col("span") == spans[0]), ["item_id", "least"], spans[:1])
+    for n in spans[1:]:
+        seeds = seeds.unionByName(_seeds(items.where(F.col("span") == n), ["item_id", "least"], [n]))
+    seeds = seeds.groupBy("seed").agg(F.collect_set(F.struct("item_id", "least", "position")).alias("places"))
     if small:
         seeds = F.broadcast(seeds)
     texts = docs.select(F.col("doc_id").cast("bigint").alias("hit_doc"), words(common.whole_text()).alias("words"))
-    least = min([SPAN, *short])
-    found = _seeds(texts.where(F.size("words") >= least), ["hit_doc"], short).join(seeds, "seed")
+    found = _seeds(texts.where(F.size("words") >= spans[0]), ["hit_doc"], spans).join(seeds, "seed")
     hits = found.select("hit_doc", "position", F.explode("places").alias("place"))
-    hits = hits.select("hit_doc", F.col("place.item_id").alias("item_id"), (F.col("position") - F.col("place.position")).alias("diagonal"))
-    hits = common.materialize(hits.distinct(), "hits")
+    hits = hits.select("hit_doc", F.col("place.item_id").alias("item_id"), F.col("place.least").alias("least"), (F.col("position") - F.col("place.position")).alias("diagonal"))
+    enough = hits.groupBy("hit_doc", "item_id", "least", "diagonal").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= F.col("least"))
+    hits = common.materialize(enough.select("hit_doc", "item_id", "diagonal"), "hits")
     # Per document its candidate items with their words
-    known = items.withColumnRenamed("words", "item_words")
+    known = items.select("item_id", F.col("words").alias("item_words"))
     with_words = hits.join(F.broadcast(known) if small else known, "item_id")
     grouped = with_words.groupBy("hit_doc").agg(F.collect_list(F.struct("item_id", "diagonal", "item_words")).alias("hits"))
     carried = with_words.agg(F.sum(F.size("item_words"))).first()[0] or 0

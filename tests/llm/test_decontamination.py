@@ -1,5 +1,6 @@
 import random
 import re
+from itertools import combinations
 
 import pytest
 
@@ -78,3 +79,45 @@ def test_empty_sides_and_extra_columns(spark, docs, empty, items):
 def test_masks_leave_no_word_ignored_by_all():
     assert {p for m in d.MASKS for p in m} == set(range(d.SPAN))
     assert all(m[0] == 0 and m[-1] == d.SPAN - 1 for m in d.MASKS)
+
+
+def accepted(item, doc, window=d.WINDOW, share=d.SHARE):
+    """Whether any window of any diagonal agrees enough, without a condition on seeds."""
+    n = len(item)
+    width = min(window, n)
+    for diagonal in range(-n + 1, len(doc)):
+        aligned = [0 <= diagonal + k < len(doc) and doc[diagonal + k] == item[k] for k in range(n)]
+        if max(sum(aligned[s : s + width]) for s in range(n - width + 1)) >= share * width:
+            return True
+    return False
+
+
+def test_no_accepted_substitution_lacks_a_seed():
+    for n in range(d.SHORTEST, d.WINDOW + 1):
+        span, least = d._plan(n, d.WINDOW, d.SHARE)
+        replaced = int(n * (1 - d.SHARE))
+        for out in combinations(range(n), replaced):
+            seeds, run = 0, 0
+            for k in range(n):
+                run = 0 if k in out else run + 1
+                seeds += run >= span
+            assert seeds >= least, (n, out)
+
+
+def test_substituted_items_are_found(spark):
+    """Every fourth word of items of 5 to 60 words, and random words as many as the share allows."""
+    lengths = [*range(5, 31), 60]
+    items = [(n, prose(9000 + n, n)) for n in lengths]
+    rnd, docs = random.Random(5), []
+    for n, text in items:
+        for kind in range(4):
+            out = [k for k in range(n) if k % 4 == kind and n - len(range(kind, n, 4)) >= 0.75 * n]
+            if not out:
+                out = rnd.sample(range(n), n // 4)
+            changed = [f"zz{k}" if k in out else x for k, x in enumerate(text.split())]
+            docs.append((len(docs), n, " ".join([prose(9500 + n, 9), *changed, prose(9700 + kind, 9)])))
+    assert all(accepted(items[lengths.index(n)][1].split(), t.split()) for _, n, t in docs)
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    found = d.contaminated(spark.createDataFrame(docs, "doc_id bigint, n int, text string"), bench).collect()
+    expected = {i: [m for m, x in items if accepted(x.split(), t.split())] for i, _, t in docs}
+    assert {r["doc_id"]: r["items"] for r in found} == expected
