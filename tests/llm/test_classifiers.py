@@ -125,3 +125,29 @@ def test_licence_scores_against_plain_python(spark, licensed):
         p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
         assert scored[line]["family"] == licenses.FAMILIES[int(z.argmax())]
         assert abs(scored[line]["probability"] - p.max()) < 1e-9
+
+
+WRAPPED = {
+    "MIT": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:",
+    "BSD": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+    "GPL": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "LGPL": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+}
+
+
+def test_wrapped_notices(spark, licensed):
+    import textwrap
+
+    rows = []
+    for k, (family, text) in enumerate(WRAPPED.items()):
+        for width in (30, 70, 75, 80):
+            for mark in ("", " * ", "# "):
+                body = "\n".join(mark + x for x in textwrap.wrap(text, width))
+                rows.append((len(rows), f"{prose(60 + k, 20)}\n{body}\n{prose(90 + k, 20)}", [family]))
+    rows.append((len(rows), "\n\n".join(textwrap.fill(WRAPPED[f], 72) for f in ("MIT", "GPL")), ["GPL", "MIT"]))
+    rows.append((len(rows), "\n".join(textwrap.fill(WRAPPED[f], 72) for f in ("MIT", "GPL")), ["GPL", "MIT"]))
+    rows.append((len(rows), textwrap.fill("We discussed the license of the photo, and whether this program is free of charge to any person in the general public.", 40), []))
+    model = licenses.train(spark.createDataFrame([(i, t) for i, t, _ in licensed], "doc_id bigint, text string").repartition(3))
+    found = licenses.scan(spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id bigint, text string"), model).collect()
+    assert {r["doc_id"]: r["licences"] for r in found} == {i: e for i, _, e in rows}
+    assert all(r["n_paragraphs"] == len(r["licences"]) and not r["n_unconfirmed"] for r in found)
