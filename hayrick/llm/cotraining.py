@@ -8,9 +8,12 @@ them to the other view, which learns from them too. Then both views are calibrat
 labelled rows that neither has learned from, and the calibrated log odds are added up by a
 logistic regression on the same rows. That model scores every document.
 
-Features are computed inside tasks, vectorised over batches; the sample that is learned
-from is bounded: at most `most` labelled and `pool` unlabelled documents, those with the
-smallest hash of their id. Labels are learned only outside the held-out fold.
+Features are computed inside tasks, vectorised over batches, and kept in the shared folder
+while learning. Every round scores all unlabelled documents in tasks; the surest of each
+view and class, `each` a view at most, come to the driver, so it holds no more than
+rounds * each pseudo-labels a view. Means and deviations are aggregates over all documents
+outside the held-out fold. Labelled documents are a sample: at most `most`, those with the
+smallest hash of their id. Nothing is learned from the held-out fold.
 
 Defined cases: null texts are empty; empty texts have features of length 0; very long texts
 are read whole; null language, source or n_chars count as a value of their own (n_chars is
@@ -26,9 +29,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, FloatType, IntegerType, LongType, StructField, StructType
 
 from hayrick.llm import common
 
@@ -118,63 +121,119 @@ class Model:
         return sigmoid(z[:, 0]), sigmoid(z[:, 1]), sigmoid(odds(z, self.joint))
 
 
-def co_train(labelled: tuple[np.ndarray, np.ndarray], y: np.ndarray, unlabelled: tuple[np.ndarray, np.ndarray], *, rounds: int = 4, each: int = 100, sure: float = 0.9) -> Model:
-    """y: 1 good, 0 bad; -1 isn't given. Every third labelled row is kept for calibration."""
+COLUMNS = ("text", "lang", "source", "n_chars")
+VIEWS = ("text_view", "meta_view")
+
+
+def _matrix(column: pa.Array, n: int) -> np.ndarray:
+    return np.asarray(column.flatten(), float).reshape(n, -1)
+
+
+def featured(docs: DataFrame) -> DataFrame:
+    """doc_id, key (of id and text) and both views of all rows, written once."""
+    rows = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("key"), common.whole_text().alias("text"), "lang", "source", "n_chars")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.num_rows
+            lists = [pa.ListArray.from_arrays(np.arange(n + 1, dtype=np.int32) * v.shape[1], v.astype(np.float32).ravel()) for v in views(batch)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *lists], ["doc_id", "key", *VIEWS])
+
+    fields = [rows.schema["doc_id"], StructField("key", LongType()), *(StructField(v, ArrayType(FloatType())) for v in VIEWS)]
+    return common.materialize(rows.mapInArrow(run, StructType(fields)), "features")
+
+
+def centres(features: DataFrame) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Means and deviations of both views over all rows, from one sum a feature and batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = np.hstack([_matrix(c, batch.num_rows) for c in batch.columns])
+            k = x.shape[1]
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(k)), pa.array(np.full(k, len(x))), pa.array(x.sum(0)), pa.array((x * x).sum(0))], ["k", "n", "s", "q"])
+
+    sums = features.select(*VIEWS).mapInArrow(run, "k bigint, n bigint, s double, q double").groupBy("k").agg(*[F.sum(c).alias(c) for c in "nsq"])
+    rows = sorted(sums.collect())  # one a feature
+    n, s, q = (np.array([r[c] for r in rows], float) for c in "nsq")
+    # Sums depend on their order in the last bits; means and deviations shouldn't.
+    mean, deviation = np.round(s / n, 9), np.round(np.sqrt(np.maximum(q / n - (s / n) ** 2, 0)), 6) + 1e-6
+    width = 13 + WORD_BINS
+    return [(mean[:width], deviation[:width]), (mean[width:], deviation[width:])]
+
+
+def surest(features: DataFrame, known: DataFrame, weights: list[np.ndarray], centre: list[tuple[np.ndarray, np.ndarray]], taken: list[list[int]], quota: tuple[int, int], sure: float) -> list:
+    """For each view and label the keys of the `quota[label]` surest rows that have no label and aren't in taken[view]."""
+    shared = features.sparkSession.sparkContext.broadcast((weights, centre, [np.array(t, np.int64) for t in taken]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights, centre, taken = shared.value
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key = np.asarray(batch.column(1))
+            for v in (0, 1):
+                m, s = centre[v]
+                z = odds((_matrix(batch.column(2 + v), len(key)) - m) / s, weights[v])
+                p = 1 / (1 + np.exp(-z))
+                for label, q in ((1, p), (0, 1 - p)):
+                    at = np.flatnonzero((q >= sure) & ~np.isin(key, taken[v]))
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array(key[at]), pa.array(np.full(len(at), 2 * v + label, np.int32)), pa.array(q[at])], ["doc_id", "key", "slot", "q"])
+
+    fields = StructType([features.schema["doc_id"], StructField("key", LongType()), StructField("slot", IntegerType()), StructField("q", DoubleType())])
+    found = features.select("doc_id", "key", *VIEWS).mapInArrow(run, fields).join(known.select("doc_id"), "doc_id", "left_anti")
+    # The window stops at the quota in every task before rows are dealt by slot.
+    order = Window.partitionBy("slot").orderBy(F.desc("q"), F.xxhash64(F.col("doc_id").cast("string")), "key")
+    best = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= max(quota))
+    best = best.where(F.col("rank") <= F.when(F.col("slot") % 2 == 1, quota[1]).otherwise(quota[0]))
+    return best.orderBy("slot", "rank").select("slot", "key").collect()
+
+
+def train(docs: DataFrame, labels: DataFrame, *, modulus: int = 4, held: int = 2, most: int = 3000, rounds: int = 4, each: int = 100, sure: float = 0.9) -> Model:
+    outside = common.fold("doc_id", modulus) != held
+    known = labels.where(F.col("quality").isin(0, 1)).groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    rank = F.xxhash64(F.col("doc_id").cast("string"))
+    # Ids are drawn first, so that no text is shuffled; at most `most` of them are broadcast.
+    some = known.where(outside).orderBy(rank, "doc_id").limit(most)
+    rows = docs.select("doc_id", common.whole_text().alias("text"), "lang", "source", "n_chars")
+    with_labels = rows.join(F.broadcast(some), "doc_id").orderBy(rank, "doc_id", "text").limit(most).toArrow()
+    y = np.array(with_labels.column("quality").to_pylist(), int)
     share = float(y.mean()) if len(y) else 1.0
     if len(y) < 12 or not 0 < y.sum() < len(y):
         return Model(share)
-    kept = np.arange(len(y)) % 3 == 2
+    labelled = views(with_labels)
+    kept = np.arange(len(y)) % 3 == 2  # for calibration
     if not 0 < y[kept].sum() < kept.sum() or not 0 < y[~kept].sum() < (~kept).sum():
         kept = np.zeros(len(y), bool)
-    centre = []
-    for a, b in zip(labelled, unlabelled, strict=True):
-        both = np.vstack([a, b])
-        centre.append((both.mean(0), both.std(0) + 1e-6))
+    features = featured(docs.where(outside))
+    centre = centres(features)
     scaled = lambda views: [(v - m) / s for v, (m, s) in zip(views, centre, strict=True)]
-    known, free = scaled(labelled), scaled(unlabelled)
-    given = [np.full(len(free[0]), -1) for _ in range(2)]  # pseudo-labels handed to each view
+    ready = scaled(labelled)
+    given: list[dict[int, tuple[int, np.ndarray]]] = [{}, {}]  # pseudo-labels and features handed to each view
     weights = [np.zeros(0)] * 2
+    quota = (max(1, round(each * (1 - share))), max(1, round(each * share)))
     for turn in range(rounds + 1):
         for v in (0, 1):
-            some = given[v] >= 0
-            x = np.vstack([known[v][~kept], free[v][some]])
-            weights[v] = logistic(x, np.concatenate([y[~kept], given[v][some]]).astype(float))
-        if turn == rounds or not len(free[0]):
+            x = np.vstack([ready[v][~kept], *(x[None] for _, x in given[v].values())])
+            weights[v] = logistic(x, np.concatenate([y[~kept], [label for label, _ in given[v].values()]]).astype(float))
+        if turn == rounds:
             break
-        for v in (0, 1):
-            p = 1 / (1 + np.exp(-odds(free[v], weights[v])))
-            open_ = given[1 - v] < 0
-            for label, q in ((1, p), (0, 1 - p)):
-                most = max(1, round(each * (share if label else 1 - share)))
-                best = [i for i in np.argsort(-q, kind="stable")[: 4 * most + int((~open_).sum())] if open_[i] and q[i] >= sure][:most]
-                given[1 - v][best] = label
-    held = kept if kept.any() else np.ones(len(y), bool)
-    calibration = [logistic(odds(known[v][held], weights[v])[:, None], y[held].astype(float)) for v in (0, 1)]
+        chosen = surest(features, known, weights, centre, [list(given[1]), list(given[0])], quota, sure)
+        if not chosen:
+            break
+        fetched = features.where(F.col("key").isin(sorted({r["key"] for r in chosen}))).dropDuplicates(["key"]).select("key", *VIEWS).collect()
+        found = {r["key"]: scaled([np.array(r[v], float)[None] for v in VIEWS]) for r in fetched}
+        for r in chosen:
+            to = 1 - r["slot"] // 2
+            given[to][r["key"]] = (r["slot"] % 2, found[r["key"]][to][0])
+    held_rows = kept if kept.any() else np.ones(len(y), bool)
+    calibration = [logistic(odds(ready[v][held_rows], weights[v])[:, None], y[held_rows].astype(float)) for v in (0, 1)]
     model = Model(share, weights, centre, calibration)
-    model.joint = logistic(model.calibrated(tuple(x[held] for x in labelled)), y[held].astype(float))
+    model.joint = logistic(model.calibrated(tuple(x[held_rows] for x in labelled)), y[held_rows].astype(float))
     return model
 
 
-COLUMNS = ("text", "lang", "source", "n_chars")
-
-
-def train(docs: DataFrame, labels: DataFrame, *, modulus: int = 4, held: int = 2, most: int = 3000, pool: int = 3000) -> Model:
-    outside = common.fold("doc_id", modulus) != held
-    known = labels.where(F.col("quality").isin(0, 1)).groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    rank = F.xxhash64(F.col("doc_id").cast("string"))
-    # Ids are drawn first, so that no text is shuffled; at most `most` and `pool` of them are broadcast.
-    some = known.where(outside).orderBy(rank, "doc_id").limit(most)
-    others = docs.select("doc_id").where(outside).distinct().join(known, "doc_id", "left_anti").orderBy(rank, "doc_id").limit(pool)
-    rows = docs.select("doc_id", common.whole_text().alias("text"), "lang", "source", "n_chars")
-
-    def drawn(ids: DataFrame, limit: int):
-        return rows.join(F.broadcast(ids), "doc_id").orderBy(rank, "doc_id", "text").limit(limit).toArrow()
-
-    with_labels, without = drawn(some, most), drawn(others, pool)
-    y = np.array(with_labels.column("quality").to_pylist(), int)
-    return co_train(views(with_labels), y, views(without))
-
-
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """docs with text_score, meta_score and score (of being good)."""
     names = ["text_score", "meta_score", "score"]

@@ -151,3 +151,25 @@ def test_wrapped_notices(spark, licensed):
     found = licenses.scan(spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id bigint, text string"), model).collect()
     assert {r["doc_id"]: r["licences"] for r in found} == {i: e for i, _, e in rows}
     assert all(r["n_paragraphs"] == len(r["licences"]) and not r["n_unconfirmed"] for r in found)
+
+
+def test_co_training_sees_all_unlabelled_documents(spark):
+    """The surest documents and the statistics are those of all rows, more than any sample held."""
+    rnd = np.random.default_rng(1)
+    rows = [(i, " ".join(["word"] * int(k)), "en", "s", 5 * int(k)) for i, k in enumerate(rnd.integers(1, 30, 6000))]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint").repartition(4)
+    features = cotraining.featured(docs)
+    local = cotraining.views(docs.toArrow())
+    centre = cotraining.centres(features)
+    for x, (m, s) in zip(local, centre, strict=True):
+        assert np.allclose(m, x.mean(0), atol=1e-5) and np.allclose(s, x.std(0) + 1e-6, atol=1e-4)
+    weights = [np.zeros(x.shape[1] + 1) for x in local]
+    weights[0][12] = 1.0  # log of the count of words
+    known = spark.createDataFrame([(i,) for i in range(100)], "doc_id bigint")
+    plain = [(np.zeros(x.shape[1]), np.ones(x.shape[1])) for x in local]
+    found = cotraining.surest(features, known, weights, plain, [[], []], (5, 40), 0.9)
+    length = {r["key"]: r["doc_id"] for r in features.select("key", "doc_id").collect()}
+    ids = [length[r["key"]] for r in found]
+    assert len(ids) == 40 and {r["slot"] for r in found} == {1} and min(ids) >= 100
+    sizes = sorted((len(t.split()) for i, t, *_ in rows if i >= 100), reverse=True)
+    assert sorted((len(rows[i][1].split()) for i in ids), reverse=True) == sizes[:40]
