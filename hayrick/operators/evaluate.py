@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -28,26 +28,69 @@ def retrieved_by(lexical: Column, dense: Column, expansion: Column) -> Column:
     return F.array_compact(F.array(F.when(lexical, "fts"), F.when(dense, "dense"), F.when(expansion, "expansion")))
 
 
-def percentile(values: Column, fraction: float) -> Column:
-    """Nearest rank, as an aggregate."""
-    at = F.greatest(F.lit(1), F.ceil(F.count(values) * F.lit(fraction)).cast("int"))
-    return F.element_at(F.sort_array(F.collect_list(values)), at)
+def _buckets(rows: DataFrame, column: str, each: int) -> Column:
+    """Numbers of ranges of the column, ascending, with about `each` rows; nulls are in the first."""
+    n = max(16, -(-rows.count() // each))
+    bounds = sorted(set(rows.approxQuantile(column, [k / n for k in range(1, n)], 0.2 / n)))
+    if not bounds:
+        return F.lit(0)
+    return F.coalesce(F.aggregate(F.array(*map(F.lit, bounds)), F.lit(0), lambda s, b: s + F.when(F.col(column) >= b, 1).otherwise(0)), F.lit(0))
+
+
+def percentiles(rows: DataFrame, group: list[str], column: str, fractions: dict[str, float], each: int = 1_000_000) -> DataFrame:
+    """Per group a column for each of `fractions`, by nearest rank; null for a group without values.
+
+    Equal values are counted first. Only ranges of values that hold a rank are sorted, each in its own task.
+    """
+    counts = rows.where(F.col(column).isNotNull()).groupBy(*group, F.col(column).alias("value")).agg(F.count(F.lit(1)).alias("n"))
+    counts = counts.withColumn("bucket", _buckets(counts, "value", each))
+    sums = counts.groupBy(*group, "bucket").agg(F.sum("n").alias("n"))  # one row a range
+    whole = Window.partitionBy(*group)
+    sums = sums.withColumns({"before": F.sum("n").over(whole.orderBy("bucket")) - F.col("n"), "total": F.sum("n").over(whole)})
+    wanted = F.explode(F.array(*[F.struct(F.lit(name).alias("name"), F.greatest(F.lit(1), F.ceil(F.col("total") * F.lit(f)).cast("bigint")).alias("at")) for name, f in fractions.items()]))
+    asked = sums.withColumn("asked", wanted).where((F.col("asked.at") > F.col("before")) & (F.col("asked.at") <= F.col("before") + F.col("n")))
+    asked = asked.select(*[F.col(g).alias(f"of_{g}") for g in group], F.col("bucket").alias("of_bucket"), F.col("asked.name").alias("name"), (F.col("asked.at") - F.col("before")).alias("at"))
+    same = F.col("bucket") == F.col("of_bucket")
+    for g in group:
+        same = same & F.col(g).eqNullSafe(F.col(f"of_{g}"))
+    inside = counts.join(asked, same)
+    order = Window.partitionBy(*group, "name").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+    reached = inside.withColumn("reached", F.sum("n").over(order)).where(F.col("reached") >= F.col("at"))
+    found = reached.groupBy(*group).agg(*[F.min(F.when(F.col("name") == name, F.col("value"))).alias(name) for name in fractions])
+    groups = rows.select(*group).distinct() if group else rows.sparkSession.range(1).select()
+    if not group:
+        return groups.join(found, how="left")
+    known = found.select(*[F.col(g).alias(f"of_{g}") for g in group], *fractions)
+    same = F.lit(True)
+    for g in group:
+        same = same & F.col(g).eqNullSafe(F.col(f"of_{g}"))
+    return groups.join(known, same, "left").select(*group, *fractions)
+
+
+def row_ranks(rows: DataFrame, group: list[str], column: str, each: int = 1_000_000) -> DataFrame:
+    """rows with `rank`: their number by the column within the group, summed up over ranges of the column."""
+    rows = rows.withColumn("bucket", _buckets(rows, column, each))
+    sums = rows.groupBy(*group, "bucket").agg(F.count(F.lit(1)).alias("in_range"))  # one row a range
+    sums = sums.withColumn("before", F.sum("in_range").over(Window.partitionBy(*group).orderBy("bucket")) - F.col("in_range"))
+    numbered = rows.withColumn("inner", F.row_number().over(Window.partitionBy(*group, "bucket").orderBy(column)))
+    return numbered.join(sums.drop("in_range"), [*group, "bucket"]).withColumn("rank", (F.col("inner") + F.col("before")).cast("int")).drop("bucket", "inner", "before")
 
 
 def summary(cases: DataFrame, k: int) -> DataFrame:
     """One row over all cases: recall, mean reciprocal rank and file presence at k, latencies, cases with warnings."""
     hit = F.coalesce(F.col("rank") <= k, F.lit(False))
     file = F.coalesce(F.col("path_rank") <= k, F.lit(False))
-    return cases.agg(
+    latencies = percentiles(cases, [], "latency", {"p50": 0.5, "p95": 0.95})
+    found = cases.agg(
         F.count(F.lit(1)).alias("n_cases"),
         F.avg(F.when(hit, 1.0).otherwise(0.0)).alias("recall"),
         F.avg(F.when(hit, 1 / F.col("rank")).otherwise(0.0)).alias("mrr"),
         F.avg(F.when(file, 1.0).otherwise(0.0)).alias("file_presence"),
         F.sum("latency").alias("total_seconds"),
-        percentile(F.col("latency"), 0.5).alias("p50"),
-        percentile(F.col("latency"), 0.95).alias("p95"),
         F.count_if(F.size("warnings") > 0).alias("with_warnings"),
     )
+    columns = ["n_cases", "recall", "mrr", "file_presence", "total_seconds", "p50", "p95", "with_warnings"]
+    return found.crossJoin(F.broadcast(latencies)).select(*columns)
 
 
 def yes_no_score(entries: Column) -> Column:

@@ -477,12 +477,15 @@ CASES = "cases as (select l.doc_id as qid, l.doc_id as gold_id, d.source as gold
 
 
 def graded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cases made of labelled documents: results are those of their language and source by nearness of length."""
-    docs = table(spark, sf_dir, "documents")
-    mine = docs.join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id").select(F.col("doc_id").alias("qid"), F.col("n_chars").alias("n"), "lang", "source")
-    order = Window.partitionBy("qid").orderBy(F.abs(F.col("n") - F.col("n_chars")), "doc_id")
-    results = mine.join(docs.select("doc_id", "n_chars", "lang", "source"), ["lang", "source"]).select("qid", F.col("doc_id").alias("id"), F.col("source").alias("path"), F.row_number().over(order).alias("rank"))
-    return evaluate.case_ranks(results, mine.select("qid", F.col("qid").alias("gold_id"), F.col("source").alias("gold_path")))
+    """Cases made of labelled documents: results are those of their language and source by nearness of length.
+
+    A case's own document has distance 0, so only documents of its length with smaller ids
+    are before it, and its file, the source, is at rank 1.
+    """
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("qid"), "n_chars", "lang", "source")
+    ranked = evaluate.row_ranks(docs.where("lang is not null and source is not null"), ["lang", "source", "n_chars"], "qid")
+    cases = docs.select("qid").join(table(spark, sf_dir, "labels").select(F.col("doc_id").alias("qid")), "qid").distinct()
+    return cases.join(ranked.select("qid", "rank"), "qid", "left").select("qid", "rank", F.when(F.col("rank").isNotNull(), F.lit(1)).alias("path_rank"))
 
 
 @registered(f"with {CASES}, r as (select c.qid, min(case when id = gold_id then rank end) as rank, min(case when path = gold_path then rank end) as path_rank from cases c left join results using (qid) group by 1) select count(*) as n_cases, round(avg(case when rank <= 10 then 1.0::double else 0 end), 6) as recall, round(avg(case when rank <= 10 then 1.0::double / rank else 0 end), 6) as mrr, round(avg(case when path_rank <= 10 then 1.0::double else 0 end), 6) as file_presence, list_sort(list(qid % 997 / 10.0::double))[greatest(1, ceil(count(*) * 0.5::double)::int)] as p50, list_sort(list(qid % 997 / 10.0::double))[greatest(1, ceil(count(*) * 0.95::double)::int)] as p95, count(*) filter (qid % 5 = 0) as with_warnings from r")
@@ -501,7 +504,7 @@ def eval_loss_stage(spark, sf_dir):
 
 @registered("select event_type, list_sort(list(value))[greatest(1, ceil(count(value) * 0.5::double)::int)] as p50, list_sort(list(value))[greatest(1, ceil(count(value) * 0.95::double)::int)] as p95 from events group by 1")
 def eval_percentiles(spark, sf_dir):
-    return table(spark, sf_dir, "events").groupBy("event_type").agg(evaluate.percentile(F.col("value"), 0.5).alias("p50"), evaluate.percentile(F.col("value"), 0.95).alias("p95"))
+    return evaluate.percentiles(table(spark, sf_dir, "events"), ["event_type"], "value", {"p50": 0.5, "p95": 0.95})
 
 
 @registered("""with e as (select vec_id, embedding[1]::double as a, embedding[2]::double as b, embedding[3]::double as c from embeddings), f as (select *, case when label % 3 = 1 then null else a end as y, case when label % 3 = 2 then null else b end as n, label from e join embeddings using (vec_id)),

@@ -148,3 +148,23 @@ def test_rerank_items(spark):
     reply = '{"results": [{"index": 1, "relevance_score": 0.4}, {"index": 0, "score": 0.2}, {"index": 2}]}'
     df = spark.createDataFrame([(reply,), ("nonsense",)], "r string").select(evaluate.rerank_items(F.col("r")).alias("x")).collect()
     assert [tuple(i) for i in df[0]["x"]] == [(1, 0.4), (0, 0.2)] and df[1]["x"] is None
+
+
+def test_percentiles_and_ranks_over_ranges(spark):
+    """Without a group in one array: ranks are found in ranges of values, whatever their number."""
+    import inspect
+    import math
+    import random
+
+    rnd = random.Random(4)
+    rows = [(rnd.choice("aab"), rnd.choice([None, float(rnd.randrange(9)), rnd.random()])) for _ in range(700)] + [("c", None), (None, 2.0), (None, 1.0)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(3)
+    for each in (20, 1_000_000):
+        found = {r["g"]: (r["p50"], r["p95"]) for r in evaluate.percentiles(df, ["g"], "v", {"p50": 0.5, "p95": 0.95}, each).collect()}
+        for g in ("a", "b", "c", None):
+            values = sorted(v for h, v in rows if h == g and v is not None)
+            assert found[g] == tuple(values[max(1, math.ceil(len(values) * f)) - 1] if values else None for f in (0.5, 0.95))
+        ids = spark.createDataFrame([(i % 3 // 2, i) for i in range(200)], "g int, id bigint")
+        ranked = sorted((r["g"], r["id"], r["rank"]) for r in evaluate.row_ranks(ids, ["g"], "id", each).collect())
+        assert [x for _, _, x in ranked] == [*range(1, 135), *range(1, 67)]
+    assert "collect_list" not in inspect.getsource(evaluate)
