@@ -88,3 +88,11 @@ def test_best_fit_is_close_to_the_bound():
     assert bins.max() + 1 <= 1.01 * -(-lengths.sum() // 2048)
     with pytest.raises(ValueError):
         packing.vector_best_fit(np.array([90]), 100, 5, 4000)
+
+
+def test_document_and_attention_capacities_bind_alone():
+    """Where all lengths are equal the fewest sequences are known for each constraint."""
+    slots, _ = packing.vector_best_fit(np.full(60, 2), 100, 5, 100 * 100)
+    assert np.bincount(slots).tolist() == [5] * 12
+    attention, _ = packing.vector_best_fit(np.full(60, 10), 100, 100, 3 * 100)
+    assert np.bincount(attention).tolist() == [3] * 20
