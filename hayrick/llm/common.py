@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,17 +52,14 @@ def text_size(docs: DataFrame) -> tuple[int, int]:
 
 # ---------------------------------------------------------------- words as 64-bit hashes
 
-_MASK = (1 << 64) - 1
-_BASE = 0x9E3779B97F4A7C15
-_INVERSE = pow(_BASE, -1, 1 << 64)
 _rng = np.random.Generator(np.random.PCG64(20240607))
-_TABLE = _rng.integers(0, 1 << 64, 256, dtype=np.uint64)
-_EXACT = _TABLE.copy()
-_TABLE[65:91] = _TABLE[97:123]  # A-Z hash as a-z
 MIX = _rng.integers(0, 1 << 63, 16, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
-_powers: dict[str, np.ndarray] = {}
+_KEEP = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)  # the lowest k bytes
+LONG = 64  # spans of more bytes are hashed one by one
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -71,14 +69,38 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers.get("up", ())) < n:
-        size = max(n, 1 << 16)
-        for key, base in (("up", _BASE), ("down", _INVERSE)):
-            a = np.full(size, base, np.uint64)
-            a[0] = 1
-            _powers[key] = np.cumprod(a, dtype=np.uint64)
-    return _powers["up"], _powers["down"]
+def hash_spans(data: np.ndarray, begins: np.ndarray, ends: np.ndarray, seeds: tuple[int, ...] = (0,)) -> list[np.ndarray]:
+    """One 64-bit hash a seed of each span of bytes.
+
+    Spans are read eight bytes at a time, each step mixed before the next is added, so that
+    no arrangement of repeats cancels out as it can in a polynomial. Long spans go through
+    xxh3. Two given spans share a hash with a chance of about 2**-64, and both of two with
+    2**-128.
+    """
+    sizes = (ends - begins).astype(np.int64)
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eight = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
+    out = [mix(sizes.astype(np.uint64) * MIX[14] + MIX[seed]) for seed in seeds]
+    some, at, left = None, begins, np.minimum(sizes, LONG)
+    while True:
+        going = left > 0
+        if not going.all():
+            chosen = np.flatnonzero(going)
+            some, at, left = chosen if some is None else some[chosen], at[chosen], left[chosen]
+        if not len(at):
+            break
+        word = eight[at] & _KEEP[np.minimum(left, 8)]
+        for h, seed in zip(out, seeds, strict=True):
+            if some is None:
+                h[:] = mix((h ^ word) * MIX[seed + 1])
+            else:
+                h[some] = mix((h[some] ^ word) * MIX[seed + 1])
+        at, left = at + 8, left - 8
+    for k in np.flatnonzero(sizes > LONG).tolist():
+        digest = xxhash.xxh3_128_intdigest(data[begins[k] : ends[k]])
+        for h, seed, half in zip(out, seeds, (digest & 0xFFFFFFFFFFFFFFFF, digest >> 64), strict=False):
+            h[k] = mix(np.array([half], np.uint64) + MIX[seed])[0]
+    return out
 
 
 def hash_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -86,11 +108,9 @@ def hash_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
 
     data: the bytes of all texts; offsets: where each begins, and the end. Returns the
     hashes and for each text where its words begin among them (one more at the end).
-    A word's hash is a polynomial of its bytes modulo 2**64 with a random table and a
-    final mix, so two given words collide with a chance of about 2**-63.
     """
     offsets = offsets.astype(np.int64)
-    data, offsets = data[offsets[0] : offsets[-1]], offsets - offsets[0]
+    data, offsets = _LOWER[data[offsets[0] : offsets[-1]]], offsets - offsets[0]
     n = len(data)
     if not n:
         return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
@@ -103,25 +123,7 @@ def hash_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     after = np.empty(n, bool)
     after[-1], after[:-1] = False, inside[1:]
     ends = np.flatnonzero(inside & (~after | edge[1:])) + 1
-    up, down = _power(n)
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum(_TABLE[data] * up[:n], out=total[1:])
-    hashes = mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64) * MIX[15])
-    return hashes, np.searchsorted(starts, offsets).astype(np.int64)
-
-
-_OTHER = _rng.integers(0, 1 << 64, 256, dtype=np.uint64)
-
-
-def hash_spans(data: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two independent 64-bit hashes of each span of bytes."""
-    up, down = _power(len(data) + 1)
-    out = []
-    for values in (_EXACT, _OTHER):
-        total = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(values[data] * up[: len(data)], out=total[1:])
-        out.append(mix((total[ends] - total[begins]) * down[begins] + (ends - begins).astype(np.uint64) * MIX[15]))
-    return out[0], out[1]
+    return hash_spans(data, starts, ends)[0], np.searchsorted(starts, offsets).astype(np.int64)
 
 
 def text_slices(column: pa.Array | pa.ChunkedArray, most: int = 2 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:

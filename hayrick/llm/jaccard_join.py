@@ -3,11 +3,12 @@
 A document's set is its distinct shingles. Two sets link if their Jaccard similarity is
 at least `percent` / 100. Equal sets are one node. The steps:
 
-1. Shingles are counted over all documents, as keys cut from their hashes, packed and
-   dealt to buckets of the key space; each block of documents gets back the counts of its
-   keys that occur more than once. (Keys are shorter than hashes; two shingles with one key
-   only look more frequent than they are. That changes the order of step 2, for all alike,
-   and loses nothing.)
+1. Documents are dealt into blocks of bounded size. Shingles are counted over all
+   documents, as keys cut from their hashes, packed and sent to buckets of the key space;
+   each block gets back the counts of its keys that occur more than once (parcels.py keeps
+   those exchanges in proportion to the input). Keys are shorter than hashes; two shingles
+   with one key only look more frequent than they are. That changes the order of step 2,
+   for all alike, and loses nothing.
 2. Shingles are ordered by count, rarest first. Two similar sets share one within the
    first n - ceil(p n) + 1 of either: the prefix. Shingles that occur once are in no other
    set, so only the others in prefixes become entries of the index lists.
@@ -24,7 +25,7 @@ at least `percent` / 100. Equal sets are one node. The steps:
 
 Nothing is sampled or capped: every pair with the similarity ends up in one component.
 Comparisons run in groups of bounded size: those of one pivot are cut into chunks.
-Hashes have 64 bits: two given shingles or sets are confused with a chance of about 2**-63.
+Hashes have 64 bits: two given shingles or sets are confused with a chance of about 2**-64.
 
 Defined cases: null and empty texts, and texts without words, have no shingle and link
 with nothing; texts shorter than a shingle are one shingle; very long texts are read
@@ -44,65 +45,37 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hayrick.llm import common
+from hayrick.llm import common, parcels
 from hayrick.llm.components import components
-from hayrick.llm.language_model import pack_counts, pack_keys, unpack_counts, unpack_keys
 
 SHINGLE, PERCENT = 5, 80
-COUNTED = "bucket bigint, block bigint, keys binary, counts binary"
-SETS = "doc_id bigint, n int, node bigint, own int, entries array<bigint>, shingles binary"
+SETS = "doc_id bigint, mark bigint, n int, node bigint, own int, entries array<bigint>, shingles binary"
 
 
-def _count(width: int, key_bits: int, bucket_bits: int, most: int = 1 << 21) -> Callable:
-    """Counts of each block's shingle keys, packed by bucket, `most` shingles at a time."""
+def _count(width: int, key_bits: int, bits: int) -> Callable[[pa.Table], pa.Table]:
+    """Counts of a block's shingle keys, in parcels to buckets."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, blocks, held = [], [], 0
-
-        def flush() -> pa.RecordBatch:
-            key, block = np.concatenate(keys), np.concatenate(blocks)
-            order = np.lexsort((key, block))
-            key, block = key[order], block[order]
-            first = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (block[1:] != block[:-1])]))
-            counts = np.diff(np.append(first, len(key)))
-            key, block = key[first], block[first]
-            bucket = (key >> np.uint64(key_bits - bucket_bits)).astype(np.int64)
-            cuts = np.flatnonzero(np.concatenate([[True], (bucket[1:] != bucket[:-1]) | (block[1:] != block[:-1])]))
-            ends = [*cuts[1:], len(key)]
-            columns = [pa.array(bucket[cuts]), pa.array(block[cuts]), pa.array([pack_keys(key[a:b]) for a, b in zip(cuts, ends, strict=True)], pa.binary()), pa.array([pack_counts(counts[a:b]) for a, b in zip(cuts, ends, strict=True)], pa.binary())]
-            keys.clear(), blocks.clear()
-            return pa.RecordBatch.from_arrays(columns, ["bucket", "block", "keys", "counts"])
-
-        for batch in batches:
-            names = batch.column(0).to_numpy()
-            for a, b, data, offsets in common.text_slices(batch.column(1)):
-                sets = common.shingle_hashes(*common.hash_words(data, offsets), width)
-                keys.append(np.concatenate(sets) >> np.uint64(64 - key_bits))
-                blocks.append(np.repeat(names[a:b], [len(s) for s in sets]))
-                held += len(keys[-1])
-                if held >= most:
-                    yield flush()
-                    held = 0
-        if held:
-            yield flush()
+    def run(docs: pa.Table) -> pa.Table:
+        found = [np.concatenate(common.shingle_hashes(*common.hash_words(data, offsets), width)) >> np.uint64(64 - key_bits) for _, _, data, offsets in common.text_slices(docs.column("text"))]
+        keys = np.sort(np.concatenate(found))
+        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+        counts, keys = np.diff(np.append(first, len(keys))), keys[first]
+        return parcels.table(list(parcels.cut((keys >> np.uint64(key_bits - bits)).astype(np.int64), docs.column("block")[0].as_py(), keys, [counts])))
 
     return run
 
 
-def _frequent(table: pa.Table) -> pa.Table:
+def _frequent(extra: int) -> Callable[[pa.Table], pa.Table]:
     """Of a bucket's keys those that occur more than once, to each block that has them."""
-    lists = [unpack_keys(k.as_py()) for k in table.column("keys")]
-    counts = np.concatenate([unpack_counts(c.as_py()) for c in table.column("counts")])
-    codes, distinct = pd.factorize(np.concatenate(lists))
-    total = np.bincount(codes, counts, len(distinct)).astype(np.int64)
-    rows, at = [], 0
-    for block, keys in zip(table.column("block").to_pylist(), lists, strict=True):
-        n = total[codes[at : at + len(keys)]]
-        at += len(keys)
-        if (n > 1).any():
-            rows.append((block, pack_keys(keys[n > 1]), pack_counts(n[n > 1])))
-    columns = list(zip(*rows, strict=True)) or [[], [], []]
-    return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.binary(), pa.binary()), strict=True)], ["block", "keys", "counts"])
+
+    def run(group: pa.Table) -> pa.Table:
+        keys, senders, (counts,) = parcels.opened(group, extra)
+        codes, distinct = pd.factorize(keys)
+        total = np.bincount(codes, counts, len(distinct)).astype(np.int64)[codes]
+        some = total > 1
+        return parcels.table(list(parcels.send_back(group.column("to")[0].as_py(), keys[some], senders[some], [total[some]], extra)))
+
+    return run
 
 
 def _sets(width: int, key_bits: int, percent: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
@@ -110,16 +83,13 @@ def _sets(width: int, key_bits: int, percent: int) -> Callable[[pa.Table, pa.Tab
 
     def run(docs: pa.Table, back: pa.Table) -> pa.Table:
         if len(back):
-            known = np.concatenate([unpack_keys(k.as_py()) for k in back.column("keys")])
-            counts = np.concatenate([unpack_counts(c.as_py()) for c in back.column("counts")])
+            known, _, (counts,) = parcels.opened(back, 0)
             order = np.argsort(known)
             known, counts = known[order], counts[order]
-            fresh = np.concatenate([[True], known[1:] != known[:-1]])  # chunks of one block repeat keys
-            known, counts = known[fresh], counts[fresh]
         else:
             known, counts = np.zeros(1, np.uint64), np.ones(1, np.int64)
         rows, seen = [], set()
-        names = docs.column("doc_id").to_pylist() if len(docs) else []
+        names, marks = (docs.column(c).to_pylist() if len(docs) else [] for c in ("doc_id", "mark"))
         for first, _, data, offsets in common.text_slices(docs.column("text")) if len(docs) else ():
             sets = common.shingle_hashes(*common.hash_words(data, offsets), width)
             keys = np.concatenate(sets) >> np.uint64(64 - key_bits)
@@ -130,7 +100,7 @@ def _sets(width: int, key_bits: int, percent: int) -> Callable[[pa.Table, pa.Tab
                 n, mine = len(s), often[place : place + len(s)]
                 place += n
                 if not n:
-                    rows.append((names[first + k], 0, None, 0, [], None))
+                    rows.append((names[first + k], marks[first + k], 0, None, 0, [], None))
                     continue
                 node = xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63)
                 own = int((mine == 1).sum())
@@ -143,26 +113,39 @@ def _sets(width: int, key_bits: int, percent: int) -> Callable[[pa.Table, pa.Tab
                     if node not in seen:
                         seen.add(node)
                         data_ = s.tobytes()
-                rows.append((names[first + k], n, node, own, entries, data_))
-        columns = list(zip(*rows, strict=True)) or [[]] * 6
-        kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.binary())
-        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["doc_id", "n", "node", "own", "entries", "shingles"])
+                rows.append((names[first + k], marks[first + k], n, node, own, entries, data_))
+        columns = list(zip(*rows, strict=True)) or [[]] * 7
+        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.binary())
+        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["doc_id", "mark", "n", "node", "own", "entries", "shingles"])
 
     return run
 
 
-def shingle_sets(docs: DataFrame, *, width: int = SHINGLE, percent: int = PERCENT, block_bytes: int = 12 << 20, bucket_bytes: int = 8 << 20) -> DataFrame:
-    """Steps 1 and 2: doc_id, n, node, own, entries, and the sets of nodes with entries."""
+def mark() -> F.Column:
+    """Tells rows with one doc_id but other texts apart."""
+    return F.xxhash64("text")
+
+
+def counted(docs: DataFrame, *, width: int = SHINGLE, block_bytes: int = 12 << 20, bucket_bytes: int = 8 << 20, fan: int = parcels.FAN) -> tuple[DataFrame, list[DataFrame], int]:
+    """Step 1: the texts with their blocks, the parcels of each exchange (the last ones hold frequent keys, for the blocks), and the bits of a key."""
     rows, size = common.text_size(docs)
     blocks = max(1, math.ceil(size / block_bytes))
-    bucket_bits = max(0, math.ceil(math.log2(max(1, size / bucket_bytes))))
+    bits, extra = parcels.address_bits(max(0, math.ceil(math.log2(max(1, size / bucket_bytes)))), fan)
     # 13 bits more than shingles can have: one key in thousands is shared by chance
-    key_bits = min(63, max(bucket_bits + 8, math.ceil(math.log2(size / 2 + 2)) + 13))
-    texts = docs.select(F.col("doc_id").cast("bigint"), common.whole_text().alias("text"))
+    key_bits = min(63, max(bits + 8, math.ceil(math.log2(size / 2 + 2)) + 13))
+    texts = docs.select(F.col("doc_id").cast("bigint"), mark().alias("mark"), common.whole_text().alias("text"))
     texts = texts.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("bigint"))
-    counted = texts.select("block", "text").mapInArrow(_count(width, key_bits, bucket_bits), COUNTED)
-    back = counted.groupBy("bucket").applyInArrow(_frequent, "block bigint, keys binary, counts binary")
-    both = texts.groupBy("block").cogroup(back.groupBy("block"))
+    sent = texts.groupBy("block").applyInArrow(_count(width, key_bits, bits - extra), parcels.PARCELS)
+    exchanges = [sent, parcels.second_step(sent, key_bits, bits, extra)] if extra else [sent]
+    exchanges.append(exchanges[-1].groupBy("to").applyInArrow(_frequent(extra), parcels.PARCELS))
+    exchanges += [parcels.last_step(exchanges[-1], extra)] if extra else []
+    return texts, exchanges, key_bits
+
+
+def shingle_sets(docs: DataFrame, *, width: int = SHINGLE, percent: int = PERCENT, **sizes: int) -> DataFrame:
+    """Steps 1 and 2: doc_id, mark, n, node, own, entries, and the sets of nodes with entries."""
+    texts, exchanges, key_bits = counted(docs, width=width, **sizes)
+    both = texts.groupBy("block").cogroup(exchanges[-1].withColumnRenamed("to", "block").groupBy("block"))
     return common.materialize(both.applyInArrow(_sets(width, key_bits, percent), SETS), "sets")
 
 
@@ -275,8 +258,8 @@ def _search(percent: int) -> Callable:
     return run
 
 
-def classes(docs: DataFrame, *, width: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles and component_id of every row."""
+def _components(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Every row's set, and node and root of the nodes that have a link."""
     rows = shingle_sets(docs, width=width, percent=percent)
     held = rows.where(F.col("shingles").isNotNull())
     # Equal sets have equal columns; one row of each is taken by the smallest doc_id.
@@ -312,6 +295,12 @@ def classes(docs: DataFrame, *, width: int = SHINGLE, percent: int = PERCENT) ->
     if not more.isEmpty():
         later = compare(more, sets).where(linked(percent)).select("a", "b")
         roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(later))
+    return rows, roots
+
+
+def classes(docs: DataFrame, *, width: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles and component_id of every row."""
+    rows, roots = _components(docs, width, percent)
     # The smallest doc_id of each node, then of each component
     least = rows.where(F.col("node").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     named = least.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -321,6 +310,26 @@ def classes(docs: DataFrame, *, width: int = SHINGLE, percent: int = PERCENT) ->
     return out.select("doc_id", F.col("n").cast("bigint").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+def spare(docs: DataFrame, *, width: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """doc_id and mark of the rows beside which their component has another to stay, and `times`: 0.
+
+    Of a component the row stays that has the smallest doc_id (a null one only if all are),
+    of rows with one doc_id the one with the smallest mark. Where several rows have the
+    doc_id and the mark of one that stays, `times` is their number.
+    """
+    rows, roots = _components(docs, width, percent)
+    linked_ = rows.where(F.col("node").isNotNull()).groupBy("node", "doc_id", "mark").agg(F.count(F.lit(1)).alias("times"))
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "mark")
+    least = linked_.groupBy("node").agg(F.min(order).alias("o"), F.count(F.lit(1)).alias("different"), F.max("times").alias("times"))
+    named = least.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    component = named.groupBy("root").agg(F.min("o").alias("stays"), F.count(F.lit(1)).alias("nodes"), F.max("different").alias("different"), F.max("times").alias("times"))
+    # Most rows are alone in their component; only the others go through the joins.
+    several = component.where("nodes > 1 or different > 1 or times > 1").select("root", "stays")
+    of_node = named.join(several, "root").select("node", "stays")
+    state = linked_.join(of_node, "node").withColumn("times", F.when(order.eqNullSafe(F.col("stays")), F.col("times")).otherwise(F.lit(0)))
+    return state.where("times != 1").select("doc_id", "mark", "times")
+
+
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classes(common.table(spark, sf_dir, "documents"))
 

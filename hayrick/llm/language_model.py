@@ -7,15 +7,16 @@ expectation-maximisation on counts held out of the training texts: one fold of t
 own counts are deleted from all counts before its words are predicted.
 
 How it runs. Documents are dealt by hash into blocks of about `block_bytes`, each of one
-fold. A task counts the distinct words and word pairs of its block (as 64-bit hashes) and
-sends them, sorted and packed, to buckets of the hash space. A task for each bucket adds
-the counts up and sends back to each block the totals of its keys that it can't know by
-itself: those that other blocks have too. Then each block's documents meet the totals and
-are scored. Nothing is broadcast but a few numbers and at most 32 sets of weights; blocks
-and buckets grow in number with the input, not in size. Two given words share a hash with a
-chance of about 2**-63, so counts of words are exact but for that. Hashes of pairs keep as
-many bits as the input needs: any pair shares its hash with another one of the corpus with
-a chance of less than 2**-18.
+fold. A task counts the distinct words and word pairs of its block (as hashes) and sends
+them, sorted and packed, to buckets of the hash space. A task for each bucket adds the
+counts up and sends back to each block the totals of its keys that it can't know by itself:
+those that other blocks have too (parcels.py keeps both exchanges in proportion to the
+input). Then each block's documents meet the totals and are scored. Nothing is broadcast but
+a few numbers and at most 32 sets of weights; blocks and buckets grow in number with the
+input, not in size. Two given words share a 64-bit hash with a chance of about 2**-64, so
+counts of words are exact but for that. Hashes of pairs have 56 bits at every size of input:
+a pair shares its hash with another one of 2**38 pairs with a chance of 2**-18, and then is
+taken for seen more often than it was.
 
 Words: runs of bytes other than white space, with A-Z in lower case; each text ends with
 an end token, and begins after a start that is only a context.
@@ -29,49 +30,30 @@ table gives no rows; without training text all but the uniform part is 0 and N a
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import zstandard
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hayrick.llm import common
+from hayrick.llm import common, parcels
 from hayrick.llm.common import MIX, mix
+from hayrick.llm.parcels import pack_counts, unpack_counts
 
 END, START = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 TRAIN, DELETED, HELD = 0, 1, 2
 BUCKETS = 32  # context-frequency buckets of the mixture
+PAIR_MASK = np.uint64((1 << 64) - (1 << 8))  # pairs have 56 bits: shorter keys pack into less
 LEVELS = 64  # half powers of two that probabilities are gathered by for the weights
 
 
-def pack_keys(keys: np.ndarray) -> bytes:
-    """Sorted 64-bit keys: differences, byte planes, compressed."""
-    d = np.diff(keys, prepend=np.uint64(0)).astype("<u8")
-    return zstandard.compress(np.ascontiguousarray(d.view(np.uint8).reshape(-1, 8).T).tobytes(), 1)
-
-
-def unpack_keys(data: bytes) -> np.ndarray:
-    planes = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(8, -1)
-    return np.cumsum(np.ascontiguousarray(planes.T).view("<u8").reshape(-1).astype(np.uint64), dtype=np.uint64)
-
-
-def pack_counts(counts: np.ndarray) -> bytes:
-    """Counts with as many bytes as the largest needs."""
-    kind = next(k for k in ("<u1", "<u2", "<u4", "<u8") if not len(counts) or int(counts.max()) <= np.iinfo(k).max)
-    return kind[2:].encode() + zstandard.compress(counts.astype(kind).tobytes(), 1)
-
-
-def unpack_counts(data: bytes) -> np.ndarray:
-    return np.frombuffer(zstandard.decompress(data[1:]), f"<u{data[:1].decode()}").astype(np.int64)
-
-
 class Block:
     """The words of a block's documents, as numbers of their distinct keys."""
 
-    def __init__(self, texts: pa.ChunkedArray, mask: np.uint64):
+    def __init__(self, texts: pa.ChunkedArray):
         tokens, ends = [], [0]
         for _, _, data, offsets in common.text_slices(texts):
             words, at = common.hash_words(data, offsets)
@@ -92,7 +74,7 @@ class Block:
         place = np.empty(len(order), np.int64)
         place[order] = np.arange(len(order))
         self.word_keys, self.word = keys[order], place[codes]
-        codes, keys = pd.factorize(mix(before * MIX[0] + words * MIX[1]) & mask)
+        codes, keys = pd.factorize(mix(before * MIX[0] + words * MIX[1]) & PAIR_MASK)
         order = np.argsort(keys)
         place = np.empty(len(order), np.int64)
         place[order] = np.arange(len(order))
@@ -109,57 +91,46 @@ class Block:
         return np.bincount(self.word if order == 1 else self.pair, minlength=len(self.keys(order)))
 
 
-SENT = "bucket bigint, block bigint, fold int, order int, keys binary, counts binary"
-TOTALS = "block bigint, fold int, order int, keys binary, counts binary, deleted binary, n_tokens bigint, n_words bigint, n_deleted bigint"
-
-
-def _send(shift: int, mask: np.uint64) -> Callable[[pa.Table], pa.Table]:
-    """Each distinct key of a block with its count, to the bucket of the key's highest bits."""
+def _send(shift: int) -> Callable[[pa.Table], pa.Table]:
+    """Each distinct key of a block with its count, to the bucket of the key's highest bits: even addresses take words, odd ones pairs."""
 
     def run(table: pa.Table) -> pa.Table:
-        block, fold = table.column("block")[0].as_py(), table.column("fold")[0].as_py()
-        seen, rows = Block(table.column("text"), mask), []
+        seen, rows = Block(table.column("text")), []
         for order in (1, 2):
-            keys, counts = seen.keys(order), seen.counts(order)
+            keys = seen.keys(order)
             bucket = (keys >> np.uint64(shift)).astype(np.int64) if shift < 64 else np.zeros(len(keys), np.int64)
-            cuts = np.flatnonzero(np.diff(bucket, prepend=-1))
-            for a, b in zip(cuts, [*cuts[1:], len(keys)], strict=True):
-                rows.append((int(bucket[a]), block, fold, order, pack_keys(keys[a:b]), pack_counts(counts[a:b])))
-        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], ["bucket", "block", "fold", "order", "keys", "counts"])
+            rows += [(2 * to + order - 1, *rest) for to, *rest in parcels.cut(bucket, table.column("block")[0].as_py(), keys, [seen.counts(order)])]
+        return parcels.table(rows)
 
     return run
 
 
-def _add_up(table: pa.Table) -> pa.Table:
-    """Totals over training texts of all keys of a bucket, for the blocks that need them."""
-    rows, sums = [], [0, 0, 0]
-    orders = table.column("order").to_numpy()
-    for order in (1, 2):
-        part = table.filter(pa.array(orders == order)).sort_by("block")
-        blocks, folds = part.column("block").to_pylist(), part.column("fold").to_pylist()
-        lists = [unpack_keys(k.as_py()) for k in part.column("keys")]
-        if not lists:
-            continue
-        counts = np.concatenate([unpack_counts(c.as_py()) for c in part.column("counts")])
-        sizes = np.array([len(x) for x in lists])
-        fold = np.repeat(np.array(folds), sizes)
-        codes, distinct = pd.factorize(np.concatenate(lists))
+def _add_up(first: list[int], extra: int) -> Callable[[pa.Table], pa.Table]:
+    """Totals over training texts of all keys of a bucket, to the blocks that need them; and the bucket's sums, addressed to -1."""
+
+    def run(table: pa.Table) -> pa.Table:
+        bucket = table.column("to")[0].as_py()
+        keys, senders, (counts,) = parcels.opened(table, extra)
+        fold = np.searchsorted(first, senders, "right") - 1
+        codes, distinct = pd.factorize(keys)
         total = np.bincount(codes, np.where(fold == HELD, 0, counts), len(distinct)).astype(np.int64)
         deleted = np.bincount(codes, np.where(fold == DELETED, counts, 0), len(distinct)).astype(np.int64)
-        shared = np.bincount(codes, minlength=len(distinct)) > 1
-        if order == 1:
-            sums = [int(total.sum()), int((total > 0).sum()), int(deleted.sum())]
-        at = 0
-        for block, f, keys in zip(blocks, folds, lists, strict=True):
-            mine = codes[at : at + len(keys)]
-            at += len(keys)
-            some = shared[mine]
-            if some.any():
-                mine = mine[some]
-                rows.append((block, f, order, pack_keys(keys[some]), pack_counts(total[mine]), pack_counts(deleted[mine]), 0, 0, 0))
-    rows.append((-1, -1, 0, b"", b"", b"", *sums))
-    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64())
-    return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["block", "fold", "order", "keys", "counts", "deleted", "n_tokens", "n_words", "n_deleted"])
+        some = np.bincount(codes, minlength=len(distinct))[codes] > 1  # other blocks have the key too
+        mine, fold = codes[some], fold[some]
+        # Only blocks of the deleted fold ask what was deleted.
+        rows = list(parcels.send_back(bucket, keys[some], senders[some], [total[mine], np.where(fold == DELETED, deleted[mine], 0)], extra))
+        if bucket % 2 == 0:
+            sums = np.array([total.sum(), (total > 0).sum(), deleted.sum()], np.int64)
+            rows.append((-1, bucket, b"", b"", [pack_counts(sums)]))
+        return parcels.table(rows)
+
+    return run
+
+
+def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sums = np.array([unpack_counts(v[0]) for v in batch.column(0).to_pylist()]).reshape(-1, 3)
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in sums.T], ["n", "v", "deleted"])
 
 
 def _totals(seen: Block, fold: int, back: pa.Table, order: int) -> tuple[np.ndarray, np.ndarray]:
@@ -167,11 +138,11 @@ def _totals(seen: Block, fold: int, back: pa.Table, order: int) -> tuple[np.ndar
     keys, own = seen.keys(order), seen.counts(order)
     total = own.copy() if fold != HELD else np.zeros_like(own)  # right for keys that only this block has
     deleted = own.copy() if fold == DELETED else np.zeros_like(own)
-    orders = back.column("order").to_numpy() if len(back) else np.zeros(0)
-    for i in np.flatnonzero(orders == order).tolist():
-        at = np.searchsorted(keys, unpack_keys(back.column("keys")[i].as_py()))
-        total[at] = unpack_counts(back.column("counts")[i].as_py())
-        deleted[at] = unpack_counts(back.column("deleted")[i].as_py())
+    some = back.filter(pc.equal(pc.bit_wise_and(back.column("sender"), 1), order - 1)) if len(back) else back
+    if len(some):
+        sent, _, (totals, gone) = parcels.opened(some, 0)
+        at = np.searchsorted(keys, sent)
+        total[at], deleted[at] = totals, gone
     return total, deleted
 
 
@@ -201,7 +172,7 @@ def _gather(numbers: dict) -> Callable:
     def run(docs: pa.Table, back: pa.Table) -> pa.Table:
         if not len(docs):
             return pa.table({c: pa.array([], t) for c, t in (("bucket", pa.int32()), ("two", pa.int32()), ("one", pa.int32()), ("tokens", pa.float64()), ("log_two", pa.float64()), ("log_one", pa.float64()))})
-        seen = Block(docs.column("text"), numbers["mask"])
+        seen = Block(docs.column("text"))
         word_total, word_deleted = _totals(seen, DELETED, back, 1)
         pair_total, pair_deleted = _totals(seen, DELETED, back, 2)
         words, pairs = word_total - word_deleted, pair_total - pair_deleted
@@ -245,7 +216,7 @@ def _score(numbers: dict, weights: np.ndarray) -> Callable:
         names = ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"]
         if not len(docs):
             return pa.table({n: pa.array([], t) for n, t in zip(names, (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64()), strict=True)})
-        fold, seen = docs.column("fold")[0].as_py(), Block(docs.column("text"), numbers["mask"])
+        fold, seen = docs.column("fold")[0].as_py(), Block(docs.column("text"))
         words, _ = _totals(seen, fold, back, 1)
         pairs, _ = _totals(seen, fold, back, 2)
         n, v = numbers["n"], numbers["v"]
@@ -260,7 +231,7 @@ def _score(numbers: dict, weights: np.ndarray) -> Callable:
     return run
 
 
-def score_texts(docs: DataFrame, *, modulus: int = 7, held: int = 2, deleted: int = 3, block_bytes: int = 12 << 20, bucket_bytes: int = 8 << 20) -> DataFrame:
+def score_texts(docs: DataFrame, *, modulus: int = 7, held: int = 2, deleted: int = 3, block_bytes: int = 12 << 20, bucket_bytes: int = 8 << 20, fan: int = parcels.FAN) -> DataFrame:
     """One row a document: fold, tokens, known tokens, add-one unigram score and model score (log10)."""
     rows, size = common.text_size(docs)
     size += rows  # the end tokens
@@ -272,18 +243,28 @@ def score_texts(docs: DataFrame, *, modulus: int = 7, held: int = 2, deleted: in
     # Texts are part of the hash, so that rows with one id don't all meet in one block.
     hashed = F.xxhash64("doc_id", "text")
     block = F.element_at(F.array(*[F.pmod(hashed, F.lit(n)) + F.lit(a) for n, a in zip(parts, first, strict=True)]), F.col("fold") + 1)
-    texts = docs.select(F.col("doc_id").cast("bigint"), common.whole_text().alias("text")).withColumn("fold", fold).withColumn("block", block)
-    bits = max(0, math.ceil(math.log2(max(1, size / bucket_bytes))))
-    # Whole bytes are dropped, since only those make packed keys shorter.
-    dropped = max(0, 64 - math.ceil(math.log2(max(2, size))) - 18) // 8 * 8
-    mask = np.uint64((1 << 64) - (1 << dropped))
-    sent = texts.groupBy("block").applyInArrow(_send(64 - bits, mask), SENT)
-    totals = common.materialize(sent.groupBy("bucket").applyInArrow(_add_up, TOTALS), "totals")
-    row = totals.where("block = -1").agg(F.sum("n_tokens").alias("n"), F.sum("n_words").alias("v"), F.sum("n_deleted").alias("deleted")).first()
-    numbers = {k: int(row[k] or 0) for k in ("n", "v", "deleted")} | {"mask": mask}
+    texts = docs.select(F.col("doc_id").cast("bigint"), common.whole_text().alias("text")).withColumn("fold", fold).withColumn("block", block.cast("bigint"))
+    bits, extra = parcels.address_bits(max(0, math.ceil(math.log2(max(1, size / bucket_bytes)))), fan)
+    sent = texts.groupBy("block").applyInArrow(_send(64 - bits + extra), parcels.PARCELS)
+    if extra:
+        # The second step cuts by bits of keys; words and pairs take it apart from each other.
+        kinds = [sent.where(F.col("to") % 2 == k) for k in (0, 1)]
+        steps = [parcels.second_step(part, 64, bits, extra).withColumn("to", 2 * F.col("to") + k) for k, part in enumerate(kinds)]
+        sent = steps[0].unionByName(steps[1])
+    added = sent.groupBy("to").applyInArrow(_add_up(first, extra), parcels.PARCELS)
+    totals = common.materialize(added, "totals")
+    sums = totals.where("to = -1").select("values").mapInArrow(_sums, "n bigint, v bigint, deleted bigint")
+    row = sums.agg(*(F.sum(c).alias(c) for c in ("n", "v", "deleted"))).first()
+    numbers = {k: int(v or 0) for k, v in row.asDict().items()}
     numbers["ends"] = texts.where(F.col("fold") != HELD).count()
-    back = totals.where("block >= 0").select("block", "fold", "order", "keys", "counts", "deleted")
-    some = texts.where(F.col("fold") == DELETED).groupBy("block").cogroup(back.where(F.col("fold") == DELETED).groupBy("block")).applyInArrow(_gather(numbers), GATHERED)
+    back = totals.where("to >= 0")
+    if extra:
+        # Senders keep their lowest bit, words or pairs, through the last step.
+        kinds = [back.where(F.col("sender") % 2 == k).withColumn("sender", F.shiftright("sender", 1)) for k in (0, 1)]
+        steps = [parcels.last_step(part, extra).withColumn("sender", 2 * F.col("sender") + k) for k, part in enumerate(kinds)]
+        back = common.materialize(steps[0].unionByName(steps[1]), "totals")
+    back = back.withColumnRenamed("to", "block")
+    some = texts.where(F.col("fold") == DELETED).groupBy("block").cogroup(back.where(F.col("block").between(first[1], first[2] - 1)).groupBy("block")).applyInArrow(_gather(numbers), GATHERED)
     gathered = some.groupBy("bucket", "two", "one").agg(*(F.sum(c).alias(c) for c in ("tokens", "log_two", "log_one"))).toPandas()
     weights = mixture_weights(gathered, 1 / (numbers["v"] + 1))
     scored = texts.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(_score(numbers, weights), SCORED)

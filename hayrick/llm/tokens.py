@@ -117,7 +117,7 @@ class Encoder:
         data, offsets = data[offsets[0] : offsets[-1]], (offsets - offsets[0]).astype(np.int64)
         begins, unit_of = stretches(data, offsets)
         ends = np.append(begins[1:], len(data))
-        keys, checks = common.hash_spans(data, begins, ends)
+        keys, checks = common.hash_spans(data, begins, ends, (0, 2))
         codes, distinct = pd.factorize(keys)
         first = np.full(len(distinct), len(keys), np.int64)
         np.minimum.at(first, codes, np.arange(len(codes))) if len(codes) < 1000 else first.__setitem__(codes[::-1], np.arange(len(codes))[::-1])

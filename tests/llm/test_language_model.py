@@ -5,7 +5,7 @@ from collections import Counter
 import numpy as np
 import pandas as pd
 
-from hayrick.llm import common, language_model
+from hayrick.llm import common, language_model, parcels
 
 
 def words(text):
@@ -73,10 +73,10 @@ def test_scores_against_brute_force(docs, texts, empty):
 
 def test_packed_keys_round_trip():
     keys = np.unique(np.random.default_rng(1).integers(0, 1 << 64, 1000, dtype=np.uint64))
-    assert np.array_equal(language_model.unpack_keys(language_model.pack_keys(keys)), keys)
+    assert np.array_equal(parcels.unpack_keys(parcels.pack_keys(keys)), keys)
     for top in (1, 300, 1 << 20, 1 << 40):
         counts = np.array([1, top])
-        assert np.array_equal(language_model.unpack_counts(language_model.pack_counts(counts)), counts)
+        assert np.array_equal(parcels.unpack_counts(parcels.pack_counts(counts)), counts)
 
 
 def test_held_out_texts_are_likelier_than_by_the_base(docs):
