@@ -24,10 +24,24 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents connected by a similarity of 0.8 of their five-word shingles the one with the smallest doc_id stays; of rows equal in doc_id and text, one."""
-    found = jaccard_join.classes(docs)
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept")), "left_semi").dropDuplicates(["doc_id", "text"])
+    """Of rows connected by a similarity of 0.8 of their five-word shingles one stays.
+
+    It is the one with the smallest doc_id (a null one only if all are null), of several
+    with that doc_id one text, of rows equal in both one. Rows are told apart by doc_id and
+    text, so another row with a doc_id that stays doesn't save a copy. Rows without words
+    (null, empty, blank) link with nothing and stay. Texts are read in place: the rows that
+    go are few, and are broadcast up to SPARE_ROWS of them; beyond, the join shuffles.
+    """
+    spare = common.materialize(jaccard_join.spare(docs), "spare")
+    gone = spare.select(F.col("doc_id").alias(_ID), F.col("mark").alias(_MARK), F.col("times").alias(_TIMES))
+    count = spare.agg(F.count(F.lit(1)), F.max("times")).first()
+    gone = F.broadcast(gone) if count[0] <= SPARE_ROWS else gone
+    same = F.col("doc_id").cast("bigint").eqNullSafe(F.col(_ID)) & (jaccard_join.mark() == F.col(_MARK))
+    if not count[1]:
+        return docs.join(gone, same, "left_anti").select(docs.columns)
+    found = docs.join(gone, same, "left")
+    repeated = found.where(F.col(_TIMES) > 1).select(docs.columns).dropDuplicates(["doc_id", "text"])
+    return found.where(F.col(_TIMES).isNull()).select(docs.columns).unionByName(repeated)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,6 +61,10 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return packing.pack(docs, tokenizer_path())
 
 
+#: Rows of two numbers that are broadcast at most: some 50 MB.
+SPARE_ROWS = 2_000_000
+_ID, _MARK, _TIMES = "spare__doc_id", "spare__mark", "spare__times"
+
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("toxicity", drop_toxic),
     ("near copies", drop_near_copies),
