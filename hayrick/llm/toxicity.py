@@ -1,26 +1,35 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained, one on windows of ordinary and one on windows of
-toxic text. A window is compressed once knowing the ordinary dictionary and once knowing
-the toxic one placed behind the ordinary one; the bytes saved are its distance. The toxic
-dictionary is trained on what is left of toxic windows when only words with support are
-kept that are several times as frequent there as in ordinary text: otherwise it fills up
-with words that either class has, and the distances measure its size. The largest and the total distance of a text's overlapping windows go through a logistic
-calibration, learned on labelled texts the dictionaries haven't seen.
-
-Zstandard counts whole bytes, and a short word that the dictionary knows saves hardly one
-of them against its literals. So the compressor reads a text with every word spelled as
-one code of `code` bytes: an unknown word costs its code, a known one a single match.
+Two zstandard dictionaries are trained, one on windows of ordinary text and one on what
+toxic text has besides. A window is compressed once with the ordinary dictionary and once
+with the toxic one, which is the ordinary one carried on; the bytes saved are its distance.
+The largest distance of a text's overlapping windows, and the mean over all its windows of
+the positive ones, go through a logistic calibration. Neither grows with the length of the
+text as such.
+
+Spelling. Zstandard counts whole bytes and prices rare letters by the bit, so that a short
+word known to a dictionary saves hardly a byte, and any two texts share pieces of words. So
+the compressor reads texts spelled by beginnings of words: each place of a word is two bytes
+that stand for the word up to that place. Two words then have as many bytes in common as
+they have first letters in common, matches begin where words do, and no byte is cheaper than
+another. Letters only, in lower case; of words longer than `PLACES`, the rest is one place.
+
+The toxic dictionary is trained on the places that are in at least `share` of the toxic
+training texts (and 4), in several times the share of ordinary ones: otherwise it fills up
+with what either class has, and the distances measure its size.
 
 Training is bounded: the `most` labelled rows of either class with the smallest hash of
-their id, of each text windows of words up to `train_words` in all. Ids decide only what is
-learned from; labels, languages, sources and ids are no inputs of a score.
+their id. Counts of places, windows and features are computed where the texts are; the driver
+gets counts of the places that stand out, up to `PER_TEXT` bytes or windows of a text, and
+two numbers a text. Ids decide only what is learned from; labels, languages, sources and ids
+are no inputs of a score. Distances for the calibration come from dictionaries of the other
+half of the sample.
 
 Defined cases: null and empty texts have no words and get the score of distance 0; very
 long texts are read whole, window by window; repeated rows score alike; an empty table
 gives no rows; without labelled rows of both classes every score is the share of toxic
-labels (0 if there are none); other columns are ignored; labels that repeat for a document
-count once each, and null labels are left out.
+labels (0 if there are none); other columns are kept, but for one named as the score, which
+is replaced; labels that repeat for a document count once each, and null labels are left out.
 """
 
 from __future__ import annotations
@@ -33,22 +42,33 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from hayrick.llm import common
 
 WORDS = re.compile(r"[^\W\d_]+")
-WINDOW, STEP, CODE = 48, 24, 8
+WINDOW, STEP, PLACES = 32, 16, 9
 THRESHOLD = 0.3
+#: What a text gives to the dictionaries at most: so many ordinary windows of 64 words, or toxic pieces of 128 bytes.
+PER_TEXT, PER_TOXIC = 4, 8
 
 
-class Coder:
-    """Words as codes; remembers the codes of frequent words."""
+def places(word: str) -> list[str]:
+    """A word up to each of its first places, and the whole word with its end."""
+    return [*(word[:k] for k in range(1, min(len(word), PLACES) + 1)), word + " "]
 
-    def __init__(self, code: int = CODE, most: int = 200_000):
-        self.code, self.most, self.known = code, most, {}
+
+def code(place: str) -> bytes:
+    return xxhash.xxh3_64_digest(place.encode("utf-8", "surrogatepass"))[:2]
+
+
+class Speller:
+    """Words in their spelling; remembers frequent ones."""
+
+    def __init__(self, most: int = 200_000):
+        self.most, self.known = most, {}
 
     def words(self, text: str) -> list[bytes]:
         known, out = self.known, []
@@ -57,13 +77,13 @@ class Coder:
             if c is None:
                 if len(known) >= self.most:
                     known.clear()
-                c = known[w] = xxhash.xxh3_64_digest(w.encode("utf-8", "surrogatepass"))[: self.code]
+                c = known[w] = b"".join(map(code, places(w)))
             out.append(c)
         return out
 
     def windows(self, text: str) -> list[bytes]:
-        codes = self.words(text)
-        return [b"".join(codes[a : a + WINDOW]) for a in range(0, max(len(codes) - WINDOW + STEP, 1), STEP)] if codes else []
+        words = self.words(text)
+        return [b"".join(words[a : a + WINDOW]) for a in range(0, max(len(words) - WINDOW + STEP, 1), STEP)] if words else []
 
 
 class Distance:
@@ -71,11 +91,12 @@ class Distance:
 
     def __init__(self, ordinary: bytes, toxic: bytes, level: int = 3):
         def compressor(content: bytes) -> zstandard.ZstdCompressor:
-            known = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            known = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_AUTO)
             known.precompute_compress(level=level)
             return zstandard.ZstdCompressor(level=level, dict_data=known, write_content_size=False, write_checksum=False, write_dict_id=False)
 
-        # Zeros in the toxic dictionary's place keep the ordinary one equally far away.
+        # A dictionary's content may be carried on at its end. Zeros in the toxic one's place
+        # keep the ordinary one equally far away.
         self.plain, self.both = compressor(ordinary + bytes(len(toxic))), compressor(ordinary + toxic)
 
     def of(self, windows: list[bytes]) -> np.ndarray:
@@ -83,29 +104,18 @@ class Distance:
         return np.fromiter((len(plain(w)) - len(both(w)) for w in windows), np.float64, len(windows))
 
     def features(self, windows: list[bytes]) -> tuple[float, float]:
-        """The largest distance, and the logarithm of the sum of the positive ones."""
+        """The largest distance, and the mean of the positive ones over all windows."""
         d = self.of(windows)
-        return (float(d.max()), float(np.log1p(np.maximum(d, 0).sum()))) if len(d) else (0.0, 0.0)
+        return (float(d.max()), float(np.maximum(d, 0).mean())) if len(d) else (0.0, 0.0)
 
 
-def train_dictionary(windows: list[bytes], size: int, code: int = CODE) -> bytes:
-    """The content of a dictionary of frequent codes; of too little text, that text's end."""
-    text = b"".join(windows)
+def train_dictionary(samples: list[bytes], size: int, **segments: int) -> bytes:
+    """A trained dictionary; of too little text, that text's end."""
+    text = b"".join(samples)
     try:
-        return zstandard.train_dictionary(min(size, max(512, len(text) // 4)), windows, k=2 * code, d=8, level=3).as_bytes()
+        return zstandard.train_dictionary(min(size, max(512, len(text) // 4)), samples, level=3, **segments).as_bytes()
     except zstandard.ZstdError:
-        return text[-size:] or bytes(code)
-
-
-def contrast(windows: list[list[bytes]], labels: np.ndarray, share: float = 0.005, times: float = 4.0, code: int = CODE) -> list[bytes]:
-    """Toxic windows cut down to codes in at least 3 and this share of the toxic texts, several times their share of ordinary ones."""
-    texts = [Counter(), Counter()]
-    for ws, y in zip(windows, labels, strict=True):
-        texts[y].update({w[i : i + code] for w in ws[::2] for i in range(0, len(w), code)})
-    n = np.bincount(labels, minlength=2)
-    keep = {c for c, k in texts[1].items() if k >= max(3, share * n[1]) and k / n[1] >= times * (texts[0][c] + 1) / n[0]}
-    kept = b"".join(w[i : i + code] for ws, y in zip(windows, labels, strict=True) if y for w in ws[::2] for i in range(0, len(w), code) if w[i : i + code] in keep)
-    return [kept[i : i + 32 * code] for i in range(0, len(kept), 32 * code)]
+        return text[-size:]
 
 
 def calibrate(x: np.ndarray, y: np.ndarray, steps: int = 50) -> np.ndarray:
@@ -123,71 +133,127 @@ def calibrate(x: np.ndarray, y: np.ndarray, steps: int = 50) -> np.ndarray:
 
 
 class Model:
+    """Two dictionaries and the calibration; without dictionaries, a constant."""
+
     def __init__(self, ordinary: bytes, toxic: bytes, weights: np.ndarray):
         self.ordinary, self.toxic, self.weights = ordinary, toxic, weights
 
     def scorer(self):
-        coder = Coder()
         if not self.ordinary:
             return lambda text: float(self.weights[-1])
-        distance, w = Distance(self.ordinary, self.toxic), self.weights
+        speller, distance, w = Speller(), Distance(self.ordinary, self.toxic), self.weights
 
         def score(text: str) -> float:
-            f = distance.features(coder.windows(text))
+            f = distance.features(speller.windows(text))
             return float(1 / (1 + np.exp(-np.clip(f[0] * w[0] + f[1] * w[1] + w[2], -30, 30))))
 
         return score
 
 
-def fit(rows: list[tuple[str, int]], *, ordinary_size: int = 1 << 16, toxic_size: int = 1 << 10, train_words: int = 1_000_000) -> Model:
-    """Dictionaries from every other row, the calibration from the rest, then dictionaries from all rows."""
-    coder = Coder()
-    labels = np.array([y for _, y in rows])
-    if len(rows) < 8 or not 0 < labels.sum() < len(rows):
-        return Model(b"", b"", np.array([0.0, 0.0, float(labels.mean()) if len(rows) else 0.0]))
-    windows = [coder.windows(t) for t, _ in rows]
-
-    def learn(some: list[int]) -> tuple[bytes, bytes]:
-        ws, ys = [windows[i] for i in some], labels[some]
-        plain, left = [], train_words
-        for w, y in zip(ws, ys, strict=True):
-            if not y and left > 0:
-                plain += w[::2]  # every other window: those do not overlap
-                left -= sum(map(len, w[::2])) // CODE
-        return train_dictionary(plain, ordinary_size), train_dictionary(contrast(ws, ys), toxic_size)
-
-    by_class = [np.flatnonzero(labels == k) for k in (0, 1)]
-    halves = [sorted(int(i) for c in by_class for i in c[h::2]) for h in (0, 1)]
-    x, y = np.zeros((len(rows), 2)), labels.astype(float)
-    for h in (0, 1):
-        distance = Distance(*learn(halves[h]))
-        for i in halves[1 - h]:
-            x[i] = distance.features(windows[i])
-    return Model(*learn(list(range(len(rows)))), calibrate(x, y))
-
-
-def train(docs: DataFrame, labels: DataFrame, *, modulus: int = 4, held: int = 2, most: int = 2000) -> Model:
+def stands_out(toxic, ordinary, n_toxic: int, n_ordinary: int, share: float, times: float):
+    """Of numbers of texts with a place, as Python numbers or columns: whether toxic text has it that much more often."""
+    return (toxic >= max(4.0, share * n_toxic)) & (toxic * (n_ordinary / times) >= (ordinary + 1) * float(n_toxic))
+
+
+def _spread(parts: list[bytes], most: int) -> list[bytes]:
+    """At most so many of them, evenly spaced."""
+    return parts if len(parts) <= most else [parts[k * len(parts) // most] for k in range(most)]
+
+
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Number of texts with a place, by group, added up within a task as far as memory goes."""
+    names, counts = ["place", "grp", "texts"], Counter()
+
+    def flush() -> pa.RecordBatch:
+        rows = [(p, g, k) for (p, g), k in counts.items()]
+        counts.clear()
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows, strict=True)) or [[]] * 3, (pa.string(), pa.int32(), pa.int64()), strict=True)], names)
+
+    for batch in batches:
+        for group, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            counts.update({(p, group) for w in set(WORDS.findall(text.lower())) for p in places(w)})
+            if len(counts) > 500_000:
+                yield flush()
+    yield flush()
+
+
+def _samples(kept: list[set[str]]):
+    """What each text gives to the dictionaries of its half (0 or 1) and of all (2)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        speller = Speller()
+        for batch in batches:
+            rows = []
+            for group, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                half, toxic = divmod(group, 2)
+                if not toxic:
+                    words = speller.words(text)
+                    rows += [(half, 0, b"".join(words[a : a + 64])) for a in _spread(range(0, len(words), 64), PER_TEXT)]
+                    continue
+                for which in (half, 2):
+                    keep = kept[which]
+                    found = b"".join(code(p) for w in WORDS.findall(text.lower()) for p in places(w) if p in keep)
+                    rows += [(which, 1, p) for p in _spread([found[a : a + 128] for a in range(0, len(found), 128)], PER_TOXIC)]
+            columns = list(zip(*rows, strict=True)) or [[]] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int32(), pa.binary()), strict=True)], ["part", "toxic", "bytes"])
+
+    return run
+
+
+def _features(models: list[tuple[bytes, bytes]]):
+    """Features of each text by the dictionaries of the other half."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        speller, distances = Speller(), [Distance(*m) for m in models]
+        for batch in batches:
+            groups = batch.column(0).to_pylist()
+            found = [distances[1 - g // 2].features(speller.windows(t)) for g, t in zip(groups, batch.column(1).to_pylist(), strict=True)]
+            columns = list(zip(*found, strict=True)) or [[], []]
+            yield pa.RecordBatch.from_arrays([pa.array([g % 2 for g in groups], pa.int32()), *(pa.array(c, pa.float64()) for c in columns)], ["toxic", "largest", "mean"])
+
+    return run
+
+
+def train(docs: DataFrame, labels: DataFrame, *, modulus: int = 4, held: int = 2, most: int = 2000, share: float = 0.01, times: float = 4.0, ordinary_size: int = 1 << 16, toxic_size: int = 1 << 12) -> Model:
     """Learn from at most `most` labelled rows of each class outside the held-out fold."""
     known = labels.where((common.fold("doc_id", modulus) != held) & F.col("toxic").isin(0, 1)).select("doc_id", F.col("toxic").cast("int"))
+    counts = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}  # two rows
     rank = F.xxhash64(F.col("doc_id").cast("string"))
-    share = known.groupBy("toxic").count().collect()  # two rows
     texts = docs.select("doc_id", common.whole_text().alias("text"))
-    rows = []
-    for label in (0, 1):
-        some = known.where(F.col("toxic") == label).orderBy(rank, "doc_id").limit(most)
-        rows += [(r["text"], label) for r in texts.join(F.broadcast(some), "doc_id").orderBy(rank, "doc_id", "text").limit(most).collect()]
-    model = fit(rows)
-    counts = {r["toxic"]: r["count"] for r in share}
-    used = [sum(1 for _, y in rows if y == k) for k in (0, 1)]
-    if model.ordinary and all(used) and all(counts.get(k) for k in (0, 1)):
-        # the classes were drawn in other shares than they have
-        model.weights[-1] += np.log(counts[1] / counts[0]) - np.log(used[1] / used[0])
-    return model
-
-
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with a column score."""
-    schema = StructType([*docs.schema.fields, StructField("score", DoubleType())])
+    ids = [known.where(F.col("toxic") == k).orderBy(rank, "doc_id").limit(most) for k in (0, 1)]
+    drawn = [texts.join(F.broadcast(some), "doc_id").orderBy(rank, "doc_id", F.xxhash64("text")).limit(most) for some in ids]
+    group = 2 * F.pmod(F.xxhash64("doc_id", F.lit("half")), F.lit(2)).cast("int") + F.col("toxic")
+    sample = common.materialize(drawn[0].unionByName(drawn[1]).select(group.alias("grp"), "text").repartition(16), "labelled")
+    used = {r["grp"]: r["count"] for r in sample.groupBy("grp").count().collect()}  # four rows
+    n = np.array([[used.get(g, 0) for g in (0, 1)], [used.get(g, 0) for g in (2, 3)]])
+    if n.sum() < 8 or not n.all():
+        total = sum(counts.values())
+        return Model(b"", b"", np.array([0.0, 0.0, counts.get(1, 0) / total if total else 0.0]))
+    n = np.vstack([n, n.sum(0)])  # texts of either class in the halves, and in all
+    by_place = sample.mapInArrow(_count, "place string, grp int, texts bigint").groupBy("place")
+    sums: list[Column] = [F.sum(F.when(F.col("grp") == g, F.col("texts")).otherwise(0)).alias(f"g{g}") for g in range(4)]
+    seen = [(F.col("g1"), F.col("g0")), (F.col("g3"), F.col("g2")), (F.col("g1") + F.col("g3"), F.col("g0") + F.col("g2"))]
+    out = [stands_out(a, b, int(k[1]), int(k[0]), share, times).alias(f"out{i}") for i, ((a, b), k) in enumerate(zip(seen, n, strict=True))]
+    rows = by_place.agg(*sums).select("place", *out).where("out0 or out1 or out2").collect()  # at most a few for each hundredth of the texts
+    kept = [{r["place"] for r in rows if r[f"out{i}"]} for i in range(3)]
+    parts = sample.mapInArrow(_samples(kept), "part int, toxic int, bytes binary").orderBy("part", "toxic", F.xxhash64("bytes"), "bytes").collect()
+
+    def learn(part: int) -> tuple[bytes, bytes]:
+        ordinary = [bytes(r["bytes"]) for r in parts if not r["toxic"] and part in (r["part"], 2)]
+        toxic = [bytes(r["bytes"]) for r in parts if r["toxic"] and r["part"] == part]
+        return train_dictionary(ordinary, ordinary_size), train_dictionary(toxic, toxic_size, k=32, d=8)
+
+    found = sample.mapInArrow(_features([learn(0), learn(1)]), "toxic int, largest double, mean double").toPandas()
+    weights = calibrate(found[["largest", "mean"]].to_numpy(), found["toxic"].to_numpy(float))
+    # The classes were drawn in other shares than they have.
+    weights[-1] += np.log(counts[1] / counts[0]) - np.log(n[2, 1] / n[2, 0])
+    return Model(*learn(2), weights)
+
+
+def score(docs: DataFrame, model: Model, into: str = "score") -> DataFrame:
+    """docs with a column for the score."""
+    docs = docs.drop(into)
+    schema = StructType([*docs.schema.fields, StructField(into, DoubleType())])
     shared = docs.sparkSession.sparkContext.broadcast(model)  # two dictionaries of fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -195,7 +261,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             at = batch.schema.get_field_index("text")
             got = pa.array([of(t or "") for t in batch.column(at).to_pylist()], pa.float64())
-            yield pa.RecordBatch.from_arrays([*batch.columns, got], [*batch.schema.names, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, got], [*batch.schema.names, into])
 
     return docs.mapInArrow(run, schema)
 

@@ -43,15 +43,61 @@ def test_toxicity_on_texts_not_learned_from(labelled):
     assert ((held["score"] >= toxicity.THRESHOLD) == truth).mean() > 0.85
 
 
+def test_toxicity_against_the_definition(labelled):
+    """Scores from the model's dictionaries by plain loops: spelling, windows, two compressors, two features."""
+    import re
+
+    import xxhash
+    import zstandard
+
+    docs, labels = labelled
+    model = toxicity.train(docs, labels)
+    assert model.ordinary[:4] == model.toxic[:4] == b"\x37\xa4\x30\xec"  # trained dictionaries, not bare text
+    packers = []
+    for content in (model.ordinary + bytes(len(model.toxic)), model.ordinary + model.toxic):
+        known = zstandard.ZstdCompressionDict(content)
+        known.precompute_compress(level=3)
+        packers.append(zstandard.ZstdCompressor(level=3, dict_data=known, write_content_size=False, write_checksum=False, write_dict_id=False))
+
+    def score(text):
+        words = []
+        for w in re.findall(r"[^\W\d_]+", text.lower()):
+            parts = [w[:k] for k in range(1, min(9, len(w)) + 1)] + [w + " "]
+            words.append(b"".join(xxhash.xxh3_64_digest(p.encode())[:2] for p in parts))
+        saved = []
+        at = 0
+        while words and (at == 0 or at + 16 < len(words)):
+            plain, both = (len(p.compress(b"".join(words[at : at + 32]))) for p in packers)
+            saved.append(plain - both)
+            at += 16
+        largest, mean = (max(saved), sum(s for s in saved if s > 0) / len(saved)) if saved else (0, 0)
+        return 1 / (1 + np.exp(-(largest * model.weights[0] + mean * model.weights[1] + model.weights[2])))
+
+    for r in toxicity.score(docs, model).orderBy("doc_id").limit(150).collect():
+        assert abs(r["score"] - score(r["text"])) < 1e-9
+
+
+def test_false_alarms_do_not_grow_with_length(spark, labelled):
+    model = toxicity.train(*labelled)
+    of = model.scorer()
+    for words in (40, 400, 8000):
+        assert sum(of(prose(70_000 + words + k, words)) >= toxicity.THRESHOLD for k in range(40)) <= 4
+
+
+def test_places_of_a_word():
+    assert toxicity.places("ab") == ["a", "ab", "ab "]
+    assert toxicity.places("abcdefghijkl") == [*("abcdefghi"[:k] for k in range(1, 10)), "abcdefghijkl "]
+
+
 def test_toxicity_of_odd_rows(labelled, docs, empty):
     model = toxicity.train(*labelled)
-    found = toxicity.score(docs.drop("score"), model)
+    found = toxicity.score(docs, model)  # its own column score is replaced
     assert found.count() == docs.count() and found.where("score is null or score < 0 or score > 1").isEmpty()
     blank = {r["score"] for r in found.where("text is null or trim(text) = ''").collect()}
     assert len(blank) == 1
-    assert toxicity.score(empty.drop("score"), model).collect() == []
+    assert toxicity.score(empty, model).collect() == []
     none = toxicity.train(docs, labelled[1].where("false"))
-    assert {r["score"] for r in toxicity.score(docs.drop("score"), none).collect()} == {0.0}
+    assert {r["score"] for r in toxicity.score(docs, none).collect()} == {0.0}
 
 
 def test_ids_labels_and_metadata_are_no_inputs(labelled):
