@@ -18,9 +18,14 @@ from hayrick.llm.tokens import tokenizer_path
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity score reaches the threshold go."""
+    """Documents whose toxicity score reaches the threshold go.
+
+    Null and empty texts have the score of no distance at all and, where toxic texts are the
+    fewer, stay; equal texts go or stay together; very long texts are read whole; an empty
+    table stays one; other columns are kept, whatever their names.
+    """
     model = toxicity.train(docs, common.table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model).where(F.col("score") < toxicity.THRESHOLD).select(docs.columns)
+    return toxicity.score(docs, model, _SCORE).where(F.col(_SCORE) < toxicity.THRESHOLD).select(docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -63,7 +68,7 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 #: Rows of two numbers that are broadcast at most: some 50 MB.
 SPARE_ROWS = 2_000_000
-_ID, _MARK, _TIMES = "spare__doc_id", "spare__mark", "spare__times"
+_ID, _MARK, _TIMES, _SCORE = "spare__doc_id", "spare__mark", "spare__times", "toxicity__score"
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("toxicity", drop_toxic),
