@@ -272,7 +272,9 @@ def _components(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, D
     met = index.where("node != list_pivot").groupBy("node", "list_pivot").agg(F.count(F.lit(1)).alias("times"))
     first = met.groupBy("node").agg(F.max(F.struct("times", F.col("list_pivot").alias("pivot"))).alias("m"))
     pairs = common.materialize(first.select(F.col("node").alias("a"), F.col("m.pivot").alias("b")), "pairs")
-    sets = held.groupBy("node").agg(F.min("doc_id").alias("doc_id")).join(held.select("node", "doc_id", "shingles"), ["node", "doc_id"])
+    # One row a node; a row's key is never null, as its doc_id may be.
+    keyed = held.withColumn("key", F.xxhash64("doc_id", "mark"))
+    sets = keyed.groupBy("node").agg(F.min("key").alias("key")).join(keyed.select("node", "key", "shingles"), ["node", "key"])
     answers = compare(pairs, sets)
     links = answers.where(linked(percent)).select("a", "b")
     roots = components(links)
