@@ -2,8 +2,7 @@
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as
 Parquet and read again as the next one's docs. All but the last return the columns of
-documents. Rows with a null text or a null doc_id pass the filters; each stage says what it
-does to the others. An empty table stays one.
+documents, and any others that were there. Each stage says what it does to odd rows.
 """
 
 from __future__ import annotations
@@ -50,19 +49,31 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that contain a benchmark item go."""
+    """Documents that contain a benchmark item go.
+
+    Null, empty and blank texts contain nothing and stay; equal texts go or stay together;
+    very long texts are searched whole; without items all stay; columns of any name are kept.
+    """
     found = decontamination.contaminated(docs, common.table(spark, sf_dir, "benchmark"))
     return found.where(F.size("items") == 0).select(docs.columns)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are replaced by a mark; n_chars follows the text."""
+    """Secrets are replaced by a mark; n_chars follows the text.
+
+    All rows stay, also repeated ones. Null texts and their n_chars stay as they are, empty
+    ones too; very long texts are cleaned whole; an empty table stays one.
+    """
     clean = secrets.redact(docs, secrets.train(docs))
     return clean.withColumn("n_chars", F.coalesce(F.length("text").cast(docs.schema["n_chars"].dataType), F.col("n_chars")))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All that is left is packed into token sequences; one row a piece."""
+    """All that is left is packed into token sequences; one row a piece.
+
+    Null and empty texts are their end id; repeated rows are packed each; only texts longer
+    than a sequence are cut; an empty table gives no pieces; other columns aren't returned.
+    """
     return packing.pack(docs, tokenizer_path())
 
 

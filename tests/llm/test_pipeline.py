@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from hayrick.llm import packing, secrets, tokens, toxicity
+from hayrick.llm import jaccard_join, packing, secrets, tokens, toxicity
 from tests.llm.conftest import prose
 from tests.llm.test_decontamination import brute_force as decontaminated
 from tests.llm.test_jaccard_join import brute_force as joined
@@ -15,6 +15,36 @@ from tests.llm.test_jaccard_join import brute_force as joined
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def kept_of_groups(rows):
+    """Of connected rows, told apart by their place in the list, one; rows without words all stay."""
+    groups = [g for _, _, g in joined_groups([t for _, t in rows])]
+    out = []
+    for g in sorted(set(groups) - {None}):
+        members = [r for r, h in zip(rows, groups) if h == g]
+        least = min((i for i, _ in members if i is not None), default=None)
+        out.append((least, {t for i, t in members if i == least}))
+    return out, [r for r, h in zip(rows, groups) if h is None]
+
+
+def joined_groups(texts):
+    """(place, text, number of its group) by all pairs; None without words."""
+    rows = joined([(k, t) for k, t in enumerate(texts)])
+    return [(k, texts[k], component if size else None) for k, size, component in sorted(rows)]
+
+
+def check_kept(before, after):
+    groups, blank = kept_of_groups(before)
+    left = list(after)
+    for row in blank:
+        left.remove(row)
+    assert len(left) == len(groups)
+    for least, options in groups:
+        (mine,) = [r for r in left if r[0] == least and r[1] in options][:1] or [None]
+        assert mine is not None
+        left.remove(mine)
+    assert not left
+
+
 @pytest.fixture(scope="module")
 def tables(spark, tmp_path_factory):
     rows, labels = [], []
@@ -53,10 +83,9 @@ def test_stages(spark, tables):
     assert 0 < now.count() < docs.count()
 
     before = pairs(now)
-    kept = {i for i, _, component in joined(before) if i == component}
     now = stages["near copies"](spark, now, folder)
     assert now.columns == COLUMNS
-    assert sorted(pairs(now), key=repr) == sorted({r for r in before if r[0] in kept}, key=repr)
+    check_kept(before, pairs(now))
     assert not {400, 401} & {i for i, _ in pairs(now)}
 
     before = pairs(now)
@@ -95,3 +124,36 @@ def test_run(spark, tables):
     folder, _ = tables
     found = corpus_pipeline.run(spark, folder)
     assert {"doc_id", "piece", "sequence_id", "offset"} <= set(found.columns) and found.count() > 100
+
+
+NEAR = " ".join(["changed" if k == 20 else w for k, w in enumerate(prose(31, 120).split())])
+
+
+@pytest.mark.parametrize("most", [corpus_pipeline.SPARE_ROWS, 0])
+def test_near_copies_go_by_row(spark, monkeypatch, most):
+    """Rows that share an id are told apart, joined by broadcast or not."""
+    monkeypatch.setattr(corpus_pipeline, "SPARE_ROWS", most)
+    x, y = prose(31, 120), prose(32, 60)
+    rows = [(3, x), (5, y), (5, NEAR), (None, NEAR), (None, prose(33, 50)), (None, prose(33, 50)), (7, y), (7, y), (8, prose(34, 40)), (8, prose(34, 40)), (9, None), (9, None), (10, ""), (11, " "), (12, "one word"), (13, "one word")]
+    docs = spark.createDataFrame([(i, t, 1, 2, 3, 4) for i, t in rows], "doc_id bigint, text string, mark int, times int, kept int, component_id int").repartition(3)
+    out = corpus_pipeline.drop_near_copies(spark, docs, "")
+    assert out.columns == docs.columns
+    found = [(r["doc_id"], r["text"]) for r in out.collect()]
+    check_kept(rows, found)
+    assert (5, NEAR) not in found and (3, x) in found and found.count((8, prose(34, 40))) == 1 and found.count((9, None)) == 2
+    assert jaccard_join.spare(docs.where("false")).collect() == []
+
+
+def test_stages_of_odd_tables(spark, tables):
+    """Empty tables, null columns, and columns named as what the operators make."""
+    folder, _ = tables
+    extra = "cast(null as double) as score, 'x' as spans, 1 as hits, 2 as items, 3 as overlap, 4 as kept, 5 as bucket, 6 as length"
+    odd = spark.createDataFrame([(None, None, None, None, None), (1, None, "en", "s", 0), (2, "", None, None, None), (2, prose(5, 30), None, None, 9), (None, prose(6, 30), "en", None, 1)], "doc_id bigint, text string, lang string, source string, n_chars bigint").selectExpr("*", *extra.split(", "))
+    for docs in (odd, odd.where("false")):
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, docs, folder)
+            if name == "packing":
+                assert out.count() == docs.count()
+            else:
+                assert out.columns == docs.columns
+                assert sorted(map(repr, out.select("doc_id", "text").collect())) == sorted(map(repr, docs.select("doc_id", "text").collect()))
