@@ -1,8 +1,10 @@
 """Quality classification by co-training.
 
 Two logistic regressions see a document from two sides: its words and characters (text
-view), and what a page's metadata say (language, source, length, layout of lines: metadata
-view). They start from the labelled sample. In each round either view labels the unlabelled
+view), and what is known about its page (language, source, the length that the table states,
+and the layout of its lines: metadata view). The layout is there because language, source
+and length alone say nothing of quality in the given tables (each value of them has the same
+share of good labels), and a view without any signal can teach the other nothing. They start from the labelled sample. In each round either view labels the unlabelled
 documents it is surest of, as many of each class as the class's share asks for, and hands
 them to the other view, which learns from them too. Then both views are calibrated on
 labelled rows that neither has learned from, and the calibrated log odds are added up by a
@@ -16,8 +18,7 @@ outside the held-out fold. Labelled documents are a sample: at most `most`, thos
 smallest hash of their id. Nothing is learned from the held-out fold.
 
 Defined cases: null texts are empty; empty texts have features of length 0; very long texts
-are read whole; null language, source or n_chars count as a value of their own (n_chars is
-taken from the text); repeated rows score alike; an empty table gives no rows; without
+are read whole; null language, source or n_chars count as a value of their own; repeated rows score alike; an empty table gives no rows; without
 labels of both classes every score is the share of good labels (1 without any); a column
 named like a result is replaced, other columns are kept.
 """
@@ -52,7 +53,10 @@ def views(batch: pa.RecordBatch | pa.Table) -> tuple[np.ndarray, np.ndarray]:
     """Text and metadata features of the rows of text, lang, source and n_chars."""
     n = batch.num_rows
     text = np.zeros((n, 8 + 5 + WORD_BINS))
-    meta = np.zeros((n, 2 * NAME_BINS + 5))
+    meta = np.zeros((n, 2 * NAME_BINS + 6))
+    given = batch.column(batch.schema.get_field_index("n_chars"))
+    known = np.array([v is not None for v in given.to_pylist()], bool)
+    chars = np.array([max(v or 0, 0) for v in given.to_pylist()], float)
     column = batch.column(batch.schema.get_field_index("text"))
     for first, end, data, offsets in common.text_slices(column.fill_null("")):
         rows, size = np.arange(first, end), np.diff(offsets)
@@ -72,12 +76,13 @@ def views(batch: pa.RecordBatch | pa.Table) -> tuple[np.ndarray, np.ndarray]:
         text[rows, 11] = np.minimum(by_kind[:, 1] / some, 3)  # capitals a word
         text[rows, 12] = np.log1p(count)
         text[rows, 13:] = np.sqrt(bins / some[:, None])
-        lines = by_kind[:, 4] + (size > 0)
-        meta[rows, 2 * NAME_BINS] = np.log1p(size)
-        meta[rows, 2 * NAME_BINS + 1] = np.log1p(lines)
-        meta[rows, 2 * NAME_BINS + 2] = np.log1p(size / np.maximum(lines, 1))
-        meta[rows, 2 * NAME_BINS + 3] = np.log1p(by_kind[:, 5] / np.maximum(lines, 1))
-        meta[rows, 2 * NAME_BINS + 4] = by_kind[:, 4] / some
+        lines = np.maximum(by_kind[:, 4] + (size > 0), 1)
+        meta[rows, 2 * NAME_BINS + 2] = np.log1p(lines)
+        meta[rows, 2 * NAME_BINS + 3] = np.log1p(chars[rows] / lines)
+        meta[rows, 2 * NAME_BINS + 4] = np.log1p(by_kind[:, 5] / lines)
+        meta[rows, 2 * NAME_BINS + 5] = by_kind[:, 4] / some
+    meta[:, 2 * NAME_BINS] = np.log1p(chars)
+    meta[:, 2 * NAME_BINS + 1] = ~known
     for k, name in enumerate(("lang", "source")):
         values = batch.column(batch.schema.get_field_index(name)).to_pylist()
         meta[np.arange(n), k * NAME_BINS + np.array([_bin(v) for v in values], np.int64)] = 1
@@ -196,17 +201,20 @@ def train(docs: DataFrame, labels: DataFrame, *, modulus: int = 4, held: int = 2
     rank = F.xxhash64(F.col("doc_id").cast("string"))
     # Ids are drawn first, so that no text is shuffled; at most `most` of them are broadcast.
     some = known.where(outside).orderBy(rank, "doc_id").limit(most)
-    rows = docs.select("doc_id", common.whole_text().alias("text"), "lang", "source", "n_chars")
-    with_labels = rows.join(F.broadcast(some), "doc_id").orderBy(rank, "doc_id", "text").limit(most).toArrow()
-    y = np.array(with_labels.column("quality").to_pylist(), int)
-    share = float(y.mean()) if len(y) else 1.0
+    counts = {r["quality"]: r["count"] for r in some.groupBy("quality").count().collect()}  # two rows
+    share = counts.get(1, 0) / sum(counts.values()) if counts else 1.0
+    if sum(counts.values()) < 12 or len(counts) < 2:
+        return Model(share)
+    features = featured(docs.where(outside))
+    # Features of the sample come to the driver, no texts.
+    sample = features.join(F.broadcast(some), "doc_id").orderBy(rank, "doc_id", "key").limit(most).select("quality", *VIEWS).toArrow()
+    y = np.array(sample.column("quality").to_pylist(), int)
     if len(y) < 12 or not 0 < y.sum() < len(y):
         return Model(share)
-    labelled = views(with_labels)
+    labelled = tuple(_matrix(sample.column(v).combine_chunks(), len(y)) for v in VIEWS)
     kept = np.arange(len(y)) % 3 == 2  # for calibration
     if not 0 < y[kept].sum() < kept.sum() or not 0 < y[~kept].sum() < (~kept).sum():
         kept = np.zeros(len(y), bool)
-    features = featured(docs.where(outside))
     centre = centres(features)
     scaled = lambda views: [(v - m) / s for v, (m, s) in zip(views, centre, strict=True)]
     ready = scaled(labelled)

@@ -40,7 +40,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,7 +48,8 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 from hayrick.llm import common
 
 WORDS = re.compile(r"[^\W\d_]+")
-WINDOW, STEP, PLACES = 32, 16, 9
+WINDOW, STEP, PLACES = 48, 32, 9
+_BASE = 0x9E3779B97F4A7C15
 THRESHOLD = 0.3
 #: What a text gives to the dictionaries at most: so many ordinary windows of 64 words, or toxic pieces of 128 bytes.
 PER_TEXT, PER_TOXIC = 4, 8
@@ -60,30 +60,39 @@ def places(word: str) -> list[str]:
     return [*(word[:k] for k in range(1, min(len(word), PLACES) + 1)), word + " "]
 
 
-def code(place: str) -> bytes:
-    return xxhash.xxh3_64_digest(place.encode("utf-8", "surrogatepass"))[:2]
+def spell(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Two bytes for each place of each word, and where the words begin among them (one more at the end).
+
+    A place is known by a polynomial of its letters, mixed; a word's end by its mixed again.
+    """
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    letters = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+    first = np.cumsum(sizes) - sizes
+    at = np.arange(len(letters)) - np.repeat(first, sizes)
+    powers = np.full(int(sizes.max(initial=0)) + 1, _BASE, np.uint64)
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((letters + np.uint64(1)) * np.cumprod(powers)[at])])
+    known = common.mix(sums[1:] - np.repeat(sums[first], sizes))
+    whole = common.mix(common.mix(sums[first + sizes] - sums[first]) + np.uint64(1))
+    counts = np.minimum(sizes, PLACES) + 1
+    begins = np.concatenate([[0], np.cumsum(counts)])
+    out = np.empty(int(begins[-1]), np.uint64)
+    ends = np.zeros(len(out), bool)
+    ends[begins[1:] - 1] = True
+    out[ends], out[~ends] = whole, known[at < PLACES]
+    return (out >> np.uint64(48)).astype("<u2"), begins
 
 
 class Speller:
-    """Words in their spelling; remembers frequent ones."""
+    """Texts in their spelling, as windows of words."""
 
-    def __init__(self, most: int = 200_000):
-        self.most, self.known = most, {}
-
-    def words(self, text: str) -> list[bytes]:
-        known, out = self.known, []
-        for w in WORDS.findall(text.lower()):
-            c = known.get(w)
-            if c is None:
-                if len(known) >= self.most:
-                    known.clear()
-                c = known[w] = b"".join(map(code, places(w)))
-            out.append(c)
-        return out
-
-    def windows(self, text: str) -> list[bytes]:
-        words = self.words(text)
-        return [b"".join(words[a : a + WINDOW]) for a in range(0, max(len(words) - WINDOW + STEP, 1), STEP)] if words else []
+    def windows(self, text: str, words: int = WINDOW, step: int = STEP) -> list[bytes]:
+        found = WORDS.findall(text.lower())
+        if not found:
+            return []
+        codes, begins = spell(found)
+        data, at = codes.tobytes(), (2 * begins).tolist()
+        last = len(found)
+        return [data[at[a] : at[min(a + words, last)]] for a in range(0, max(last - words + step, 1), step)]
 
 
 class Distance:
@@ -187,12 +196,13 @@ def _samples(kept: list[set[str]]):
             for group, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 half, toxic = divmod(group, 2)
                 if not toxic:
-                    words = speller.words(text)
-                    rows += [(half, 0, b"".join(words[a : a + 64])) for a in _spread(range(0, len(words), 64), PER_TEXT)]
+                    rows += [(half, 0, w) for w in _spread(speller.windows(text, 64, 64), PER_TEXT)]
                     continue
+                words = WORDS.findall(text.lower())
+                codes, begins = spell(words) if words else (np.zeros(0, "<u2"), np.zeros(1, int))
                 for which in (half, 2):
                     keep = kept[which]
-                    found = b"".join(code(p) for w in WORDS.findall(text.lower()) for p in places(w) if p in keep)
+                    found = codes[np.fromiter((p in keep for w in words for p in places(w)), bool, len(codes))].tobytes()
                     rows += [(which, 1, p) for p in _spread([found[a : a + 128] for a in range(0, len(found), 128)], PER_TOXIC)]
             columns = list(zip(*rows, strict=True)) or [[]] * 3
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int32(), pa.binary()), strict=True)], ["part", "toxic", "bytes"])

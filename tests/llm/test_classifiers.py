@@ -47,7 +47,6 @@ def test_toxicity_against_the_definition(labelled):
     """Scores from the model's dictionaries by plain loops: spelling, windows, two compressors, two features."""
     import re
 
-    import xxhash
     import zstandard
 
     docs, labels = labelled
@@ -59,17 +58,24 @@ def test_toxicity_against_the_definition(labelled):
         known.precompute_compress(level=3)
         packers.append(zstandard.ZstdCompressor(level=3, dict_data=known, write_content_size=False, write_checksum=False, write_dict_id=False))
 
+    def mixed(x):
+        x &= (1 << 64) - 1
+        x = (x ^ (x >> 30)) * 0xBF58476D1CE4E5B9 % (1 << 64)
+        x = (x ^ (x >> 27)) * 0x94D049BB133111EB % (1 << 64)
+        return x ^ (x >> 31)
+
     def score(text):
         words = []
         for w in re.findall(r"[^\W\d_]+", text.lower()):
-            parts = [w[:k] for k in range(1, min(9, len(w)) + 1)] + [w + " "]
-            words.append(b"".join(xxhash.xxh3_64_digest(p.encode())[:2] for p in parts))
+            sums = [sum((ord(c) + 1) * 0x9E3779B97F4A7C15 ** (i + 1) for i, c in enumerate(w[:k])) for k in range(1, len(w) + 1)]
+            codes = [mixed(x) for x in sums[:9]] + [mixed(mixed(sums[-1]) + 1)]
+            words.append(b"".join((c >> 48).to_bytes(2, "little") for c in codes))
         saved = []
         at = 0
         while words and (at == 0 or at + 16 < len(words)):
-            plain, both = (len(p.compress(b"".join(words[at : at + 32]))) for p in packers)
+            plain, both = (len(p.compress(b"".join(words[at : at + 48]))) for p in packers)
             saved.append(plain - both)
-            at += 16
+            at += 32
         largest, mean = (max(saved), sum(s for s in saved if s > 0) / len(saved)) if saved else (0, 0)
         return 1 / (1 + np.exp(-(largest * model.weights[0] + mean * model.weights[1] + model.weights[2])))
 
