@@ -162,6 +162,18 @@ def test_licences(spark, licensed, docs, empty):
     assert licenses.scan(empty, model).collect() == []
 
 
+def test_prose_on_licences_is_no_licence(spark, licensed):
+    """Lines that speak of licences are learned as ordinary text, not left out; none is taken for one, and texts' own paragraphs are."""
+    talk = ["Her driving license had expired, and the public copyright office was closed.", "They argued about the terms of the license fee and who may use the file.", "A general license for the library costs more than the software.", "Copyright law is dull, said the author, and the notice was lost.", "The creative commons of the village were open to any person free of charge."]
+    rows = [(i, t) for i, t, _ in licensed] + [(1000 + k, f"{prose(k, 12)}\n{talk[k % 5]}\n{prose(k + 50, 9)}") for k in range(80)]
+    body = "\n".join(licenses.NOTICES["BSD"][2:])
+    rows += [(2000, body), (2001, licenses.NOTICES["AGPL"][1]), (2002, "\n".join(licenses.NOTICES["zlib"][1:]))]
+    table = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    found = {r["doc_id"]: r["licences"] for r in licenses.scan(table, licenses.train(table)).collect()}
+    assert all(found[1000 + k] == [] for k in range(80))
+    assert (found[2000], found[2001], found[2002]) == (["BSD"], ["AGPL"], ["zlib"])
+
+
 def test_licence_scores_against_plain_python(spark, licensed):
     import re
 
