@@ -12,31 +12,25 @@ def w(text):
     return [x for x in re.split(r"[\W_]+", text.lower()) if x]
 
 
+def accepted(item, doc, window=d.WINDOW, share=d.SHARE):
+    """Whether any window of any diagonal agrees enough, without a condition on seeds."""
+    n = len(item)
+    width = min(window, n)
+    for diagonal in range(-n + 1, len(doc)):
+        aligned = [0 <= diagonal + k < len(doc) and doc[diagonal + k] == item[k] for k in range(n)]
+        if max(sum(aligned[s : s + width]) for s in range(n - width + 1)) >= share * width:
+            return True
+    return False
+
+
 def brute_force(texts, items, window=d.WINDOW, share=d.SHARE):
-    """Every diagonal of every pair; an item is found if a window agrees enough and a seed hits."""
+    """Every diagonal of every pair; an item is found if a window agrees enough, whatever the seeds."""
     out = []
     for _, t in texts:
         # as the operator's words: a text that begins with a mark has an empty first word
-        doc = re.split(r"[^\w]|_", "") if t is None else re.split(r"(?:[\W_])+", t.lower())
-        found = set()
-        for i, it in items:
-            item = w(it or "")
-            n = len(item)
-            if i is None or n < d.SHORTEST:
-                continue
-            masks = d.MASKS if n >= d.SPAN else (tuple(range(n)),)
-            for diagonal in range(-n + 1, len(doc)):
-                equal = [0 <= diagonal + k < len(doc) and doc[diagonal + k] == item[k] for k in range(n)]
-                span = d.SPAN if n >= d.SPAN else n
-                if not any(all(equal[s + p] for p in m) for m in masks for s in range(n - span + 1)):
-                    continue
-                lo, hi = max(0, -diagonal), min(n, len(doc) - diagonal)
-                width = min(window, n)
-                aligned = equal[lo:hi]
-                best = max(sum(aligned[s : s + width]) for s in range(max(1, len(aligned) - width + 1)))
-                if best >= share * width:
-                    found.add(i)
-        out.append(sorted(found))
+        doc = [] if t is None else re.split(r"(?:[\W_])+", t.lower())
+        wanted = [(i, w(it or "")) for i, it in items]
+        out.append(sorted(i for i, item in wanted if i is not None and item and accepted(item, doc, window, share)))
     return out
 
 
@@ -76,37 +70,44 @@ def test_empty_sides_and_extra_columns(spark, docs, empty, items):
     assert clean.columns == [*docs.columns, "items", "overlap"]
 
 
-def test_masks_leave_no_word_ignored_by_all():
-    assert {p for m in d.MASKS for p in m} == set(range(d.SPAN))
-    assert all(m[0] == 0 and m[-1] == d.SPAN - 1 for m in d.MASKS)
+def test_masks():
+    """They begin at 0, and those of items that may differ ignore positions."""
+    assert all(m[0] == 0 and list(m) == sorted(set(m)) for f in d.FAMILIES for m in f)
+    assert all(m[-1] > len(m) - 1 for m in d.LONG) and d.SHORT[1] == (0, 2)
 
 
-def accepted(item, doc, window=d.WINDOW, share=d.SHARE):
-    """Whether any window of any diagonal agrees enough, without a condition on seeds."""
-    n = len(item)
-    width = min(window, n)
-    for diagonal in range(-n + 1, len(doc)):
-        aligned = [0 <= diagonal + k < len(doc) and doc[diagonal + k] == item[k] for k in range(n)]
-        if max(sum(aligned[s : s + width]) for s in range(n - width + 1)) >= share * width:
-            return True
-    return False
+def test_no_accepted_substitution_lacks_a_seed():
+    """All ways to replace words of windows of every length."""
+    for n in range(1, d.WINDOW + 1):
+        family, least = d.plan(n)
+        counts = []
+        for out in combinations(range(n), int(n * (1 - d.SHARE))):
+            counts.append(sum(not any(s + k in out for k in m) for m in d.FAMILIES[family] for s in range(n - m[-1])))
+        assert min(counts) == least >= 1, n
+
+
+def test_rows_that_share_an_id_and_clashing_columns(spark, items):
+    item = items[3][1]
+    rows = [(1, item, "a", 1, 2, 3, 4), (1, prose(1, 30), "b", 1, 2, 3, 4), (None, item, "c", 1, 2, 3, 4), (None, prose(2, 30), "d", 1, 2, 3, 4), (2, item, "e", 1, 2, 3, 4), (2, item, "f", 1, 2, 3, 4)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, name string, hits int, items int, overlap int, words int")
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    for limit in (1_000_000, 0):
+        found = d.contaminated(docs, bench, broadcast_rows=limit)
+        assert set(found.columns) == set(docs.columns)
+        assert {r["name"]: bool(r["items"]) for r in found.collect()} == {"a": True, "b": False, "c": True, "d": False, "e": True, "f": True}
 
 
-def test_no_accepted_substitution_lacks_a_seed():
-    for n in range(d.SHORTEST, d.WINDOW + 1):
-        span, least = d._plan(n, d.WINDOW, d.SHARE)
-        replaced = int(n * (1 - d.SHARE))
-        for out in combinations(range(n), replaced):
-            seeds, run = 0, 0
-            for k in range(n):
-                run = 0 if k in out else run + 1
-                seeds += run >= span
-            assert seeds >= least, (n, out)
+def test_texts_with_many_hits(spark):
+    """More hits than a group of them has, in one long text, and items that repeat one word."""
+    items = [(k, prose(100 + k, 12)) for k in range(150)] + [(900, "same " * 9)]
+    texts = [(1, " ".join(t for _, t in items[:150])), (2, "same " * 40), (3, prose(7, 40))]
+    found = d.contaminated(spark.createDataFrame(texts, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")).collect()
+    assert {r["doc_id"]: r["items"] for r in found} == {1: list(range(150)), 2: [900], 3: []}
 
 
 def test_substituted_items_are_found(spark):
-    """Every fourth word of items of 5 to 60 words, and random words as many as the share allows."""
-    lengths = [*range(5, 31), 60]
+    """Every fourth word of items of 1 to 60 words, and random words as many as the share allows."""
+    lengths = [*range(1, 31), 60]
     items = [(n, prose(9000 + n, n)) for n in lengths]
     rnd, docs = random.Random(5), []
     for n, text in items:
