@@ -54,8 +54,8 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     Null, empty and blank texts contain nothing and stay; equal texts go or stay together;
     very long texts are searched whole; without items all stay; columns of any name are kept.
     """
-    found = decontamination.contaminated(docs, common.table(spark, sf_dir, "benchmark"))
-    return found.where(F.size("items") == 0).select(docs.columns)
+    found = decontamination.contaminated(docs, common.table(spark, sf_dir, "benchmark"), into=(_ITEMS, _OVERLAP))
+    return found.where(F.size(_ITEMS) == 0).select(docs.columns)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -80,6 +80,7 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 #: Rows of two numbers that are broadcast at most: some 50 MB.
 SPARE_ROWS = 2_000_000
 _ID, _MARK, _TIMES, _SCORE = "spare__doc_id", "spare__mark", "spare__times", "toxicity__score"
+_ITEMS, _OVERLAP = "decontamination__items", "decontamination__overlap"
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("toxicity", drop_toxic),
