@@ -4,9 +4,14 @@ Every piece asks for three resources of a sequence: tokens, one of its document
 and attention cost (the square of its length). Pieces go longest first; each takes, of
 the open sequences where all three still fit, the one with the smallest weighted norm of
 what would be left (rule "norm") or the largest weighted dot product of its needs with
-what is left (rule "dot"); where none fits a new one is opened. Norms are weighted so
-that tokens decide and the other two break ties, which keeps the number of sequences
-close to total tokens / capacity.
+what is left (rule "dot"); where none fits a new one is opened. Shares of the capacities are
+weighted so that tokens count most, which keeps the number of sequences close to total
+tokens / capacity.
+
+A sequence must have room for a full piece, so with the attention capacity of `pack`, the
+square of the tokens, attention cost can't run out before tokens do and only steers the
+choice; a smaller one, for pieces that are all shorter, does. Slots run out where documents
+are many and short.
 
 Only documents longer than a sequence are cut: whole sequences from their end, so the
 first piece may be shorter and is packed with the others; the whole ones need no search.
@@ -36,10 +41,12 @@ from hayrick.llm.tokens import Encoder, tokenizer_path
 
 END_ID = 0
 CAPACITY = 2048
+#: Document slots of a sequence, and how much tokens, slots and attention cost count in a norm or product.
+DOCUMENTS, WEIGHTS = 64, (1.0, 0.05, 0.05)
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 
 
-def vector_best_fit(lengths: np.ndarray, capacity: int, documents: int, attention: int, *, rule: str = "norm", weights: tuple[float, float, float] = (1.0, 1e-7, 1e-7)) -> tuple[np.ndarray, np.ndarray]:
+def vector_best_fit(lengths: np.ndarray, capacity: int, documents: int, attention: int, *, rule: str = "norm", weights: tuple[float, float, float] = WEIGHTS) -> tuple[np.ndarray, np.ndarray]:
     """For each length its bin and its offset there."""
     if rule not in ("norm", "dot"):
         raise ValueError("rule is norm or dot")
@@ -92,7 +99,7 @@ def _pieces(path: str, end: int, capacity: int):
     return cut
 
 
-def pack(docs: DataFrame, path: str, *, end: int = END_ID, capacity: int = CAPACITY, documents: int = CAPACITY, attention: int = CAPACITY * CAPACITY, rule: str = "norm", group_rows: int = 8192) -> DataFrame:
+def pack(docs: DataFrame, path: str, *, end: int = END_ID, capacity: int = CAPACITY, documents: int = DOCUMENTS, attention: int = CAPACITY * CAPACITY, rule: str = "norm", group_rows: int = 8192) -> DataFrame:
     """One row a piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
     groups = max(1, math.ceil(docs.count() / group_rows))
     texts = docs.select(F.col("doc_id").cast("bigint"), common.whole_text().alias("text"))

@@ -120,6 +120,8 @@ def _ones(bitmap: np.ndarray) -> np.ndarray:
     return _ONES[bitmap].astype(np.int64)
 
 
+#: Partitions written at most: beyond, they grow in length, and are still written segment by segment.
+MOST_PARTS = 20_000
 SEGMENTS = "part int, segment int, before bigint, doc_ids array<bigint>, lengths array<int>, codes binary"
 
 
@@ -161,9 +163,10 @@ def _segments(path: str, end: int, bits: int, segment_ids: int):
 def write_codes(docs: DataFrame, path: str, *, end: int = END_ID, bits: int = 8, segment_ids: int = 1 << 18, part_bytes: int = 16 << 20) -> DataFrame:
     """Encode doc_id and text into segments in ascending doc_id order, written to the shared folder; returns them as read back."""
     _, size = common.text_size(docs)
-    parts = max(1, math.ceil(size / part_bytes))
+    parts = max(1, min(MOST_PARTS, math.ceil(size / part_bytes)))
     rows = docs.select(F.col("doc_id").cast("bigint"), common.whole_text().alias("text"))
-    ordered = rows.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
+    # Texts with one id, or none, are dealt out too.
+    ordered = rows.repartitionByRange(parts, "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"), "text")
     return common.materialize(ordered.mapInArrow(_segments(path, end, bits, segment_ids), SEGMENTS), "token-codes")
 
 
@@ -183,7 +186,7 @@ def read_codes(segments: DataFrame) -> DataFrame:
     """Per document: its place among all ids, its length, the crc32 of its ids and its last id (by random access)."""
     ends = segments.groupBy("part").agg(F.max(F.col("before") + F.aggregate("lengths", F.lit(0).cast("bigint"), lambda s, x: s + x)).alias("ids"))
     base, bases = 0, []
-    for row in sorted(ends.collect()):  # one row for each written partition
+    for row in sorted(ends.collect()):  # one row for each written partition, at most MOST_PARTS
         bases.append((row["part"], base))
         base += row["ids"]
     offsets = segments.sparkSession.createDataFrame(bases, "part int, base bigint")

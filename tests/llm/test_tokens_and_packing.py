@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from hayrick.llm import packing, token_codes
+from hayrick.llm import common, packing, token_codes
 from hayrick.llm.tokens import Encoder, tokenizer_path
 
 PATH = tokenizer_path()
@@ -96,3 +96,62 @@ def test_document_and_attention_capacities_bind_alone():
     assert np.bincount(slots).tolist() == [5] * 12
     attention, _ = packing.vector_best_fit(np.full(60, 10), 100, 100, 3 * 100)
     assert np.bincount(attention).tolist() == [3] * 20
+
+
+def plain_best_fit(lengths, capacity, documents, attention, rule, weights):
+    """Bin by bin in plain Python: of the open bins in which a piece fits, the best by the rule's own formula."""
+    bins, where = [], [None] * len(lengths)
+    for i in sorted(range(len(lengths)), key=lambda i: (-lengths[i], i)):
+        need = (lengths[i], 1, lengths[i] ** 2)
+        best = None
+        for k, left in enumerate(bins):
+            if all(n <= x for n, x in zip(need, left)):
+                parts = zip(weights, need, left, (capacity, documents, attention))
+                score = sum(w * ((x - n) / c) ** 2 for w, n, x, c in parts) if rule == "norm" else -sum(w * n * x / c**2 for w, n, x, c in parts)
+                if best is None or score < best[0] - 1e-12:
+                    best = (score, k)
+        if best is None:
+            bins.append([capacity, documents, attention])
+            best = (0, len(bins) - 1)
+        where[i] = best[1]
+        bins[best[1]] = [x - n for n, x in zip(need, bins[best[1]])]
+    return where, len(bins)
+
+
+@pytest.mark.parametrize("rule", ["norm", "dot"])
+@pytest.mark.parametrize(("documents", "attention"), [(64, 100**2), (3, 100**2), (64, 2600), (4, 3000)])
+def test_vector_best_fit_against_plain_python(rule, documents, attention):
+    """Capacities that bind: slots, attention cost, and both."""
+    rng = np.random.default_rng(documents + attention)
+    lengths = rng.integers(1, 50, 300)
+    bins, offsets = packing.vector_best_fit(lengths, 100, documents, attention, rule=rule)
+    _, count = plain_best_fit(lengths.tolist(), 100, documents, attention, rule, packing.WEIGHTS)
+    found = int(bins.max()) + 1
+    assert abs(found - count) <= 1  # equal scores may be settled otherwise
+    for b in range(found):
+        mine = lengths[bins == b]
+        assert mine.sum() <= 100 and len(mine) <= documents and (mine**2).sum() <= attention
+        assert sorted(offsets[bins == b].tolist()) == np.concatenate([[0], np.cumsum(mine[np.argsort(offsets[bins == b])])[:-1]]).tolist()
+    loose = int(packing.vector_best_fit(lengths, 100, 1000, 100**2)[0].max()) + 1
+    assert found >= loose and ((documents, attention) == (64, 100**2) or found > loose)
+
+
+def thue_morse(letters, size):
+    out = letters[0]
+    other = str.maketrans(letters, letters[::-1])
+    while len(out) < size:
+        out += out.translate(other)
+    return out
+
+
+def test_stretches_of_mirrored_repeats_are_told_apart():
+    """Texts whose polynomial hashes cancel out keep their own ids, words their own hashes."""
+    encoder = Encoder.of(PATH)
+    for size in (32, 64, 1024, 2048):
+        pair = [thue_morse("ab", size), thue_morse("ba", size)]
+        ids, at = encoder.encode(pa.array(pair), 0)
+        for k, t in enumerate(pair):
+            assert ids[at[k] : at[k + 1]].tolist() == [*encoder.tokenizer.encode(t, add_special_tokens=False).ids, 0]
+        data = np.frombuffer(" ".join(pair).encode(), np.uint8)
+        hashes, _ = common.hash_words(data, np.array([0, len(data)]))
+        assert len(set(hashes.tolist())) == 2
