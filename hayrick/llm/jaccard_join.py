@@ -126,7 +126,7 @@ def mark() -> F.Column:
     return F.xxhash64("text")
 
 
-def counted(docs: DataFrame, *, width: int = SHINGLE, block_bytes: int = 12 << 20, bucket_bytes: int = 8 << 20, fan: int = parcels.FAN) -> tuple[DataFrame, list[DataFrame], int]:
+def counted(docs: DataFrame, *, width: int = SHINGLE, block_bytes: int = 8 << 20, bucket_bytes: int = 8 << 20, fan: int = parcels.FAN) -> tuple[DataFrame, list[DataFrame], int]:
     """Step 1: the texts with their blocks, the parcels of each exchange (the last ones hold frequent keys, for the blocks), and the bits of a key."""
     rows, size = common.text_size(docs)
     blocks = max(1, math.ceil(size / block_bytes))

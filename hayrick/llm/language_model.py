@@ -231,7 +231,7 @@ def _score(numbers: dict, weights: np.ndarray) -> Callable:
     return run
 
 
-def score_texts(docs: DataFrame, *, modulus: int = 7, held: int = 2, deleted: int = 3, block_bytes: int = 12 << 20, bucket_bytes: int = 8 << 20, fan: int = parcels.FAN) -> DataFrame:
+def score_texts(docs: DataFrame, *, modulus: int = 7, held: int = 2, deleted: int = 3, block_bytes: int = 8 << 20, bucket_bytes: int = 8 << 20, fan: int = parcels.FAN) -> DataFrame:
     """One row a document: fold, tokens, known tokens, add-one unigram score and model score (log10)."""
     rows, size = common.text_size(docs)
     size += rows  # the end tokens

@@ -151,7 +151,7 @@ class Field:
     def __setstate__(self, state: tuple) -> None:
         self.__init__(*state)
 
-    def _ids(self, tokens: list[str], most: int = 400_000) -> np.ndarray:
+    def _ids(self, tokens: list[str], most: int = 100_000) -> np.ndarray:
         known = self.known
         if len(known) > most:
             known.clear()
@@ -241,11 +241,6 @@ class Field:
         return out
 
 
-def _log_sum(x: np.ndarray, axis: int) -> np.ndarray:
-    top = x.max(axis, keepdims=True)
-    return np.log(np.exp(x - top).sum(axis)) + np.squeeze(top, axis)
-
-
 def fit_field(sequences: list[tuple[np.ndarray, np.ndarray]], *, steps: int = 60, rate: float = 0.2, ridge: float = 1e-3, longest: int = 64) -> Field:
     """Maximum likelihood by Adam; the sequences are cut at `longest` tokens and padded."""
     parts = [(x[a : a + longest], y[a : a + longest]) for x, y in sequences for a in range(0, len(y), longest)]
@@ -267,17 +262,20 @@ def fit_field(sequences: list[tuple[np.ndarray, np.ndarray]], *, steps: int = 60
     state = [np.zeros_like(w), np.zeros_like(w), np.zeros_like(m), np.zeros_like(m)]
     for step in range(1, steps + 1):
         emit, moves = (flat @ w.T).reshape(s, length, 3), m + allowed
-        ahead, behind = np.zeros((s, length, 3)), np.zeros((s, length, 3))
-        ahead[:, 0] = emit[:, 0] + moves[3]
-        for i in range(1, length):
-            nxt = _log_sum(ahead[:, i - 1][:, :, None] + moves[:3], 1) + emit[:, i]
-            ahead[:, i] = np.where(real[:, i, None], nxt, ahead[:, i - 1])
+        # Forward and backward with scaled probabilities; padding passes the last ones on.
+        e = np.exp(emit - emit.max(2, keepdims=True))
+        go, scale = np.exp(moves[:3]), np.ones((s, length, 1))
+        ahead, behind = np.empty((s, length, 3)), np.ones((s, length, 3))
+        now = np.exp(moves[3]) * e[:, 0]
+        for i in range(length):
+            if i:
+                now = np.where(real[:, i, None], (ahead[:, i - 1] @ go) * e[:, i], ahead[:, i - 1])
+            scale[:, i] = now.sum(1, keepdims=True)
+            ahead[:, i] = now / scale[:, i]
         for i in range(length - 2, -1, -1):
-            nxt = _log_sum(moves[:3] + (emit[:, i + 1] + behind[:, i + 1])[:, None, :], 2)
-            behind[:, i] = np.where(real[:, i + 1, None], nxt, 0)
-        total = _log_sum(ahead[:, -1], 1)
-        p = np.exp(ahead + behind - total[:, None, None]) * real[..., None]
-        pair = np.exp(ahead[:, :-1, :, None] + moves[:3] + (emit + behind)[:, 1:, None, :] - total[:, None, None, None]) * real[:, 1:, None, None]
+            behind[:, i] = np.where(real[:, i + 1, None], (e[:, i + 1] * behind[:, i + 1]) @ go.T / scale[:, i + 1], 1)
+        p = ahead * behind * real[..., None]
+        pair = ahead[:, :-1, :, None] * go * (e * behind / scale)[:, 1:, None, :] * real[:, 1:, None, None]
         gw = counts_w - p.reshape(-1, 3).T @ flat - ridge * s * w
         gm = counts_m - np.concatenate([pair.sum((0, 1)), p[:, 0].sum(0)[None]]) - ridge * s * m
         for value, g, k in ((w, gw, 0), (m, gm, 2)):
@@ -403,8 +401,8 @@ def find_secrets(docs: DataFrame, field: Field) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         field = shared.value
         for batch in batches:
-            texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
-            found = [[dict(zip(("kind", "start", "end"), s, strict=True)) for s in spans_of(t or "", field)] for t in texts]
+            texts = batch.column(batch.schema.get_field_index("text"))
+            found = [[dict(zip(("kind", "start", "end"), s, strict=True)) for s in spans_of(t.as_py() or "", field)] for t in texts]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, kind)], [*batch.schema.names, "spans"])
 
     return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("spans", SPANS)]))
@@ -427,7 +425,7 @@ def redact(docs: DataFrame, field: Field, mark: str = "[secret]") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             k = batch.schema.get_field_index("text")
-            yield batch.set_column(k, batch.schema.field(k), pa.array([clean(t) for t in batch.column(k).to_pylist()], batch.schema.field(k).type))
+            yield batch.set_column(k, batch.schema.field(k), pa.array((clean(t.as_py()) for t in batch.column(k)), batch.schema.field(k).type))
 
     return docs.mapInArrow(run, docs.schema)
 

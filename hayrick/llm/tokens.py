@@ -20,7 +20,7 @@ import pyarrow as pa
 from hayrick.llm import common
 
 #: Distinct stretches that a worker keeps; those not met for longest are encoded anew.
-REMEMBERED = 1_000_000
+REMEMBERED = 600_000
 _loaded: dict[str, "Encoder"] = {}
 
 

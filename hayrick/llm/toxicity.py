@@ -270,7 +270,7 @@ def score(docs: DataFrame, model: Model, into: str = "score") -> DataFrame:
         of = shared.value.scorer()
         for batch in batches:
             at = batch.schema.get_field_index("text")
-            got = pa.array([of(t or "") for t in batch.column(at).to_pylist()], pa.float64())
+            got = pa.array([of(t.as_py() or "") for t in batch.column(at)], pa.float64())
             yield pa.RecordBatch.from_arrays([*batch.columns, got], [*batch.schema.names, into])
 
     return docs.mapInArrow(run, schema)
