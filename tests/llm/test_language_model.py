@@ -83,3 +83,36 @@ def test_held_out_texts_are_likelier_than_by_the_base(docs):
     found = language_model.score_texts(docs).toPandas()
     held = found[found["held_out"]]
     assert held["score"].sum() > held["base_score"].sum()
+
+
+def test_weights_by_expectation_maximisation_token_by_token():
+    """The binned EM against one over single tokens in plain Python, and against changed weights."""
+    rng = np.random.default_rng(11)
+    tokens = []
+    for _ in range(3000):
+        b = int(rng.integers(0, 5))
+        two = float(rng.choice([0.0, *rng.uniform(0.01, 1, 3)])) if b else 0.0
+        tokens.append((b, two, float(rng.choice([0.0, *rng.uniform(1e-4, 0.1, 5)]))))
+    uniform = 1 / 5000
+    rows = [(b, int(language_model.level(np.array([t]))[0]), int(language_model.level(np.array([o]))[0]), 1.0, math.log(max(t, 1e-300)), math.log(max(o, 1e-300))) for b, t, o in tokens]
+    gathered = pd.DataFrame(rows, columns=["bucket", "two", "one", "tokens", "log_two", "log_one"]).groupby(["bucket", "two", "one"], as_index=False).sum()
+    weights = language_model.mixture_weights(gathered, uniform)
+
+    def likelihood(some, w):
+        return sum(math.log(w[0] * t + w[1] * o + w[2] * uniform) for _, t, o in some)
+
+    for b in range(5):
+        some = [x for x in tokens if x[0] == b]
+        w = [1 / 3] * 3 if b else [0.0, 0.5, 0.5]
+        for _ in range(60):
+            shares = [1.0 if x else 0.0 for x in w]
+            for _, t, o in some:
+                parts = [w[0] * t, w[1] * o, w[2] * uniform]
+                shares = [s + p / sum(parts) for s, p in zip(shares, parts)]
+            w = [s / sum(shares) for s in shares]
+        assert np.allclose(w, weights[b], atol=0.02)
+        best = likelihood(some, weights[b])
+        for _ in range(5):
+            other = np.clip(weights[b] + 0.15 * rng.normal(size=3), 1e-3, None) * (weights[b] > 0)
+            assert likelihood(some, other / other.sum()) < best + 1
+    assert np.allclose(weights[:5].sum(1), 1) and weights[0, 0] == 0

@@ -181,3 +181,32 @@ def test_field_learns_the_patterns(leaky, docs, empty):
     assert secrets.find_secrets(empty, field).collect() == []
     nothing = secrets.train(empty)
     assert nothing.weights is None and secrets.spans_of(f"token={KEY}", nothing) == [("assign", 0, 46), ("hex", 6, 46)]
+
+
+def test_fit_climbs_to_where_expected_counts_are_the_seen_ones():
+    """At the maximum of the (penalised) likelihood its gradient, found here by small changes, is near 0."""
+    rnd = np.random.default_rng(7)
+    sequences = []
+    for _ in range(40):
+        x = (rnd.random((rnd.integers(2, 9), secrets.FEATURES)) < 0.3).astype(float)
+        y = np.where(x[:, 1] * x[:, 2] > 0, secrets.BEGIN, secrets.OUT)
+        y[rnd.random(len(y)) < 0.1] = secrets.BEGIN
+        sequences.append((x, y))
+    field = secrets.fit_field(sequences, steps=600, rate=0.05)
+
+    def value(w, m):
+        total = 0.0
+        for x, y in sequences:
+            emit = x @ w.T
+            paths = emit[0] + m[3]
+            for i in range(1, len(x)):
+                paths = np.log(np.exp(paths[:, None] + m[:3]).sum(0)) + emit[i]
+            total += m[3, y[0]] + emit[np.arange(len(y)), y].sum() + m[y[:-1], y[1:]].sum() - np.log(np.exp(paths).sum())
+        return total / len(sequences) - 0.5e-3 * (w**2).sum()
+
+    w, m = field.weights, field.moves
+    for t, k in ((0, 1), (1, 1), (1, 2), (0, 5)):
+        step = np.zeros_like(w)
+        step[t, k] = 1e-4
+        assert abs(value(w + step, m) - value(w - step, m)) / 2e-4 < 0.02
+    assert all(value(w, m) > value(w + 0.3 * rnd.normal(size=w.shape), m) for _ in range(5))
