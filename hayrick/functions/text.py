@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Fixed value: how identifiers are cut into words.
 CAMEL = r"[A-Z]+(?![a-z])|[A-Z][a-z0-9]*|[a-z0-9]+"
 
 
@@ -49,13 +50,18 @@ def capped_occurrences(body: Column, terms: Column, cap: int = 3, weight: float
 
 def evidence(terms: Column, qualname: Column, path: Column, body: Column, production: Column) -> Column:
     """Score of a candidate without a reranker: name, path and body evidence of each term, and a small bonus for production code."""
-    name, place, low = F.lower(qualname), F.lower(path), F.lower(body)
-
-    def of(t: Column) -> Column:
-        by_name = F.when(t == name, 3.0).when(name.contains(t), 2.0).otherwise(0.0)
-        return by_name + F.when(place.contains(t), 0.5).otherwise(0.0) + F.least(occurrences(low, t), F.lit(3)) * F.lit(0.25)
-
-    total = F.aggregate(F.transform(terms, lambda t: F.lower(t)), F.lit(0.0), lambda s, t: s + of(t))
+    # Lower-cased once, and bound as variables: a lambda would work them out for every term.
+    known = F.array(F.struct(F.lower(qualname).alias("name"), F.lower(path).alias("place"), F.lower(body).alias("low")))
+    low_terms = F.transform(terms, lambda t: F.lower(t))
+    # A repeated term is looked for once and counts each time.
+    counted = F.transform(F.array_distinct(low_terms), lambda t: F.struct(t.alias("t"), F.size(F.filter(low_terms, lambda x: x == t)).alias("n")))
+
+    def of(row: Column, t: Column) -> Column:
+        by_name = F.when(t == row["name"], 3.0).when(row["name"].contains(t), 2.0).otherwise(0.0)
+        return by_name + F.when(row["place"].contains(t), 0.5).otherwise(0.0) + F.least(occurrences(row["low"], t), F.lit(3)) * F.lit(0.25)
+
+    of_row = F.transform(known, lambda row: F.aggregate(counted, F.lit(0.0), lambda s, c: s + c["n"] * of(row, c["t"])))
+    total = F.element_at(of_row, 1)
     return total + F.when(production, 0.01).otherwise(0.0)
 
 

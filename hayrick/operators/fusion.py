@@ -23,13 +23,18 @@ def best_files(pool: DataFrame) -> DataFrame:
     return best.withColumn("file_rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.round("best", 12).desc(), "first")))
 
 
-def expand_pool(pool: DataFrame, symbols: DataFrame, *, per_file: int = 3, most: int = 50) -> DataFrame:
+def expand_pool(pool: DataFrame, symbols: DataFrame, *, per_file: int = 3, most: int = 50, pooled: int = 50) -> DataFrame:
     """Siblings of pooled candidates: per file the best by term hits, then cosine, then id; files in the order of their best candidate.
 
     pool: qid, id, path, score, rank. symbols: id, path, and per query hits and cosine
-    (or without qid, the same for all). The cap holds for each query.
+    (or without qid, the same for all). The cap holds for each query. Without qid, files are
+    cut to their first per_file + `pooled` symbols before queries come in: a query's pool has
+    no more than `pooled` symbols that could be passed over.
     """
     keys = ["qid", "path"] if "qid" in symbols.columns else ["path"]
+    if "qid" not in symbols.columns:
+        first = Window.partitionBy("path").orderBy(F.col("hits").desc(), F.round("cosine", 9).desc(), "id")
+        symbols = symbols.withColumn("in_file", F.row_number().over(first)).where(F.col("in_file") <= per_file + pooled).drop("in_file")
     siblings = symbols.join(best_files(pool), keys).join(pool.select("qid", "id"), ["qid", "id"], "left_anti")
     in_file = Window.partitionBy("qid", "path").orderBy(F.col("hits").desc(), F.round("cosine", 9).desc(), "id")
     kept = siblings.withColumn("in_file", F.row_number().over(in_file)).where(F.col("in_file") <= per_file)

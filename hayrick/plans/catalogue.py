@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from hayrick.functions import roles, text, vectors
 from hayrick.functions.porter import stem
 from hayrick.operators import dense, evaluate, fusion, lexical, maintenance
+from hayrick.sources import scratch
 from hayrick.sources import symbols as parser
 from hayrick.streaming import freshness
 
@@ -128,8 +129,10 @@ RANKED = "lex as (select qid, id, score, row_number() over (partition by qid ord
 
 
 def freqs_and_lengths(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The stored index of the documents: texts are tokenised when the first query asks, later ones read the terms they need."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return lexical.frequencies(docs), lexical.lengths(docs)
+    freqs = scratch.once(spark, "frequencies", sf_dir, lambda: lexical.frequencies(docs), by="term")
+    return freqs, scratch.once(spark, "lengths", sf_dir, lambda: lexical.lengths(docs))
 
 
 def item_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -305,7 +308,8 @@ select qid, id, round(s, 6) as evidence, row_number() over (partition by qid ord
 def fallback_rank(spark, sf_dir):
     """The pool by evidence of the query's terms, as without a reranker."""
     items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), text.match_terms(F.col("text")).alias("terms"))
-    scored = pool(spark, sf_dir).join(items, "qid").withColumn("evidence", text.evidence(F.col("terms"), F.col("qualname"), F.col("path"), F.col("body"), F.col("source_role") == "production"))
+    # The ranking deals rows by query anyway; dealt before, their evidence is worked out in as many tasks.
+    scored = pool(spark, sf_dir).join(items, "qid").repartition("qid").withColumn("evidence", text.evidence(F.col("terms"), F.col("qualname"), F.col("path"), F.col("body"), F.col("source_role") == "production"))
     return fusion.reorder(scored, F.col("evidence")).select("qid", "id", F.round("evidence", 6).alias("evidence"), "new_rank")
 
 

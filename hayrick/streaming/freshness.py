@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -11,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from hayrick.sources.scratch import shared_folder
+
 CHANGES = "repo bigint, path string, ts timestamp, deleted boolean"
 
 
@@ -29,8 +30,7 @@ def session_submissions(changes: DataFrame, gap: str = "6 hours", late: str = "0
 def stream_sessions(spark: SparkSession, path: str) -> DataFrame:
     """Sessions of an events table read as a stream, all that is there, then closed by a sink in the shared folder."""
     schema = spark.read.parquet(path).schema
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="hayrick-")
-    base = f"{base.rstrip('/')}/hayrick/stream-{uuid.uuid4().hex}"
+    base = f"{shared_folder(spark)}/hayrick/stream-{uuid.uuid4().hex}"
     # A stream reads folders: one that is a single file is found in the folder above by its name.
     parent, _, name = path.rpartition("/")
     single = spark.read.format("binaryFile").load(path).select("path").first()
