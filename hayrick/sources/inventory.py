@@ -73,8 +73,23 @@ def scoped(inventory_: DataFrame, root: str, paths: list[str]) -> DataFrame:
     return inventory_.join(F.broadcast(inventory_.sparkSession.createDataFrame(inside, "path string")), "path", "left_semi")  # as many rows as the call named
 
 
+def open_inside(root: str, name: str) -> int:
+    """A descriptor of a file under root, each folder on the way opened in the one before and no link followed."""
+    *folders, last = Path(name).parts
+    at = os.open(root, os.O_RDONLY | os.O_DIRECTORY)
+    for part, flags in [*((f, os.O_DIRECTORY) for f in folders), (last, 0)]:
+        try:
+            if part == "..":
+                raise OSError("the path leaves its root")
+            inner = os.open(part, os.O_RDONLY | os.O_NOFOLLOW | flags, dir_fd=at)
+        finally:
+            os.close(at)
+        at = inner
+    return at
+
+
 def capture(files: DataFrame, root: str) -> DataFrame:
-    """path, content, hash and size of files as they are now; null content if a file is gone, a link, or changed while it was read."""
+    """path, content, hash and size of files as they are now; null content if a file is gone, behind a link, or changed while it was read."""
 
     def read(batches):
         import hashlib
@@ -86,14 +101,11 @@ def capture(files: DataFrame, root: str) -> DataFrame:
             for name in batch["path"]:
                 content = None
                 try:
-                    fd = os.open(os.path.join(root, name), os.O_RDONLY | os.O_NOFOLLOW)
-                    with os.fdopen(fd, "rb") as f:
+                    with os.fdopen(open_inside(root, name), "rb") as f:
                         before = os.fstat(f.fileno())
                         data = f.read()
                         after = os.fstat(f.fileno())
-                    parts = Path(name).parts
-                    linked = any(os.path.islink(os.path.join(root, *parts[: i + 1])) for i in range(len(parts)))
-                    if not linked and (before.st_mtime_ns, before.st_size) == (after.st_mtime_ns, after.st_size) and len(data) == before.st_size:
+                    if (before.st_mtime_ns, before.st_size) == (after.st_mtime_ns, after.st_size) and len(data) == before.st_size:
                         content = data
                 except OSError:
                     pass

@@ -12,17 +12,18 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from hayrick.sources.scratch import shared_folder
 
-CHANGES = "repo bigint, path string, ts timestamp, deleted boolean"
+CHANGES = "repo bigint, path string, ts timestamp, deleted boolean, outcome string"
 
 
-def session_submissions(changes: DataFrame, gap: str = "6 hours", late: str = "0 seconds") -> DataFrame:
+def session_submissions(changes: DataFrame, gap_seconds: int = 6 * 3600, late: str = "0 seconds") -> DataFrame:
     """One row for each run of changes of a repository without a gap: works on batches and on streams.
 
-    A refresh of a run that deletes anything covers the whole repository, others their paths.
-    Changes exactly a gap apart are one run here, two in maintenance.sessions.
+    A refresh of a run that deletes anything covers the whole repository, others their
+    paths. As in maintenance.sessions, a change exactly a gap after the last one begins a
+    new run; session windows would join those, so theirs is a microsecond shorter.
     """
     events = changes.withWatermark("ts", late) if changes.isStreaming else changes
-    runs = events.groupBy("repo", F.session_window("ts", gap).alias("w"))
+    runs = events.groupBy("repo", F.session_window("ts", f"{gap_seconds * 1_000_000 - 1} microseconds").alias("w"))
     found = runs.agg(F.count(F.lit(1)).alias("n"), F.bool_or("deleted").alias("full"), F.max("ts").alias("last"))
     return found.select("repo", F.col("w.start").alias("start"), F.col("last").alias("end"), "n", "full")
 
@@ -37,7 +38,7 @@ def stream_sessions(spark: SparkSession, path: str) -> DataFrame:
     single = single is not None and single["path"].rstrip("/").endswith(f"/{name}")
     reader = spark.readStream.schema(schema)
     events = reader.option("pathGlobFilter", name).parquet(parent) if single else reader.parquet(path)
-    changes = events.select(F.col("user_id").alias("repo"), F.col("event_id").cast("string").alias("path"), F.col("ts").cast("timestamp").alias("ts"), F.lit(False).alias("deleted"))
+    changes = events.select(F.col("user_id").alias("repo"), F.col("event_id").cast("string").alias("path"), F.col("ts").cast("timestamp").alias("ts"), F.lit(False).alias("deleted"), F.lit(None).cast("string").alias("outcome"))
 
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{base}/out/batch={number}")
@@ -50,37 +51,42 @@ def stream_sessions(spark: SparkSession, path: str) -> DataFrame:
 
 
 SUBMISSIONS = "repo bigint, submitted timestamp, n int, full boolean, paths string, failures int"
-STATE = "pending array<string>, full boolean, newest double, failures int"
+STATE = "pending array<string>, full boolean, sent array<string>, sent_full boolean, failures int"
 
 
 def watch(changes: DataFrame, *, debounce_ms: int = 500, interval: float = 2.0, most: float = 300.0) -> DataFrame:
     """Submissions of a stream of changes: one for all changes of a repository once none has come for a while.
 
     A repository's changes gather in its state; a processing-time timeout of debounce_ms
-    after the newest one submits them. A row with the path null reports a failed
-    submission: it doubles the wait, up to `most` seconds, until a fresh change resets it.
+    after the newest one submits them. What was submitted stays in the state until a row with
+    a null path reports its outcome: "done" forgets it, "failed" makes it pending again and
+    doubles the wait, up to `most` seconds, until a fresh change or a success resets it.
     """
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        pending, full, newest, failures = state.get if state.exists else ([], False, 0.0, 0)
-        pending = list(pending)
+        pending, full, sent, sent_full, failures = state.get if state.exists else ([], False, [], False, 0)
+        pending, sent = set(pending), set(sent)
         if state.hasTimedOut:
             if pending or full:
                 yield pd.DataFrame({"repo": [key[0]], "submitted": [pd.Timestamp.now("UTC").tz_localize(None)], "n": [len(pending)], "full": [full], "paths": [None if full else ",".join(sorted(pending))], "failures": [failures]})
-            state.update(([], False, newest, failures))
+            state.update(([], False, sorted(sent | pending), sent_full or full, failures))
             return
         for batch in batches:
-            failed = int(batch["path"].isna().sum())
             fresh = batch[batch["path"].notna()]
-            failures += failed
+            outcomes = set(batch["outcome"][batch["path"].isna()])
+            if "failed" in outcomes:
+                pending, full, failures = pending | sent, full or sent_full, failures + 1
+            elif "done" in outcomes:
+                failures = 0
+            if outcomes & {"failed", "done"}:
+                sent, sent_full = set(), False
             if len(fresh):
-                failures = 0 if not failed else failures
-                pending = sorted({*pending, *fresh["path"]})
+                failures = 0
+                pending |= set(fresh["path"])
                 full = bool(full or fresh["deleted"].any())
-                newest = max(newest, fresh["ts"].max().timestamp())
-        state.update((pending, full, newest, failures))
-        wait = debounce_ms if not failures else int(1000 * min(interval * 2.0**failures, most))
-        state.setTimeoutDuration(wait)
+        state.update((sorted(pending), full, sorted(sent), sent_full, failures))
+        if pending or full:
+            state.setTimeoutDuration(debounce_ms if not failures else int(1000 * min(interval * 2.0**failures, most)))
 
     return changes.groupBy("repo").applyInPandasWithState(run, SUBMISSIONS, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
 

@@ -3,20 +3,26 @@ import time
 
 from pyspark.sql import functions as F
 
+from hayrick.operators import maintenance
+from hayrick.plans import index
+from hayrick.sources.store import Store
 from hayrick.streaming import freshness
+from hayrick.streaming.watcher import Watcher
 
 T = datetime.datetime(2024, 1, 1)
 
 
 def changes(spark, rows):
-    return spark.createDataFrame(rows, freshness.CHANGES)
+    return spark.createDataFrame([(*r, None) if len(r) == 4 else r for r in rows], freshness.CHANGES)
 
 
 def test_runs_of_changes(spark):
     at = lambda s: T + datetime.timedelta(seconds=s)
-    rows = [(1, "a", at(0), False), (1, "b", at(5), True), (1, "c", at(16), False), (2, "a", at(0), False)]
-    found = {(r["repo"], r["n"], r["full"]) for r in freshness.session_submissions(changes(spark, rows), "10 seconds").collect()}
-    assert found == {(1, 2, True), (1, 1, False), (2, 1, False)}
+    rows = [(1, "a", at(0), False), (1, "b", at(5), True), (1, "c", at(16), False), (2, "a", at(0), False), (3, "a", at(0), False), (3, "b", at(10), False), (3, "c", at(19), False)]
+    found = {(r["repo"], r["n"], r["full"]) for r in freshness.session_submissions(changes(spark, rows), 10).collect()}
+    assert found == {(1, 2, True), (1, 1, False), (2, 1, False), (3, 1, False), (3, 2, False)}
+    batch = maintenance.sessions(changes(spark, rows), 10, ["repo"]).collect()
+    assert sorted((r["repo"], r["n"]) for r in batch) == sorted((r, n) for r, n, _ in found)
 
 
 def test_unpublished_changes(spark):
@@ -41,3 +47,87 @@ def test_watcher_coalesces_changes(spark, tmp_path):
     assert found[1]["paths"] == "a,b" and found[1]["n"] == 2 and not found[1]["full"]
     assert found[2]["full"] and found[2]["paths"] is None
     assert spark.table("submissions").where(F.col("failures") > 0).isEmpty()
+
+
+def test_failed_submissions_come_again(spark, tmp_path):
+    """What failed is submitted again after the wait, with changes that came meanwhile; what succeeded isn't."""
+    folder, name = f"file://{tmp_path}/changes", "retries"
+    changes(spark, [(1, "a", T, False), (1, "b", T, False), (2, "x", T, False)]).coalesce(1).write.mode("append").parquet(folder)
+    stream = spark.readStream.schema(freshness.CHANGES).parquet(folder)
+    query = freshness.watch(stream, debounce_ms=100, interval=0.2).writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", f"file://{tmp_path}/state").trigger(processingTime="200 milliseconds").start()
+
+    def wait(n):
+        end = time.time() + 60
+        while time.time() < end and spark.table(name).count() < n:
+            time.sleep(0.3)
+        return [(r["repo"], r["paths"], r["failures"]) for r in spark.table(name).orderBy("submitted").collect()]
+
+    try:
+        assert sorted(wait(2)) == [(1, "a,b", 0), (2, "x", 0)]
+        changes(spark, [(1, None, T, None, "failed"), (2, None, T, None, "done")]).coalesce(1).write.mode("append").parquet(folder)
+        assert wait(3)[2:] == [(1, "a,b", 1)]
+        changes(spark, [(1, None, T, None, "failed")]).coalesce(1).write.mode("append").parquet(folder)
+        assert wait(4)[3:] == [(1, "a,b", 2)]
+        changes(spark, [(1, None, T, None, "done"), (2, "y", T, False, None)]).coalesce(1).write.mode("append").parquet(folder)
+        assert wait(5)[4:] == [(2, "y", 0)]
+    finally:
+        query.stop()
+
+
+def test_ticks_of_a_watcher(spark, tmp_path):
+    """Edits, edits that keep time and size, failures with back-off, paths left out, deletions, and a broken tick."""
+    import os
+    import subprocess
+
+    root = str(tmp_path / "tree")
+    os.makedirs(root)
+
+    def write(name, content, at=None):
+        with open(f"{root}/{name}", "w") as f:
+            f.write(content)
+        if at:
+            os.utime(f"{root}/{name}", ns=(at, at))
+
+    for n in ("a.py", "b.py", "c.py"):
+        write(n, "x = 1\n", 10**18)
+    subprocess.run("git init -q . && git add -A && git -c user.name=a -c user.email=a@b.c commit -qm x", shell=True, cwd=root, check=True)
+    store, sent, answers = Store(str(tmp_path / "base"), root), [], []
+
+    def submit(paths):
+        sent.append(paths)
+        answer = answers.pop(0) if answers else "completed"
+        if answer == "raise":
+            raise RuntimeError("no")
+        if answer == "completed":
+            index.refresh(spark, store, root, paths=paths)
+        return answer
+
+    w = Watcher(spark, store, root, submit, interval=2, debounce=1, content_interval=30)
+    assert w.tick(0) is None and not sent  # nothing is published yet
+    index.refresh(spark, store, root)
+    assert w.tick(1) is None
+    write("a.py", "x = 22\n")
+    assert w.tick(2) is None  # a quiet period first
+    assert w.tick(4) == "completed" and sent == [["a.py"]]
+    assert w.tick(6) is None
+    write("b.py", "y = 1\n", 10**18)  # same time and size
+    assert w.tick(8) is None and len(sent) == 1
+    assert w.tick(40) is None and w.suspected == {"b.py"}
+    assert w.tick(42) == "completed" and sent[-1] == ["b.py"] and not w.suspected
+    answers += ["failed", "raise", "completed"]
+    write("c.py", "z = 333\n")
+    w.tick(50)
+    assert w.tick(52) == "failed" and w.failures == 1
+    assert w.tick(55) is None  # it waits for 4 seconds
+    assert w.tick(57) == "failed" and w.failures == 2 and w.errors == ["no"]
+    assert w.tick(60) is None and w.tick(66) == "completed" and w.failures == 0
+    write("c.py", "def f(:\n")  # can't be parsed: tried once, not at every tick
+    w.tick(70)
+    assert w.tick(72) == "completed"
+    n = len(sent)
+    assert w.tick(76) is None and w.tick(90) is None and len(sent) == n
+    os.remove(f"{root}/a.py")
+    w.tick(92)
+    assert w.tick(94) == "completed" and sent[-1] is None
+    w.root = str(tmp_path / "gone")
+    assert w.tick(96) is None and len(w.errors) == 2
