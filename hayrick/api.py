@@ -6,23 +6,50 @@ import os
 
 from pyspark.sql import SparkSession
 
+from hayrick.config import Settings
 from hayrick.errors import HayrickError, envelope
-from hayrick.jobs import Job, Jobs
+from hayrick.jobs import Job, Journal, Jobs
 from hayrick.plans import index, search
 from hayrick.sources import inventory, store
+from hayrick.sources.vector_cache import VectorCache
+from hayrick.streaming.watcher import Watcher
 
 
 class Hayrick:
     """Indexes under `base`; models are injected callables. A call without a repo means the only workspace, if there is one."""
 
-    def __init__(self, spark: SparkSession, base: str, *, workspaces: list[str] | None = None, profile: str = "lexical", expand=None, embed=None, rerank=None):
-        self.spark, self.base, self.profile = spark, base, profile
+    def __init__(self, spark: SparkSession, base: str | None = None, *, workspaces: list[str] | None = None, settings: Settings | None = None, expand=None, embed=None, rerank=None):
+        self.settings = settings or Settings.of(spark)
+        self.spark, self.base = spark, base or self.settings.index_dir
+        form = self.settings.embed_input_format
+        self.profile = store.profile_id(self.settings.embed_model, self.settings.embed_dim, form) if embed else "lexical"
+        self.cache = VectorCache(self.base, self.profile, self.settings.embed_dim) if embed else None
         self.workspaces = [os.path.realpath(w) for w in workspaces or []]
         self.models = {"expand": expand, "embed": embed, "rerank": rerank}
-        self.jobs = Jobs(self._refresh)
+        self.journal = Journal(spark, self.base)
+        self.jobs = Jobs(self._refresh, self.journal)
 
     def _refresh(self, job: Job, cancelled) -> dict:
-        return index.refresh(self.spark, self.store(job.repo), job.repo, rebuild=job.mode == "rebuild", paths=None if job.paths is None else list(job.paths), cancelled=cancelled)
+        """Parse and publish, then attach vectors; without all of them the job is degraded."""
+        at = self.store(job.repo)
+        done = index.refresh(self.spark, at, job.repo, rebuild=job.mode == "rebuild", paths=None if job.paths is None else list(job.paths), cancelled=cancelled, job_id=job.job_id)
+        if done["state"] != "completed" or not self.cache or cancelled():
+            return done
+        vectors = index.embed(self.spark, at, self.cache, self.models["embed"])
+        return done | vectors | {"state": "degraded" if vectors["missing"] else "completed"}
+
+    def watch(self, repo: str | None = None):
+        """A running stream that refreshes the index when the worktree changes; None if watching is switched off."""
+        root, s = self.resolve(repo), self.settings
+        if not s.watch_interval:
+            return None
+
+        def submit(paths: list[str] | None) -> str:
+            job, _ = self.jobs.submit(root, "refresh", paths)
+            job.done.wait()
+            return job.state
+
+        return Watcher(self.spark, self.store(root), root, submit, interval=s.watch_interval, debounce=s.watch_debounce, content_interval=s.watch_content_interval).start()
 
     def store(self, repo: str) -> store.Store:
         return store.Store(self.base, repo, self.profile)
@@ -49,7 +76,7 @@ class Hayrick:
 
     def search(self, query: str, repo: str | None = None, k: int = 10, mode: str = "balanced", intent: str = "implementation", **options) -> dict:
         def work(root: str) -> dict:
-            found = search.search(self.spark, self.store(root), query, k, mode=mode, intent=intent, **self.models, **options)
+            found = search.search(self.spark, self.store(root), query, k, mode=mode, intent=intent, **{"limit": self.settings.candidate_limit, "deadline": self.settings.search_deadline_seconds, "cache": self.cache, **self.models, **options})
             data = {"results": found.results, "stages_used": found.stages, "degraded": bool(found.reasons), "degradation_reasons": found.reasons}
             return {"data": data, "warnings": found.warnings, "timings": found.seconds, "index": {"epoch": self.store(root).epoch()}}
 
@@ -74,7 +101,7 @@ class Hayrick:
         return self._answer(repo, lambda root: {"data": self.jobs.cancel(job_id, root).public()})
 
     def status(self, repo: str | None = None) -> dict:
-        return self._answer(repo, lambda root: {"data": index.status(self.spark, self.store(root), root)})
+        return self._answer(repo, lambda root: {"data": index.status(self.spark, self.store(root), root, self.jobs.active(root))})
 
     def list_workspaces(self) -> dict:
         """Configured ones and those with an index, each with where it is from."""

@@ -6,17 +6,18 @@ import argparse
 import json
 import os
 import sys
-from pathlib import Path
 
 from pyspark.sql import SparkSession
 
+from hayrick import render
 from hayrick.api import Hayrick
-from hayrick.sources.symbols import PATTERNS
+from hayrick.sources.symbols import PATTERNS, preflight
 
 
 def main(argv: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(prog="hayrick")
-    parser.add_argument("--base", default=str(Path.home() / ".hayrick"), help="folder of the indexes")
+    parser.add_argument("--base", help="folder of the indexes")
+    parser.add_argument("--json", action="store_true", help="the whole answer as JSON")
     sub = parser.add_subparsers(dest="command", required=True)
     for name in ("index", "search", "map", "status", "workspaces", "doctor"):
         p = sub.add_parser(name)
@@ -33,8 +34,9 @@ def main(argv: list[str] | None = None) -> int:
             p.add_argument("--repo", default=os.getcwd())
     args = parser.parse_args(argv)
     if args.command == "doctor":
-        print(json.dumps({"ok": True, "languages": sorted(PATTERNS)}))
-        return 0
+        broken = preflight(sorted(PATTERNS))
+        print(json.dumps({"ok": not broken, "languages": sorted(PATTERNS), "broken": broken}))
+        return 1 if broken else 0
     spark = SparkSession.builder.appName("hayrick").config("spark.ui.enabled", "false").getOrCreate()
     engine = Hayrick(spark, args.base)
     calls = {
@@ -45,7 +47,7 @@ def main(argv: list[str] | None = None) -> int:
         "workspaces": engine.list_workspaces,
     }
     answer = calls[args.command]()
-    print(json.dumps(answer, indent=2, default=str))
+    print(json.dumps(answer, indent=2, default=str) if args.json else render.answer(args.command, answer))
     return 0 if answer["ok"] else 1
 
 

@@ -1,7 +1,9 @@
-"""Refresh jobs: one queue and one worker thread a repository, and a journal.
+"""Refresh jobs: one after another for a repository, and a journal.
 
-The journal is a list of events; the state of a job is its last one. Threads run driver code
-that submits Spark jobs; nothing here touches rows.
+The journal is an append-only table of events under the index root; the state of a job is its
+last one, so jobs of earlier processes are found again, and those that a process left behind
+count as interrupted. A thread for each repository with work runs driver code that submits
+Spark jobs; nothing here touches rows.
 """
 
 from __future__ import annotations
@@ -11,13 +13,14 @@ import time
 import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hayrick.errors import HayrickError
 from hayrick.operators import maintenance
-from hayrick.sources.store import TABLES
+from hayrick.sources.store import JOURNAL
 
 # States of a job, and what a mode covers.
 ACTIVE = ("queued", "running")
@@ -47,14 +50,52 @@ class Job:
         return out | {"lexical_ready": self.lexical_ready}
 
 
+class Journal:
+    """Events of jobs in a folder of small Parquet files."""
+
+    def __init__(self, spark: SparkSession, base: str):
+        self.spark, self.path = spark, f"{base.rstrip('/')}/jobs"
+
+    def append(self, job: Job) -> None:
+        row = (job.job_id, job.repo, job.mode, job.state, None, job.created_at, time.time(), dict(job.counters), job.failure, job.epoch)
+        self.spark.createDataFrame([row], JOURNAL).coalesce(1).write.mode("append").parquet(self.path)
+
+    def jobs(self) -> DataFrame:
+        """The last event of each job. Damaged files are passed over."""
+        if not Path(self.path).is_dir():
+            return self.spark.createDataFrame([], JOURNAL)
+        events = self.spark.read.schema(JOURNAL).option("ignoreCorruptFiles", True).parquet(self.path)
+        # Of events in one moment the one that ends a job is its last.
+        return maintenance.latest(events, "job_id", F.col("heartbeat_at"), (~F.col("state").isin(*ACTIVE)).cast("int"), (F.col("state") == "running").cast("int"))
+
+    def find(self, job_id: str) -> Job | None:
+        row = self.jobs().where(F.col("job_id") == job_id).first()
+        if row is None:
+            return None
+        failure = row["failure"].asDict() if row["failure"] else None
+        job = Job(row["repo"], row["mode"], None, job_id, row["state"], row["created_at"], dict(row["counters"] or {}), failure, row["epoch"] or 0)
+        job.done.set()
+        return job
+
+    def reconcile(self) -> int:
+        """Queued and running jobs that no process works on any more are interrupted from now on; returns how many."""
+        open_ = self.jobs().where(F.col("state").isin(*ACTIVE))
+        left = maintenance.reconcile(open_, F.lit(None).cast("string")).withColumn("heartbeat_at", F.lit(time.time()))
+        n = open_.count()
+        if n:
+            left.select([c.name for c in self.spark.createDataFrame([], JOURNAL).schema]).coalesce(1).write.mode("append").parquet(self.path)
+        return n
+
+
 class Jobs:
     """run: (job, cancelled) -> result with state, epoch and counters."""
 
-    def __init__(self, run: Callable[[Job, Callable[[], bool]], dict]):
-        self.run, self.lock = run, threading.Lock()
+    def __init__(self, run: Callable[[Job, Callable[[], bool]], dict], journal: Journal | None = None):
+        self.run, self.lock, self.journal = run, threading.Lock(), journal
         self.jobs: dict[str, Job] = {}
         self.queues: dict[str, list[Job]] = {}
-        self.events: list[tuple] = []
+        if journal:
+            journal.reconcile()
 
     def submit(self, repo: str, mode: str = "refresh", paths: list[str] | None = None) -> tuple[Job, str]:
         """A new job, or the first active one that covers it."""
@@ -72,7 +113,8 @@ class Jobs:
             return job, "started"
 
     def _note(self, job: Job) -> None:
-        self.events.append((job.job_id, job.repo, job.mode, job.state, None, job.created_at, time.time(), dict(job.counters), job.failure, job.epoch))
+        if self.journal:
+            self.journal.append(job)
 
     def _work(self, repo: str) -> None:
         while True:
@@ -91,14 +133,14 @@ class Jobs:
             except HayrickError as e:
                 job.state, job.failure = "failed", {"code": e.code, "message": e.message, "retryable": False, "next_action": e.payload()["next_action"]}
             except Exception as e:  # the worker outlives any job
-                job.state, job.failure = "failed", {"code": "INTERNAL", "message": str(e)[:500], "retryable": True, "next_action": "Retry the refresh."}
+                job.state, job.failure = "failed", {"code": "INTERNAL", "message": str(e)[:500], "retryable": True, "next_action": "Start it once more."}
             with self.lock:
                 self._note(job)
                 self.queues[repo].pop(0)
             job.done.set()
 
     def get(self, job_id: str, repo: str | None = None) -> Job:
-        job = self.jobs.get(job_id)
+        job = self.jobs.get(job_id) or (self.journal.find(job_id) if self.journal else None)
         if job is None:
             raise HayrickError("JOB_NOT_FOUND", f"no job {job_id}")
         if repo is not None and job.repo != repo:
@@ -112,8 +154,6 @@ class Jobs:
             job.cancel_requested = True
         return job
 
-    def journal(self, spark: SparkSession) -> DataFrame:
-        """The last event of each job."""
-        events = spark.createDataFrame(self.events, TABLES["jobs"])
-        return maintenance.latest(events.withColumn("n", F.monotonically_increasing_id()), "job_id", F.col("heartbeat_at"), F.col("n")).drop("n")
-
+    def active(self, repo: str) -> list[dict]:
+        with self.lock:
+            return [j.public() for j in self.queues.get(repo, [])]

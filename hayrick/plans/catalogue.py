@@ -542,7 +542,8 @@ def porter_bm25(spark, sf_dir):
     stemmed = lambda df: stem(text.index_tokens(F.col("text")))
     docs = table(spark, sf_dir, "documents")
     queries = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.explode(stemmed(None)).alias("term"))
-    found = lexical.bm25(queries, lexical.frequencies(docs, tokens=stemmed(docs)), lexical.lengths(docs))
+    freqs = scratch.once(spark, "stemmed", sf_dir, lambda: lexical.frequencies(docs, tokens=stemmed(docs)), by="term")
+    found = lexical.bm25(queries, freqs, freqs_and_lengths(spark, sf_dir)[1])
     return lexical.top_k(found, 50).select("qid", "id", F.round("score", 6).alias("score"), "rank")
 
 

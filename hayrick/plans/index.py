@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from hayrick.functions import roles, text
-from hayrick.operators import maintenance
-from hayrick.sources import inventory, symbols
+from hayrick.functions.porter import stem
+from hayrick.operators import lexical, maintenance
+from hayrick.sources import inventory, scratch, symbols
 from hayrick.sources.store import TABLES, Store
+from hayrick.sources.vector_cache import DOCUMENT, VectorCache
 
 #: Embeds a batch: (texts, is_query) -> vectors, or None with a warning.
 Embed = Callable[[list[str], bool], tuple[list[list[float]] | None, str | None]]
@@ -20,9 +22,16 @@ Embed = Callable[[list[str], bool], tuple[list[list[float]] | None, str | None]]
 def symbol_rows(parsed: DataFrame, repo: str, first_id: int) -> DataFrame:
     """Parsed symbols with their texts, keys and ids in the order of path and position."""
     found = parsed.where(F.col("qualname").isNotNull())
-    at = found.groupBy("path").agg(F.count(F.lit(1)).alias("n"))
-    # Ids: files before it are summed up once per file, rows are numbered inside their file.
-    before = at.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("path").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    # Ids: files are dealt by ranges of paths, counted up within each, and begin where the ranges before end.
+    at = found.groupBy("path").agg(F.count(F.lit(1)).alias("n")).repartitionByRange("path")
+    at = scratch.written(at.withColumn("part", F.spark_partition_id()), "files-in-order")
+    sums, total = [], 0
+    for r in at.groupBy("part").agg(F.sum("n").alias("n")).orderBy("part").collect():  # one row a partition
+        sums.append((r["part"], total))
+        total += r["n"]
+    offsets = F.broadcast(found.sparkSession.createDataFrame(sums, "part int, offset bigint"))
+    earlier = Window.partitionBy("part").orderBy("path").rowsBetween(Window.unboundedPreceding, -1)
+    before = at.withColumn("inner", F.coalesce(F.sum("n").over(earlier), F.lit(0))).join(offsets, "part").withColumn("before", F.col("offset") + F.col("inner"))
     inside = F.row_number().over(Window.partitionBy("path").orderBy("line", "end_line", "qualname"))
     numbered = found.withColumn("k", inside).join(before.select("path", "before"), "path")
     out = numbered.select(
@@ -36,46 +45,64 @@ def symbol_rows(parsed: DataFrame, repo: str, first_id: int) -> DataFrame:
     return out.withColumn("embed_key", F.sha2(F.col("embed_text").cast("binary"), 256))
 
 
-def refresh(spark: SparkSession, store: Store, root: str, *, rebuild: bool = False, paths: list[str] | None = None, cancelled: Callable[[], bool] = lambda: False) -> dict:
+def terms_of(symbols_: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Postings and lengths of symbols, by stemmed terms."""
+    docs = symbols_.select(F.col("id").alias("doc_id"), stem(text.index_tokens(F.col("search_text"))).alias("tokens"))
+    return lexical.frequencies(docs, tokens=F.col("tokens")), lexical.lengths(docs, tokens=F.col("tokens"))
+
+
+def refresh(spark: SparkSession, store: Store, root: str, *, rebuild: bool = False, paths: list[str] | None = None, cancelled: Callable[[], bool] = lambda: False, job_id: str | None = None) -> dict:
     """Parse what has changed and publish it as one epoch; returns counters.
 
     Files that can't be read or parsed keep their symbols and their old state, so they are
-    tried again; removed files go, whatever the scope.
+    tried again; removed files go, whatever the scope. Only symbols of files that changed
+    are tokenised; other symbols keep their postings.
     """
     with store.writing():
         here = inventory.inventory(spark, root)
         known = store.read(spark, "files")
         scope = inventory.scoped(here, root, paths) if paths is not None else None
-        changes = maintenance.diff(here, known, scoped=scope, rebuild=rebuild)
-        # Staged results are used several times and must be the same each time
-        staged = inventory.capture(changes.where(F.col("change").isin("new", "changed")), root).join(here.select("path", "mtime_ns"), "path").cache()
-        removed = changes.where("change = 'removed'").select("path").cache()
-        try:
-            parsed = symbols.parse(staged).cache()
-            states = parsed.where(F.col("qualname").isNull()).select("path", "status", "detail")
-            counts = {r["status"]: r["n"] for r in maintenance.parse_coverage(states).collect()}
-            n_removed = removed.count()
-            if cancelled():
-                return {"state": "cancelled", "epoch": store.epoch()}
-            current = store.read(spark, "symbols")
-            top = current.agg(F.max("id")).first()[0] or 0
-            columns = current.columns
-            fresh = symbol_rows(parsed, root, top).select(columns)
-            after = maintenance.publish(current, fresh, states, removed)
-            good = states.where(~F.col("status").isin(*maintenance.STALE)).select("path")
-            files = staged.join(good, "path", "left_semi").select(F.lit(root).alias("repo"), "path", "mtime_ns", "size", "hash")
-            kept = known.join(removed, "path", "left_anti")
-            old_states = store.read(spark, "parse_state").join(removed, "path", "left_anti")
-            new_states = states.select(F.lit(root).alias("repo"), "path", "status", "detail", F.lit(time.time()).alias("attempted_at"))
-            vectors = store.read(spark, "vectors").join(after.select(F.col("id").alias("symbol_id")), "symbol_id", "left_semi")
-            commit, dirty = inventory.head(root)
-            epoch = store.publish({"symbols": after, "files": maintenance.upsert(kept, files, ["path"]), "parse_state": maintenance.upsert(old_states, new_states, ["path"]), "vectors": vectors.select("repo", "symbol_id", "embedding")}, head=commit, dirty=dirty, indexed_at=time.time())
-        finally:
-            for df in (staged, removed):
-                df.unpersist()
+        changes = scratch.written(maintenance.diff(here, known, scoped=scope, rebuild=rebuild), "changes")
+        # What was read is written out: results used several times are the same each time.
+        staged = inventory.capture(changes.where(F.col("change").isin("new", "changed")), root).join(here.select("path", "mtime_ns"), "path")
+        staged = scratch.written(staged, "staged")
+        removed = changes.where("change = 'removed'").select("path")
+        parsed = scratch.written(symbols.parse(staged), "parsed")
+        states = parsed.where(F.col("qualname").isNull()).select("path", "status", "detail")
+        counts = {r["status"]: r["n"] for r in maintenance.parse_coverage(states).collect()}
+        n_removed = removed.count()
+        if cancelled():
+            return {"state": "cancelled", "epoch": store.epoch()}
+        current = store.read(spark, "symbols")
+        top = current.agg(F.max("id")).first()[0] or 0
+        fresh = scratch.written(symbol_rows(parsed, root, top).select(current.columns), "fresh")
+        after = maintenance.publish(current, fresh, states, removed)
+        ids = after.select("id")
+        good = states.where(~F.col("status").isin(*maintenance.STALE)).select("path")
+        files = staged.join(good, "path", "left_semi").select(F.lit(root).alias("repo"), "path", "mtime_ns", "size", "hash")
+        kept = known.join(removed, "path", "left_anti")
+        old_states = store.read(spark, "parse_state").join(removed, "path", "left_anti")
+        new_states = states.select(F.lit(root).alias("repo"), "path", "status", "detail", F.lit(time.time()).alias("attempted_at"))
+        tables = {"symbols": after, "files": maintenance.upsert(kept, files, ["path"]), "parse_state": maintenance.upsert(old_states, new_states, ["path"])}
+        for name, made in zip(("postings", "lengths"), terms_of(fresh.join(good, "path", "left_semi")), strict=True):
+            tables[name] = store.read(spark, name).join(ids, "id", "left_semi").unionByName(made)
+        tables["vectors"] = store.read(spark, "vectors").join(ids.withColumnRenamed("id", "symbol_id"), "symbol_id", "left_semi")
+        if cancelled():
+            return {"state": "cancelled", "epoch": store.epoch()}
+        commit, dirty = inventory.head(root)
+        epoch = store.publish(tables, head=commit, dirty=dirty, indexed_at=time.time(), job_id=job_id)
     return {"state": "completed", "epoch": epoch, "files": sum(counts.values()), "removed": n_removed, "statuses": counts}
 
 
+def embed(spark: SparkSession, store: Store, cache: VectorCache, model: Embed) -> dict:
+    """Vectors for symbols that lack one: known ones from the cache, the others by the model, which the cache then keeps."""
+    known = cache.read(spark, DOCUMENT)
+    made = scratch.written(embed_missing(store, spark, model, known=known), "made")
+    if not made.isEmpty():
+        cache.store(made, DOCUMENT)
+    return attach_vectors(spark, store, cache.read(spark, DOCUMENT), cache.dim)
+
+
 def attach_vectors(spark: SparkSession, store: Store, cache: DataFrame, dim: int) -> dict:
     """Publish vectors of symbols whose input the cache knows: computed outside, attached only where nothing has changed since.
 
@@ -87,19 +114,21 @@ def attach_vectors(spark: SparkSession, store: Store, cache: DataFrame, dim: int
         good = cache.where((F.col("dim") == dim) & (F.size("vector") == dim)).groupBy("input_hash").agg(F.max("vector").alias("embedding"))
         ready = lacking.join(good, F.col("embed_key") == F.col("input_hash")).select("repo", F.col("id").alias("symbol_id"), "embedding", "embed_key")
         current = now.select(F.col("id").alias("symbol_id"), "embed_key")
-        fresh = maintenance.attachable(ready, current, ["symbol_id", "embed_key"]).drop("embed_key").cache()
+        fresh = maintenance.attachable(ready, current, ["symbol_id", "embed_key"]).drop("embed_key")
+        fresh = scratch.written(fresh, "attached")
         n, total = fresh.count(), lacking.count()
         if n:
             pointer = {k: v for k, v in store.pointer().items() if k not in ("version", "profile", "epoch")}
             store.publish({"vectors": store.read(spark, "vectors").unionByName(fresh)}, **pointer)
-        fresh.unpersist()
     return {"attached": n, "missing": total - n, "epoch": store.epoch()}
 
 
-def embed_missing(store: Store, spark: SparkSession, embed: Embed, *, batch: int = 32) -> DataFrame:
+def embed_missing(store: Store, spark: SparkSession, embed: Embed, *, known: DataFrame | None = None, batch: int = 32) -> DataFrame:
     """Vectors of distinct inputs without one, by a model called in tasks: input_hash, dim, vector. Failed batches give no rows."""
     lacking = maintenance.missing(store.read(spark, "symbols"), store.read(spark, "vectors").select(F.col("symbol_id").alias("id")), "id")
     inputs = lacking.groupBy("embed_key").agg(F.min("embed_text").alias("embed_text"))
+    if known is not None:
+        inputs = inputs.join(known, F.col("embed_key") == F.col("input_hash"), "left_anti")
 
     def run(batches):
         import pandas as pd
@@ -114,14 +143,23 @@ def embed_missing(store: Store, spark: SparkSession, embed: Embed, *, batch: int
     return inputs.mapInPandas(run, "input_hash string, dim int, vector array<float>")
 
 
-def status(spark: SparkSession, store: Store, root: str) -> dict:
-    """Counts, parse coverage, drift of the worktree against the index, and what follows."""
+def coverage(spark: SparkSession, store: Store) -> dict:
+    """How much of the index is parsed and has vectors, and the reasons for which answers are degraded."""
+    states = store.read(spark, "parse_state")
+    vectors = store.read(spark, "vectors").select(F.col("symbol_id").alias("id"))
+    row = maintenance.coverage_reasons(store.read(spark, "symbols").select("id"), vectors, states).first()
+    parsed = {r["status"]: r["n"] for r in maintenance.parse_coverage(states).collect()}
+    return {"symbols": row["n_symbols"], "without_vector": row["n_missing"], "parse_coverage": parsed, "reasons": [r for r in row["reasons"].split(",") if r]}
+
+
+def status(spark: SparkSession, store: Store, root: str, jobs: list[dict] | None = None) -> dict:
+    """Counts, coverage, active jobs, drift of the worktree against the index, and what follows."""
     epoch = store.epoch()
+    active = [j for j in jobs or [] if j["state"] in ("queued", "running")]
     if not epoch:
-        return {"freshness": "absent", "epoch": 0}
+        return {"freshness": "building" if active else "absent", "epoch": 0, "jobs": active}
     pointer = store.pointer()
     counts = {t: store.read(spark, t).count() for t in ("symbols", "files", "vectors")}
-    coverage = {r["status"]: r["n"] for r in maintenance.parse_coverage(store.read(spark, "parse_state")).collect()}
     moved = maintenance.drift(inventory.inventory(spark, root), store.read(spark, "files")).first().asDict()
-    stale = any(moved.values())
-    return {"freshness": "stale" if stale else "fresh", "epoch": epoch, "head": pointer.get("head"), "indexed_at": pointer.get("indexed_at"), **counts, "parse_coverage": coverage, "drift": moved, "tables": sorted(TABLES)}
+    freshness = "refreshing" if active else "stale" if any(moved.values()) else "fresh"
+    return {"freshness": freshness, "epoch": epoch, "head": pointer.get("head"), "indexed_at": pointer.get("indexed_at"), **counts, **{k: v for k, v in coverage(spark, store).items() if k != "symbols"}, "drift": moved, "jobs": active, "tables": sorted(TABLES)}

@@ -23,6 +23,7 @@ from hayrick.functions import text, vectors
 from hayrick.functions.porter import stem
 from hayrick.operators import dense, fusion, lexical, maintenance
 from hayrick.sources.store import Store
+from hayrick.sources.vector_cache import VectorCache
 
 Expand = Callable[[str], list[str]]
 Embed = Callable[[list[str], bool], tuple[list[list[float]] | None, str | None]]
@@ -55,13 +56,12 @@ def is_identifier(query: str) -> bool:
     return len(query) <= 200 and re.fullmatch(r"[\w.]+", query) is not None
 
 
-def lexical_lists(symbols: DataFrame, queries: DataFrame, limit: int) -> DataFrame:
-    """Rankings of queries (list_no, query) by BM25 over stemmed terms: qid, list_no, rank, id."""
-    tokens = stem(text.index_tokens(F.col("search_text")))
-    docs = symbols.select(F.col("id").alias("doc_id"), "search_text")
+def lexical_lists(postings: DataFrame, lengths: DataFrame, queries: DataFrame, limit: int) -> DataFrame:
+    """Rankings of queries (list_no, query) by BM25 over the stored stemmed terms: qid, list_no, rank, id."""
     terms = queries.select(F.col("list_no").alias("qid"), F.explode(stem(F.flatten(F.transform(text.match_terms(F.col("query")), lambda t: text.index_tokens(t))))).alias("term"))
-    found = lexical.bm25(terms, lexical.frequencies(docs, tokens=tokens), lexical.lengths(docs, tokens=tokens))
-    best = lexical.top_k(found, limit)
+    asked = sorted({r["term"] for r in terms.select("term").distinct().collect()})  # the terms of one call's queries
+    # The terms reach the scan, whose files are sorted by them.
+    best = lexical.top_k(lexical.bm25(terms, postings.where(F.col("term").isin(asked)), lengths), limit)
     return best.select(F.lit(0).alias("qid"), F.col("qid").alias("list_no"), "rank", "id")
 
 
@@ -77,6 +77,7 @@ def search(
     expand: Expand | None = None,
     embed: Embed | None = None,
     rerank: Rerank | None = None,
+    cache: VectorCache | None = None,
     deadline: float | None = None,
 ) -> Report:
     check_search(k, mode, intent)
@@ -103,12 +104,12 @@ def search(
     first = spark.createDataFrame([(query,)], "query string")
     model = F.array(*map(F.lit, expand(query))) if expand else None
     queries = first.select(F.posexplode(text.query_list(F.col("query"), model)).alias("list_no", "query"))
-    rankings = lexical_lists(symbols, queries, limit)
+    rankings = lexical_lists(store.read(spark, "postings", epoch), store.read(spark, "lengths", epoch), queries, limit)
     known = store.read(spark, "vectors", epoch)
     target = None
     if embed:
         wanted = [r["query"] for r in queries.orderBy("list_no").collect()] if expand else [query]
-        found, warning = embed(wanted, True)
+        found, warning = cache.of_queries(spark, wanted, embed) if cache else embed(wanted, True)
         if late():
             report.degrade("DEADLINE_FALLBACK", warning)
         elif found is None:
@@ -128,7 +129,7 @@ def search(
         siblings = siblings.join(known.select(F.col("symbol_id").alias("id"), "embedding"), "id", "left").withColumn("cosine", vectors.cosine(F.col("embedding"), F.array(*[F.lit(float(x)) for x in target]))).drop("embedding")
     else:
         siblings = siblings.withColumn("cosine", F.lit(0.0))
-    more = fusion.expand_pool(fused.select("qid", "id", "path", "score", "rank"), siblings).select("qid", "id", "position")
+    more = fusion.expand_pool(fused.select("qid", "id", "path", "score", "rank"), siblings, pooled=limit).select("qid", "id", "position")
     columns = ["qid", *symbols.columns, "score", "rank"]
     widened = more.join(symbols, "id").select("*", F.lit(0.0).alias("score"), (F.lit(limit) + F.col("position")).alias("rank"))
     pool = fused.select(columns).unionByName(widened.select(columns))

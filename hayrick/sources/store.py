@@ -1,8 +1,10 @@
 """Versioned index tables: one folder of Parquet an epoch, and a pointer that names the epoch.
 
-A publication writes a whole new epoch and then renames the pointer: readers see the old
-epoch or the new one, never a mixture. Only small control files (pointer, profile) are
-handled on the driver; the index root is a local or mounted folder.
+A publication writes the tables that change into a new epoch's folder and then renames the
+pointer, which names the folder of each table: readers see the old epoch or the new one,
+never a mixture, and tables that don't change stay where they are. Only small control files
+(pointer, profile) are handled on the driver; the index root is a mounted folder that driver
+and executors share.
 """
 
 from __future__ import annotations
@@ -28,8 +30,14 @@ TABLES = {
     "parse_state": "repo string, path string, status string, detail string, attempted_at double",
     "symbols": SYMBOL,
     "vectors": "repo string, symbol_id bigint, embedding array<float>",
-    "jobs": "job_id string, repo string, mode string, state string, phase string, created_at double, heartbeat_at double, counters map<string,bigint>, failure struct<code:string,message:string,retryable:boolean,next_action:string>, epoch bigint",
+    "postings": "term string, id bigint, tf bigint",
+    "lengths": "id bigint, dl bigint",
 }
+JOURNAL = (
+    "job_id string, repo string, mode string, state string, phase string, created_at double, heartbeat_at double, counters map<string,bigint>, failure struct<code:string,message:string,retryable:boolean,next_action:string>, epoch bigint"
+)
+#: Tables whose rows are looked up by a column are sorted by it, so that their files tell what they hold.
+SORTED = {"postings": "term", "vectors": "symbol_id"}
 
 
 def profile_id(model: str | None = None, dim: int | None = None, form: str = "raw") -> str:
@@ -65,11 +73,18 @@ class Store:
     def read(self, spark: SparkSession, table: str, epoch: int | None = None) -> DataFrame:
         """A table of an epoch, by default the current one; empty if that has none."""
         epoch = self.epoch() if epoch is None else epoch
-        place = self.path / f"epoch={epoch}" / table
+        place = self.path / f"epoch={self._folders(epoch).get(table, epoch)}" / table
         if not place.exists():
             return spark.createDataFrame([], TABLES[table])
         return spark.read.schema(TABLES[table]).parquet(str(place))
 
+    def _folders(self, epoch: int) -> dict[str, int]:
+        """The epochs in whose folders an epoch's tables are."""
+        try:
+            return json.loads((self.path / f"epoch={epoch}.json").read_text())
+        except FileNotFoundError:
+            return {}
+
     @contextmanager
     def writing(self) -> Iterator[None]:
         """One writer at a time, also of several processes."""
@@ -80,16 +95,18 @@ class Store:
 
     def publish(self, tables: dict[str, DataFrame], **facts: object) -> int:
         """Write the next epoch and point to it; facts are kept in the pointer. Tables that aren't given stay as they are."""
-        spark = next(iter(tables.values())).sparkSession
         now = self.epoch()
         after = now + 1
         place = self.path / f"epoch={after}"
-        for name, schema in TABLES.items():
-            df = tables.get(name)
-            if df is None:
-                df = self.read(spark, name, now)
-            columns = [c.split()[0] for c in re.split(r", (?![^<]*>)", schema)]
-            df.select(columns).write.mode("overwrite").parquet(str(place / name))
+        folders = self._folders(now)
+        for name, df in tables.items():
+            columns = [c.split()[0] for c in re.split(r", (?![^<]*>)", TABLES[name])]
+            df = df.select(columns)
+            if name in SORTED:
+                df = df.repartitionByRange(SORTED[name]).sortWithinPartitions(SORTED[name])
+            df.write.mode("overwrite").parquet(str(place / name))
+            folders[name] = after
+        self._write(f"epoch={after}.json", folders)
         self._write("current.json", {"version": VERSION, "profile": self.profile, "epoch": after, **facts})
         self._write("../root.json", {"root": self.repo})
         return after

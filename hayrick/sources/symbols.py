@@ -42,6 +42,26 @@ PATTERNS: dict[str, list[tuple[str, re.Pattern]]] = {
 }
 
 
+#: A declaration of each language that its parser must find.
+_PROBES = {"python": "def f():\n  pass\n", "go": "func F() {\n}\n", "rust": "fn f() {\n}\n", "ruby": "def f\nend\n", "php": "<?php\nfunction f() {\n}\n", "c": "int f(int a) {\n}\n", "cpp": "int f(int a) {\n}\n"}
+
+
+def preflight(languages: list[str]) -> dict[str, str]:
+    """Languages whose parser can't be used, each with the reason."""
+    out = {}
+    for lang in languages:
+        if lang not in PATTERNS:
+            out[lang] = "no declarations are known of this language"
+            continue
+        try:
+            found, status, detail = parse_source(_PROBES.get(lang, "class A {\n}\n").encode(), lang)
+            if not found:
+                out[lang] = f"nothing is found in a plain declaration ({status}: {detail})"
+        except Exception as e:  # whatever a parser fails with is the answer
+            out[lang] = str(e)[:200]
+    return out
+
+
 def language(path: str) -> str | None:
     m = re.search(r"\.[^./]+$", path)
     return LANGUAGES.get(m.group()) if m else None

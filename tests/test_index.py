@@ -157,7 +157,7 @@ def test_api_and_jobs(spark, tree, tmp_path):
     assert engine.search("x", repo="/nowhere")["error"]["code"] == "REPOSITORY_NOT_FOUND"
     assert engine.list_workspaces()["data"]["workspaces"] == [{"root": tree, "configured": True, "indexed": True}]
     assert Hayrick(spark, str(tmp_path)).status()["error"]["code"] == "REPOSITORY_NOT_SELECTED"
-    assert engine.jobs.journal(spark).first()["state"] == "completed"
+    assert engine.journal.jobs().first()["state"] == "completed"
 
 
 def test_jobs_join_cancel_and_fail():
