@@ -14,7 +14,8 @@ from hayrick.errors import HayrickError
 from hayrick.functions import text
 from hayrick.operators import evaluate, fusion
 from hayrick.plans import search
-from hayrick.sources import inventory
+from hayrick.plans.index import coverage
+from hayrick.sources import inventory, scratch
 from hayrick.sources.store import Store
 
 
@@ -28,32 +29,52 @@ def gold_ids(cases: DataFrame, symbols: DataFrame) -> DataFrame:
     return found
 
 
-def run_suite(spark: SparkSession, store: Store, cases: DataFrame, k: int = 10, **options) -> dict:
-    """Each case searched over its full pool; ranks, losses and summary figures."""
-    golden = gold_ids(cases, store.read(spark, "symbols"))
-    results, facts = [], []
-    for case in golden.toLocalIterator():  # a suite is a few dozen cases
-        began = time.monotonic()
-        found = search.search(spark, store, case["query"], 10_000, **options)
-        facts.append((case["id"], time.monotonic() - began, found.warnings))
-        results += [(case["id"], n, r["id"], r["path"]) for n, r in enumerate(found.results, 1)]
-    ranked = spark.createDataFrame(results, "qid string, rank int, id bigint, path string")
-    gold = golden.select(F.col("id").alias("qid"), "gold_id", "gold_path")
-    ranks = evaluate.case_ranks(ranked, gold).join(spark.createDataFrame(facts, "qid string, latency double, warnings array<string>"), "qid")
-    losses = ranks.select("qid", evaluate.replay_loss_stage(F.col("rank"), k).alias("stage"))
-    counted = losses.where(F.col("stage").isNotNull()).groupBy("stage").agg(F.count(F.lit(1)).alias("n"))
-    return {"k": k, **evaluate.summary(ranks, k).first().asDict(), "loss_stages": {r["stage"]: r["n"] for r in counted.collect()}}
-
-
-DOCUMENTS: dict[str, Callable[[], F.Column]] = {
-    "signature": lambda: F.concat_ws("\n", "signature", "docstring"),
-    "locator": lambda: F.concat_ws("\n", F.concat(F.col("path"), F.lit(" :: "), F.col("qualname"), F.lit(" ("), F.col("kind"), F.lit(")")), "full_signature", "docstring"),
-    "body": lambda: text.rerank_document(*map(F.col, ("path", "qualname", "kind", "full_signature", "docstring", "body"))),
-}
-
+def run_suite(spark: SparkSession, store: Store, cases: DataFrame, k: int = 10, *, mode: str = "balanced", intent: str = "implementation", limit: int = 50, expand=None, embed=None, cache=None, rerank=None) -> dict:
+    """All cases of a suite as one batch, each ranked over its full pool: ranks, losses, channels, coverage and summary figures.
 
-def replay(pools: DataFrame, rerank: Callable, form: str = "body", score: F.Column | None = None) -> DataFrame:
-    """Saved pools ordered anew: qid, rank (old), new_rank, valid. Pools are reranked in parallel, one query a group."""
+    A case's latency is its share of the batch's time.
+    """
+    began, epoch = time.monotonic(), store.epoch()
+    golden = gold_ids(cases, store.read(spark, "symbols", epoch))
+    asked = golden.select("id", "query").collect()  # a suite is a few dozen cases
+    if mode == "fast":
+        expand = embed = rerank = None
+    elif mode == "balanced":
+        expand = None
+    models = spark.createDataFrame([(r["id"], r["query"], expand(r["query"]) if expand else []) for r in asked], "qid string, query string, model array<string>")
+    queries = models.select("qid", F.posexplode(text.query_list(F.col("query"), F.col("model"))).alias("list_no", "query"))
+    targets, warnings = None, []
+    if embed:
+        wanted = [tuple(r) for r in (queries if expand else queries.where("list_no = 0")).orderBy("qid", "list_no").collect()]
+        found, warning = cache.of_queries(spark, [q for *_, q in wanted], embed) if cache else embed([q for *_, q in wanted], True)
+        warnings += [warning] if warning else []
+        targets = [(qid, n, v) for (qid, n, _), v in zip(wanted, found, strict=True)] if found is not None else None
+    found = search.trace(spark, store, epoch, queries, targets, limit=limit, intent=intent)
+    pool = scratch.written(found.pool, "pool")
+    order = search.by_evidence(pool, queries)
+    if rerank:
+        replies, valid = asked_reranker(pool.join(F.broadcast(models.select("qid", "query")), "qid"), rerank)
+        order = fusion.apply_rerank(order.drop("new_rank"), replies, valid, F.col("score"))
+    if intent == "implementation":
+        order = fusion.prefer_production(order.drop("rank").withColumnRenamed("new_rank", "rank"))
+    results = scratch.written(order.select("qid", F.col("new_rank").alias("rank"), "id", "path"), "results")
+    gold = golden.select(F.col("id").alias("qid"), "gold_id", "gold_path")
+    latency = (time.monotonic() - began) / max(1, len(asked))
+    ranks = evaluate.case_ranks(results, gold).withColumns({"latency": F.lit(latency), "warnings": F.lit(warnings).cast("array<string>")})
+    # Where the gold symbol was seen: in a ranking, in the fused list, among the siblings
+    mine = lambda rows, *flags: gold.join(rows.withColumnRenamed("id", "gold_id"), ["qid", "gold_id"]).groupBy("qid").agg(*[F.max(f).alias(n) for n, f in flags])
+    listed = mine(found.rankings, ("fts", F.col("list_no") < search.DENSE), ("dense", F.col("list_no") >= search.DENSE))
+    pooled = mine(pool, ("in_pool", F.lit(True)))
+    widened = mine(found.expansion, ("expansion", F.lit(True)))
+    seen = ranks.join(listed, "qid", "left").join(pooled, "qid", "left").join(widened, "qid", "left").na.fill(False, ["fts", "dense", "in_pool", "expansion"])
+    facts = seen.select("qid", "rank", evaluate.loss_stage(F.col("rank"), F.col("in_pool"), F.col("fts") | F.col("dense"), k).alias("stage"), evaluate.retrieved_by(F.col("fts"), F.col("dense"), F.col("expansion")).alias("channels"))
+    by_case = {r["qid"]: {"rank": r["rank"], "loss_stage": r["stage"], "retrieved_by": list(r["channels"])} for r in facts.collect()}
+    losses = [c["loss_stage"] for c in by_case.values() if c["loss_stage"]]
+    return {"k": k, **evaluate.summary(ranks, k).first().asDict(), "loss_stages": {s: losses.count(s) for s in sorted(set(losses))}, "cases": by_case, "coverage": coverage(spark, store), "warnings": warnings}
+
+
+def asked_reranker(pools: DataFrame, rerank: Callable, form: str = "body") -> tuple[DataFrame, DataFrame]:
+    """A reranker's replies to pools (qid, query, rank and the symbol), one query a group, and which of them are valid."""
     shown = pools.select("qid", "query", "rank", DOCUMENTS[form]().alias("document"))
 
     def ask(rows):
@@ -65,8 +86,20 @@ def replay(pools: DataFrame, rerank: Callable, form: str = "body", score: F.Colu
         pairs = reply if good else []
         return pd.DataFrame({"qid": [rows["qid"].iloc[0]] * len(pairs), "idx": [int(i) for i, _ in pairs], "score": [float(s) for _, s in pairs], "response_pos": list(range(len(pairs)))})
 
-    replies = shown.groupBy("qid").applyInPandas(ask, "qid string, idx int, score double, response_pos int")
-    valid = fusion.valid_orders(replies, pools.groupBy("qid").agg(F.count(F.lit(1)).alias("size")))
+    replies = scratch.written(shown.groupBy("qid").applyInPandas(ask, "qid string, idx int, score double, response_pos int"), "replies")
+    return replies, fusion.valid_orders(replies, pools.groupBy("qid").agg(F.count(F.lit(1)).alias("size")))
+
+
+DOCUMENTS: dict[str, Callable[[], F.Column]] = {
+    "signature": lambda: F.concat_ws("\n", "signature", "docstring"),
+    "locator": lambda: F.concat_ws("\n", F.concat(F.col("path"), F.lit(" :: "), F.col("qualname"), F.lit(" ("), F.col("kind"), F.lit(")")), "full_signature", "docstring"),
+    "body": lambda: text.rerank_document(*map(F.col, ("path", "qualname", "kind", "full_signature", "docstring", "body"))),
+}
+
+
+def replay(pools: DataFrame, rerank: Callable, form: str = "body", score: F.Column | None = None) -> DataFrame:
+    """Saved pools ordered anew: qid, rank (old), new_rank, valid. Pools are reranked in parallel, one query a group."""
+    replies, valid = asked_reranker(pools, rerank, form)
     pool = pools.select("qid", "rank", "path", "qualname", "score")
     return fusion.apply_rerank(pool, replies, valid, F.col("score") if score is None else score).select("qid", "path", "qualname", "rank", "new_rank", "valid")
 
@@ -74,8 +107,12 @@ def replay(pools: DataFrame, rerank: Callable, form: str = "body", score: F.Colu
 def attach_bodies(pools: DataFrame, parsed: DataFrame) -> DataFrame:
     """Bodies and ends from a snapshot parsed anew, by path, qualified name and line; of spans that repeat, the first.
 
-    A candidate that the snapshot lacks means it is another one: that is an error.
+    A candidate that the snapshot lacks means it is another one: that is an error, and so is
+    a path that leaves the snapshot.
     """
+    outside = pools.where(F.col("path").startswith("/") | F.col("path").rlike(r"(^|/)\.\.(/|$)")).select("path").limit(1).collect()
+    if outside:
+        raise HayrickError("INVALID_ARGUMENT", f"a path outside of the snapshot: {outside[0]['path']}")
     keys = ["path", "qualname", "line"]
     spans = parsed.where(F.col("qualname").isNotNull()).groupBy(*keys).agg(F.min(F.struct("end_line", "body")).alias("s"))
     found = pools.drop("body", "end_line").join(spans, keys, "left")

@@ -1,11 +1,12 @@
-"""Hybrid search over an index, for a batch of queries.
+"""Hybrid search over an index.
 
 Each query goes through exact lookup (not in deep mode), or else through lexical rankings
 of itself and its variants and a dense ranking, which are fused, joined with their symbols
 and widened by siblings of their files. A reranker's reply, where it is valid, orders the
 pool; otherwise its evidence does. Production code is preferred when the intent is
-implementation. All stages are one plan for all queries; models are injected callables, and
-only a pool that a reranker has to see comes to the driver.
+implementation. trace() plans all stages of a batch of queries at once; search() is one query
+of it with models, deadline and report. Models are injected callables, and only a pool that a
+reranker has to see comes to the driver.
 """
 
 from __future__ import annotations
@@ -57,12 +58,66 @@ def is_identifier(query: str) -> bool:
 
 
 def lexical_lists(postings: DataFrame, lengths: DataFrame, queries: DataFrame, limit: int) -> DataFrame:
-    """Rankings of queries (list_no, query) by BM25 over the stored stemmed terms: qid, list_no, rank, id."""
-    terms = queries.select(F.col("list_no").alias("qid"), F.explode(stem(F.flatten(F.transform(text.match_terms(F.col("query")), lambda t: text.index_tokens(t))))).alias("term"))
+    """Rankings of queries (qid, list_no, query) by BM25 over the stored stemmed terms: qid, list_no, rank, id."""
+    terms = queries.select(F.struct("qid", "list_no").alias("qid"), F.explode(stem(F.flatten(F.transform(text.match_terms(F.col("query")), lambda t: text.index_tokens(t))))).alias("term"))
     asked = sorted({r["term"] for r in terms.select("term").distinct().collect()})  # the terms of one call's queries
     # The terms reach the scan, whose files are sorted by them.
     best = lexical.top_k(lexical.bm25(terms, postings.where(F.col("term").isin(asked)), lengths), limit)
-    return best.select(F.lit(0).alias("qid"), F.col("qid").alias("list_no"), "rank", "id")
+    return best.select("qid.qid", "qid.list_no", "rank", "id")
+
+
+@dataclass
+class Trace:
+    """What every stage of a batch of queries gave, by qid."""
+
+    rankings: DataFrame  # qid, list_no (from DENSE on: dense ones), rank, id
+    fused: DataFrame  # qid, rank, score and the symbol
+    expansion: DataFrame  # qid, id, position
+    pool: DataFrame  # qid, rank, score and the symbol: fused, then expansion
+
+
+DENSE = 1000
+
+
+def trace(spark: SparkSession, store: Store, epoch: int, queries: DataFrame, targets: list[tuple] | None = None, *, limit: int = 50, intent: str = "any") -> Trace:
+    """One plan for a batch. queries: qid, list_no (0: as asked), query. targets: (qid, list_no, vector) of those that have one."""
+    symbols = store.read(spark, "symbols", epoch)
+    rankings = lexical_lists(store.read(spark, "postings", epoch), store.read(spark, "lengths", epoch), queries, limit)
+    vectors_ = store.read(spark, "vectors", epoch)
+    kind = queries.schema["qid"].dataType
+    if targets:
+        asked = spark.createDataFrame([(n, [float(x) for x in v]) for n, (*_, v) in enumerate(targets)], "qid bigint, embedding array<double>")
+        names = spark.createDataFrame([(n, q, DENSE + k) for n, (q, k, _) in enumerate(targets)], f"n bigint, qid {kind.simpleString()}, list_no int")
+        near = dense.knn(asked, vectors_, limit, id_column="symbol_id").withColumnRenamed("qid", "n")
+        rankings = rankings.unionByName(near.join(F.broadcast(names), "n").select("qid", "list_no", "rank", "id"))
+    fused = fusion.fuse(rankings, limit).join(symbols, "id")
+    # Files of a query's candidates come first; hits and cosine are worked out for their symbols only.
+    words = queries.where("list_no = 0").select("qid", text.distinct_terms(F.col("query")).alias("terms"))
+    files = fusion.best_files(fused.select("qid", "id", "path", "score", "rank")).select("qid", "path")
+    siblings = symbols.select("id", "path", "body").join(files, "path").join(F.broadcast(words), "qid")
+    siblings = siblings.select("qid", "id", "path", text.term_hits(F.col("body"), F.col("terms")).alias("hits"))
+    if targets:
+        first = spark.createDataFrame([(q, [float(x) for x in v]) for q, k, v in targets if k == 0], f"qid {kind.simpleString()}, target array<double>")
+        siblings = siblings.join(vectors_.select(F.col("symbol_id").alias("id"), "embedding"), "id", "left").join(F.broadcast(first), "qid", "left")
+        siblings = siblings.withColumn("cosine", vectors.cosine(F.col("embedding"), F.col("target"))).drop("embedding", "target")
+    else:
+        siblings = siblings.withColumn("cosine", F.lit(0.0))
+    more = fusion.expand_pool(fused.select("qid", "id", "path", "score", "rank"), siblings).select("qid", "id", "position")
+    columns = ["qid", *symbols.columns, "score", "rank"]
+    widened = more.join(symbols, "id").select("*", F.lit(0.0).alias("score"), (F.lit(limit) + F.col("position")).alias("rank"))
+    pool = fused.select(columns).unionByName(widened.select(columns))
+    if intent == "tests":
+        pool = pool.where(F.col("source_role").isin("test", "fixture"))
+    pool = pool.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy("rank")))
+    return Trace(rankings, fused, more, pool)
+
+
+def by_evidence(pool: DataFrame, queries: DataFrame) -> DataFrame:
+    """The pool with new_rank and score by the evidence of each query's terms."""
+    raw = queries.where("list_no = 0").select("qid", F.transform(text.match_terms(F.col("query")), lambda t: F.lower(t)).alias("terms"))
+    found = text.evidence(F.col("terms"), *map(F.col, ("qualname", "path", "body")), F.col("source_role") == "production")
+    scored = pool.join(F.broadcast(raw), "qid").withColumn("evidence", found).drop("terms")
+    return fusion.reorder(scored, F.col("evidence")).withColumn("score", F.col("evidence")).drop("evidence")
 
 
 def search(
@@ -101,12 +156,10 @@ def search(
         if found:
             return Report([r.asDict() for r in found], ["exact"], seconds={"total": time.monotonic() - began})
     report.stages.append("lexical")
-    first = spark.createDataFrame([(query,)], "query string")
+    first = spark.createDataFrame([(0, query)], "qid int, query string")
     model = F.array(*map(F.lit, expand(query))) if expand else None
-    queries = first.select(F.posexplode(text.query_list(F.col("query"), model)).alias("list_no", "query"))
-    rankings = lexical_lists(store.read(spark, "postings", epoch), store.read(spark, "lengths", epoch), queries, limit)
-    known = store.read(spark, "vectors", epoch)
-    target = None
+    queries = first.select("qid", F.posexplode(text.query_list(F.col("query"), model)).alias("list_no", "query"))
+    targets = None
     if embed:
         wanted = [r["query"] for r in queries.orderBy("list_no").collect()] if expand else [query]
         found, warning = cache.of_queries(spark, wanted, embed) if cache else embed(wanted, True)
@@ -116,32 +169,15 @@ def search(
             report.degrade("QUERY_MODEL_UNAVAILABLE", warning)
         else:
             report.stages.append("dense")
-            target = found[0]
-            asked = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(found)], "qid bigint, embedding array<double>")
-            near = dense.knn(asked, known, limit, id_column="symbol_id")
-            rankings = rankings.unionByName(near.select(F.lit(0).alias("qid"), (F.col("qid") + 1000).cast("int").alias("list_no"), "rank", "id"))
+            targets = [(0, n, v) for n, v in enumerate(found)]
+        known = store.read(spark, "vectors", epoch)
         if not maintenance.missing(symbols.select("id"), known.select(F.col("symbol_id").alias("id")), "id").isEmpty():
             report.degrade("DENSE_INDEX_PARTIAL")
-    fused = fusion.fuse(rankings, limit).join(symbols, "id")
-    terms = F.array(*map(F.lit, dict.fromkeys(re.findall(r"\w{3,}", query.lower())))) if re.search(r"\w{3,}", query) else F.array().cast("array<string>")
-    siblings = symbols.select("id", "path", text.term_hits(F.col("body"), terms).alias("hits"))
-    if target is not None:
-        siblings = siblings.join(known.select(F.col("symbol_id").alias("id"), "embedding"), "id", "left").withColumn("cosine", vectors.cosine(F.col("embedding"), F.array(*[F.lit(float(x)) for x in target]))).drop("embedding")
-    else:
-        siblings = siblings.withColumn("cosine", F.lit(0.0))
-    more = fusion.expand_pool(fused.select("qid", "id", "path", "score", "rank"), siblings, pooled=limit).select("qid", "id", "position")
-    columns = ["qid", *symbols.columns, "score", "rank"]
-    widened = more.join(symbols, "id").select("*", F.lit(0.0).alias("score"), (F.lit(limit) + F.col("position")).alias("rank"))
-    pool = fused.select(columns).unionByName(widened.select(columns))
-    if intent == "tests":
-        pool = pool.where(F.col("source_role").isin("test", "fixture"))
-    pool = pool.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy("rank")))
+    pool = trace(spark, store, epoch, queries, targets, limit=limit, intent=intent).pool
     issues = store.read(spark, "parse_state", epoch).where(F.col("status").isin("partial", "error", "unsupported", "unreadable"))
     if not issues.isEmpty():
         report.degrade("PARSE_COVERAGE_PARTIAL")
-    raw = F.array(*map(F.lit, [t.lower() for t in re.findall(r"\w{2,}", query)])) if re.search(r"\w{2,}", query) else F.array().cast("array<string>")
-    evidence = text.evidence(raw, *map(F.col, ("qualname", "path", "body")), F.col("source_role") == "production")
-    order = fusion.reorder(pool, evidence).withColumn("score", evidence)
+    order = by_evidence(pool, queries)
     if rerank and not late():
         shown = pool.orderBy("rank").select("id", text.rerank_document(*map(F.col, ("path", "qualname", "kind", "full_signature", "docstring", "body"))).alias("document")).collect()  # limit + 50 rows at most
         reply, warning = rerank(query, [r["document"] for r in shown])
@@ -152,7 +188,7 @@ def search(
             report.stages.append("rerank")
             answer = spark.createDataFrame(replies, "qid int, idx int, score double, response_pos int")
             ok = spark.createDataFrame([(0, True)], "qid int, valid boolean")
-            order = fusion.apply_rerank(pool, answer, ok, evidence).withColumn("score", F.col("final"))
+            order = fusion.apply_rerank(pool, answer, ok, F.col("score")).withColumn("score", F.col("final"))
         else:
             report.degrade("RERANK_FALLBACK", warning or "the reranker gave no usable order; candidates are in the order of their evidence")
     elif rerank:

@@ -194,6 +194,7 @@ def test_suites_and_replays(spark, tree, tmp_path):
     cases = suites.suite(spark, f"file://{path}")
     report = evaluation.run_suite(spark, store, cases)
     assert report["recall"] == 1.0 and report["mrr"] == 1.0 and report["loss_stages"] == {}
+    assert report["cases"]["a"] == {"rank": 1, "loss_stage": None, "retrieved_by": ["fts"]} and report["coverage"]["parse_coverage"] == {"ok": 3}
     with pytest.raises(HayrickError):
         evaluation.gold_ids(cases.withColumn("gold_path", F.lit("x")), store.read(spark, "symbols"))
     pools = tmp_path / "pools.json"
@@ -204,3 +205,20 @@ def test_suites_and_replays(spark, tree, tmp_path):
     with pytest.raises(HayrickError):
         suites.saved_pools(spark, f"file://{pools}")
     assert evaluation.obfuscate({"Acme": ["ACME acme acmeX"], "issue_url": 1}, {"acme": "zorb"}) == {"Zorb": ["ZORB zorb acmeX"]}
+
+
+def test_a_batch_is_what_single_searches_give(spark, tree, tmp_path):
+    """Ranks of all cases of a suite, with models, against one search a case; and where cases are lost."""
+    store = Store(str(tmp_path / "base"), tree)
+    index.refresh(spark, store, tree)
+    index.attach_vectors(spark, store, index.embed_missing(store, spark, embedder), 4)
+    asked = {"a": ("how to render a page", "src/widgets.py", "Widget.render_page"), "b": ("parse config of settings", "conf.go", "ParseConfig"), "c": ("render page test", "tests/test_widgets.py", "test_render_page"), "d": ("zzz nothing of that kind", "conf.go", "Settings")}
+    cases = spark.createDataFrame([(i, q, p, n, "") for i, (q, p, n) in asked.items()], "id string, query string, gold_path string, gold_qualname string, rationale string")
+    for models in ({}, {"embed": embedder}, {"rerank": lambda q, d: ([(i, -float(i)) for i in range(len(d))], None)}):
+        report = evaluation.run_suite(spark, store, cases, k=1, intent="any", **models)
+        for i, (query, path, name) in asked.items():
+            found = [(r["path"], r["qualname"]) for r in search.search(spark, store, query, 500, intent="any", **models).results]
+            rank = found.index((path, name)) + 1 if (path, name) in found else None
+            assert report["cases"][i]["rank"] == rank, (i, models)
+            assert report["cases"][i]["loss_stage"] == (None if rank == 1 else "ranked_deep" if rank else "not_retrieved")
+        assert ("dense" in report["cases"]["a"]["retrieved_by"]) == ("embed" in models)
