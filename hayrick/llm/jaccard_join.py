@@ -171,14 +171,18 @@ def _compare(table: pa.Table) -> pa.Table:
     return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["a", "b", "shared", "na", "nb", "gone0", "gone1"])
 
 
-def compare(pairs: DataFrame, sets: DataFrame, *, chunk: int = 256) -> DataFrame:
-    """Intersection sizes of distinct pairs (a, b); sets has one row a node. A b with many partners is copied to chunks of them."""
-    sizes = pairs.groupBy("b").agg(F.count(F.lit(1)).alias("partners"))
-    total = pairs.count()
-    small = F.col("partners") <= chunk
-    # Pivots with few partners share a group, others have groups of their own.
+def compare(pairs: DataFrame, sets: DataFrame, *, chunk: int = 1 << 19) -> DataFrame:
+    """Intersection sizes of distinct pairs (a, b, n: shingles of a); sets has one row a node.
+
+    A group's sets hold about `chunk` shingles, or twice that, and those of its pivots: a b
+    whose partners hold more is copied to chunks of them.
+    """
+    sizes = pairs.groupBy("b").agg(F.sum("n").alias("weight"))
+    total = pairs.agg(F.sum("n")).first()[0] or 0
+    small = F.col("weight") <= chunk
+    # Pivots whose partners are small share a group, others have groups of their own.
     group = F.when(small, F.pmod(F.xxhash64("b"), F.lit(max(1, total // (2 * chunk)))).cast("bigint")).otherwise(F.col("b"))
-    chunks = F.when(small, F.lit(0)).otherwise(F.ceil(F.col("partners") / chunk).cast("int"))
+    chunks = F.when(small, F.lit(0)).otherwise(F.ceil(F.col("weight") / chunk).cast("int"))
     sized = pairs.join(sizes, "b").select("a", "b", group.alias("g"), F.when(small, F.lit(-1)).otherwise(F.pmod(F.xxhash64("a"), chunks)).alias("c"))
     pivots = sizes.select(F.col("b").alias("a"), "b", group.alias("g"), F.explode(F.when(small, F.array(F.lit(-1))).otherwise(F.sequence(F.lit(0), chunks - 1))).alias("c"))
     wanted = sized.unionByName(pivots).withColumnRenamed("a", "node")
@@ -269,9 +273,9 @@ def _components(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, D
     lists = entries.groupBy("entry").agg(F.count(F.lit(1)).alias("members"), F.min(F.struct(F.col("own") / F.col("n"), "node")).alias("p"))
     index = entries.join(lists.where("members > 1").select("entry", F.col("p.node").alias("list_pivot")), "entry")
     index = common.materialize(index.select("entry", "node", "n", "at", "own", "list_pivot"), "index")
-    met = index.where("node != list_pivot").groupBy("node", "list_pivot").agg(F.count(F.lit(1)).alias("times"))
-    first = met.groupBy("node").agg(F.max(F.struct("times", F.col("list_pivot").alias("pivot"))).alias("m"))
-    pairs = common.materialize(first.select(F.col("node").alias("a"), F.col("m.pivot").alias("b")), "pairs")
+    met = index.where("node != list_pivot").groupBy("node", "n", "list_pivot").agg(F.count(F.lit(1)).alias("times"))
+    first = met.groupBy("node", "n").agg(F.max(F.struct("times", F.col("list_pivot").alias("pivot"))).alias("m"))
+    pairs = common.materialize(first.select(F.col("node").alias("a"), F.col("m.pivot").alias("b"), "n"), "pairs")
     # One row a node; a row's key is never null, as its doc_id may be.
     keyed = held.withColumn("key", F.xxhash64("doc_id", "mark"))
     sets = keyed.groupBy("node").agg(F.min("key").alias("key")).join(keyed.select("node", "key", "shingles"), ["node", "key"])
@@ -293,7 +297,7 @@ def _components(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, D
     sized = counted.join(nodes.select(F.col("node").alias("a"), F.col("n").alias("na")), "a").join(nodes.select(F.col("node").alias("b"), F.col("n").alias("nb")), "b")
     rest = lambda n: F.ceil(n * percent / 100) - 1  # noqa: E731  shingles behind the prefix
     possible = (F.col("common") + F.greatest(rest(F.col("na")), rest(F.col("nb")))) * (100 + percent) >= percent * (F.col("na") + F.col("nb"))
-    more = common.materialize(sized.where(possible).select("a", "b"), "pairs")
+    more = common.materialize(sized.where(possible).select("a", "b", F.col("na").alias("n")), "pairs")
     if not more.isEmpty():
         later = compare(more, sets).where(linked(percent)).select("a", "b")
         roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(later))

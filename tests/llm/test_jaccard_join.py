@@ -135,3 +135,13 @@ def test_query_against_its_sql(spark):
     expected = sorted(db.execute(f"select doc_id, n_shingles, component_id from ({queries.ORACLE_SQL['op6_jaccard_join']})").fetchall())
     found = queries.QUERIES["op6_jaccard_join"](spark, sf).select("doc_id", "n_shingles", "component_id")
     assert sorted(map(tuple, found.collect())) == expected
+
+
+def test_comparisons_are_cut_by_size(spark):
+    """Sets of all sizes with one pivot or many, in chunks far smaller than their sum, give the plain intersections."""
+    rnd = random.Random(4)
+    nodes = {k: np.unique(np.array([rnd.randrange(400) for _ in range(rnd.choice([3, 30, 900]))], np.uint64)) for k in range(60)}
+    sets = spark.createDataFrame([(k, bytearray(v.tobytes())) for k, v in nodes.items()], "node bigint, shingles binary")
+    pairs = [(k, 0 if k % 2 else 2 + k % 7, len(v)) for k, v in nodes.items() if k > 10]
+    found = jaccard_join.compare(spark.createDataFrame(pairs, "a bigint, b bigint, n int"), sets, chunk=200).collect()
+    assert sorted((r["a"], r["b"], r["shared"], r["na"], r["nb"]) for r in found) == sorted((a, b, len(np.intersect1d(nodes[a], nodes[b])), n, len(nodes[b])) for a, b, n in pairs)
