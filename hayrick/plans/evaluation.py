@@ -154,3 +154,14 @@ def obfuscate(value: object, terms: dict[str, str], drop: tuple[str, ...] = ("is
         return v
 
     return walk(value)
+
+
+def obfuscated_suite(suite: dict, terms: dict[str, str]) -> dict:
+    """A suite fit for publication: names and revision replaced. An error if the revision stays readable or two cases get one locator."""
+    after = obfuscate(suite, terms)
+    if suite["revision"] in json.dumps(after):
+        raise HayrickError("INVALID_ARGUMENT", "the terms don't replace the suite's revision")
+    places = lambda s: {(c["expected"]["path"], c["expected"]["qualname"]) for c in s["cases"]}
+    if len(places(after)) != len(places(suite)):
+        raise HayrickError("INVALID_ARGUMENT", "two locators are the same once their names are replaced")
+    return after

@@ -99,7 +99,7 @@ def trace(spark: SparkSession, store: Store, epoch: int, queries: DataFrame, tar
     if targets:
         first = spark.createDataFrame([(q, [float(x) for x in v]) for q, k, v in targets if k == 0], f"qid {kind.simpleString()}, target array<double>")
         siblings = siblings.join(vectors_.select(F.col("symbol_id").alias("id"), "embedding"), "id", "left").join(F.broadcast(first), "qid", "left")
-        siblings = siblings.withColumn("cosine", vectors.cosine(F.col("embedding"), F.col("target"))).drop("embedding", "target")
+        siblings = siblings.withColumn("cosine", F.coalesce(vectors.cosine(F.col("embedding"), F.col("target")), F.lit(0.0))).drop("embedding", "target")
     else:
         siblings = siblings.withColumn("cosine", F.lit(0.0))
     more = fusion.expand_pool(fused.select("qid", "id", "path", "score", "rank"), siblings).select("qid", "id", "position")

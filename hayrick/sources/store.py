@@ -87,7 +87,11 @@ class Store:
 
     @contextmanager
     def writing(self) -> Iterator[None]:
-        """One writer at a time, also of several processes."""
+        """One writer at a time, also of several processes. A folder that holds something else, or another root's index, is left alone."""
+        if self.folder.is_dir() and any(self.folder.iterdir()):
+            known = self.folder / "root.json"
+            if known.exists() and json.loads(known.read_text())["root"] != self.repo or not known.exists() and not list(self.folder.glob("*/writer.lock")):
+                raise HayrickError("INVALID_ARGUMENT", f"{self.folder} is no index of this collection", folder=str(self.folder))
         self.path.mkdir(parents=True, exist_ok=True)
         with (self.path / "writer.lock").open("w") as lock:
             fcntl.flock(lock, fcntl.LOCK_EX)

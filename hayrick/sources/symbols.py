@@ -2,9 +2,10 @@
 
 Python is parsed by its own grammar; files that don't parse are scanned line by line as the
 other languages are, and are `partial` if that finds anything. The scanner knows the
-declarations of each language by patterns and finds ends by braces (or `end`, in Ruby). It
-doesn't read strings and comments as a grammar would, so declarations inside them are
-taken for real ones; that is a known difference from a full parser.
+declarations of each language by patterns and finds ends by braces (or `end`, in Ruby), after
+comments and strings are blanked. Files whose braces don't match are `partial`, or `error`
+without any symbol. It is no grammar: what a full parser calls an error inside of matching
+braces goes unseen.
 
 One row a symbol, and one status row a file (with a null qualname), so that files without
 symbols are not lost.
@@ -110,19 +111,65 @@ def _end(lines: list[str], first: int, lang: str) -> int:
     return len(lines) - 1 if opened else first
 
 
-def _scan(lines: list[str], lang: str) -> list[dict]:
-    out, owners = [], []
-    for i, line in enumerate(lines):
+_STRINGS = r"\"(?:\\.|[^\"\\\n])*\""
+_SLASHES = r"//[^\n]*|/\*.*?(?:\*/|\Z)"
+#: Comments and strings by language; what they hold declares nothing.
+_HIDDEN: dict[str, re.Pattern] = {
+    lang: re.compile(p, re.DOTALL)
+    for langs, p in (
+        (("go", "typescript", "tsx", "javascript"), rf"{_SLASHES}|{_STRINGS}|'(?:\\.|[^'\\\n])*'|`(?:\\.|[^`\\])*`"),
+        (("rust",), rf"{_SLASHES}|{_STRINGS}|'(?:\\.[^']*|[^'\\\n])'"),
+        (("java", "csharp", "c", "cpp"), rf"{_SLASHES}|{_STRINGS}|'(?:\\.|[^'\\\n])*'"),
+        (("php",), rf"{_SLASHES}|\#[^\n]*|{_STRINGS}|'(?:\\.|[^'\\])*'"),
+        (("ruby",), rf"\#[^\n]*|{_STRINGS}|'(?:\\.|[^'\\\n])*'"),
+    )
+    for lang in langs
+}
+
+
+def bare(text: str, lang: str) -> str:
+    """The text with blanks in the place of comments and strings; lines and columns stay."""
+    hidden = _HIDDEN.get(lang)
+    return hidden.sub(lambda m: re.sub(r"[^\n]", " ", m[0]), text) if hidden else text
+
+
+def _head(lines: list[str], plain: list[str], first: int, last: int) -> str:
+    """A declaration up to its body, over as many lines as it takes."""
+    for i in range(first, last + 1):
+        for stop in "{;":
+            if (at := plain[i].find(stop)) >= 0:
+                return "\n".join([*lines[first:i], lines[i][:at]]).strip()
+    return ""
+
+
+def _scan(lines: list[str], lang: str, plain: list[str] | None = None) -> list[dict]:
+    """Declarations that the patterns find; `plain` are the lines without comments and strings."""
+    out, owners, plain = [], [], plain or lines
+    for i, line in enumerate(plain):
         owners = [o for o in owners if o[1] >= i]
         for kind, pattern in PATTERNS[lang]:
             if m := pattern.match(line):
-                last = _end(lines, i, lang)
-                out.append(_row(lines, kind, m["name"], [o[0] for o in owners], i, last, None, ""))
+                last = _end(plain, i, lang)
+                row = _row(lines, kind, m["name"], [o[0] for o in owners], i, last, None, "")
+                if lang not in ("python", "ruby"):
+                    row["full_signature"] = _head(lines, plain, i, last) or row["signature"]
+                out.append(row)
                 owners.append((m["name"], last))
                 break
     return out
 
 
+def unbalanced(plain: str) -> str | None:
+    """What is wrong with the braces of a text without comments and strings."""
+    depth = 0
+    for line, row in enumerate(plain.split("\n"), 1):
+        for c in row:
+            depth += (c == "{") - (c == "}")
+            if depth < 0:
+                return f"a brace closes nothing in line {line}"
+    return f"{depth} braces are left open" if depth else None
+
+
 def parse_source(content: bytes, lang: str | None) -> tuple[list[dict], str, str | None]:
     """Symbols, status (ok, partial, empty, unsupported, error) and detail of one file."""
     if lang not in PATTERNS:
@@ -136,7 +183,10 @@ def parse_source(content: bytes, lang: str | None) -> tuple[list[dict], str, str
         except (SyntaxError, ValueError, RecursionError) as e:
             found = _scan(lines, lang)
             return found, "partial" if found else "error", str(e)[:200]
-    found = _scan(lines, lang)
+    plain = bare(text, lang)
+    found = _scan(lines, lang, plain.split("\n"))
+    if lang != "ruby" and (wrong := unbalanced(plain)):
+        return found, "partial" if found else "error", wrong
     return found, "ok" if found else "empty", None
 
 

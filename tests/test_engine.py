@@ -10,10 +10,10 @@ from hayrick.api import Hayrick
 from hayrick.config import Settings
 from hayrick.errors import HayrickError
 from hayrick.jobs import Job, Journal, Jobs
-from hayrick.plans import index
+from hayrick.plans import evaluation, index
 from hayrick.sources import inventory
 from hayrick.sources.store import Store
-from hayrick.sources.symbols import PATTERNS, preflight
+from hayrick.sources.symbols import PATTERNS, parse_source, preflight
 from hayrick.sources.vector_cache import DOCUMENT, QUERY, VectorCache
 from tests.test_index import tree, write  # noqa: F401
 
@@ -144,6 +144,39 @@ def test_texts(spark, tree, tmp_path):  # noqa: F811
     assert "k: 0, accepted: integer >= 1" in bad
 
 
+def test_comments_strings_and_braces():
+    """What is in them declares nothing; braces that don't match make a file partial, or an error; heads go on to the body."""
+    code = 'package p\n// func Not() {\n/* type Nor struct {\n*/\nvar s = "func Neither() {"\nfunc Real(\n\ta int,\n\tb int,\n) int {\n\treturn 1 // }\n}\n'
+    found, status, _ = parse_source(code.encode(), "go")
+    assert status == "ok" and [s["qualname"] for s in found] == ["Real"]
+    assert found[0]["full_signature"] == "func Real(\n\ta int,\n\tb int,\n) int" and (found[0]["line"], found[0]["end_line"]) == (6, 11)
+    assert parse_source(b"func F() {\n", "go")[1] == "partial" and parse_source(b"x }\n", "java")[1:] == ("error", "a brace closes nothing in line 1")
+    rust = parse_source(b"fn f<'a>(x: &'a str) -> char {\n  '{'\n}\nfn g() {\n}\n", "rust")
+    assert rust[1] == "ok" and [s["name"] for s in rust[0]] == ["f", "g"]
+
+
+def test_suites_for_publication():
+    suite = {"name": "s", "revision": "abc123", "cases": [{"id": 1, "expected": {"path": "acme/x.py", "qualname": "f"}}, {"id": 2, "expected": {"path": "zorb/x.py", "qualname": "f"}}]}
+    with pytest.raises(HayrickError):
+        evaluation.obfuscated_suite(suite, {"acme": "brick"})
+    with pytest.raises(HayrickError):
+        evaluation.obfuscated_suite(suite, {"abc123": "r1", "acme": "zorb"})
+    assert evaluation.obfuscated_suite(suite, {"abc123": "r1", "acme": "brick"})["cases"][0]["expected"]["path"] == "brick/x.py"
+
+
+def test_foreign_folders_are_left_alone(tmp_path):
+    store = Store(str(tmp_path), "/r/one")
+    with store.writing():
+        pass
+    with store.writing():
+        pass
+    other = Store(str(tmp_path), "/r/two")
+    other.folder.mkdir(parents=True)
+    (other.folder / "notes.txt").write_text("mine")
+    with pytest.raises(HayrickError), other.writing():
+        pass
+
+
 def test_parsers_are_ready():
     assert preflight(sorted(PATTERNS)) == {}
     assert list(preflight(["cobol"])) == ["cobol"]
