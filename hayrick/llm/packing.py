@@ -99,7 +99,7 @@ def _pieces(path: str, end: int, capacity: int):
     return cut
 
 
-def pack(docs: DataFrame, path: str, *, end: int = END_ID, capacity: int = CAPACITY, documents: int = DOCUMENTS, attention: int = CAPACITY * CAPACITY, rule: str = "norm", group_rows: int = 8192) -> DataFrame:
+def pack(docs: DataFrame, path: str, *, end: int = END_ID, capacity: int = CAPACITY, documents: int = DOCUMENTS, attention: int = CAPACITY * CAPACITY, rule: str = "norm", group_rows: int = 4096) -> DataFrame:
     """One row a piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
     groups = max(1, math.ceil(docs.count() / group_rows))
     texts = docs.select(F.col("doc_id").cast("bigint"), common.whole_text().alias("text"))
