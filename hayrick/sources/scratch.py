@@ -5,9 +5,10 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
-_stored: dict[tuple[str, str, str], DataFrame] = {}
+_stored: dict[tuple[str, str, str], str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -23,16 +24,25 @@ def shared_folder(spark: SparkSession) -> str:
 
 def written(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     """df as Parquet, read back; sorted by a column, its files tell which of its values they hold."""
+    return df.sparkSession.read.schema(df.schema).parquet(_write(df, name, by))
+
+
+def _write(df: DataFrame, name: str, by: str | None) -> str:
     path = f"{shared_folder(df.sparkSession)}/hayrick/{name}-{uuid.uuid4().hex}"
     if by:
         df = df.repartitionByRange(by).sortWithinPartitions(by)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return path
 
 
 def once(spark: SparkSession, name: str, source: str, make, by: str | None = None) -> DataFrame:
-    """A table derived from the files of `source`, written at its first use in this application."""
-    key = (spark.sparkContext.applicationId, name, source)
-    if key not in _stored:
-        _stored[key] = written(make(), name, by)
-    return _stored[key]
+    """A table derived from the files of `source`, written at its first use in this application, and again if it was cleared away."""
+    key, df = (spark.sparkContext.applicationId, name, source), make()
+    for _ in range(2):
+        if key not in _stored:
+            _stored[key] = _write(df, name, by)
+        try:
+            return spark.read.schema(df.schema).parquet(_stored[key])
+        except AnalysisException:
+            del _stored[key]
+    raise FileNotFoundError(f"{name} can't be kept in {shared_folder(spark)}")

@@ -168,3 +168,23 @@ def test_percentiles_and_ranks_over_ranges(spark):
         ranked = sorted((r["g"], r["id"], r["rank"]) for r in evaluate.row_ranks(ids, ["g"], "id", each).collect())
         assert [x for _, _, x in ranked] == [*range(1, 135), *range(1, 67)]
     assert "collect_list" not in inspect.getsource(evaluate)
+
+
+def test_tables_that_were_cleared_away_are_written_again(spark, tmp_path, monkeypatch):
+    import shutil
+
+    from hayrick.sources import scratch
+
+    monkeypatch.setattr(scratch, "shared_folder", lambda spark: f"file://{tmp_path}")
+    made = []
+
+    def make():
+        made.append(1)
+        return spark.range(5)
+
+    for _ in range(2):
+        assert scratch.once(spark, "t", "somewhere", make).count() == 5
+    folders = list((tmp_path / "hayrick").iterdir())
+    assert len(folders) == 1
+    shutil.rmtree(folders[0])
+    assert scratch.once(spark, "t", "somewhere", make).count() == 5
