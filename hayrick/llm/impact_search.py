@@ -41,7 +41,8 @@ CELLS = BLOCK * 64  # components of a block, at most
 QUERIES = 16_384  # queries of a task
 SLAB = 1 << 22  # vectors of a slab from which on there are more slabs
 LARGEST = 1 << 27
-STOPS = (0.35, 0.45, 0.55, 0.7, 1.0)  # shares of the postings after which proof is sought
+STOPS = (0.35, 0.43, 0.5, 0.6, 0.75, 1.0)  # shares of the postings after which proof is sought
+FEW = 6  # scoring one row of so many exactly costs less than reading on
 LEVELS = 64  # quantised levels of impact on either side of zero
 
 _INDEX = "block bigint, kind int, size int, payload binary"
@@ -137,7 +138,7 @@ class Block:
         self.number, self.size, self.width = number, size, len(lists)
         self.ids = np.frombuffer(header, "<i8", size)
         self.nulls = np.frombuffer(header, bool, size, 8 * size)
-        self.x = np.zeros((size, self.width), np.int64)
+        self.x = np.zeros((size, self.width))
         self.places = np.empty(self.width * size, np.intp)
         self.parts = np.empty(self.width * size)
         values, lengths, dims = [], [], []
@@ -154,6 +155,10 @@ class Block:
         self.first = np.searchsorted(self.dims, np.arange(self.width))
 
 
+    def wide(self) -> np.ndarray:
+        return self.x.astype(np.int64)
+
+
 class Asked:
     """A query and its best so far."""
 
@@ -177,12 +182,12 @@ class Asked:
         width = min(block.width, len(self.v))
         v = np.zeros(block.width, np.int64)
         v[:width] = self.v[:width]
-        own = self.key - block.number * BLOCK
-        own = own if 0 <= own < BLOCK else None
+        own = self.key & 0xFFFF if self.key >> 16 == block.number else None
         weight = v.astype(float)
         impact = weight[block.dims] * block.values
         most = float(np.abs(impact).max(initial=0.0))
-        exact = lambda rows: (block.x[rows] * v).sum(axis=1)
+        small = most * block.width < 1 << 52  # then doubles are exact
+        exact = lambda rows: (block.x[rows] @ weight).astype(np.int64) if small else (block.wide()[rows] * v).sum(axis=1)
         if not most or block.size <= 4 * self.k:
             rows = np.arange(block.size)
             self.offer(block, rows := rows[rows != own], exact(rows))
@@ -194,6 +199,10 @@ class Asked:
         total, seen = np.zeros(block.size), np.zeros(block.size, np.int64)
         begun_low, begun_high = np.zeros(block.width, np.int64), np.zeros(block.width, np.int64)
         upward = weight >= 0
+        # Where sums of impacts and a counter fit the 53 bits of a double, both share one.
+        unit_of_sum = 1 << block.width.bit_length()
+        packed = most * block.width * unit_of_sum < 1 << 52
+        unit_of_sum = unit_of_sum if packed else 1
         starts = np.arange(block.width) * block.size
         for stop in range(self.stop, len(STOPS)):
             lowest = 2 * LEVELS - int(np.searchsorted(share, STOPS[stop] - 1e-9))  # levels from here up are taken
@@ -205,9 +214,20 @@ class Asked:
             pieces = [(d, a, b) for d, (a, b) in enumerate(zip(low.tolist(), high.tolist(), strict=True)) if b > a]
             if pieces:
                 places = np.concatenate([block.places[a:b] for _, a, b in pieces])
+                gains = np.empty(len(places))
+                at = 0
+                for d, a, b in pieces:
+                    np.multiply(block.parts[a:b], weight[d] * unit_of_sum, out=gains[at : at + b - a])
+                    at += b - a
                 self.read += len(places)
-                total += np.bincount(places, np.concatenate([block.parts[a:b] * weight[d] for d, a, b in pieces]), block.size)
-                seen += np.bincount(places, minlength=block.size)
+                if packed:  # one pass adds impacts and counts postings
+                    gains += 1.0
+                    both = np.bincount(places, gains, block.size).astype(np.int64)
+                    seen += both & (unit_of_sum - 1)
+                    total += both >> unit_of_sum.bit_length() - 1
+                else:
+                    total += np.bincount(places, gains, block.size)
+                    seen += np.bincount(places, minlength=block.size)
             gain = (lowest - 1 - LEVELS) * unit  # no posting that is left has a larger impact
             bound = total + (block.width - seen) * gain + slack
             if own is not None:
@@ -218,9 +238,9 @@ class Asked:
                 scores = np.sort(exact(likely[likely != own]))
                 least = float(scores[-self.k]) if len(scores) >= self.k else -np.inf
             rows = np.flatnonzero(bound >= least)
-            if len(rows) <= max(4 * self.k, block.size // 24):
+            if len(rows) <= max(4 * self.k, block.size // FEW):
                 break
-        self.stop = max(0, stop - 1) if len(rows) <= block.size // 96 else stop
+        self.stop = max(0, stop - 1) if len(rows) <= block.size // (4 * FEW) else stop
         rows = rows[rows != own] if own is not None else rows
         scores = exact(rows)
         keep = scores >= least
@@ -255,7 +275,7 @@ def _search(k: int):
                 if kind == ASKED:
                     places, ids = np.frombuffer(payload, "<i4", n), np.frombuffer(payload, "<i8", n, 4 * n)
                     vectors = np.frombuffer(payload, "<i4", -1, 12 * n).reshape(n, -1)
-                    asked += [Asked(block * BLOCK + int(p), int(i), v, k) for p, i, v in zip(places, ids, vectors, strict=True)]
+                    asked += [Asked(block << 16 | int(p), int(i), v, k) for p, i, v in zip(places, ids, vectors, strict=True)]
                 elif kind == HEADER:
                     finish()
                     number, size, header = block, n, payload
@@ -281,7 +301,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, id_column: str = "v
     asked = index.where(F.col("kind") == ASKED).select(F.pmod(F.xxhash64("block", "payload"), F.lit(groups)).alias("group"), F.explode(F.sequence(F.lit(0), F.lit(slabs - 1))).alias("slab"), "*")
     lists = index.where(F.col("kind") != ASKED).select(F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(groups - 1).cast("bigint"))).alias("group"), F.pmod("block", F.lit(slabs)).cast("int").alias("slab"), "*")
     cells = asked.unionByName(lists).select((F.col("group") * slabs + F.col("slab")).alias("cell"), "block", "kind", "size", "payload")
-    dealt = cells.repartition(groups * slabs, "cell").sortWithinPartitions("cell", F.col("kind") != ASKED, "block", "kind")
+    dealt = cells.repartitionByRange(groups * slabs, "cell").sortWithinPartitions("cell", F.col("kind") != ASKED, "block", "kind")
     found = dealt.mapInArrow(_search(k), _FOUND)
     order = "row_number() OVER (PARTITION BY query_key ORDER BY score DESC, vec_id ASC NULLS LAST)"
     ranked = found.withColumn("rank", F.expr(order)).where(F.col("rank") <= k)
