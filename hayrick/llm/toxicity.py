@@ -3,9 +3,11 @@
 Two zstandard dictionaries are trained, one on windows of ordinary text and one on what
 toxic text has besides. A window is compressed once with the ordinary dictionary and once
 with the toxic one, which is the ordinary one carried on; the bytes saved are its distance.
-The largest distance of a text's overlapping windows, and the mean over all its windows of
-the positive ones, go through a logistic calibration. Neither grows with the length of the
-text as such.
+The largest distance of a text's overlapping windows, less what the largest of as many
+ordinary windows is likely to have more than one has, and the mean over all its windows of
+the positive ones, go through a logistic calibration. Of n windows whose distances have a tail
+that falls by e every `tail` bytes, the largest grows by tail * ln n; the tail is measured on the
+ordinary training windows. So neither grows with the length of the text as such.
 
 Spelling. Zstandard counts whole bytes and prices rare letters by the bit, so that a short
 word known to a dictionary saves hardly a byte, and any two texts share pieces of words. So
@@ -34,6 +36,7 @@ is replaced; labels that repeat for a document count once each, and null labels
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -112,10 +115,21 @@ class Distance:
         plain, both = self.plain.compress, self.both.compress
         return np.fromiter((len(plain(w)) - len(both(w)) for w in windows), np.float64, len(windows))
 
-    def features(self, windows: list[bytes]) -> tuple[float, float]:
-        """The largest distance, and the mean of the positive ones over all windows."""
-        d = self.of(windows)
-        return (float(d.max()), float(np.maximum(d, 0).mean())) if len(d) else (0.0, 0.0)
+
+def features(distances: np.ndarray, tail: float = 0.0) -> tuple[float, float]:
+    """The largest distance less what chance adds to the largest of so many, and the mean of the positive ones over all."""
+    d = distances
+    return (float(d.max()) - tail * math.log(len(d)), float(np.maximum(d, 0).mean())) if len(d) else (0.0, 0.0)
+
+
+def tail_of(distances: np.ndarray, counts: np.ndarray) -> float:
+    """By how many bytes the upper tail of ordinary windows falls to the e-th part, between its median and its fiftieth part."""
+    if not counts.sum():
+        return 0.0
+    order = np.argsort(distances)
+    share = np.cumsum(counts[order]) / counts.sum()
+    at = lambda p: float(distances[order][np.searchsorted(share, p - 1e-12)])
+    return (at(0.98) - at(0.5)) / math.log(0.5 / 0.02)
 
 
 def train_dictionary(samples: list[bytes], size: int, **segments: int) -> bytes:
@@ -144,8 +158,8 @@ def calibrate(x: np.ndarray, y: np.ndarray, steps: int = 50) -> np.ndarray:
 class Model:
     """Two dictionaries and the calibration; without dictionaries, a constant."""
 
-    def __init__(self, ordinary: bytes, toxic: bytes, weights: np.ndarray):
-        self.ordinary, self.toxic, self.weights = ordinary, toxic, weights
+    def __init__(self, ordinary: bytes, toxic: bytes, weights: np.ndarray, tail: float = 0.0):
+        self.ordinary, self.toxic, self.weights, self.tail = ordinary, toxic, weights, tail
 
     def scorer(self):
         if not self.ordinary:
@@ -153,7 +167,7 @@ class Model:
         speller, distance, w = Speller(), Distance(self.ordinary, self.toxic), self.weights
 
         def score(text: str) -> float:
-            f = distance.features(speller.windows(text))
+            f = features(distance.of(speller.windows(text)), self.tail)
             return float(1 / (1 + np.exp(-np.clip(f[0] * w[0] + f[1] * w[1] + w[2], -30, 30))))
 
         return score
@@ -211,19 +225,27 @@ def _samples(kept: list[set[str]]):
 
 
 def _features(models: list[tuple[bytes, bytes]]):
-    """Features of each text by the dictionaries of the other half."""
+    """Features of each text by the dictionaries of the other half and its number of windows; and, as class -1, how many ordinary windows have a distance."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        speller, distances = Speller(), [Distance(*m) for m in models]
+        speller, distances, ordinary = Speller(), [Distance(*m) for m in models], Counter()
         for batch in batches:
-            groups = batch.column(0).to_pylist()
-            found = [distances[1 - g // 2].features(speller.windows(t)) for g, t in zip(groups, batch.column(1).to_pylist(), strict=True)]
-            columns = list(zip(*found, strict=True)) or [[], []]
-            yield pa.RecordBatch.from_arrays([pa.array([g % 2 for g in groups], pa.int32()), *(pa.array(c, pa.float64()) for c in columns)], ["toxic", "largest", "mean"])
+            rows = []
+            for group, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                found = distances[1 - group // 2].of(speller.windows(text))
+                rows.append((group % 2, *features(found), len(found)))
+                if not group % 2:
+                    ordinary.update(found.tolist())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows, strict=True)) or [[]] * 4, _FEATURES, strict=True)], ["toxic", "largest", "mean", "windows"])
+        rows = [(-1, d, 0.0, n) for d, n in ordinary.items()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows, strict=True)) or [[]] * 4, _FEATURES, strict=True)], ["toxic", "largest", "mean", "windows"])
 
     return run
 
 
+_FEATURES = (pa.int32(), pa.float64(), pa.float64(), pa.int64())
+
+
 def train(docs: DataFrame, labels: DataFrame, *, modulus: int = 4, held: int = 2, most: int = 2000, share: float = 0.01, times: float = 4.0, ordinary_size: int = 1 << 16, toxic_size: int = 1 << 12) -> Model:
     """Learn from at most `most` labelled rows of each class outside the held-out fold."""
     known = labels.where((common.fold("doc_id", modulus) != held) & F.col("toxic").isin(0, 1)).select("doc_id", F.col("toxic").cast("int"))
@@ -253,11 +275,15 @@ def train(docs: DataFrame, labels: DataFrame, *, modulus: int = 4, held: int = 2
         toxic = [bytes(r["bytes"]) for r in parts if r["toxic"] and r["part"] == part]
         return train_dictionary(ordinary, ordinary_size), train_dictionary(toxic, toxic_size, k=32, d=8)
 
-    found = sample.mapInArrow(_features([learn(0), learn(1)]), "toxic int, largest double, mean double").toPandas()
+    # A row a text of the sample, and one for each distance in bytes that a task met.
+    found = sample.mapInArrow(_features([learn(0), learn(1)]), "toxic int, largest double, mean double, windows bigint").toPandas()
+    met, found = found[found["toxic"] < 0].groupby("largest")["windows"].sum(), found[found["toxic"] >= 0]
+    tail = tail_of(met.index.to_numpy(float), met.to_numpy())
+    found["largest"] -= tail * np.log(found["windows"].clip(lower=1))
     weights = calibrate(found[["largest", "mean"]].to_numpy(), found["toxic"].to_numpy(float))
     # The classes were drawn in other shares than they have.
     weights[-1] += np.log(counts[1] / counts[0]) - np.log(n[2, 1] / n[2, 0])
-    return Model(*learn(2), weights)
+    return Model(*learn(2), weights, tail)
 
 
 def score(docs: DataFrame, model: Model, into: str = "score") -> DataFrame:

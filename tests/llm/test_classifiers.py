@@ -1,3 +1,4 @@
+import math
 import random
 
 import numpy as np
@@ -76,7 +77,7 @@ def test_toxicity_against_the_definition(labelled):
             plain, both = (len(p.compress(b"".join(words[at : at + 48]))) for p in packers)
             saved.append(plain - both)
             at += 32
-        largest, mean = (max(saved), sum(s for s in saved if s > 0) / len(saved)) if saved else (0, 0)
+        largest, mean = (max(saved) - model.tail * math.log(len(saved)), sum(s for s in saved if s > 0) / len(saved)) if saved else (0, 0)
         return 1 / (1 + np.exp(-(largest * model.weights[0] + mean * model.weights[1] + model.weights[2])))
 
     for r in toxicity.score(docs, model).orderBy("doc_id").limit(150).collect():
