@@ -48,6 +48,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def unlike(taken: list[str], *names: str) -> list[str]:
+    """The names, carried on until none is among those taken, whatever their case."""
+    known, out = {t.lower() for t in taken}, []
+    for name in names:
+        while name.lower() in known:
+            name += "_"
+        known.add(name.lower())
+        out.append(name)
+    return out
+
+
 def fold(id_column: str, modulus: int) -> Column:
     """crc32 of the id as text, modulo; a null id counts as fold -1."""
     return F.coalesce(F.crc32(F.col(id_column).cast("string").cast("binary")) % modulus, F.lit(-1))

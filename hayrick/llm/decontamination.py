@@ -139,15 +139,16 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW,
     if carried <= broadcast_rows:
         groups = F.broadcast(groups)
     texts = docs.select(F.col("doc_id").cast("bigint").alias("d"), mark.alias("m"), "text")
-    of_row = lambda df: F.col("d").eqNullSafe(df["hit_doc"]) & (F.col("m") == df["hit_mark"])
-    pairs = texts.join(groups, of_row(groups)).withColumn("words", words(common.whole_text()))
+    pairs = texts.join(groups, F.col("d").eqNullSafe(F.col("hit_doc")) & (F.col("m") == F.col("hit_mark"))).withColumn("words", words(common.whole_text()))
     scored = pairs.select(*row, F.transform("hits", lambda h: F.struct(h["item_id"].alias("item_id"), agreement(F.col("words"), h, window).alias("overlap"))).alias("hits"))
     each = scored.select(*row, F.inline("hits")).groupBy(*row).agg(F.array_sort(F.collect_set(F.when(F.col("overlap") >= share, F.col("item_id")))).alias("hit_items"), F.max("overlap").alias("hit_overlap"))
     verdicts = common.materialize(each, "verdicts")
     if carried <= broadcast_rows:  # no more rows than hits
         verdicts = F.broadcast(verdicts)
-    out = docs.join(verdicts, F.col("doc_id").cast("bigint").eqNullSafe(verdicts["hit_doc"]) & (mark == verdicts["hit_mark"]), "left")
-    return out.select(*docs.columns, F.coalesce("hit_items", F.array().cast("array<bigint>")).alias(into[0]), F.coalesce("hit_overlap", F.lit(0.0)).alias(into[1]))
+    doc, text, found, overlap = common.unlike(docs.columns, *verdicts.columns)
+    verdicts = verdicts.toDF(doc, text, found, overlap)
+    out = docs.join(verdicts, F.col("doc_id").cast("bigint").eqNullSafe(F.col(doc)) & (mark == F.col(text)), "left")
+    return out.select(*docs.columns, F.coalesce(found, F.array().cast("array<bigint>")).alias(into[0]), F.coalesce(overlap, F.lit(0.0)).alias(into[1]))
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

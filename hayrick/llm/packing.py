@@ -10,8 +10,8 @@ tokens / capacity.
 
 A sequence must have room for a full piece, so with the attention capacity of `pack`, the
 square of the tokens, attention cost can't run out before tokens do and only steers the
-choice; a smaller one, for pieces that are all shorter, does. Slots run out where documents
-are many and short.
+choice; a smaller one, for pieces that are all shorter, does. So it is with the slots: every
+piece has a token at least, and fewer slots than tokens are for callers who want them.
 
 Only documents longer than a sequence are cut: whole sequences from their end, so the
 first piece may be shorter and is packed with the others; the whole ones need no search.
@@ -41,8 +41,8 @@ from hayrick.llm.tokens import Encoder, tokenizer_path
 
 END_ID = 0
 CAPACITY = 2048
-#: Document slots of a sequence, and how much tokens, slots and attention cost count in a norm or product.
-DOCUMENTS, WEIGHTS = 64, (1.0, 0.05, 0.05)
+#: Document slots of a sequence (as many as tokens: by default slots can't run out before tokens do), and how much tokens, slots and attention cost count in a norm or product.
+DOCUMENTS, WEIGHTS = CAPACITY, (1.0, 0.05, 0.05)
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 
 
