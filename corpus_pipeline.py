@@ -24,7 +24,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     table stays one; other columns are kept, whatever their names.
     """
     model = toxicity.train(docs, common.table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model, _SCORE).where(F.col(_SCORE) < toxicity.THRESHOLD).select(docs.columns)
+    (score,) = common.unlike(docs.columns, "toxicity__score")
+    return toxicity.score(docs, model, score).where(F.col(score) < toxicity.THRESHOLD).select(docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,15 +38,16 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     go are few, and are broadcast up to SPARE_ROWS of them; beyond, the join shuffles.
     """
     spare = common.materialize(jaccard_join.spare(docs), "spare")
-    gone = spare.select(F.col("doc_id").alias(_ID), F.col("mark").alias(_MARK), F.col("times").alias(_TIMES))
+    its_id, its_mark, its_times = common.unlike(docs.columns, "spare__doc_id", "spare__mark", "spare__times")
+    gone = spare.select(F.col("doc_id").alias(its_id), F.col("mark").alias(its_mark), F.col("times").alias(its_times))
     count = spare.agg(F.count(F.lit(1)), F.max("times")).first()
     gone = F.broadcast(gone) if count[0] <= SPARE_ROWS else gone
-    same = F.col("doc_id").cast("bigint").eqNullSafe(F.col(_ID)) & (jaccard_join.mark() == F.col(_MARK))
+    same = F.col("doc_id").cast("bigint").eqNullSafe(F.col(its_id)) & (jaccard_join.mark() == F.col(its_mark))
     if not count[1]:
         return docs.join(gone, same, "left_anti").select(docs.columns)
     found = docs.join(gone, same, "left")
-    repeated = found.where(F.col(_TIMES) > 1).select(docs.columns).dropDuplicates(["doc_id", "text"])
-    return found.where(F.col(_TIMES).isNull()).select(docs.columns).unionByName(repeated)
+    repeated = found.where(F.col(its_times) > 1).select(docs.columns).dropDuplicates(["doc_id", "text"])
+    return found.where(F.col(its_times).isNull()).select(docs.columns).unionByName(repeated)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,8 +56,9 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     Null, empty and blank texts contain nothing and stay; equal texts go or stay together;
     very long texts are searched whole; without items all stay; columns of any name are kept.
     """
-    found = decontamination.contaminated(docs, common.table(spark, sf_dir, "benchmark"), into=(_ITEMS, _OVERLAP))
-    return found.where(F.size(_ITEMS) == 0).select(docs.columns)
+    items, overlap = common.unlike(docs.columns, "decontamination__items", "decontamination__overlap")
+    found = decontamination.contaminated(docs, common.table(spark, sf_dir, "benchmark"), into=(items, overlap))
+    return found.where(F.size(items) == 0).select(docs.columns)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -79,8 +82,6 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 #: Rows of two numbers that are broadcast at most: some 50 MB.
 SPARE_ROWS = 2_000_000
-_ID, _MARK, _TIMES, _SCORE = "spare__doc_id", "spare__mark", "spare__times", "toxicity__score"
-_ITEMS, _OVERLAP = "decontamination__items", "decontamination__overlap"
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("toxicity", drop_toxic),
