@@ -22,7 +22,7 @@ class Hayrick:
         self.settings = settings or Settings.of(spark)
         self.spark, self.base = spark, base or self.settings.index_dir
         form = self.settings.embed_input_format
-        self.profile = store.profile_id(self.settings.embed_model, self.settings.embed_dim, form) if embed else "lexical"
+        self.profile = store.profile_of(self.settings.embed_model, self.settings.embed_dim, form) if embed else store.profile_of()
         self.cache = VectorCache(self.base, self.profile, self.settings.embed_dim) if embed else None
         self.workspaces = [os.path.realpath(w) for w in workspaces or []]
         self.models = {"expand": expand, "embed": embed, "rerank": rerank}
@@ -105,6 +105,6 @@ class Hayrick:
 
     def list_workspaces(self) -> dict:
         """Configured ones and those with an index, each with where it is from."""
-        known = store.known_roots(self.base)
+        known = store.indexed_roots(self.base)
         rows = [{"root": r, "configured": r in self.workspaces, "indexed": r in known} for r in sorted({*self.workspaces, *known})]
         return envelope(None, {"workspaces": rows})

@@ -7,6 +7,7 @@ query reads its whole tables; limits are those of the feature (top k, a page).
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -17,6 +18,7 @@ from hayrick.functions.porter import stem
 from hayrick.operators import dense, evaluate, fusion, lexical, maintenance
 from hayrick.sources import scratch
 from hayrick.sources import symbols as parser
+from hayrick.sources.segments import Segments, Table
 from hayrick.streaming import freshness
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -129,10 +131,11 @@ RANKED = "lex as (select qid, id, score, row_number() over (partition by qid ord
 
 
 def freqs_and_lengths(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """The stored index of the documents: texts are tokenised when the first query asks, later ones read the terms they need."""
+    """The stored index of the documents as they are now: texts are tokenised when the first query asks, later ones read the terms they need."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    freqs = scratch.once(spark, "frequencies", sf_dir, lambda: lexical.frequencies(docs), by="term")
-    return freqs, scratch.once(spark, "lengths", sf_dir, lambda: lexical.lengths(docs))
+    source = f"{sf_dir}/documents.parquet"
+    freqs = scratch.once(spark, "frequencies", source, lambda: lexical.frequencies(docs), by=("term", "id"))
+    return freqs, scratch.once(spark, "lengths", source, lambda: lexical.lengths(docs))
 
 
 def item_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -533,6 +536,33 @@ def duplicate_cases(spark, sf_dir):
     return evaluate.duplicates(table(spark, sf_dir, "documents"), "text")
 
 
+# ------------------------------------------------------------ publication
+
+CHANGED = "marks as (select doc_id, max(quality) as quality, max(toxic) as toxic from labels where doc_id is not null group by 1)"
+
+
+@registered(f"""with {CHANGED}, first as (select doc_id as id, n_chars as size, source, 'first' as publication, lang from documents),
+second as (select f.id, case when m.quality = 1 then f.size + 1 else f.size end as size, f.source, case when m.quality = 1 then 'second' else f.publication end as publication, f.lang
+ from first f left join marks m on m.doc_id = f.id where coalesce(m.toxic, 0) <> 1),
+third as (select id, case when lang = 'de' then 2 * size else size end as size, source, case when lang = 'de' then 'third' else publication end as publication from second
+ union all select f.id, 0 as size, f.source, 'again' as publication from first f join marks m on m.doc_id = f.id where m.toxic = 1 and f.lang = 'fr')
+select id, size, source, publication from third""")
+def segment_publication(spark, sf_dir):
+    """Documents as an index in three publications: all of them; rejected ones go and good ones are replaced; those of one language are replaced and some come back."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("n_chars").alias("size"), "source", F.lit("first").alias("publication"), "lang")
+    marks = table(spark, sf_dir, "labels").where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("id")).agg(F.max("quality").alias("quality"), F.max("toxic").alias("toxic"))
+    kept = Segments("id bigint, size bigint, source string, publication string, lang string", "id", ("id",), fan=2, smallest=100)
+    folder = f"{scratch.shared_folder(spark)}/hayrick/publication-{uuid.uuid4().hex}"
+    state = kept.publish(spark, Table(), folder, 1, docs)
+    marked = docs.join(marks, "id")
+    good = marked.where("quality = 1 AND coalesce(toxic, 0) <> 1").select("id", (F.col("size") + 1).alias("size"), "source", F.lit("second").alias("publication"), "lang")
+    state = kept.publish(spark, state, folder, 2, good, marks.where("toxic = 1").select("id").unionByName(good.select("id")))
+    german = kept.read(spark, state).where("lang = 'de'").select("id", (2 * F.col("size")).alias("size"), "source", F.lit("third").alias("publication"), "lang")
+    again = marked.where("toxic = 1 AND lang = 'fr'").select("id", F.lit(0).cast("bigint").alias("size"), "source", F.lit("again").alias("publication"), "lang")
+    state = kept.publish(spark, state, folder, 3, german.unionByName(again), german.select("id"))
+    return kept.read(spark, state).drop("lang")
+
+
 # ------------------------------------------------------------ beyond SQL
 
 
@@ -542,7 +572,7 @@ def porter_bm25(spark, sf_dir):
     stemmed = lambda df: stem(text.index_tokens(F.col("text")))
     docs = table(spark, sf_dir, "documents")
     queries = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.explode(stemmed(None)).alias("term"))
-    freqs = scratch.once(spark, "stemmed", sf_dir, lambda: lexical.frequencies(docs, tokens=stemmed(docs)), by="term")
+    freqs = scratch.once(spark, "stemmed", f"{sf_dir}/documents.parquet", lambda: lexical.frequencies(docs, tokens=stemmed(docs)), by=("term", "id"))
     found = lexical.bm25(queries, freqs, freqs_and_lengths(spark, sf_dir)[1])
     return lexical.top_k(found, 50).select("qid", "id", F.round("score", 6).alias("score"), "rank")
 

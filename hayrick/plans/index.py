@@ -74,23 +74,22 @@ def refresh(spark: SparkSession, store: Store, root: str, *, rebuild: bool = Fal
         if cancelled():
             return {"state": "cancelled", "epoch": store.epoch()}
         current = store.read(spark, "symbols")
-        top = current.agg(F.max("id")).first()[0] or 0
-        fresh = scratch.written(symbol_rows(parsed, root, top).select(current.columns), "fresh")
-        after = maintenance.publish(current, fresh, states, removed)
-        ids = after.select("id")
+        fresh = scratch.written(symbol_rows(parsed, root, int((store.current() or {}).get("top", 0))).select(current.columns), "fresh")
         good = states.where(~F.col("status").isin(*maintenance.STALE)).select("path")
+        fresh = fresh.join(good, "path", "left_semi")
+        top = fresh.agg(F.max("id")).first()[0] or (store.current() or {}).get("top", 0)
+        # Only what changes is written: new rows, and keys of rows that are over.
+        gone = good.unionByName(removed).distinct()
+        ids = scratch.written(current.select("id", "path").join(gone, "path", "left_semi").select("id"), "over")
         files = staged.join(good, "path", "left_semi").select(F.lit(root).alias("repo"), "path", "mtime_ns", "size", "hash")
-        kept = known.join(removed, "path", "left_anti")
-        old_states = store.read(spark, "parse_state").join(removed, "path", "left_anti")
-        new_states = states.select(F.lit(root).alias("repo"), "path", "status", "detail", F.lit(time.time()).alias("attempted_at"))
-        tables = {"symbols": after, "files": maintenance.upsert(kept, files, ["path"]), "parse_state": maintenance.upsert(old_states, new_states, ["path"])}
-        for name, made in zip(("postings", "lengths"), terms_of(fresh.join(good, "path", "left_semi")), strict=True):
-            tables[name] = store.read(spark, name).join(ids, "id", "left_semi").unionByName(made)
-        tables["vectors"] = store.read(spark, "vectors").join(ids.withColumnRenamed("id", "symbol_id"), "symbol_id", "left_semi")
+        tried = states.select(F.lit(root).alias("repo"), "path", "status", "detail", F.lit(time.time()).alias("attempted_at"))
+        made = dict(zip(("postings", "lengths"), terms_of(fresh), strict=True))
+        rows = {"symbols": fresh, "files": files, "parse_state": tried, **made}
+        over = {"symbols": ids, "postings": ids, "lengths": ids, "vectors": ids.withColumnRenamed("id", "symbol_id"), "files": gone, "parse_state": states.select("path").unionByName(removed)}
         if cancelled():
             return {"state": "cancelled", "epoch": store.epoch()}
         commit, dirty = inventory.head(root)
-        epoch = store.publish(tables, head=commit, dirty=dirty, indexed_at=time.time(), job_id=job_id)
+        epoch = store.publish(spark, rows, over, head=commit, dirty=dirty, indexed_at=time.time(), job_id=job_id, top=int(top))
     return {"state": "completed", "epoch": epoch, "files": sum(counts.values()), "removed": n_removed, "statuses": counts}
 
 
@@ -118,8 +117,8 @@ def attach_vectors(spark: SparkSession, store: Store, cache: DataFrame, dim: int
         fresh = scratch.written(fresh, "attached")
         n, total = fresh.count(), lacking.count()
         if n:
-            pointer = {k: v for k, v in store.pointer().items() if k not in ("version", "profile", "epoch")}
-            store.publish({"vectors": store.read(spark, "vectors").unionByName(fresh)}, **pointer)
+            pointer = {k: v for k, v in store.pointer().items() if k not in ("version", "profile", "epoch", "published_at")}
+            store.publish(spark, {"vectors": fresh}, **pointer)
     return {"attached": n, "missing": total - n, "epoch": store.epoch()}
 
 

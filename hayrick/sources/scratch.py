@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _stored: dict[tuple[str, str, str], str] = {}
 
@@ -22,22 +23,30 @@ def shared_folder(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
-def written(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
-    """df as Parquet, read back; sorted by a column, its files tell which of its values they hold."""
+def written(df: DataFrame, name: str, by: str | tuple[str, ...] | None = None) -> DataFrame:
+    """df as Parquet, read back; sorted by columns, its files tell which of its values they hold."""
     return df.sparkSession.read.schema(df.schema).parquet(_write(df, name, by))
 
 
-def _write(df: DataFrame, name: str, by: str | None) -> str:
+def _write(df: DataFrame, name: str, by: str | tuple[str, ...] | None) -> str:
     path = f"{shared_folder(df.sparkSession)}/hayrick/{name}-{uuid.uuid4().hex}"
     if by:
-        df = df.repartitionByRange(by).sortWithinPartitions(by)
+        by = (by,) if isinstance(by, str) else by
+        df = df.repartitionByRange(*by).sortWithinPartitions(*by)
     df.write.parquet(path)
     return path
 
 
-def once(spark: SparkSession, name: str, source: str, make, by: str | None = None) -> DataFrame:
-    """A table derived from the files of `source`, written at its first use in this application, and again if it was cleared away."""
-    key, df = (spark.sparkContext.applicationId, name, source), make()
+def fingerprint(spark: SparkSession, source: str) -> str:
+    """Which files a table has, with their sizes and times: one row, and no content is read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(source)
+    found = files.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("path", "length", "modificationTime")).alias("x")).first()
+    return f"{found['n']}:{found['x']}"
+
+
+def once(spark: SparkSession, name: str, source: str, make, by: str | tuple[str, ...] | None = None) -> DataFrame:
+    """A table derived from the table at `source`, written at its first use in this application, and again if the files of `source` are others or it was cleared away."""
+    key, df = (spark.sparkContext.applicationId, name, f"{source} {fingerprint(spark, source)}"), make()
     for _ in range(2):
         if key not in _stored:
             _stored[key] = _write(df, name, by)

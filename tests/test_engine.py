@@ -165,16 +165,17 @@ def test_suites_for_publication():
 
 
 def test_foreign_folders_are_left_alone(tmp_path):
-    store = Store(str(tmp_path), "/r/one")
-    with store.writing():
-        pass
-    with store.writing():
-        pass
-    other = Store(str(tmp_path), "/r/two")
-    other.folder.mkdir(parents=True)
-    (other.folder / "notes.txt").write_text("mine")
-    with pytest.raises(HayrickError), other.writing():
+    base = tmp_path / "base"
+    for root in ("/r/one", "/r/two", "/r/one"):
+        with Store(str(base), root).writing():
+            pass
+    assert Store(str(base), "/r/one").path != Store(str(base), "/r/two").path
+    other = tmp_path / "other"
+    other.mkdir()
+    (other / "notes.txt").write_text("mine")
+    with pytest.raises(HayrickError), Store(str(other), "/r/one").writing():
         pass
+    assert [p.name for p in other.iterdir()] == ["notes.txt"]
 
 
 def test_parsers_are_ready():

@@ -10,7 +10,7 @@ from hayrick.errors import HayrickError, check_limit, check_search
 from hayrick.jobs import Jobs
 from hayrick.plans import evaluation, index, search
 from hayrick.sources import inventory, suites
-from hayrick.sources.store import Store, known_roots, profile_id
+from hayrick.sources.store import Store, indexed_roots, profile_of
 from hayrick.sources.symbols import parse, parse_source
 
 
@@ -95,9 +95,16 @@ def test_refreshes(spark, tree, tmp_path):
     assert index.refresh(spark, store, tree)["statuses"] == {"error": 1}  # tried again
     assert index.refresh(spark, store, tree, cancelled=lambda: True)["state"] == "cancelled"
     assert index.status(spark, store, tree)["freshness"] == "stale"
-    assert known_roots(str(tmp_path / "base")) == [tree]
-    other = Store(str(tmp_path / "base"), tree, profile_id("m/x", 4))
-    assert other.epoch() == 0 and profile_id() == "lexical" and profile_id("m/x", 4).startswith("m-x-d4-")
+    assert indexed_roots(str(tmp_path / "base")) == [tree]
+    other = Store(str(tmp_path / "base"), tree, profile_of("m/x", 4))
+    with pytest.raises(HayrickError) as e:
+        other.epoch()
+    assert e.value.code == "INDEX_PROFILE_MISMATCH"
+    write(tree, "src/widgets.py", "def whole():\n    pass\n")
+    done = index.refresh(spark, other, tree)  # a writer with another profile begins anew
+    assert done["files"] == 2 and other.epoch() == 1 and profile_of() != profile_of("m/x", 4) != profile_of("m/x", 5)
+    with pytest.raises(HayrickError):
+        store.epoch()
 
 
 def embedder(texts, query):
