@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -12,7 +13,8 @@ from hayrick.jobs import Job, Journal, Jobs
 from hayrick.plans import index, search
 from hayrick.sources import inventory, store
 from hayrick.sources.vector_cache import VectorCache
-from hayrick.streaming.watcher import Watcher
+from hayrick.sources.scratch import shared_folder
+from hayrick.streaming import watch
 
 
 class Hayrick:
@@ -49,7 +51,8 @@ class Hayrick:
             job.done.wait()
             return job.state
 
-        return Watcher(self.spark, self.store(root), root, submit, interval=s.watch_interval, debounce=s.watch_debounce, content_interval=s.watch_content_interval).start()
+        folder = f"{shared_folder(self.spark)}/hayrick/watch-{uuid.uuid4().hex}"
+        return watch.watch(self.spark, self.store(root), root, submit, folder, interval=s.watch_interval, debounce=s.watch_debounce, content_interval=s.watch_content_interval)
 
     def store(self, repo: str) -> store.Store:
         return store.Store(self.base, repo, self.profile)

@@ -586,7 +586,9 @@ def parse_symbols(spark, sf_dir):
     return parser.parse(files).where("qualname is not null").select("path", "qualname", "kind", "line", "end_line", "signature")
 
 
-@registered()
+@registered("""with g as (select user_id, ts, coalesce(epoch(ts) - epoch(lag(ts) over (partition by user_id order by ts)) >= 21600, true)::int as fresh from events), s as (select *, sum(fresh) over (partition by user_id order by ts rows unbounded preceding) as session from g)
+select user_id as repo, min(ts) as start, max(ts) as "end", count(*) as n, false as full from s group by user_id, session""")
 def stream_sessions(spark, sf_dir):
     """The sessions of debounce_sessions from a stream of change events."""
-    return freshness.stream_sessions(spark, f"{sf_dir}/events.parquet")
+    found = freshness.stream_sessions(spark, f"{sf_dir}/events.parquet")
+    return found.select("repo", *(F.col(c).cast("timestamp_ntz").alias(c) for c in ("start", "end")), "n", "full")

@@ -1,31 +1,17 @@
-"""Files of a git worktree as DataFrames.
-
-The list of names comes from git, on the driver: names only. Sizes, times and contents are
-read by Spark.
-"""
+"""Files of a git worktree as DataFrames, from the data source in worktree.py."""
 
 from __future__ import annotations
 
+import hashlib
 import os
-import stat
-import subprocess
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hayrick.errors import HayrickError
-from hayrick.functions.roles import LANGUAGES, language_of
-
-MOST_BYTES = 1_000_000
-FILES = "repo string, path string, mtime_ns bigint, size bigint"
-
-
-def git(root: str, *args: str) -> str:
-    done = subprocess.run(["git", "-C", root, *args], capture_output=True, text=True, timeout=30)
-    if done.returncode:
-        raise HayrickError("REPOSITORY_NOT_FOUND", done.stderr.strip() or f"git {args[0]} failed in {root}")
-    return done.stdout
+from hayrick.functions.roles import language_of
+from hayrick.sources import worktree
+from hayrick.sources.worktree import MOST_BYTES, git
 
 
 def root_of(path: str) -> str:
@@ -41,26 +27,11 @@ def head(root: str) -> tuple[str | None, bool]:
     return commit, bool(git(root, "status", "--porcelain").strip())
 
 
-def names(root: str) -> list[str]:
-    """Tracked and new files that aren't ignored, each once, of known languages; no links, nothing large."""
-    out = []
-    for name in dict.fromkeys(git(root, "ls-files", "-z", "--cached", "--others", "--exclude-standard").split("\0")):
-        if Path(name).suffix in LANGUAGES:
-            try:
-                found = os.lstat(os.path.join(root, name))
-            except OSError:
-                continue
-            if stat.S_ISREG(found.st_mode) and found.st_size <= MOST_BYTES:
-                out.append(name)
-    return out
-
-
 def inventory(spark: SparkSession, root: str) -> DataFrame:
-    rows = []
-    for name in names(root):
-        found = os.lstat(os.path.join(root, name))
-        rows.append((root, name, found.st_mtime_ns, found.st_size))
-    return spark.createDataFrame(rows, FILES)
+    """repo, path, mtime_ns and size of the tree's files, looked up in tasks; names that are gone meanwhile have no row."""
+    worktree.register(spark)
+    found = spark.read.format("worktree").option("root", root).load()
+    return found.where(F.col("size").isNotNull()).select("repo", "path", "mtime_ns", "size")
 
 
 def scoped(inventory_: DataFrame, root: str, paths: list[str]) -> DataFrame:
@@ -73,43 +44,17 @@ def scoped(inventory_: DataFrame, root: str, paths: list[str]) -> DataFrame:
     return inventory_.join(F.broadcast(inventory_.sparkSession.createDataFrame(inside, "path string")), "path", "left_semi")  # as many rows as the call named
 
 
-def open_inside(root: str, name: str) -> int:
-    """A descriptor of a file under root, each folder on the way opened in the one before and no link followed."""
-    *folders, last = Path(name).parts
-    at = os.open(root, os.O_RDONLY | os.O_DIRECTORY)
-    for part, flags in [*((f, os.O_DIRECTORY) for f in folders), (last, 0)]:
-        try:
-            if part == "..":
-                raise OSError("the path leaves its root")
-            inner = os.open(part, os.O_RDONLY | os.O_NOFOLLOW | flags, dir_fd=at)
-        finally:
-            os.close(at)
-        at = inner
-    return at
-
-
 def capture(files: DataFrame, root: str) -> DataFrame:
     """path, content, hash and size of files as they are now; null content if a file is gone, behind a link, or changed while it was read."""
 
     def read(batches):
-        import hashlib
-
         import pandas as pd
 
         for batch in batches:
             rows = []
             for name in batch["path"]:
-                content = None
-                try:
-                    with os.fdopen(open_inside(root, name), "rb") as f:
-                        before = os.fstat(f.fileno())
-                        data = f.read()
-                        after = os.fstat(f.fileno())
-                    if (before.st_mtime_ns, before.st_size) == (after.st_mtime_ns, after.st_size) and len(data) == before.st_size:
-                        content = data
-                except OSError:
-                    pass
-                rows.append((name, content, hashlib.sha256(content).hexdigest() if content is not None else "", len(content) if content is not None else None))
+                _, size, content = worktree.looked_up(root, name, True)
+                rows.append((name, content, "" if content is None else hashlib.sha256(content).hexdigest(), None if content is None else size))
             yield pd.DataFrame(rows, columns=["path", "content", "hash", "size"]).astype({"size": "Int64"})
 
     return files.select("path").mapInPandas(read, "path string, content binary, hash string, size bigint")

@@ -1,14 +1,10 @@
-"""Change events as a stream: sessions that one refresh covers, and a watcher with state."""
+"""Change events as a stream: sessions that one refresh covers."""
 
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from hayrick.sources.scratch import shared_folder
 
@@ -50,47 +46,6 @@ def stream_sessions(spark: SparkSession, path: str) -> DataFrame:
     return done.where(F.col("batch") == last).drop("batch")
 
 
-SUBMISSIONS = "repo bigint, submitted timestamp, n int, full boolean, paths string, failures int"
-STATE = "pending array<string>, full boolean, sent array<string>, sent_full boolean, failures int"
-
-
-def watch(changes: DataFrame, *, debounce_ms: int = 500, interval: float = 2.0, most: float = 300.0) -> DataFrame:
-    """Submissions of a stream of changes: one for all changes of a repository once none has come for a while.
-
-    A repository's changes gather in its state; a processing-time timeout of debounce_ms
-    after the newest one submits them. What was submitted stays in the state until a row with
-    a null path reports its outcome: "done" forgets it, "failed" makes it pending again and
-    doubles the wait, up to `most` seconds, until a fresh change or a success resets it.
-    """
-
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        pending, full, sent, sent_full, failures = state.get if state.exists else ([], False, [], False, 0)
-        pending, sent = set(pending), set(sent)
-        if state.hasTimedOut:
-            if pending or full:
-                yield pd.DataFrame({"repo": [key[0]], "submitted": [pd.Timestamp.now("UTC").tz_localize(None)], "n": [len(pending)], "full": [full], "paths": [None if full else ",".join(sorted(pending))], "failures": [failures]})
-            state.update(([], False, sorted(sent | pending), sent_full or full, failures))
-            return
-        for batch in batches:
-            fresh = batch[batch["path"].notna()]
-            outcomes = set(batch["outcome"][batch["path"].isna()])
-            if "failed" in outcomes:
-                pending, full, failures = pending | sent, full or sent_full, failures + 1
-            elif "done" in outcomes:
-                failures = 0
-            if outcomes & {"failed", "done"}:
-                sent, sent_full = set(), False
-            if len(fresh):
-                failures = 0
-                pending |= set(fresh["path"])
-                full = bool(full or fresh["deleted"].any())
-        state.update((sorted(pending), full, sorted(sent), sent_full, failures))
-        if pending or full:
-            state.setTimeoutDuration(debounce_ms if not failures else int(1000 * min(interval * 2.0**failures, most)))
-
-    return changes.groupBy("repo").applyInPandasWithState(run, SUBMISSIONS, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
-
-
 def unpublished(changes: DataFrame, suppressed: DataFrame) -> DataFrame:
     """Changes but those of paths that a successful refresh left out and that haven't changed since."""
     return changes.join(suppressed, ["repo", "path", "mtime_ns", "size"], "left_anti")

@@ -1,13 +1,16 @@
 import datetime
+import os
+import subprocess
 import time
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from hayrick.operators import maintenance
 from hayrick.plans import index
+from hayrick.sources import worktree
 from hayrick.sources.store import Store
-from hayrick.streaming import freshness
-from hayrick.streaming.watcher import Watcher
+from hayrick.streaming import freshness, watch
 
 T = datetime.datetime(2024, 1, 1)
 
@@ -32,102 +35,189 @@ def test_unpublished_changes(spark):
     assert {(r["repo"], r["path"]) for r in freshness.unpublished(now, seen).collect()} == {(1, "b"), (2, "a")}
 
 
-def test_watcher_coalesces_changes(spark, tmp_path):
-    folder = f"file://{tmp_path}/changes"
-    changes(spark, [(1, "a", T, False), (1, "b", T, False), (1, "a", T, False), (2, "x", T, True)]).coalesce(1).write.parquet(folder)
-    stream = spark.readStream.schema(freshness.CHANGES).parquet(folder)
-    query = freshness.watch(stream, debounce_ms=200).writeStream.format("memory").queryName("submissions").outputMode("append").option("checkpointLocation", f"file://{tmp_path}/state").trigger(processingTime="200 milliseconds").start()
-    try:
-        end = time.time() + 60
-        while time.time() < end and spark.table("submissions").count() < 2:
-            time.sleep(0.5)
-        found = {r["repo"]: r for r in spark.table("submissions").collect()}
-    finally:
-        query.stop()
-    assert found[1]["paths"] == "a,b" and found[1]["n"] == 2 and not found[1]["full"]
-    assert found[2]["full"] and found[2]["paths"] is None
-    assert spark.table("submissions").where(F.col("failures") > 0).isEmpty()
+PACE = watch.Pace(debounce_ms=1_000, interval_ms=2_000, longest_ms=300_000, most=3)
+
+
+class Replay:
+    """The watch of one repository, event by event, on a clock of seconds."""
+
+    def __init__(self, published):
+        self.repo, self.entries, self.tick = watch.Repo(), {}, 0
+        self.events([("r", "published", p, m, s, h, None) for p, (m, s, h) in published.items()] + [("r", "published", None, None, None, None, None)], 0)
+
+    def events(self, rows, now):
+        df = pd.DataFrame(rows, columns=[c.split()[0] for c in watch.EVENTS.split(", ")])
+        self.repo = watch.heard(self.repo, self.entries, df, int(1000 * now), PACE)
+
+    def see(self, tree, now, whole=True):
+        """A tick; what is asked for then: None, or the paths (["*"]: the whole tree)."""
+        self.tick += 1
+        rows = [("r", "seen", p, *(f if len(f) == 3 else (*f, None)), self.tick) for p, f in tree.items()]
+        self.events(rows + ([("r", "seen", None, None, None, None, self.tick)] if whole else []), now)
+        return self.ask(now)
+
+    def ask(self, now):
+        self.repo, paths, n = watch.request(self.repo, self.entries, int(1000 * now), PACE)
+        return None if n is None else paths or ["*"]
+
+    def end(self, kind, now):
+        self.events([("r", kind, None, None, None, None, None)], now)
+
+
+def test_watch_waits_for_quiet_and_names_all_changes():
+    w = Replay({"a": (1, 5, "A"), "b": (1, 5, "B")})
+    assert w.see({"a": (1, 5), "b": (1, 5)}, 1) is None
+    assert w.see({"a": (2, 5), "b": (1, 5)}, 2) is None
+    assert w.see({"a": (2, 5), "b": (1, 5), "n": (2, 9)}, 2.9) is None  # a new change begins the wait again
+    assert w.ask(3.5) is None and w.ask(3.9) == ["a", "n"]
+    assert w.see({"a": (2, 5), "b": (7, 5), "n": (2, 9)}, 6) is None  # one request at a time
+    assert w.ask(9) is None
+    w.end("settled", 10)
+    assert w.ask(10) == ["b"]  # what changed meanwhile
+    w.end("settled", 11)
+    assert w.see({"a": (2, 5), "b": (7, 5), "n": (2, 9)}, 20) is None
+
+
+def test_watch_of_edits_that_keep_time_and_size():
+    w = Replay({"a": (1, 5, "A"), "b": (1, 5, "B")})
+    assert w.see({"a": (1, 5, "A"), "b": (1, 5, "X")}, 1) is None
+    assert w.see({"a": (1, 5), "b": (1, 5)}, 3) == ["b"]  # ticks without contents don't forget it
+    w.end("settled", 4)
+    assert w.see({"a": (1, 5, "A"), "b": (1, 5, "X")}, 40) is None and w.ask(50) is None
+
+
+def test_watch_of_failures():
+    w = Replay({"a": (1, 5, "A")})
+    w.see({"a": (2, 5)}, 1)
+    assert w.ask(2) == ["a"]
+    w.end("failed", 3)
+    assert w.repo.failures == 1 and w.ask(6.9) is None and w.ask(7) == ["a"]
+    w.end("failed", 8)
+    assert w.repo.failures == 2 and w.ask(15.9) is None and w.ask(16) == ["a"]
+    w.end("failed", 17)
+    assert w.see({"a": (3, 5)}, 18) is None and w.repo.failures == 0  # a fresh change ends the wait
+    assert w.ask(19) == ["a"]
+    w.end("settled", 20)
+    assert w.ask(400) is None
+    for k in range(12):
+        w.see({"a": (9, 9)}, 1000) if not k else None
+        assert w.ask(1000 + 400 * (k + 1)) == ["a"]
+        w.end("failed", 1000 + 400 * (k + 1))
+    assert w.repo.wait_until_ms == 1000 * (1000 + 400 * 12 + 300)
+
+
+def test_watch_of_what_a_refresh_leaves_out():
+    """A file that can't be parsed is asked for once; so is one that was undone, but not again."""
+    w = Replay({"a": (1, 5, "A")})
+    w.see({"a": (2, 6), "bad": (1, 1)}, 1)
+    assert w.ask(2) == ["a", "bad"]
+    w.end("settled", 3)
+    for now in (5, 50, 500):
+        assert w.see({"a": (2, 6), "bad": (1, 1)}, now) is None
+    w.see({"a": (2, 6), "bad": (2, 1)}, 600)
+    w.see({"a": (2, 6), "bad": (1, 1)}, 600.5)
+    assert w.ask(700) is None
+
+
+def test_watch_of_deletions_and_of_trees_that_are_away():
+    w = Replay({"a": (1, 5, "A"), "b": (1, 5, "B")})
+    w.see({"a": (2, 5)}, 1)
+    assert w.ask(2) == ["*"]
+    w.end("failed", 3)
+    assert w.ask(8) == ["*"]
+    w.end("settled", 9)
+    assert set(w.entries) == {"a"} and w.ask(20) is None
+    assert w.see({}, 30, whole=False) is None and w.ask(40) is None and set(w.entries) == {"a"}
+
+
+def test_watch_loses_no_change_beyond_the_most_it_names():
+    w = Replay({})
+    w.see({f"f{i}": (1, 1) for i in range(8)}, 1)
+    named = []
+    for now in (2, 4, 6):
+        named += w.ask(now)
+        w.end("settled", now + 1)
+    assert named == [f"f{i}" for i in range(8)] and w.ask(10) is None
+
+
+def test_nothing_is_asked_for_before_a_first_publication():
+    w = Replay({})
+    w.repo, w.entries = watch.Repo(), {}
+    assert w.see({"a": (1, 1)}, 1) is None and w.ask(10) is None
+
+
+def tree_of(tmp_path):
+    root = str(tmp_path / "tree")
+    os.makedirs(root)
+    for n in ("a.py", "b.py", "c.py"):
+        put(root, n, "x = 1\n", 10**18)
+    subprocess.run("git init -q . && git add -A && git -c user.name=a -c user.email=a@b.c commit -qm x", shell=True, cwd=root, check=True)
+    return root
 
 
-def test_failed_submissions_come_again(spark, tmp_path):
-    """What failed is submitted again after the wait, with changes that came meanwhile; what succeeded isn't."""
-    folder, name = f"file://{tmp_path}/changes", "retries"
-    changes(spark, [(1, "a", T, False), (1, "b", T, False), (2, "x", T, False)]).coalesce(1).write.mode("append").parquet(folder)
-    stream = spark.readStream.schema(freshness.CHANGES).parquet(folder)
-    query = freshness.watch(stream, debounce_ms=100, interval=0.2).writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", f"file://{tmp_path}/state").trigger(processingTime="200 milliseconds").start()
+def put(root, name, content, at=None):
+    with open(f"{root}/{name}", "w") as f:
+        f.write(content)
+    if at:
+        os.utime(f"{root}/{name}", ns=(at, at))
 
-    def wait(n):
-        end = time.time() + 60
-        while time.time() < end and spark.table(name).count() < n:
+
+def test_watch_as_a_stream(spark, tmp_path):
+    """A tree, its index and the stream between them: edits, hidden edits, a refresh that raises, a deletion."""
+    root = tree_of(tmp_path)
+    store, asked, answers = Store(str(tmp_path / "base"), root), [], []
+
+    def refresh(paths):
+        asked.append(paths)
+        if answers:
+            raise RuntimeError(answers.pop())
+        return index.refresh(spark, store, root, paths=paths)["state"]
+
+    def until(n):
+        end = time.time() + 90
+        while time.time() < end and len(asked) < n and query.isActive:
             time.sleep(0.3)
-        return [(r["repo"], r["paths"], r["failures"]) for r in spark.table(name).orderBy("submitted").collect()]
+        assert query.isActive, query.exception()
+        return asked[n - 1 :]
 
+    index.refresh(spark, store, root)
+    query = watch.watch(spark, store, root, refresh, f"file://{tmp_path}/watch", interval=0.5, debounce=0.3, content_interval=3)
     try:
-        assert sorted(wait(2)) == [(1, "a,b", 0), (2, "x", 0)]
-        changes(spark, [(1, None, T, None, "failed"), (2, None, T, None, "done")]).coalesce(1).write.mode("append").parquet(folder)
-        assert wait(3)[2:] == [(1, "a,b", 1)]
-        changes(spark, [(1, None, T, None, "failed")]).coalesce(1).write.mode("append").parquet(folder)
-        assert wait(4)[3:] == [(1, "a,b", 2)]
-        changes(spark, [(1, None, T, None, "done"), (2, "y", T, False, None)]).coalesce(1).write.mode("append").parquet(folder)
-        assert wait(5)[4:] == [(2, "y", 0)]
+        time.sleep(8)  # what is published has to come round
+        assert asked == []
+        put(root, "a.py", "def fresh():\n    pass\n")
+        assert until(1) == [["a.py"]]
+        put(root, "b.py", "y = 1\n", 10**18)  # the same time and size
+        assert until(2) == [["b.py"]]
+        answers.append("no")
+        put(root, "c.py", "z = 333\n")
+        assert until(4) == [["c.py"]] and asked[2] == ["c.py"]
+        os.remove(f"{root}/a.py")
+        assert until(5) == [None]
+        end = time.time() + 60
+        while time.time() < end and store.read(spark, "files").count() > 2:
+            time.sleep(0.5)
+        assert {r["path"] for r in store.read(spark, "files").collect()} == {"b.py", "c.py"}
     finally:
         query.stop()
 
 
-def test_ticks_of_a_watcher(spark, tmp_path):
-    """Edits, edits that keep time and size, failures with back-off, paths left out, deletions, and a broken tick."""
-    import os
-    import subprocess
-
-    root = str(tmp_path / "tree")
-    os.makedirs(root)
-
-    def write(name, content, at=None):
-        with open(f"{root}/{name}", "w") as f:
-            f.write(content)
-        if at:
-            os.utime(f"{root}/{name}", ns=(at, at))
-
-    for n in ("a.py", "b.py", "c.py"):
-        write(n, "x = 1\n", 10**18)
-    subprocess.run("git init -q . && git add -A && git -c user.name=a -c user.email=a@b.c commit -qm x", shell=True, cwd=root, check=True)
-    store, sent, answers = Store(str(tmp_path / "base"), root), [], []
-
-    def submit(paths):
-        sent.append(paths)
-        answer = answers.pop(0) if answers else "completed"
-        if answer == "raise":
-            raise RuntimeError("no")
-        if answer == "completed":
-            index.refresh(spark, store, root, paths=paths)
-        return answer
-
-    w = Watcher(spark, store, root, submit, interval=2, debounce=1, content_interval=30)
-    assert w.tick(0) is None and not sent  # nothing is published yet
-    index.refresh(spark, store, root)
-    assert w.tick(1) is None
-    write("a.py", "x = 22\n")
-    assert w.tick(2) is None  # a quiet period first
-    assert w.tick(4) == "completed" and sent == [["a.py"]]
-    assert w.tick(6) is None
-    write("b.py", "y = 1\n", 10**18)  # same time and size
-    assert w.tick(8) is None and len(sent) == 1
-    assert w.tick(40) is None and w.suspected == {"b.py"}
-    assert w.tick(42) == "completed" and sent[-1] == ["b.py"] and not w.suspected
-    answers += ["failed", "raise", "completed"]
-    write("c.py", "z = 333\n")
-    w.tick(50)
-    assert w.tick(52) == "failed" and w.failures == 1
-    assert w.tick(55) is None  # it waits for 4 seconds
-    assert w.tick(57) == "failed" and w.failures == 2 and w.errors == ["no"]
-    assert w.tick(60) is None and w.tick(66) == "completed" and w.failures == 0
-    write("c.py", "def f(:\n")  # can't be parsed: tried once, not at every tick
-    w.tick(70)
-    assert w.tick(72) == "completed"
-    n = len(sent)
-    assert w.tick(76) is None and w.tick(90) is None and len(sent) == n
+def test_worktree_source(spark, tmp_path):
+    """Sizes and contents come from tasks; predicates on paths thin out the names; what is gone has a row without content."""
+    root = tree_of(tmp_path)
+    put(root, "sub.go", "package p\n")
+    os.symlink("a.py", f"{root}/link.py")
+    put(root, "large.py", "x" * 1_000_001)
+    worktree.register(spark)
+    df = spark.read.format("worktree").option("root", root).option("content", "true").load()
+    found = {r["path"]: r for r in df.collect()}
+    assert sorted(found) == ["a.py", "b.py", "c.py", "large.py", "link.py", "sub.go"]
+    assert [p for p, r in sorted(found.items()) if r["content"] is None] == ["large.py", "link.py"] == [p for p, r in sorted(found.items()) if r["size"] is None]
+    assert bytes(found["sub.go"]["content"]) == b"package p\n" and found["a.py"]["mtime_ns"] == 10**18
+    assert {r["path"] for r in df.where("path in ('a.py', 'sub.go', 'nothing.py')").collect()} == {"a.py", "sub.go"}
+    assert {r["path"] for r in df.where(F.col("path").startswith("s")).collect()} == {"sub.go"}
+    reader = worktree._Reader(root, True)
+    assert list(reader.pushFilters([worktree.EqualTo(("path",), "a.py"), worktree.EqualTo(("size",), 3)])) == [worktree.EqualTo(("size",), 3)]
+    parts = reader.partitions()
     os.remove(f"{root}/a.py")
-    w.tick(92)
-    assert w.tick(94) == "completed" and sent[-1] is None
-    w.root = str(tmp_path / "gone")
-    assert w.tick(96) is None and len(w.errors) == 2
+    assert [p.names for p in parts] == [["a.py"]] and list(reader.read(parts[0])) == [(root, "a.py", None, None, None, None)]
