@@ -11,7 +11,7 @@ from pyspark.sql import SparkSession
 
 from hayrick import render
 from hayrick.api import Hayrick
-from hayrick.sources.symbols import PATTERNS, preflight
+from hayrick.sources.symbols import PARSED, preflight
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -34,8 +34,8 @@ def main(argv: list[str] | None = None) -> int:
             p.add_argument("--repo", default=os.getcwd())
     args = parser.parse_args(argv)
     if args.command == "doctor":
-        broken = preflight(sorted(PATTERNS))
-        print(json.dumps({"ok": not broken, "languages": sorted(PATTERNS), "broken": broken}))
+        broken = preflight(sorted(PARSED))
+        print(json.dumps({"ok": not broken, "languages": sorted(PARSED), "broken": broken}))
         return 1 if broken else 0
     spark = SparkSession.builder.appName("hayrick").config("spark.ui.enabled", "false").getOrCreate()
     engine = Hayrick(spark, args.base)

@@ -577,12 +577,39 @@ def porter_bm25(spark, sf_dir):
     return lexical.top_k(found, 50).select("qid", "id", F.round("score", 6).alias("score"), "rank")
 
 
-@registered()
+#: A file of each language: extension, source, and what it declares (qualified name, kind, lines, first line). {n} is the part's number.
+SHAPES: list[tuple[str, str, list[tuple[str, str, int, int, str]]]] = [
+    ("py", 'class Part{n}:\n    """A part."""\n\n    def size(self):\n        return {n}\n', [("Part{n}", "class", 1, 5, "class Part{n}:"), ("Part{n}.size", "function", 4, 5, "def size(self):")]),
+    ("c", "struct part{n} { int size; };\nint size{n}(int a, int b) { return a + b; }\n", [("part{n}", "struct", 1, 1, "struct part{n} { int size; }"), ("size{n}", "function", 2, 2, "int size{n}(int a, int b) { return a + b; }")]),
+    ("cpp", "class Part{n} { public: void start(); };\nvoid Part{n}::start()\n{\n  run();\n}\n", [("Part{n}", "class", 1, 1, "class Part{n} { public: void start(); }"), ("Part{n}::start", "function", 2, 5, "void Part{n}::start()")]),
+    ("java", "@Entity(\"p\")\npublic class Part{n} {\n  public <T> List<T> all(\n      int a) {\n    return null;\n  }\n}\n", [("Part{n}", "class", 1, 7, '@Entity("p")'), ("Part{n}.all", "method", 3, 6, "public <T> List<T> all(")]),
+    ("cs", "struct Part{n} { int X; }\ninterface I{n} { void M(); }\n", [("Part{n}", "struct", 1, 1, "struct Part{n} { int X; }"), ("I{n}", "interface", 2, 2, "interface I{n} { void M(); }"), ("I{n}.M", "method", 2, 2, "void M();")]),
+    ("js", "export class Part{n} {\n  bar(\n    a,\n  ) {\n    return `{${a}`;\n  }\n}\nfunction f{n}() {}\n", [("Part{n}", "class", 1, 7, "class Part{n} {"), ("Part{n}.bar", "method", 2, 6, "bar("), ("f{n}", "function", 8, 8, "function f{n}() {}")]),
+    ("ts", "interface Opts{n} { a: number }\ntype Alias{n} =\n  | string;\nenum E{n} { A }\n", [("Opts{n}", "interface", 1, 1, "interface Opts{n} { a: number }"), ("Alias{n}", "type_alias", 2, 3, "type Alias{n} ="), ("E{n}", "enum", 4, 4, "enum E{n} { A }")]),
+    ("go", "package p\n\ntype Part{n} struct {\n\tX int\n}\n\nfunc (p *Part{n}) Size() int {\n\treturn {n}\n}\n", [("Part{n}", "struct", 3, 5, "Part{n} struct {"), ("Size", "method", 7, 9, "func (p *Part{n}) Size() int {")]),
+    ("rs", "pub trait T{n} { fn sig(&self); }\nimpl T{n} for Part {\n  fn sig(&self) { f(r#\"}\"#) }\n}\n", [("T{n}", "trait", 1, 1, "pub trait T{n} { fn sig(&self); }"), ("T{n}", "impl", 2, 4, "impl T{n} for Part {"), ("T{n}.sig", "function", 3, 3, 'fn sig(&self) { f(r#"}"#) }')]),
+    ("rb", "module M{n}\n  class Part\n    def size\n      1 if true\n    end\n  end\nend\n", [("M{n}", "module", 1, 7, "module M{n}"), ("M{n}.Part", "class", 2, 6, "class Part"), ("M{n}.Part.size", "method", 3, 5, "def size")]),
+    ("php", "<?php\nabstract class Part{n} {\n  abstract function size();\n}\nfunction f{n}() { return '{'; }\n", [("Part{n}", "class", 2, 4, "abstract class Part{n} {"), ("Part{n}.size", "method", 3, 3, "abstract function size();"), ("f{n}", "function", 5, 5, "function f{n}() { return '{'; }")]),
+    ("rs", "struct Part{n};\nfn main( {\n", [("Part{n}", "struct", 1, 1, "struct Part{n};")]),
+]
+
+
+def _quoted(value: str) -> str:
+    return "'" + value.replace("'", "''") + "'"
+
+
+_SHAPES = ", ".join(f"({k}, {_quoted(ext)}, {_quoted(q)}, {_quoted(kind)}, {a}, {b}, {_quoted(sig)})" for k, (ext, _, found) in enumerate(SHAPES) for q, kind, a, b, sig in found)
+
+
+@registered(f"""with shapes(shape, ext, qualname, kind, first, last, signature) as (values {_SHAPES})
+select 'src/part_' || p_partkey || '.' || ext as path, replace(qualname, '{{n}}', p_partkey::varchar) as qualname, kind, (first + p_size % 5)::integer as line, (last + p_size % 5)::integer as end_line, replace(signature, '{{n}}', p_partkey::varchar) as signature
+from part join shapes on shape = p_partkey % {len(SHAPES)}""")
 def parse_symbols(spark, sf_dir):
-    """Symbols of made-up Python files, one a part."""
-    name = F.concat(F.lit("make_"), F.col("p_partkey"))
-    source = F.concat(F.lit('class Part:\n    """A part."""\n\n    def '), name, F.lit("(self):\n        return "), F.col("p_size"), F.lit("\n"))
-    files = table(spark, sf_dir, "part").select(F.concat(F.lit("src/part_"), F.col("p_partkey"), F.lit(".py")).alias("path"), source.cast("binary").alias("content"))
+    """Symbols of a source file for each part: eleven languages, in shapes of several lines, one of them broken, after some blank lines."""
+    shape = F.element_at(F.array(*(F.struct(F.lit(ext).alias("ext"), F.lit(source).alias("source")) for ext, source, _ in SHAPES)), (F.col("p_partkey") % len(SHAPES) + 1).cast("int"))
+    number = F.col("p_partkey").cast("string")
+    source = F.concat(F.repeat(F.lit("\n"), (F.col("p_size") % 5).cast("int")), F.replace(shape["source"], F.lit("{n}"), number))
+    files = table(spark, sf_dir, "part").select(F.concat(F.lit("src/part_"), number, F.lit("."), shape["ext"]).alias("path"), source.cast("binary").alias("content"))
     return parser.parse(files).where("qualname is not null").select("path", "qualname", "kind", "line", "end_line", "signature")
 
 

@@ -1,11 +1,10 @@
 """Symbols of source files: a table function over (path, content).
 
-Python is parsed by its own grammar; files that don't parse are scanned line by line as the
-other languages are, and are `partial` if that finds anything. The scanner knows the
-declarations of each language by patterns and finds ends by braces (or `end`, in Ruby), after
-comments and strings are blanked. Files whose braces don't match are `partial`, or `error`
-without any symbol. It is no grammar: what a full parser calls an error inside of matching
-braces goes unseen.
+Python is parsed by its own grammar; files that don't parse are looked through line by line
+and are `partial` if that finds anything. The other languages have a lexer and rules of
+declarations (lexer.py, declarations.py). Files with a bracket, a block or a string without
+its end are `partial`, or `error` without any symbol; what a full grammar calls an error
+inside of matching brackets goes unseen.
 
 One row a symbol, and one status row a file (with a null qualname), so that files without
 symbols are not lost.
@@ -21,26 +20,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from hayrick.functions.roles import LANGUAGES
+from hayrick.sources import declarations
 
 SCHEMA = "path string, lang string, status string, detail string, name string, qualname string, kind string, line int, end_line int, signature string, full_signature string, docstring string, body string"
 SIGNATURE, DOCSTRING = 200, 500
 
-_NAME = r"(?P<name>[A-Za-z_$][\w$]*)"
-#: Declarations by language: kind and pattern.
-PATTERNS: dict[str, list[tuple[str, re.Pattern]]] = {
-    lang: [(kind, re.compile(p)) for kind, p in rules]
-    for langs, rules in (
-        (("python",), [("class", rf"^\s*class\s+{_NAME}"), ("function", rf"^\s*(?:async\s+)?def\s+{_NAME}")]),
-        (("typescript", "tsx", "javascript"), [("class", rf"^\s*(?:export\s+)?(?:default\s+)?(?:abstract\s+)?class\s+{_NAME}"), ("interface", rf"^\s*(?:export\s+)?interface\s+{_NAME}"), ("enum", rf"^\s*(?:export\s+)?(?:const\s+)?enum\s+{_NAME}"), ("type_alias", rf"^\s*(?:export\s+)?type\s+{_NAME}[^=]*="), ("function", rf"^\s*(?:export\s+)?(?:default\s+)?(?:async\s+)?function\s*\*?\s*{_NAME}"), ("method", rf"^\s+(?:(?:public|private|protected|static|async|get|set|readonly)\s+)*(?!if\b|for\b|while\b|switch\b|catch\b|return\b|function\b){_NAME}\s*(?:<[^>]*>)?\([^;]*\)\s*(?::[^{{;]+)?\{{\s*\}}?$")]),
-        (("go",), [("method", rf"^func\s+\([^)]*\)\s*{_NAME}"), ("function", rf"^func\s+{_NAME}"), ("struct", rf"^type\s+{_NAME}\s+struct\b"), ("interface", rf"^type\s+{_NAME}\s+interface\b"), ("type_alias", rf"^type\s+{_NAME}\s+\S")]),
-        (("rust",), [("function", rf"^\s*(?:pub(?:\([^)]*\))?\s+)?(?:async\s+)?(?:unsafe\s+)?fn\s+{_NAME}"), ("struct", rf"^\s*(?:pub(?:\([^)]*\))?\s+)?struct\s+{_NAME}"), ("enum", rf"^\s*(?:pub(?:\([^)]*\))?\s+)?enum\s+{_NAME}"), ("trait", rf"^\s*(?:pub(?:\([^)]*\))?\s+)?trait\s+{_NAME}"), ("impl", rf"^\s*impl(?:<[^>]*>)?\s+(?:[\w:<>]+\s+for\s+)?{_NAME}")]),
-        (("java", "csharp"), [("class", rf"^\s*(?:(?:public|private|protected|internal|static|final|abstract|sealed|partial)\s+)*class\s+{_NAME}"), ("interface", rf"^\s*(?:(?:public|private|protected|internal)\s+)*interface\s+{_NAME}"), ("enum", rf"^\s*(?:(?:public|private|protected|internal)\s+)*enum\s+{_NAME}"), ("struct", rf"^\s*(?:(?:public|private|protected|internal)\s+)*struct\s+{_NAME}"), ("method", rf"^\s+(?:(?:public|private|protected|internal|static|final|virtual|override|async|abstract)\s+)*(?!return\b|new\b|else\b|throw\b)[\w<>\[\],.?]+\s+{_NAME}\s*\([^;]*\)\s*(?:throws\s+[\w, ]+)?\{{?\s*$")]),
-        (("ruby",), [("class", rf"^\s*class\s+{_NAME}"), ("module", rf"^\s*module\s+{_NAME}"), ("method", r"^\s*def\s+(?:self\.)?(?P<name>[A-Za-z_]\w*[?!=]?)")]),
-        (("php",), [("class", rf"^\s*(?:abstract\s+|final\s+)*class\s+{_NAME}"), ("interface", rf"^\s*interface\s+{_NAME}"), ("trait", rf"^\s*trait\s+{_NAME}"), ("method", rf"^\s+(?:(?:public|private|protected|static|final|abstract)\s+)+function\s+{_NAME}"), ("function", rf"^\s*function\s+{_NAME}")]),
-        (("c", "cpp"), [("class", rf"^\s*class\s+{_NAME}[^;]*$"), ("struct", rf"^\s*(?:typedef\s+)?struct\s+{_NAME}[^;]*$"), ("enum", rf"^\s*enum\s+(?:class\s+)?{_NAME}[^;]*$"), ("function", rf"^(?!\s*(?:return|else|if|for|while|switch)\b)[\w:<>*&\s]+?[\s*&](?:[\w]+::)*{_NAME}\s*\([^;]*\)\s*(?:const\s*)?\{{?\s*$")]),
-    )
-    for lang in langs
-}
+#: Lines that declare something in Python files that can't be parsed.
+_PYTHON = [(kind, re.compile(p)) for kind, p in (("class", r"^\s*class\s+(?P<name>\w+)"), ("function", r"^\s*(?:async\s+)?def\s+(?P<name>\w+)"))]
+PARSED = ("python", *declarations.RULE)
 
 
 #: A declaration of each language that its parser must find.
@@ -51,7 +38,7 @@ def preflight(languages: list[str]) -> dict[str, str]:
     """Languages whose parser can't be used, each with the reason."""
     out = {}
     for lang in languages:
-        if lang not in PATTERNS:
+        if lang not in PARSED:
             out[lang] = "no declarations are known of this language"
             continue
         try:
@@ -91,88 +78,41 @@ def _python(text: str, lines: list[str]) -> list[dict]:
     return out
 
 
-def _end(lines: list[str], first: int, lang: str) -> int:
-    if lang in ("python", "ruby"):
-        indent = len(lines[first]) - len(lines[first].lstrip())
-        last = first
-        for i in range(first + 1, len(lines)):
-            if lines[i].strip():
-                if len(lines[i]) - len(lines[i].lstrip()) <= indent:
-                    return i if lang == "ruby" and lines[i].strip() == "end" else last
-                last = i
-        return last
-    depth, opened = 0, False
-    for i in range(first, len(lines)):
-        for c in lines[i]:
-            depth += (c == "{") - (c == "}")
-            opened |= c == "{"
-        if opened and depth <= 0 or not opened and lines[i].rstrip().endswith(";"):
-            return i
-    return len(lines) - 1 if opened else first
-
-
-_STRINGS = r"\"(?:\\.|[^\"\\\n])*\""
-_SLASHES = r"//[^\n]*|/\*.*?(?:\*/|\Z)"
-#: Comments and strings by language; what they hold declares nothing.
-_HIDDEN: dict[str, re.Pattern] = {
-    lang: re.compile(p, re.DOTALL)
-    for langs, p in (
-        (("go", "typescript", "tsx", "javascript"), rf"{_SLASHES}|{_STRINGS}|'(?:\\.|[^'\\\n])*'|`(?:\\.|[^`\\])*`"),
-        (("rust",), rf"{_SLASHES}|{_STRINGS}|'(?:\\.[^']*|[^'\\\n])'"),
-        (("java", "csharp", "c", "cpp"), rf"{_SLASHES}|{_STRINGS}|'(?:\\.|[^'\\\n])*'"),
-        (("php",), rf"{_SLASHES}|\#[^\n]*|{_STRINGS}|'(?:\\.|[^'\\])*'"),
-        (("ruby",), rf"\#[^\n]*|{_STRINGS}|'(?:\\.|[^'\\\n])*'"),
-    )
-    for lang in langs
-}
-
-
-def bare(text: str, lang: str) -> str:
-    """The text with blanks in the place of comments and strings; lines and columns stay."""
-    hidden = _HIDDEN.get(lang)
-    return hidden.sub(lambda m: re.sub(r"[^\n]", " ", m[0]), text) if hidden else text
-
-
-def _head(lines: list[str], plain: list[str], first: int, last: int) -> str:
-    """A declaration up to its body, over as many lines as it takes."""
-    for i in range(first, last + 1):
-        for stop in "{;":
-            if (at := plain[i].find(stop)) >= 0:
-                return "\n".join([*lines[first:i], lines[i][:at]]).strip()
-    return ""
-
-
-def _scan(lines: list[str], lang: str, plain: list[str] | None = None) -> list[dict]:
-    """Declarations that the patterns find; `plain` are the lines without comments and strings."""
-    out, owners, plain = [], [], plain or lines
-    for i, line in enumerate(plain):
+def _by_lines(lines: list[str]) -> list[dict]:
+    """Declarations of a broken Python file, by their lines and indents."""
+    out, owners = [], []
+    for i, line in enumerate(lines):
         owners = [o for o in owners if o[1] >= i]
-        for kind, pattern in PATTERNS[lang]:
+        for kind, pattern in _PYTHON:
             if m := pattern.match(line):
-                last = _end(plain, i, lang)
-                row = _row(lines, kind, m["name"], [o[0] for o in owners], i, last, None, "")
-                if lang not in ("python", "ruby"):
-                    row["full_signature"] = _head(lines, plain, i, last) or row["signature"]
-                out.append(row)
+                indent, last = len(line) - len(line.lstrip()), i
+                for k in range(i + 1, len(lines)):
+                    if lines[k].strip():
+                        if len(lines[k]) - len(lines[k].lstrip()) <= indent:
+                            break
+                        last = k
+                out.append(_row(lines, kind, m["name"], [o[0] for o in owners], i, last, None, ""))
                 owners.append((m["name"], last))
                 break
     return out
 
 
-def unbalanced(plain: str) -> str | None:
-    """What is wrong with the braces of a text without comments and strings."""
-    depth = 0
-    for line, row in enumerate(plain.split("\n"), 1):
-        for c in row:
-            depth += (c == "{") - (c == "}")
-            if depth < 0:
-                return f"a brace closes nothing in line {line}"
-    return f"{depth} braces are left open" if depth else None
+def _declared(text: str, lines: list[str], lang: str) -> tuple[list[dict], str | None]:
+    """Symbols by the rules of a language, and what is wrong with the text."""
+    reader, found, wrong = declarations.declarations(text, lang)
+    out = []
+    for owners, d in found:
+        t = reader.t
+        first, last = t.lines[d.first], t.lines[d.last] + t.values[d.last].count("\n")
+        signature = text[t.starts[d.first] : t.ends[d.last]].split("\n", 1)[0][:SIGNATURE]
+        head = text[t.starts[d.first] : t.starts[d.body]].strip() if d.body is not None else ""
+        out.append({"name": d.name, "qualname": ".".join([*owners, d.name]), "kind": d.kind, "line": first + 1, "end_line": last + 1, "signature": signature, "full_signature": head or signature, "docstring": "", "body": "\n".join(lines[first : last + 1])})
+    return out, wrong
 
 
 def parse_source(content: bytes, lang: str | None) -> tuple[list[dict], str, str | None]:
     """Symbols, status (ok, partial, empty, unsupported, error) and detail of one file."""
-    if lang not in PATTERNS:
+    if lang not in PARSED:
         return [], "unsupported", f"no parser for {lang}"
     text = content.decode("utf-8", "replace")
     lines = text.split("\n")
@@ -181,11 +121,10 @@ def parse_source(content: bytes, lang: str | None) -> tuple[list[dict], str, str
             found = _python(text, lines)
             return found, "ok" if found else "empty", None
         except (SyntaxError, ValueError, RecursionError) as e:
-            found = _scan(lines, lang)
+            found = _by_lines(lines)
             return found, "partial" if found else "error", str(e)[:200]
-    plain = bare(text, lang)
-    found = _scan(lines, lang, plain.split("\n"))
-    if lang != "ruby" and (wrong := unbalanced(plain)):
+    found, wrong = _declared(text, lines, lang)
+    if wrong:
         return found, "partial" if found else "error", wrong
     return found, "ok" if found else "empty", None
 

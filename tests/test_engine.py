@@ -13,7 +13,7 @@ from hayrick.jobs import Job, Journal, Jobs
 from hayrick.plans import evaluation, index
 from hayrick.sources import inventory
 from hayrick.sources.store import Store
-from hayrick.sources.symbols import PATTERNS, parse_source, preflight
+from hayrick.sources.symbols import PARSED, parse_source, preflight
 from hayrick.sources.vector_cache import DOCUMENT, QUERY, VectorCache
 from tests.test_index import tree, write  # noqa: F401
 
@@ -179,7 +179,7 @@ def test_foreign_folders_are_left_alone(tmp_path):
 
 
 def test_parsers_are_ready():
-    assert preflight(sorted(PATTERNS)) == {}
+    assert preflight(sorted(PARSED)) == {}
     assert list(preflight(["cobol"])) == ["cobol"]
 
 
