@@ -63,6 +63,26 @@ def top_k(scores: DataFrame, k: int, by: str = "qid", score: str = "score", id_c
     return scores.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def phrase_frequencies(index: DataFrame, phrases: DataFrame) -> DataFrame:
+    """term, id and tf of phrases: how often all their words follow each other. phrases: term (the phrase's name) and words, each once; index: postings with positions.
+
+    Every place of a word votes for where the phrase would begin; a beginning with the votes
+    of all words is one. Votes are counted by phrase, row and beginning, so that a frequent
+    word's places are spread over all tasks.
+    """
+    parts = phrases.select("term", F.size("words").alias("n"), F.posexplode("words").alias("k", "word"))
+    votes = index.withColumnRenamed("term", "word").drop("tf").join(parts, "word").select("term", "n", "id", "k", F.explode("positions").alias("position"))
+    begins = votes.groupBy("term", "n", "id", (F.col("position") - F.col("k")).alias("start")).agg(F.count(F.lit(1)).alias("votes")).where("votes = n")
+    return begins.groupBy("term", "id").agg(F.count(F.lit(1)).alias("tf"))
+
+
+def asked_frequencies(index: DataFrame, phrases: DataFrame) -> DataFrame:
+    """term, id and tf of words and phrases alike, as bm25 takes them: a phrase is a term with a frequency of its own."""
+    words = phrases.where(F.size("words") == 1).select("term")
+    found = index.select("term", "id", "tf").join(words, "term", "left_semi")
+    return found.unionByName(phrase_frequencies(index, phrases.where(F.size("words") > 1)))
+
+
 def phrase_counts(index: DataFrame, words: list[str]) -> DataFrame:
     """id and tf: how often the words follow each other. index: postings with positions."""
     spots = index.where(F.col("term").isin(words)).select("term", "id", F.explode("positions").alias("position"))

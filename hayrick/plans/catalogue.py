@@ -536,6 +536,31 @@ def duplicate_cases(spark, sf_dir):
     return evaluate.duplicates(table(spark, sf_dir, "documents"), "text")
 
 
+#: A benchmark item asks for each two of its words that follow each other, as a phrase, and for its longest word.
+PAIRS = f"items as (select item_id as qid, {TOKENS} as t from benchmark), q as (select qid, t[i] || ' ' || t[i + 1] as term, t[i] as a, t[i + 1] as b from (select qid, t, unnest(range(1, len(t))) as i from items) union all select qid, list_sort(list_transform(t, lambda x: lpad(len(x)::varchar, 9, '0') || x), 'desc')[1][10:] as term, null, null from items where len(t) > 0)"
+
+
+@registered(f"""with {PAIRS}, docs as (select doc_id as id, {TOKENS} as t from documents), stats as (select count(*) as ndocs, avg(len(t)) as avgdl from docs),
+pairs as (select id, t[i] || ' ' || t[i + 1] as term from (select id, t, unnest(range(1, len(t))) as i from docs)),
+freqs as (select id, term, count(*) as tf from (select * from pairs where term in (select term from q) union all select * from (select id, unnest(t) as term from docs) where term in (select term from q)) group by 1, 2),
+df as (select term, count(*) as n from freqs group by 1), wanted as (select qid, term, count(*) as times from q group by 1, 2),
+scores as (select qid, f.id, sum(w.times * (case when ln((ndocs - n + 0.5::double) / (n + 0.5::double)) > 0 then ln((ndocs - n + 0.5::double) / (n + 0.5::double)) else 1e-6::double end) * f.tf * 2.2::double / (f.tf + 1.2::double * (0.25::double + 0.75::double * len(d.t) / avgdl))) as score
+ from wanted w join freqs f using (term) join df using (term) join docs d on d.id = f.id cross join stats group by 1, 2),
+ranked as (select qid, id, score, row_number() over (partition by qid order by round(score, 9) desc, id) as rank from scores)
+select qid, id, round(score, 6) as score, rank::integer as rank from ranked where rank <= 50""")
+def phrase_bm25(spark, sf_dir):
+    """BM25 over phrases and words together: a phrase weighs by the documents that have it, and counts how often its words follow each other."""
+    tokens = text.index_tokens(F.col("text"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), tokens.alias("t")).where(F.size("t") > 0)
+    pairs = items.where(F.size("t") > 1).select("qid", F.explode(F.transform(F.slice("t", 1, F.size("t") - 1), lambda a, i: F.array(a, F.element_at("t", i + 2)))).alias("words"))
+    longest = items.select("qid", F.array(F.array_max(F.transform("t", lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]).alias("words"))
+    asked = pairs.unionByName(longest).withColumn("term", F.array_join("words", " "))
+    index = scratch.once(spark, "positions", f"{sf_dir}/documents.parquet", lambda: lexical.postings(docs), by=("term", "id"))
+    found = lexical.asked_frequencies(index, asked.select("term", "words").distinct())
+    return lexical.top_k(lexical.bm25(asked.select("qid", "term"), found, freqs_and_lengths(spark, sf_dir)[1]), 50).select("qid", "id", F.round("score", 6).alias("score"), "rank")
+
+
 # ------------------------------------------------------------ publication
 
 CHANGED = "marks as (select doc_id, max(quality) as quality, max(toxic) as toxic from labels where doc_id is not null group by 1)"

@@ -46,9 +46,9 @@ def symbol_rows(parsed: DataFrame, repo: str, first_id: int) -> DataFrame:
 
 
 def terms_of(symbols_: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Postings and lengths of symbols, by stemmed terms."""
+    """Postings with positions, and lengths, of symbols by stemmed terms."""
     docs = symbols_.select(F.col("id").alias("doc_id"), stem(text.index_tokens(F.col("search_text"))).alias("tokens"))
-    return lexical.frequencies(docs, tokens=F.col("tokens")), lexical.lengths(docs, tokens=F.col("tokens"))
+    return lexical.postings(docs, tokens=F.col("tokens")), lexical.lengths(docs, tokens=F.col("tokens"))
 
 
 def refresh(spark: SparkSession, store: Store, root: str, *, rebuild: bool = False, paths: list[str] | None = None, cancelled: Callable[[], bool] = lambda: False, job_id: str | None = None) -> dict:

@@ -16,7 +16,7 @@ import time
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from hayrick.errors import HayrickError, check_limit, check_search
@@ -57,12 +57,21 @@ def is_identifier(query: str) -> bool:
     return len(query) <= 200 and re.fullmatch(r"[\w.]+", query) is not None
 
 
+def phrases_of(query: Column) -> Column:
+    """Terms of a query, each as the words it is indexed by: foo_bar is the phrase of foo and bar."""
+    return F.filter(F.transform(text.match_terms(query), lambda t: text.index_tokens(t)), lambda words: F.size(words) > 0)
+
+
 def lexical_lists(postings: DataFrame, lengths: DataFrame, queries: DataFrame, limit: int) -> DataFrame:
-    """Rankings of queries (qid, list_no, query) by BM25 over the stored stemmed terms: qid, list_no, rank, id."""
-    terms = queries.select(F.struct("qid", "list_no").alias("qid"), F.explode(stem(F.flatten(F.transform(text.match_terms(F.col("query")), lambda t: text.index_tokens(t))))).alias("term"))
-    asked = sorted({r["term"] for r in terms.select("term").distinct().collect()})  # the terms of one call's queries
-    # The terms reach the scan, whose files are sorted by them.
-    best = lexical.top_k(lexical.bm25(terms, postings.where(F.col("term").isin(asked)), lengths), limit)
+    """Rankings of queries (qid, list_no, query) by BM25 over the stored stemmed terms and phrases of them: qid, list_no, rank, id."""
+    terms = queries.select(F.struct("qid", "list_no").alias("qid"), F.explode(phrases_of(F.col("query"))).alias("words"))
+    terms = terms.select("qid", stem(F.col("words")).alias("words")).withColumn("term", F.array_join("words", " "))
+    asked = [(r["term"], r["words"]) for r in terms.select("term", "words").distinct().collect()]  # of one call's queries
+    # The words reach the scan, whose files are sorted by them.
+    found = postings.where(F.col("term").isin(sorted({w for _, words in asked for w in words})))
+    if any(len(words) > 1 for _, words in asked):
+        found = lexical.asked_frequencies(found, postings.sparkSession.createDataFrame(asked, "term string, words array<string>"))
+    best = lexical.top_k(lexical.bm25(terms.select("qid", "term"), found.select("term", "id", "tf"), lengths), limit)
     return best.select("qid.qid", "qid.list_no", "rank", "id")
 
 

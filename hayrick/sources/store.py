@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from hayrick.errors import HayrickError
 from hayrick.sources.segments import Segments, Table
 
-VERSION = 2
+VERSION = 3
 RETENTION = 3600.0
 SYMBOL = "id bigint, repo string, path string, name string, qualname string, kind string, lang string, line int, end_line int, signature string, full_signature string, docstring string, body string, search_text string, embed_text string, embed_key string, source_role string"
 #: Each table's columns, the key of its tombstones, and the order of its files. Rows of one frequent term are in several files: ids part them.
@@ -38,7 +38,7 @@ KEPT = {
     "parse_state": Segments("repo string, path string, status string, detail string, attempted_at double", "path", ("path",)),
     "symbols": Segments(SYMBOL, "id", ("path", "id")),
     "vectors": Segments("repo string, symbol_id bigint, embedding array<float>", "symbol_id", ("symbol_id",)),
-    "postings": Segments("term string, id bigint, tf bigint", "id", ("term", "id")),
+    "postings": Segments("term string, id bigint, tf bigint, positions array<int>", "id", ("term", "id")),
     "lengths": Segments("id bigint, dl bigint", "id", ("id",)),
 }
 TABLES = {name: kept.schema for name, kept in KEPT.items()}
