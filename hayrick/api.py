@@ -34,6 +34,8 @@ class Hayrick:
     def _refresh(self, job: Job, cancelled) -> dict:
         """Parse and publish, then attach vectors; without all of them the job is degraded."""
         at = self.store(job.repo)
+        with at.writing():  # whoever holds the lock is the only writer: other jobs that seem to run were left behind
+            self.journal.reconcile(job.repo, self.jobs.known())
         done = index.refresh(self.spark, at, job.repo, rebuild=job.mode == "rebuild", paths=None if job.paths is None else list(job.paths), cancelled=cancelled, job_id=job.job_id)
         if done["state"] != "completed" or not self.cache or cancelled():
             return done
@@ -79,9 +81,9 @@ class Hayrick:
 
     def search(self, query: str, repo: str | None = None, k: int = 10, mode: str = "balanced", intent: str = "implementation", **options) -> dict:
         def work(root: str) -> dict:
-            found = search.search(self.spark, self.store(root), query, k, mode=mode, intent=intent, **{"limit": self.settings.candidate_limit, "deadline": self.settings.search_deadline_seconds, "cache": self.cache, **self.models, **options})
+            found = search.search(self.spark, self.store(root), query, k, mode=mode, intent=intent, **{"limit": self.settings.candidate_limit, "deadline": self.settings.search_deadline_seconds, "cache": self.cache, "expansion": self.settings.pool_expansion, **self.models, **options})
             data = {"results": found.results, "stages_used": found.stages, "degraded": bool(found.reasons), "degradation_reasons": found.reasons}
-            return {"data": data, "warnings": found.warnings, "timings": found.seconds, "index": {"epoch": self.store(root).epoch()}}
+            return {"data": data, "warnings": found.warnings, "timings": found.seconds, "index": {"epoch": found.epoch}}
 
         return self._answer(repo, work)
 

@@ -1,8 +1,8 @@
 """Refresh jobs: one after another for a repository, and a journal.
 
 The journal is an append-only table of events under the index root; the state of a job is its
-last one, so jobs of earlier processes are found again, and those that a process left behind
-count as interrupted. A thread for each repository with work runs driver code that submits
+last one, so jobs of earlier processes are found again; those that a process left behind are
+marked as interrupted by the next writer of their repository. A thread for each repository with work runs driver code that submits
 Spark jobs; nothing here touches rows.
 """
 
@@ -77,9 +77,9 @@ class Journal:
         job.done.set()
         return job
 
-    def reconcile(self) -> int:
-        """Queued and running jobs that no process works on any more are interrupted from now on; returns how many."""
-        open_ = self.jobs().where(F.col("state").isin(*ACTIVE))
+    def reconcile(self, repo: str, own: list[str]) -> int:
+        """Queued and running jobs of a repository, but for this process's own, are interrupted from now on; returns how many. For the holder of the repository's writer lock."""
+        open_ = self.jobs().where(F.col("state").isin(*ACTIVE) & (F.col("repo") == repo) & ~F.col("job_id").isin(own))
         left = maintenance.reconcile(open_, F.lit(None).cast("string")).withColumn("heartbeat_at", F.lit(time.time()))
         n = open_.count()
         if n:
@@ -94,8 +94,11 @@ class Jobs:
         self.run, self.lock, self.journal = run, threading.Lock(), journal
         self.jobs: dict[str, Job] = {}
         self.queues: dict[str, list[Job]] = {}
-        if journal:
-            journal.reconcile()
+
+    def known(self) -> list[str]:
+        """Jobs of this process."""
+        with self.lock:
+            return list(self.jobs)
 
     def submit(self, repo: str, mode: str = "refresh", paths: list[str] | None = None) -> tuple[Job, str]:
         """A new job, or the first active one that covers it."""

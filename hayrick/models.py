@@ -75,17 +75,25 @@ def expand(query: str, *, endpoint: Endpoint, prompt: str) -> list[str]:
 
 
 def rerank(query: str, documents: list[str], *, endpoint: Endpoint) -> tuple[list[tuple[int, float]] | None, str | None]:
-    """The order of a reranking endpoint; malformed items are left out."""
+    """The order of a reranking endpoint; malformed items are left out and counted in the warning."""
     try:
         items = endpoint.post("/rerank", {"model": endpoint.model, "query": query, "documents": documents, "top_n": len(documents)})["results"]
     except (OSError, KeyError, TypeError, ValueError) as e:
         return None, f"reranking failed: {e}"
+    if not isinstance(items, list) or not items:
+        return None, "the reranker gave no items"
     out = []
     for item in items:
-        score = item.get("relevance_score", item.get("score")) if isinstance(item, dict) else None
-        if isinstance(score, (int, float)) and isinstance(item.get("index"), int):
-            out.append((item["index"], float(score)))
-    return (out, None) if out else (None, "the reranker gave no usable item")
+        number = item.get("index") if isinstance(item, dict) else None
+        try:
+            score = float(item.get("relevance_score", item.get("score"))) if isinstance(number, int) and not isinstance(number, bool) else math.nan
+        except (TypeError, ValueError):
+            continue
+        if math.isfinite(score):
+            out.append((number, score))
+    if not out:
+        return None, "the reranker gave no usable item"
+    return out, f"{len(items) - len(out)} of the reranker's {len(items)} items were malformed" if len(out) < len(items) else None
 
 
 def fill(template: str, values: dict[str, str]) -> str:

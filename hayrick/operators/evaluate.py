@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from hayrick.sources import scratch
+
 
 def case_ranks(results: DataFrame, gold: DataFrame) -> DataFrame:
     """Per case the rank of its gold symbol and of its gold file; null where it isn't found.
@@ -28,22 +30,22 @@ def retrieved_by(lexical: Column, dense: Column, expansion: Column) -> Column:
     return F.array_compact(F.array(F.when(lexical, "fts"), F.when(dense, "dense"), F.when(expansion, "expansion")))
 
 
-def _buckets(rows: DataFrame, column: str, each: int) -> Column:
-    """Numbers of ranges of the column, ascending, with about `each` rows; nulls are in the first."""
-    n = max(16, -(-rows.count() // each))
-    bounds = sorted(set(rows.approxQuantile(column, [k / n for k in range(1, n)], 0.2 / n)))
-    if not bounds:
-        return F.lit(0)
-    return F.coalesce(F.aggregate(F.array(*map(F.lit, bounds)), F.lit(0), lambda s, b: s + F.when(F.col(column) >= b, 1).otherwise(0)), F.lit(0))
+def _in_ranges(rows: DataFrame, column: str, each: int | None) -> DataFrame:
+    """rows with `bucket`: the number of their range of the column, ascending, nulls in the first. Written out, so that every use sees the same ranges.
+
+    There are as many ranges as the session has shuffle partitions, or as it takes for about `each` rows.
+    """
+    dealt = rows.repartitionByRange(column) if each is None else rows.repartitionByRange(max(1, -(-rows.count() // each)), column)
+    return scratch.written(dealt.withColumn("bucket", F.spark_partition_id()), "ranges")
 
 
-def percentiles(rows: DataFrame, group: list[str], column: str, fractions: dict[str, float], each: int = 1_000_000) -> DataFrame:
+def percentiles(rows: DataFrame, group: list[str], column: str, fractions: dict[str, float], each: int | None = None) -> DataFrame:
     """Per group a column for each of `fractions`, by nearest rank; null for a group without values.
 
     Equal values are counted first. Only ranges of values that hold a rank are sorted, each in its own task.
     """
     counts = rows.where(F.col(column).isNotNull()).groupBy(*group, F.col(column).alias("value")).agg(F.count(F.lit(1)).alias("n"))
-    counts = counts.withColumn("bucket", _buckets(counts, "value", each))
+    counts = _in_ranges(counts, "value", each)
     sums = counts.groupBy(*group, "bucket").agg(F.sum("n").alias("n"))  # one row a range
     whole = Window.partitionBy(*group)
     sums = sums.withColumns({"before": F.sum("n").over(whole.orderBy("bucket")) - F.col("n"), "total": F.sum("n").over(whole)})
@@ -67,9 +69,9 @@ def percentiles(rows: DataFrame, group: list[str], column: str, fractions: dict[
     return groups.join(known, same, "left").select(*group, *fractions)
 
 
-def row_ranks(rows: DataFrame, group: list[str], column: str, each: int = 1_000_000) -> DataFrame:
+def row_ranks(rows: DataFrame, group: list[str], column: str, each: int | None = None) -> DataFrame:
     """rows with `rank`: their number by the column within the group, summed up over ranges of the column."""
-    rows = rows.withColumn("bucket", _buckets(rows, column, each))
+    rows = _in_ranges(rows, column, each)
     sums = rows.groupBy(*group, "bucket").agg(F.count(F.lit(1)).alias("in_range"))  # one row a range
     sums = sums.withColumn("before", F.sum("in_range").over(Window.partitionBy(*group).orderBy("bucket")) - F.col("in_range"))
     numbered = rows.withColumn("inner", F.row_number().over(Window.partitionBy(*group, "bucket").orderBy(column)))

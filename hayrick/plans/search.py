@@ -19,6 +19,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from hayrick.deadlines import Deadline, Late
 from hayrick.errors import HayrickError, check_limit, check_search
 from hayrick.functions import text, vectors
 from hayrick.functions.porter import stem
@@ -39,6 +40,7 @@ class Report:
     warnings: list[str] = field(default_factory=list)
     reasons: list[str] = field(default_factory=list)
     seconds: dict[str, float] = field(default_factory=dict)
+    epoch: int = 0  # the publication that was searched
 
     def degrade(self, reason: str, warning: str | None = None) -> None:
         if reason not in self.reasons:
@@ -88,8 +90,8 @@ class Trace:
 DENSE = 1000
 
 
-def trace(spark: SparkSession, store: Store, epoch: int, queries: DataFrame, targets: list[tuple] | None = None, *, limit: int = 50, intent: str = "any") -> Trace:
-    """One plan for a batch. queries: qid, list_no (0: as asked), query. targets: (qid, list_no, vector) of those that have one."""
+def trace(spark: SparkSession, store: Store, epoch: int, queries: DataFrame, targets: list[tuple] | None = None, *, limit: int = 50, intent: str = "any", expansion: bool = True) -> Trace:
+    """One plan for a batch; without expansion, pools are the fused candidates alone. queries: qid, list_no (0: as asked), query. targets: (qid, list_no, vector) of those that have one."""
     symbols = store.read(spark, "symbols", epoch)
     rankings = lexical_lists(store.read(spark, "postings", epoch), store.read(spark, "lengths", epoch), queries, limit)
     vectors_ = store.read(spark, "vectors", epoch)
@@ -114,7 +116,7 @@ def trace(spark: SparkSession, store: Store, epoch: int, queries: DataFrame, tar
     more = fusion.expand_pool(fused.select("qid", "id", "path", "score", "rank"), siblings).select("qid", "id", "position")
     columns = ["qid", *symbols.columns, "score", "rank"]
     widened = more.join(symbols, "id").select("*", F.lit(0.0).alias("score"), (F.lit(limit) + F.col("position")).alias("rank"))
-    pool = fused.select(columns).unionByName(widened.select(columns))
+    pool = fused.select(columns).unionByName(widened.select(columns)) if expansion else fused.select(columns)
     if intent == "tests":
         pool = pool.where(F.col("source_role").isin("test", "fixture"))
     pool = pool.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy("rank")))
@@ -143,71 +145,104 @@ def search(
     rerank: Rerank | None = None,
     cache: VectorCache | None = None,
     deadline: float | None = None,
+    expansion: bool = True,
 ) -> Report:
+    """One query. After `deadline` seconds what there is by then is the answer: no Spark job goes on, and no model is waited for."""
     check_search(k, mode, intent)
-    began, report = time.monotonic(), Report([])
-    late = lambda: deadline is not None and time.monotonic() - began > deadline
-    epoch = store.epoch()
+    began, report, until = time.monotonic(), Report([]), Deadline(spark, deadline)
+    report.epoch = epoch = store.epoch()
     if not epoch:
         raise HayrickError("INDEX_NOT_READY", "nothing has been published")
-    symbols = store.read(spark, "symbols", epoch)
     if mode == "fast":
         expand = embed = rerank = None
     elif mode == "balanced":
         expand = None
-    bare = query.strip()
+    try:
+        _search(spark, store, query, k, report, until, mode=mode, intent=intent, limit=limit, expand=expand, embed=embed, rerank=rerank, cache=cache, expansion=expansion)
+    except Late:
+        report.degrade("DEADLINE_FALLBACK", None if report.results else "the time was up before there were candidates")
+        if rerank and "rerank" not in report.stages:
+            report.degrade("RERANK_FALLBACK")
+    report.seconds["total"] = time.monotonic() - began
+    return report
+
+
+def _search(spark: SparkSession, store: Store, query: str, k: int, report: Report, until: Deadline, *, mode, intent, limit, expand, embed, rerank, cache, expansion) -> None:
+    """Fill in the report; what is in it when the time is up stays."""
+    epoch, bare = report.epoch, query.strip()
+    symbols = store.read(spark, "symbols", epoch)
     if mode != "deep" and is_identifier(bare):
         hits = exact(symbols, bare)
         if intent == "tests":
             hits = hits.where(F.col("source_role").isin("test", "fixture"))
-        rows = fusion.prefer_production(hits.select("*", F.lit(0).alias("qid"), F.lit(1.0).alias("score")).withColumn("rank", F.row_number().over(Window.orderBy(F.length("qualname"), "path", "line", "id")))) if intent == "implementation" else hits.withColumn("score", F.lit(1.0)).withColumn("new_rank", F.row_number().over(Window.orderBy(F.length("qualname"), "path", "line", "id")))  # ten rows at most
-        found = rows.orderBy("new_rank").limit(k).select(*WIRE).collect()
+        numbered = hits.select("*", F.lit(0).alias("qid"), F.lit(1.0).alias("score")).withColumn("rank", F.row_number().over(Window.orderBy(F.length("qualname"), "path", "line", "id")))  # ten rows at most
+        rows = fusion.prefer_production(numbered) if intent == "implementation" else numbered.withColumn("new_rank", F.col("rank"))
+        with until.jobs():
+            found = rows.orderBy("new_rank").limit(k).select(*WIRE).collect()
         if found:
-            return Report([r.asDict() for r in found], ["exact"], seconds={"total": time.monotonic() - began})
+            report.results, report.stages = [r.asDict() for r in found], ["exact"]
+            return
     report.stages.append("lexical")
     first = spark.createDataFrame([(0, query)], "qid int, query string")
-    model = F.array(*map(F.lit, expand(query))) if expand else None
+    model = F.array(*map(F.lit, until.call(expand, query))) if expand else None
     queries = first.select("qid", F.posexplode(text.query_list(F.col("query"), model)).alias("list_no", "query"))
     targets = None
     if embed:
-        wanted = [r["query"] for r in queries.orderBy("list_no").collect()] if expand else [query]
-        found, warning = cache.of_queries(spark, wanted, embed) if cache else embed(wanted, True)
-        if late():
-            report.degrade("DEADLINE_FALLBACK", warning)
-        elif found is None:
+        with until.jobs():
+            wanted = [r["query"] for r in queries.orderBy("list_no").collect()] if expand else [query]
+        try:
+            # The cache's own jobs run in the thread of the call.
+            found, warning = until.call(cache.of_queries, spark, wanted, embed) if cache else until.call(embed, wanted, True)
+        except Late:
+            report.degrade("DEADLINE_FALLBACK")
+            raise
+        if found is None:
             report.degrade("QUERY_MODEL_UNAVAILABLE", warning)
         else:
             report.stages.append("dense")
             targets = [(0, n, v) for n, v in enumerate(found)]
         known = store.read(spark, "vectors", epoch)
-        if not maintenance.missing(symbols.select("id"), known.select(F.col("symbol_id").alias("id")), "id").isEmpty():
-            report.degrade("DENSE_INDEX_PARTIAL")
-    pool = trace(spark, store, epoch, queries, targets, limit=limit, intent=intent).pool
+        with until.jobs():
+            if not maintenance.missing(symbols.select("id"), known.select(F.col("symbol_id").alias("id")), "id").isEmpty():
+                report.degrade("DENSE_INDEX_PARTIAL")
     issues = store.read(spark, "parse_state", epoch).where(F.col("status").isin("partial", "error", "unsupported", "unreadable"))
-    if not issues.isEmpty():
-        report.degrade("PARSE_COVERAGE_PARTIAL")
-    order = by_evidence(pool, queries)
-    if rerank and not late():
-        shown = pool.orderBy("rank").select("id", text.rerank_document(*map(F.col, ("path", "qualname", "kind", "full_signature", "docstring", "body"))).alias("document")).collect()  # limit + 50 rows at most
-        reply, warning = rerank(query, [r["document"] for r in shown])
-        replies = [(0, i, float(s), n) for n, (i, s) in enumerate(reply)] if valid_reply(reply, len(shown)) else []
-        if late():
-            report.degrade("DEADLINE_FALLBACK")
-        if replies and not late():
-            report.stages.append("rerank")
-            answer = spark.createDataFrame(replies, "qid int, idx int, score double, response_pos int")
-            ok = spark.createDataFrame([(0, True)], "qid int, valid boolean")
-            order = fusion.apply_rerank(pool, answer, ok, F.col("score")).withColumn("score", F.col("final"))
-        else:
-            report.degrade("RERANK_FALLBACK", warning or "the reranker gave no usable order; candidates are in the order of their evidence")
-    elif rerank:
-        report.degrade("DEADLINE_FALLBACK")
-        report.degrade("RERANK_FALLBACK")
-    if intent == "implementation":
-        order = fusion.prefer_production(order.drop("rank").withColumnRenamed("new_rank", "rank"))
-    report.results = [r.asDict() for r in order.orderBy("new_rank").limit(k).select(*WIRE).collect()]
-    report.seconds["total"] = time.monotonic() - began
-    return report
+    with until.jobs():
+        pool = trace(spark, store, epoch, queries, targets, limit=limit, intent=intent, expansion=expansion).pool
+        if not issues.isEmpty():
+            report.degrade("PARSE_COVERAGE_PARTIAL")
+
+    def answer(order: DataFrame) -> list[dict]:
+        if intent == "implementation":
+            order = fusion.prefer_production(order.drop("rank").withColumnRenamed("new_rank", "rank"))
+        with until.jobs():
+            return [r.asDict() for r in order.orderBy("new_rank").limit(k).select(*WIRE).collect()]
+
+    if rerank and until.end is None:
+        shown, reply, warning = _reranked(pool, query, rerank, until)
+    elif rerank:  # the answer without a reranker is there before it is asked
+        report.results = answer(by_evidence(pool, queries))
+        shown, reply, warning = _reranked(pool, query, rerank, until)
+    else:
+        report.results = answer(by_evidence(pool, queries))
+        return
+    replies = [(0, i, float(s), n) for n, (i, s) in enumerate(reply)] if valid_reply(reply, shown) else []
+    if replies:
+        scores = spark.createDataFrame(replies, "qid int, idx int, score double, response_pos int")
+        ok = spark.createDataFrame([(0, True)], "qid int, valid boolean")
+        report.results = answer(fusion.apply_rerank(pool, scores, ok, F.col("score")).withColumn("score", F.col("final")))
+        report.stages.append("rerank")
+        if warning:
+            report.warnings.append(warning)
+    else:
+        report.degrade("RERANK_FALLBACK", warning or "the reranker gave no usable order; candidates are in the order of their evidence")
+        report.results = report.results or answer(by_evidence(pool, queries))
+
+
+def _reranked(pool: DataFrame, query: str, rerank: Rerank, until: Deadline) -> tuple[int, object, str | None]:
+    """How many documents the reranker saw, its reply and its warning."""
+    with until.jobs():
+        documents = [r["document"] for r in pool.orderBy("rank").select(text.rerank_document(*map(F.col, ("path", "qualname", "kind", "full_signature", "docstring", "body"))).alias("document")).collect()]  # limit + 50 rows at most
+    return len(documents), *until.call(rerank, query, documents)
 
 
 def valid_reply(reply: object, n: int) -> bool:

@@ -49,8 +49,8 @@ def test_expansion(endpoint):
 
 
 def test_reranking(endpoint):
-    Fake.replies = [{"results": [{"index": 1, "relevance_score": 0.9}, {"index": 0, "score": 0.1}, {"index": "x"}, 5]}, {"results": []}]
-    assert models.rerank("q", ["a", "b"], endpoint=endpoint) == ([(1, 0.9), (0, 0.1)], None)
+    Fake.replies = [{"results": [{"index": 1, "relevance_score": 0.9}, {"index": 0, "score": "0.1"}, {"index": "x"}, 5, {"index": True, "score": 1}, {"index": 1}]}, {"results": []}]
+    assert models.rerank("q", ["a", "b"], endpoint=endpoint) == ([(1, 0.9), (0, 0.1)], "4 of the reranker's 6 items were malformed")
     assert models.rerank("q", ["a"], endpoint=endpoint)[0] is None
     lp = lambda **k: {"completion_probabilities": [{"top_logprobs": [{"token": t, "logprob": p} for t, p in k.items()]}]}
     Fake.replies = [lp(yes=-3.0, no=-0.1), lp(yes=-0.1, maybe=-4.0)]
