@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from hayrick.functions import roles, text, vectors
+from hayrick.functions import renaming, roles, text, vectors
 from hayrick.functions.porter import stem
 from hayrick.operators import dense, evaluate, fusion, lexical, maintenance
 from hayrick.sources import scratch
@@ -561,6 +561,19 @@ def phrase_bm25(spark, sf_dir):
     return lexical.top_k(lexical.bm25(asked.select("qid", "term"), found, freqs_and_lengths(spark, sf_dir)[1]), 50).select("qid", "id", F.round("score", 6).alias("score"), "rank")
 
 
+#: Words of the documents' paths and names, and what they are called outside.
+ALIASES = {"src": "repo", "doc": "item", "tests": "suite", "src1": "main"}
+
+
+@registered(f"""select doc_id as id, regexp_replace(replace(replace(replace({PATH}, '/doc_', '/item_'), 'tests/', 'suite/'), 'src/', 'repo/'), '/src1/', '/main/') as path,
+ 'LoadRepoDoc' || doc_id as camel, 'REPO_ITEM_' || doc_id || ' SRCITEM mysrc docs' as constant from documents""")
+def rename_terms(spark, sf_dir):
+    """Paths and names with private words replaced at the edges of names, in the case of what they replace."""
+    docs = table(spark, sf_dir, "documents").withColumn("path", path_of())
+    names = docs.select(F.col("doc_id").alias("id"), "path", F.concat(F.lit("LoadSrcDoc"), "doc_id").alias("camel"), F.concat(F.lit("SRC_DOC_"), "doc_id", F.lit(" SRCDOC mysrc docs")).alias("constant"))
+    return names.select("id", *(renaming.renamed(F.col(c), ALIASES).alias(c) for c in ("path", "camel", "constant")))
+
+
 # ------------------------------------------------------------ publication
 
 CHANGED = "marks as (select doc_id, max(quality) as quality, max(toxic) as toxic from labels where doc_id is not null group by 1)"

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hayrick.errors import HayrickError
-from hayrick.functions import text
+from hayrick.functions import renaming, text
 from hayrick.operators import evaluate, fusion
 from hayrick.plans import search
 from hayrick.plans.index import coverage
@@ -134,23 +134,16 @@ def save(report: dict, path: str) -> None:
 
 
 def obfuscate(value: object, terms: dict[str, str], drop: tuple[str, ...] = ("issue_url",)) -> object:
-    """Names replaced in keys and strings of a JSON value: whole words only, in the case of what they replace."""
-    import re
-
-    pattern = re.compile(r"(?<![A-Za-z0-9])(" + "|".join(sorted(map(re.escape, terms), key=len, reverse=True)) + r")(?![A-Za-z0-9])", re.IGNORECASE)
-    low = {k.lower(): v for k, v in terms.items()}
-
-    def swap(m: re.Match) -> str:
-        new = low[m[0].lower()]
-        return new.upper() if m[0].isupper() else new[:1].upper() + new[1:] if m[0][:1].isupper() else new
+    """Private words replaced in keys and strings of a JSON value."""
+    rename = renaming.renamer(terms)
 
     def walk(v: object) -> object:
         if isinstance(v, str):
-            return pattern.sub(swap, v) if terms else v
+            return rename(v)
         if isinstance(v, list):
             return [walk(x) for x in v]
         if isinstance(v, dict):
-            return {walk(k): walk(x) for k, x in v.items() if k not in drop}
+            return {rename(k): walk(x) for k, x in v.items() if k not in drop}
         return v
 
     return walk(value)

@@ -211,7 +211,7 @@ def test_suites_and_replays(spark, tree, tmp_path):
     pools.write_text('{"redacted": true, "cases": []}')
     with pytest.raises(HayrickError):
         suites.saved_pools(spark, f"file://{pools}")
-    assert evaluation.obfuscate({"Acme": ["ACME acme acmeX"], "issue_url": 1}, {"acme": "zorb"}) == {"Zorb": ["ZORB zorb acmeX"]}
+    assert evaluation.obfuscate({"Acme": ["ACME acme acmeX"], "issue_url": 1}, {"acme": "zorb"}) == {"Zorb": ["ZORB zorb zorbX"]}
 
 
 def test_a_batch_is_what_single_searches_give(spark, tree, tmp_path):
