@@ -104,6 +104,8 @@ def test_journal_outlives_its_process(spark, tmp_path):
     later = Jobs(lambda job, cancelled: {}, Journal(spark, str(tmp_path)))
     done = later.get(job.job_id, "r")
     assert (done.state, done.epoch, done.counters) == ("completed", 2, {"files": 5})
+    assert later.get(lost.job_id).state == "running"  # another process may be at it, until the repository has another writer
+    later.journal.reconcile("r", later.known())
     assert later.get(lost.job_id).state == "interrupted"
     assert later.journal.jobs().where(F.col("state").isin("queued", "running")).isEmpty()
     with pytest.raises(HayrickError):
