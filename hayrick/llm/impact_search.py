@@ -41,8 +41,8 @@ CELLS = BLOCK * 64  # components of a block, at most
 QUERIES = 16_384  # queries of a task
 SLAB = 1 << 22  # vectors of a slab from which on there are more slabs
 LARGEST = 1 << 27
-STOPS = (0.35, 0.43, 0.5, 0.6, 0.75, 1.0)  # shares of the postings after which proof is sought
-FEW = 6  # scoring one row of so many exactly costs less than reading on
+STOPS = (0.4, 0.5, 0.65, 1.0)  # shares of the postings after which proof is sought
+FEW = 4  # scoring one row of so many exactly costs less than reading on
 LEVELS = 64  # quantised levels of impact on either side of zero
 
 _INDEX = "block bigint, kind int, size int, payload binary"
@@ -64,7 +64,7 @@ def quantised(vectors: DataFrame, id_column: str, vector_column: str, is_query:
 def _lists(ids: np.ndarray, nulls: np.ndarray, asked: np.ndarray, x: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
     """The rows of one block: its header, the queries among its rows, a posting list for each dimension."""
     yield HEADER, len(ids), ids.tobytes() + nulls.tobytes()
-    step = max(1, 8192 // max(1, x.shape[1]))
+    step = max(1, 2048 // max(1, x.shape[1]))
     places = np.flatnonzero(asked)
     for at in range(0, len(places), step):
         some = places[at : at + step].astype("<i4")
@@ -294,9 +294,10 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, id_column: str = "v
     rows = quantised(vectors, id_column, vector_column, is_query)
     count, queries = rows.agg(F.count(F.lit(1)), F.count_if("is_query")).first()
     index, parts = build_index(rows, count)
-    want = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    slabs = min(parts, max(-(-parts // 4) if parts < want else 1, -(-count // SLAB)))
-    groups = max(1, -(-queries // QUERIES), min(-(-want // slabs), queries // 64))
+    want = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # A threshold serves all blocks of a slab, so tasks are had by groups of queries first.
+    slabs = min(parts, -(-count // SLAB)) or 1
+    groups = max(1, -(-queries // QUERIES), min(want, queries // 64))
     # Queries go to every slab, lists to every group: blocks of either, never single pairs.
     asked = index.where(F.col("kind") == ASKED).select(F.pmod(F.xxhash64("block", "payload"), F.lit(groups)).alias("group"), F.explode(F.sequence(F.lit(0), F.lit(slabs - 1))).alias("slab"), "*")
     lists = index.where(F.col("kind") != ASKED).select(F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(groups - 1).cast("bigint"))).alias("group"), F.pmod("block", F.lit(slabs)).cast("int").alias("slab"), "*")
