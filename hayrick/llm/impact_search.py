@@ -13,7 +13,7 @@ doesn't come, all postings are read. The k-th best score is carried from block t
 Index and queries are tables: one row a posting list, one row for a few queries. Groups of
 queries meet slabs of blocks in tasks; a task keeps its queries (QUERIES at most), their k
 best and one block, whatever the size of the slab, and gives k rows a query, so the last
-step ranks k times the number of slabs. Slabs grow to SLAB vectors before there are more.
+step ranks k times the number of slabs.
 
 Odd input. Vectors that are null or have a null, infinite or NaN component take no part;
 nor do those with a component beyond 2**27 after scaling, whose products don't fit a long.
@@ -26,6 +26,7 @@ gives no rows. Other columns aren't read, whatever their names.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,7 +40,7 @@ from hayrick.llm import common
 BLOCK = 8192  # vectors of a block, at most: a posting takes two bytes
 CELLS = BLOCK * 64  # components of a block, at most
 QUERIES = 16_384  # queries of a task
-SLAB = 1 << 22  # vectors of a slab from which on there are more slabs
+SLAB, LEAST_SLAB = 1 << 22, 1 << 16  # vectors of a slab at most, and those below which it isn't cut
 LARGEST = 1 << 27
 STOPS = (0.4, 0.5, 0.65, 1.0)  # shares of the postings after which proof is sought
 FEW = 4  # scoring one row of so many exactly costs less than reading on
@@ -295,9 +296,11 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, id_column: str = "v
     count, queries = rows.agg(F.count(F.lit(1)), F.count_if("is_query")).first()
     index, parts = build_index(rows, count)
     want = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # A threshold serves all blocks of a slab, so tasks are had by groups of queries first.
-    slabs = min(parts, -(-count // SLAB)) or 1
-    groups = max(1, -(-queries // QUERIES), min(want, queries // 64))
+    # Lists are sent once a group and queries once a slab; both together are least where they send
+    # alike. A threshold serves all blocks of a slab, so small slabs aren't worth their saving.
+    alike = math.isqrt(want * count // max(1, queries))
+    slabs = max(1, min(parts, max(-(-count // SLAB), min(alike, count // LEAST_SLAB))))
+    groups = max(1, -(-queries // QUERIES), min(-(-want // slabs), queries // 64))
     # Queries go to every slab, lists to every group: blocks of either, never single pairs.
     asked = index.where(F.col("kind") == ASKED).select(F.pmod(F.xxhash64("block", "payload"), F.lit(groups)).alias("group"), F.explode(F.sequence(F.lit(0), F.lit(slabs - 1))).alias("slab"), "*")
     lists = index.where(F.col("kind") != ASKED).select(F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(groups - 1).cast("bigint"))).alias("group"), F.pmod("block", F.lit(slabs)).cast("int").alias("slab"), "*")

@@ -141,3 +141,12 @@ def test_partial_distances_save_work():
     whole = ((x[:, None, :] - c[None]) ** 2).sum(axis=2)
     assert (cluster == whole.argmin(axis=1)).all() and (distance == whole.min(axis=1)).all()
     assert work < 0.25 * x.size * 16
+
+
+def test_slabs_and_groups_of_any_number(spark, vectors, monkeypatch):
+    """Many slabs and groups give what one task gives."""
+    monkeypatch.setattr(impact_search, "BLOCK", 60)
+    monkeypatch.setattr(impact_search, "LEAST_SLAB", 100)
+    monkeypatch.setattr(impact_search, "QUERIES", 7)
+    found = impact_search.top_k(frame(spark, vectors), F.col("vec_id") % 20 == 0).select("query_id", "rank", "vec_id", "score").collect()
+    assert sorted(map(tuple, found), key=repr) == brute_top(vectors, 20)
