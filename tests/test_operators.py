@@ -188,3 +188,18 @@ def test_tables_that_were_cleared_away_are_written_again(spark, tmp_path, monkey
     assert len(folders) == 1
     shutil.rmtree(folders[0])
     assert scratch.once(spark, "t", "somewhere", make).count() == 5
+
+
+def test_neighbours_of_many_queries_in_cells(spark, monkeypatch):
+    """Groups of queries and slabs of rows give what one broadcast gives."""
+    import random
+
+    from hayrick.operators import dense
+
+    rnd = random.Random(3)
+    rows = spark.createDataFrame([(i, [rnd.choice((0.0, 0.5, 1.0)) for _ in range(4)] if i % 50 else None) for i in range(400)], "vec_id bigint, embedding array<double>")
+    queries = rows.where("vec_id < 60").withColumnRenamed("vec_id", "qid")
+    monkeypatch.setattr(dense, "SLAB", 70)
+    few, many = (sorted((r["qid"], r["rank"], r["id"], round(r["distance"], 9)) for r in dense.knn(queries, rows, 7, block=b).collect()) for b in (4096, 9))
+    assert few == many and len(few) == 58 * 7
+    assert dense.knn(queries.where("false"), rows, 7).count() == 0
