@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from hayrick.functions import renaming, roles, text, vectors
 from hayrick.functions.porter import stem
-from hayrick.operators import dense, evaluate, fusion, lexical, maintenance
+from hayrick.operators import dense, evaluate, fusion, impact, lexical, maintenance
 from hayrick.sources import scratch
 from hayrick.sources import symbols as parser
 from hayrick.sources.segments import Segments, Table
@@ -176,6 +176,20 @@ def bm25_multi_query(spark, sf_dir):
     return lexical_rankings(spark, sf_dir).select("qid", "id", F.round("score", 6).alias("score"), "rank")
 
 
+def impact_search(spark: SparkSession, sf_dir: str, k: int = 50) -> impact.Found:
+    """Top k of the benchmark's items over stored blocks of impacts."""
+    freqs, lengths = freqs_and_lengths(spark, sf_dir)
+    source = f"{sf_dir}/documents.parquet"
+    index = scratch.once(spark, "impacts", source, lambda: impact.impacts(freqs, lengths), by=("term", "band", "block"))
+    heads = scratch.once(spark, "heads", source, lambda: impact.heads(index), by="term")
+    return impact.search(item_terms(spark, sf_dir), index, heads, lexical.corpus_stats(lengths), k, keep=scratch.written)
+
+
+@registered(f"with {ITEMS}, {BM25}, {RANKED} select qid, id, round(score, 6) as score, rank from lex where rank <= 50")
+def impact_topk(spark, sf_dir):
+    return impact_search(spark, sf_dir).best.select("qid", "id", F.round("score", 6).alias("score"), "rank")
+
+
 @registered(f"with w as (select doc_id as id, unnest({TOKENS}) as term, generate_subscripts({TOKENS}, 1) as pos from documents) select a.id, count(*) as tf from w a join w b on a.id = b.id and b.pos = a.pos + 1 where a.term = 'of' and b.term = 'the' group by 1")
 def phrase_match(spark, sf_dir):
     return lexical.phrase_counts(lexical.postings(table(spark, sf_dir, "documents")), ["of", "the"])
