@@ -11,6 +11,7 @@ import math
 import time
 import urllib.error
 import urllib.request
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import partial
 
@@ -124,19 +125,25 @@ def yes_no(entries: list[dict]) -> float | None:
     return yes / (yes + no)
 
 
-def rerank_by_completion(query: str, documents: list[str], *, endpoint: Endpoint, template: str) -> tuple[list[tuple[int, float]] | None, str | None]:
-    """Every document judged by the probability that a model continues with yes."""
-    out = []
-    for i, document in enumerate(documents):
-        try:
-            reply = endpoint.post("/completion", {"prompt": fill(template, {"query": query, "document": document}), "n_predict": 1, "n_probs": 20})
-            score = yes_no(reply["completion_probabilities"][0]["top_logprobs"])
-        except (OSError, KeyError, IndexError, TypeError, ValueError) as e:
-            return None, f"reranking failed: {e}"
-        if score is None:
-            return None, "the model answered neither yes nor no"
-        out.append((i, score))
-    return sorted(out, key=lambda p: -p[1]), None
+def judge(query: str, document: str, *, endpoint: Endpoint, template: str) -> float:
+    """How sure a model is that a document answers a query: the probability that it continues with yes."""
+    reply = endpoint.post("/completion", {"prompt": fill(template, {"query": query, "document": document}), "temperature": 0, "n_predict": 1, "n_probs": 20})
+    score = yes_no(reply["completion_probabilities"][0]["top_logprobs"])
+    if score is None:
+        raise ValueError("the model answered neither yes nor no")
+    return score
+
+
+def rerank_by_completion(query: str, documents: list[str], *, endpoint: Endpoint, template: str, width: int = 1) -> tuple[list[tuple[int, float]] | None, str | None]:
+    """Every document judged by itself, up to `width` at a time; the first that fails ends it."""
+    calls = ThreadPoolExecutor(width)
+    try:
+        scores = list(calls.map(lambda d: judge(query, d, endpoint=endpoint, template=template), documents))
+    except (OSError, KeyError, IndexError, TypeError, ValueError) as e:
+        return None, f"reranking failed: {e}"
+    finally:
+        calls.shutdown(wait=False, cancel_futures=True)
+    return sorted(enumerate(scores), key=lambda p: -p[1]), None
 
 
 def reachable(endpoints: dict[str, Endpoint], timeout: float = 2.0) -> dict[str, bool]:
@@ -165,7 +172,7 @@ class Models:
     template: str = "Does the document answer the query? Say yes or no.\nQuery: {query}\nDocument: {document}\nAnswer:"
 
     def callables(self) -> dict:
-        rank = partial(rerank, endpoint=self.reranker) if self.reranker else partial(rerank_by_completion, endpoint=self.completion, template=self.template) if self.completion else None
+        rank = partial(rerank, endpoint=self.reranker) if self.reranker else partial(rerank_by_completion, endpoint=self.completion, template=self.template, width=8) if self.completion else None
         return {
             "embed": partial(embed, endpoint=self.embedder, dim=self.dim) if self.embedder else None,
             "expand": partial(expand, endpoint=self.expander, prompt=self.prompt) if self.expander else None,

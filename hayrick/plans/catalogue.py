@@ -7,15 +7,18 @@ query reads its whole tables; limits are those of the feature (top k, a page).
 
 from __future__ import annotations
 
+import math
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from hayrick import models
 from hayrick.functions import renaming, roles, text, vectors
 from hayrick.functions.porter import stem
 from hayrick.operators import dense, evaluate, fusion, impact, lexical, maintenance
+from hayrick.plans import model_calls
 from hayrick.sources import scratch
 from hayrick.sources import symbols as parser
 from hayrick.sources.segments import Segments, Table
@@ -190,6 +193,28 @@ def impact_topk(spark, sf_dir):
     return impact_search(spark, sf_dir).best.select("qid", "id", F.round("score", 6).alias("score"), "rank")
 
 
+def shared_words(query: str, document: str) -> float:
+    """Stands in for a model that judges: yes and no have log probabilities by the share of the query's words that the document has."""
+    asked, there = set(query.split()), set(document.split())
+    yes = (1 + len(asked & there)) / (2 + len(asked))
+    return models.yes_no([{"token": "yes", "logprob": math.log(yes)}, {"token": "no", "logprob": math.log(1 - yes)}])
+
+
+@registered(f"""with {ITEMS}, {BM25}, {RANKED}, pool as (select qid, id, rank from lex where rank <= 10),
+asked as (select item_id as qid, list_distinct({TOKENS}) as words from benchmark), docs as (select doc_id as id, list_distinct({TOKENS}) as words from documents),
+judged as (select pool.*, (1 + len(list_intersect(a.words, d.words))) / (2.0::double + len(a.words)) as score from pool join asked a using (qid) join docs d using (id))
+select qid, id, rank, round(score, 6) as score, row_number() over (partition by qid order by round(score, 9) desc, rank) as new_rank from judged""")
+def judged_pool(spark, sf_dir):
+    """Ten documents a query, judged one by one in tasks with a ledger, and put in that order."""
+    best = lexical_rankings(spark, sf_dir, 10).select("qid", "id", "rank", "score")
+    words = lambda name, key: table(spark, sf_dir, name).select(F.col(key), F.array_join(F.array_distinct(text.index_tokens(F.col("text"))), " ").alias("words"))
+    pool = scratch.written(best.join(words("benchmark", "item_id").toDF("qid", "query"), "qid").join(words("documents", "doc_id").toDF("id", "document"), "id"), "pool")
+    path = f"{scratch.shared_folder(spark)}/hayrick/ledger-{uuid.uuid4().hex}"
+    replies, valid, _ = model_calls.judged(pool, shared_words, path, space="shared words")
+    order = fusion.apply_rerank(pool.drop("query", "document"), replies, valid, F.col("score"))
+    return order.select("qid", "id", "rank", F.round("final", 6).alias("score"), "new_rank")
+
+
 @registered(f"with w as (select doc_id as id, unnest({TOKENS}) as term, generate_subscripts({TOKENS}, 1) as pos from documents) select a.id, count(*) as tf from w a join w b on a.id = b.id and b.pos = a.pos + 1 where a.term = 'of' and b.term = 'the' group by 1")
 def phrase_match(spark, sf_dir):
     return lexical.phrase_counts(lexical.postings(table(spark, sf_dir, "documents")), ["of", "the"])
