@@ -9,8 +9,10 @@ which impact is the largest. Heads are small, so they decide what is read:
 2. Terms are lined up from the most frequent on. As long as the largest scores of those passed
    so far, with the block's own, stay below the threshold, a row that has nothing but such
    blocks can't be in the answer: they aren't taken up. The others are, and give candidates.
-3. Candidates whose sums, with all that the blocks left out could add, stay below the threshold
-   go; it is raised to the k-th best sum before. Those that are left are scored in full.
+3. More blocks are taken up in steps, for candidates only: at first those that could lift a row to
+   a half of the threshold, then to a quarter. After each step the threshold is raised to the
+   k-th best sum so far, and candidates go whose sums, with all that the blocks left out could
+   add, stay below it. Those that are left are scored in full.
 
 The rows are those of lexical.top_k over lexical.bm25. Every join has more than one key or a
 bounded side: a frequent term's postings are spread over its blocks, or met by term and id.
@@ -24,10 +26,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from hayrick.operators.lexical import K1, corpus_stats, idf, term_score, top_k
+from hayrick.sources import scratch
 
 BANDS, BLOCK = 16, 65_536
 #: Rows of the rarest terms that are scored first, in multiples of k.
 AHEAD = 4
+#: Shares of the threshold at which blocks are taken up, step by step.
+STEPS = (1.0, 0.5, 0.25)
 #: Scores are sums in any order: what is this near to the threshold is kept.
 NEAR = 1e-9
 
@@ -51,7 +56,7 @@ def heads(index: DataFrame) -> DataFrame:
 @dataclass
 class Found:
     best: DataFrame  # qid, id, score, rank
-    work: DataFrame  # qid, postings (of all its terms), taken (in blocks taken up), candidates, scored (in full)
+    work: DataFrame  # qid, postings (of all its terms), taken (in the first step), met (in all steps), candidates, scored (in full)
 
 
 def _scored(pairs: DataFrame, asked: DataFrame, index: DataFrame) -> DataFrame:
@@ -66,8 +71,8 @@ def _threshold(scores: DataFrame, k: int) -> DataFrame:
     return scores.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k).groupBy("qid").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("theta")).where(F.col("n") == k).drop("n")
 
 
-def search(queries: DataFrame, index: DataFrame, heads: DataFrame, ndocs: DataFrame, k: int, keep=lambda df, name: df) -> Found:
-    """queries: qid and term, a repeated term counts each time; ndocs: one row. keep(df, name) may write what is used more than once."""
+def search(queries: DataFrame, index: DataFrame, heads: DataFrame, ndocs: DataFrame, k: int, keep=scratch.written) -> Found:
+    """queries: qid and term, a repeated term counts each time; ndocs: one row. keep(df, name) writes what is used more than once: plans would grow with every step without it."""
     wanted = queries.groupBy("qid", "term").agg(F.count(F.lit(1)).alias("times"))
     terms = heads.join(wanted.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.sum("n").alias("df"), F.max("top").alias("top"))
     asked = wanted.join(terms, "term").crossJoin(F.broadcast(ndocs.select("ndocs")))
@@ -83,16 +88,23 @@ def search(queries: DataFrame, index: DataFrame, heads: DataFrame, ndocs: DataFr
 
     ahead = members(blocks.where("rare")).select("qid", "id").distinct()
     first = keep(_threshold(_scored(ahead, asked, index), k), "threshold")
-    judged = blocks.join(first, "qid", "left").withColumn("taken", F.col("passed") + F.col("most") >= F.coalesce("theta", F.lit(0.0)) - NEAR)
-    judged = keep(judged, "judged")
-    sums = keep(members(judged.where("taken")).groupBy("qid", "id").agg(F.sum(F.col("weight") * F.col("impact")).alias("score")), "sums")
-    # What a row can have in blocks left out: of each term one block at most.
-    rest = judged.where(~F.col("taken")).groupBy("qid", "term").agg(F.max("most").alias("most")).groupBy("qid").agg(F.sum("most").alias("rest"))
-    theta = first.unionByName(_threshold(sums, k)).groupBy("qid").agg(F.max("theta").alias("theta"))
-    bounded = sums.join(rest, "qid", "left").join(theta, "qid", "left")
-    alive = keep(bounded.where(F.col("score") + F.coalesce("rest", F.lit(0.0)) >= F.coalesce("theta", F.lit(0.0)) - NEAR).select("qid", "id"), "alive")
-    best = top_k(_scored(alive, asked, index), k)
+    reach, theta = F.col("passed") + F.col("most"), F.coalesce("theta", F.lit(0.0))
+    step = sum((F.when(reach >= theta * share - NEAR, 0).otherwise(1) for share in STEPS), F.lit(0))
+    judged = keep(blocks.join(first, "qid", "left").withColumn("step", step), "judged")
+    weighed = lambda df: df.select("qid", "id", (F.col("weight") * F.col("impact")).alias("score"))
+    summed = lambda df: df.groupBy("qid", "id").agg(F.sum("score").alias("score"))
+    candidates = alive = None
+    for n in range(len(STEPS)):
+        found = weighed(members(judged.where(F.col("step") == n)))
+        sums = keep(summed(found if alive is None else found.join(alive.select("qid", "id"), ["qid", "id"], "left_semi").unionByName(alive)), "sums")
+        candidates = candidates or sums
+        # What a row can have in blocks left out: of each term one block at most.
+        rest = judged.where(F.col("step") > n).groupBy("qid", "term").agg(F.max("most").alias("most")).groupBy("qid").agg(F.sum("most").alias("rest"))
+        least = first.unionByName(_threshold(sums, k)).groupBy("qid").agg(F.max("theta").alias("theta"))
+        bounded = sums.join(rest, "qid", "left").join(least, "qid", "left")
+        alive = keep(bounded.where(F.col("score") + F.coalesce("rest", F.lit(0.0)) >= theta - NEAR).select("qid", "id", "score"), "alive")
+    best = top_k(_scored(alive.select("qid", "id"), asked, index), k)
     count = lambda df, name: df.groupBy("qid").agg(F.count(F.lit(1)).alias(name))
-    taken = judged.groupBy("qid").agg(F.sum("n").alias("postings"), F.sum(F.when(F.col("taken"), F.col("n")).otherwise(0)).alias("taken"))
-    work = taken.join(count(sums, "candidates"), "qid", "left").join(count(alive, "scored"), "qid", "left").na.fill(0)
+    taken = judged.groupBy("qid").agg(F.sum("n").alias("postings"), F.sum(F.when(F.col("step") == 0, F.col("n")).otherwise(0)).alias("taken"), F.sum(F.when(F.col("step") < len(STEPS), F.col("n")).otherwise(0)).alias("met"))
+    work = taken.join(count(candidates, "candidates"), "qid", "left").join(count(alive, "scored"), "qid", "left").na.fill(0)
     return Found(best, work)

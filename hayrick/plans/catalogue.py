@@ -185,7 +185,7 @@ def impact_search(spark: SparkSession, sf_dir: str, k: int = 50) -> impact.Found
     source = f"{sf_dir}/documents.parquet"
     index = scratch.once(spark, "impacts", source, lambda: impact.impacts(freqs, lengths), by=("term", "band", "block"))
     heads = scratch.once(spark, "heads", source, lambda: impact.heads(index), by="term")
-    return impact.search(item_terms(spark, sf_dir), index, heads, lexical.corpus_stats(lengths), k, keep=scratch.written)
+    return impact.search(item_terms(spark, sf_dir), index, heads, lexical.corpus_stats(lengths), k)
 
 
 @registered(f"with {ITEMS}, {BM25}, {RANKED} select qid, id, round(score, 6) as score, rank from lex where rank <= 50")

@@ -28,7 +28,7 @@ def test_same_rows_with_fewer_postings(spark, block):
     queries = spark.createDataFrame([(q, t) for q, terms in asked for t in terms.split()], "qid bigint, term string")
     index = impact.impacts(freqs, lengths, block).cache()
     heads = impact.heads(index).cache()
-    found = impact.search(queries, index, heads, lexical.corpus_stats(lengths), 10, keep=lambda df, name: df.cache())
+    found = impact.search(queries, index, heads, lexical.corpus_stats(lengths), 10)
     assert rows(found.best) == rows(lexical.top_k(lexical.bm25(queries, freqs, lengths), 10))
     work = {r["qid"]: r for r in found.work.collect()}
     assert 4 not in work and all(r["taken"] <= r["postings"] for r in work.values())
