@@ -118,3 +118,15 @@ def test_stems_equal_sqlite():
         db.execute("delete from t")
         db.execute("insert into t values (?)", (word,))
         assert porter(word) == db.execute("select term from v").fetchone()[0]
+
+
+def test_ages_are_rounded_as_printf_does(spark):
+    """Every second where a half could be, and its neighbours: exact halves go to even digits, others by the double's value."""
+    import duckdb
+
+    some = [*range(0, 3700, 7), *range(30, 3600, 60), *(n * 180 + d for n in range(20, 480) for d in (-1, 0, 1)), *(n * 4320 + d for n in range(20, 40_000) for d in (-1, 0, 1))]
+    rows = spark.createDataFrame([(float(s),) for s in sorted(set(some))], "s double")
+    found = rows.select("s", text.age(F.col("s")).alias("age")).toPandas()
+    sql = "select s, case when s < 60 then printf('%.0fs', s) when s < 3600 then printf('%.0fm', s / 60) when s < 86400 then printf('%.1fh', s / 3600) else printf('%.1fd', s / 86400) end as age from found"
+    wanted = duckdb.sql(sql).fetchall()
+    assert list(found.itertuples(index=False, name=None)) == wanted
