@@ -3,6 +3,7 @@
 import pytest
 
 from hayrick.sources.lexer import tokens
+from hayrick.sources import symbols
 from hayrick.sources.symbols import parse_source
 
 CASES = [
@@ -62,3 +63,10 @@ def test_tokens():
     assert tokens('let s = r##"a"# }"##; \'a\' \'{\'', "rust").values == ["let", "s", "=", 'r##"a"# }"##', ";", "'a'", "'{'"]
     assert tokens("(]", "go").wrong and not tokens("([{}])", "go").wrong
     assert tokens("`never ends ${", "javascript").values == ["`never ends ${"]
+
+
+def test_files_of_one_split_are_dealt_to_all_cores(spark):
+    files = spark.range(0, 40, 1, 1).selectExpr("concat('f', id, '.py') as path", "cast('def f():\n  pass\n' as binary) as content")
+    found = symbols.parse(files)
+    assert found.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    assert found.where("qualname = 'f'").count() == 40
