@@ -2,10 +2,10 @@
 
 Features are word n-grams (single words and pairs) of the licence notices below that hardly
 occur in ordinary paragraphs. A multinomial logistic regression (Spark ML, on the JVM)
-learns the families from the notices and parts of them, and the class "unknown" from a
-bounded sample of the corpus's own paragraphs. A paragraph is taken for a family if that
+learns the families from the notices and parts of them, and the class "unknown" from all
+ordinary paragraphs of the corpus, counted by their known n-grams. A paragraph is taken for a family if that
 class is likeliest and its probability reaches a threshold that at most `false_share` of
-the sampled paragraphs reach; it is confirmed by the notice of that family whose n-grams
+these paragraphs reach; it is confirmed by the notice of that family whose n-grams
 it contains most of, `contained` of them at least.
 
 A notice may be wrapped, with marks of comments before its lines. So n-grams also join over
@@ -179,41 +179,80 @@ class Model:
         return rows.select(*keep, F.element_at(F.array(*map(F.lit, FAMILIES)), F.col("k") + 1).alias("family"), (F.exp(F.col("best.z") - top) / total).alias("probability"), contained.alias("containment"))
 
 
-def train(docs: DataFrame, *, sample: int = 400, lines_each: int = 20, common_share: float = 0.005, false_share: float = 0.0005) -> Model:
-    """Learn from the notices and of each of the `sample` documents with the smallest hash of their id from `lines_each` paragraphs, those with the smallest hash."""
+def _grams(lines: DataFrame, *keep: str) -> DataFrame:
+    """Words and pairs of neighbouring words of lines, each as often as it occurs."""
+    words = lines.select(*keep, F.split(F.lower("line"), r"[^\p{L}\p{N}]+").alias("words"))
+    both = words.select(*keep, F.inline(F.arrays_zip(F.col("words").alias("a"), F.slice("words", 2, F.greatest(F.size("words") - 1, F.lit(0))).alias("b"))))
+    return both.select(*keep, F.explode(F.array(F.col("a"), F.concat(F.col("a"), F.lit(" "), F.col("b")))).alias("ngram")).where(F.col("ngram").isNotNull())
+
+
+def _touched(docs: DataFrame, grams: list[str]) -> DataFrame:
+    """row, paragraph and line of paragraphs with any of these n-grams."""
+    wanted = F.broadcast(docs.sparkSession.createDataFrame([(g,) for g in grams], "ngram string"))  # no more than the notices have
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), common.whole_text().alias("text"))
+    found = _grams(paragraphs(rows, "row"), "row", "paragraph", "line").join(wanted, "ngram", "left_semi")
+    return common.materialize(found.groupBy("row", "paragraph").agg(F.first("line").alias("line")), "touched")
+
+
+def train(docs: DataFrame, *, common_share: float = 0.005, false_share: float = 0.0005, much: float = 0.4) -> Model:
+    """Learn from the notices, and from every paragraph of docs that hasn't more than `much` of a notice's n-grams.
+
+    Paragraphs without an n-gram of the vocabulary are alike to the classifier, and so are those
+    with the same n-grams: they enter as one row that weighs as many as they are.
+    """
     spark = docs.sparkSession
     flat = [(FAMILIES.index(f), i, t) for i, (f, t) in enumerate((f, t) for f, ts in NOTICES.items() for t in ts)]
     notices = spark.createDataFrame(flat, "family int, notice int, line string")
-    # Only ids are sorted; at most `sample` of them are broadcast to fetch texts.
-    ids = docs.select("doc_id").distinct().orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id").limit(sample)
-    some = docs.select("doc_id", common.whole_text().alias("text")).join(F.broadcast(ids), "doc_id")
-    each = Window.partitionBy("doc_id").orderBy(F.xxhash64("paragraph", "line"), "paragraph", "line")
-    lines = paragraphs(some, "doc_id").withColumn("k", F.row_number().over(each)).where(F.col("k") <= lines_each)
-    drawn = common.materialize(lines.select(F.xxhash64("line").alias("id"), "line"), "drawn")
-    # Paragraphs with much of a notice are no examples of ordinary text; those that only speak of licences are.
-    parts_of = F.broadcast(notices.select("notice", F.size(ngrams(F.col("line"))).alias("size"), F.explode(ngrams(F.col("line"))).alias("ngram")))
-    shared = drawn.distinct().select("id", F.explode(ngrams(F.col("line"))).alias("ngram")).join(parts_of, "ngram").groupBy("id", "notice", "size").agg(F.count(F.lit(1)).alias("n"))
-    negatives = common.materialize(drawn.join(shared.where(F.col("n") > 0.4 * F.col("size")).select("id").distinct(), "id", "left_anti").select("line"), "negatives")
-    n = negatives.count()
-    usual = negatives.select(F.explode(ngrams(F.col("line"))).alias("ngram")).groupBy("ngram").agg(F.count(F.lit(1)).alias("times")).where(F.col("times") > common_share * n)
-    grams = notices.select("family", "notice", F.explode(ngrams(F.col("line"))).alias("ngram")).join(usual, "ngram", "left_anti")
-    by_gram = {}
-    sizes: dict[int, int] = {}
-    for row in grams.distinct().orderBy("ngram", "notice").collect():  # no more than the notices have
-        by_gram.setdefault(row["ngram"], []).append(row["notice"])
-        sizes[row["notice"]] = sizes.get(row["notice"], 0) + 1
+    of_notice: dict[int, set[str]] = {}
+    for row in notices.select("notice", F.explode(ngrams(F.col("line"))).alias("ngram")).collect():
+        of_notice.setdefault(row["notice"], set()).add(row["ngram"])
+    everything = sorted(set().union(*of_notice.values()))
+    known = F.broadcast(spark.createDataFrame([(g,) for g in everything], "ngram string"))
+    counts = lambda lines: {r["ngram"]: r["n"] for r in _grams(lines).join(known, "ngram").groupBy("ngram").agg(F.count(F.lit(1)).alias("n")).collect()}
+    text = docs.select(common.whole_text().alias("text"))
+    n_all = text.agg(F.sum(F.size(F.filter(F.split("text", "\n"), lambda x: F.trim(x) != "")).cast("bigint"))).first()[0] or 0
+    times = counts(paragraphs(text, "text").select("line"))
+    # Paragraphs with much of a notice are no examples of ordinary text; those that only speak of licences are. To find
+    # them all, paragraphs with n-grams that occur seldom are looked at, as many n-grams as leave no notice `much` of its own.
+    seldom = sorted(everything, key=lambda g: (times.get(g, 0), g))
+    some = {g for g in everything if times.get(g, 0) <= common_share * n_all}
+    for grams in of_notice.values():
+        for g in seldom:
+            if len(grams - some) <= much * len(grams):
+                break
+            if g in grams:
+                some.add(g)
+    parts_of = F.broadcast(spark.createDataFrame([(i, len(g), x) for i, g in of_notice.items() for x in sorted(g)], "notice int, size int, ngram string"))
+    while True:
+        touched = _touched(docs, sorted(some))
+        shared = touched.select("row", "paragraph", F.explode(ngrams(F.col("line"))).alias("ngram")).join(parts_of, "ngram").groupBy("row", "paragraph", "notice", "size").agg(F.count(F.lit(1)).alias("n"))
+        full = common.materialize(touched.join(shared.where(F.col("n") > much * F.col("size")).select("row", "paragraph").distinct(), ["row", "paragraph"]), "full")
+        n, out = n_all - full.count(), counts(full.select("line"))
+        usual = {g for g in everything if times.get(g, 0) - out.get(g, 0) > common_share * n}
+        if some >= set(everything) - usual:
+            break
+        some |= set(everything) - usual  # what is frequent in notices only
+    by_gram = {g: [i for i in of_notice if g in of_notice[i]] for g in everything if g not in usual}
+    sizes = {i: len(g - usual) for i, g in of_notice.items()}
+    rare = F.broadcast(spark.createDataFrame([(g,) for g in sorted(by_gram)], "ngram string"))
+    each = touched.join(full.select("row", "paragraph"), ["row", "paragraph"], "left_anti").select("row", "paragraph", F.explode(ngrams(F.col("line"))).alias("ngram")).join(rare, "ngram")
+    sets = each.groupBy("row", "paragraph").agg(F.array_sort(F.collect_set("ngram")).alias("ngrams")).groupBy("ngrams").agg(F.count(F.lit(1)).alias("times"))
+    negatives = common.materialize(sets, "negatives")
+    bare = n - (negatives.agg(F.sum("times")).first()[0] or 0)
+    ordinary = negatives.unionByName(spark.createDataFrame([([], bare)] if bare else [], negatives.schema))
     vocabulary = sorted(by_gram)
     # Parts of notices, so that one cut short or wrapped is known too
     words = notices.withColumn("w", F.split("line", " "))
     parts = notices.select("family", "line")
     for a, b in ((0, 0.6), (0.4, 1), (0.2, 0.8)):
         parts = parts.unionByName(words.where(F.size("w") > 6).select("family", F.array_join(F.slice("w", (F.size("w") * a + 1).cast("int"), F.ceil(F.size("w") * (b - a)).cast("int")), " ").alias("line")))
-    training = parts.unionByName(negatives.select(F.lit(0).alias("family"), "line")).select(F.col("family").cast("double").alias("label"), ngrams(F.col("line")).alias("ngrams"))
+    training = parts.select(F.col("family").cast("double").alias("label"), ngrams(F.col("line")).alias("ngrams"), F.lit(1).cast("bigint").alias("times"))
+    training = training.unionByName(ordinary.select(F.lit(0.0).alias("label"), "ngrams", "times"))
     # every class has an equal share in the loss
-    shares = {r["label"]: r["n"] for r in training.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
-    weight = F.element_at(F.create_map(*[F.lit(x) for k, v in shares.items() for x in (k, 1.0 / v)]), F.col("label"))
+    shares = {r["label"]: r["n"] for r in training.groupBy("label").agg(F.sum("times").alias("n")).collect()}
+    weight = F.col("times") * F.element_at(F.create_map(*[F.lit(x) for k, v in shares.items() for x in (k, 1.0 / v)]), F.col("label"))
     vectors = CountVectorizerModel.from_vocabulary(vocabulary, "ngrams", "features", binary=True).transform(training).withColumn("w", weight)
-    fitted = LogisticRegression(family="multinomial", regParam=1e-3, maxIter=60, standardization=False, weightCol="w").fit(vectors.coalesce(1))
+    fitted = LogisticRegression(family="multinomial", regParam=1e-3, maxIter=60, standardization=False, weightCol="w").fit(vectors)
     matrix, intercepts = fitted.coefficientMatrix.toArray().tolist(), [float(x) for x in fitted.interceptVector]
     missing = len(FAMILIES) - len(matrix)  # classes come in order, and the last always has notices
     if missing:
@@ -221,10 +260,14 @@ def train(docs: DataFrame, *, sample: int = 400, lines_each: int = 20, common_sh
     rows = [(g, [row[j] for row in matrix], by_gram[g]) for j, g in enumerate(vocabulary)]
     schema = StructType([StructField("ngram", StringType()), StructField("weights", ArrayType(DoubleType())), StructField("notices", ArrayType(IntegerType()))])
     model = Model(spark.createDataFrame(rows, schema), intercepts, [(f, max(1, sizes.get(i, 0))) for f, i, _ in flat])
-    wrong = model.scored(negatives.withColumn("id", F.monotonically_increasing_id()), ["id"]).where(F.col("family") != UNKNOWN)
+    scored = model.judged(model.summed(negatives.select("ngrams", "times", F.explode("ngrams").alias("ngram")).join(F.broadcast(model.weights), "ngram"), ["ngrams", "times"]), ["times"])
+    by_value = scored.where(F.col("family") != UNKNOWN).groupBy("probability").agg(F.sum("times").alias("times"))
     allowed = int(false_share * n)
-    worst = [r["probability"] for r in wrong.orderBy(F.desc("probability")).limit(allowed + 1).collect()]
-    model.threshold = max(0.5, worst[-1] + 1e-6) if len(worst) > allowed else 0.5
+    for row in by_value.orderBy(F.desc("probability")).limit(allowed + 1).toLocalIterator():
+        allowed -= row["times"]
+        if allowed < 0:
+            model.threshold = max(0.5, row["probability"] + 1e-6)
+            break
     return model
 
 

@@ -238,3 +238,13 @@ def test_co_training_sees_all_unlabelled_documents(spark):
     assert len(ids) == 40 and {r["slot"] for r in found} == {1} and min(ids) >= 100
     sizes = sorted((len(t.split()) for i, t, *_ in rows if i >= 100), reverse=True)
     assert sorted((len(rows[i][1].split()) for i in ids), reverse=True) == sizes[:40]
+
+
+def test_licence_model_learns_from_every_paragraph(spark):
+    """Talk of licences in 100 of 900 documents, none of them among the 400 with the smallest hashes, which were the sample."""
+    talk = "Her driving license and the copyright notice were in the office."
+    ids = [r["id"] for r in spark.range(900).selectExpr("id", "xxhash64(cast(id as string)) as h").orderBy("h", "id").collect()]
+    rows = [(k, "\n".join([prose(k, 6)] * 30 + ([talk] if k in set(ids[-100:]) else []))) for k in ids]
+    model = licenses.train(spark.createDataFrame(rows, "doc_id bigint, text string"), common_share=0.003)
+    known = {r["ngram"] for r in model.weights.select("ngram").collect()}
+    assert {"license", "copyright", "notice"} & known == set()  # 100 of 27,100 paragraphs, more than the share
