@@ -53,3 +53,33 @@ def test_few_rows_ties_and_nothing(spark):
     assert none.best.isEmpty() and none.work.isEmpty()
     bare = impact.impacts(freqs.where("false"), lengths.where("false"))
     assert impact.search(queries, bare, impact.heads(bare), lexical.corpus_stats(lengths.where("false")), 5).best.isEmpty()
+
+
+@pytest.mark.parametrize("most", [1 << 16, 2])
+def test_rows_that_share_an_id_or_have_none(spark, most, monkeypatch):
+    """A term's weight counts an id once, as in the SQL, and one without an id; before, each of its rows counted."""
+    monkeypatch.setattr(lexical, "MOST", most)
+    monkeypatch.setattr(impact, "ROWS", 3)  # several shards
+    draw = random.Random(5)
+    rows_ = [(i, " ".join(draw.choices(["red", "wine", "glass", "of", "the"], k=draw.choice((0, 2, 9))))) for i in range(40)]
+    rows_ += [(5, "red wine of the table"), (5, "red"), (5, None), (7, ""), (None, "red red wine"), (None, "the")]
+    docs = spark.createDataFrame(rows_, "doc_id bigint, text string").repartition(3)
+    freqs, lengths = lexical.frequencies(docs), lexical.lengths(docs)
+    queries = spark.createDataFrame([(0, "red"), (0, "wine"), (0, "wine"), (1, "of"), (1, "the"), (2, "nowhere")], "qid int, term string")
+    wanted = lexical.bm25(queries, freqs, lengths).where("id IS NOT NULL")
+    for index in (impact.impacts_of_counted(lexical.counted(docs), 4), impact.impacts(freqs, lengths, 4)):
+        assert index.where("term IS NOT NULL").agg(F.sum("n")).first()[0] == freqs.count()
+        for k in (3, 1000):
+            found = impact.search(queries, index, impact.heads(index), lexical.corpus_stats(lengths), k)
+            assert rows(found.best) == rows(lexical.top_k(wanted, k))
+
+
+def test_blocks_are_dealt_once(spark):
+    """Before, each step wrote a table and joined it with the postings: nine tables a search, and a row for each query and posting dealt."""
+    docs, written = corpus(spark, 500), []
+    index = impact.impacts_of_counted(lexical.counted(docs)).cache()
+    queries = spark.createDataFrame([(q, t) for q in range(20) for t in ("w1", "w9", "common")], "qid bigint, term string")
+    impact.search(queries, index, impact.heads(index), lexical.corpus_stats(lexical.lengths(docs)), 3, keep=lambda df, name: written.append(df) or df)
+    assert len(written) == 1
+    plan = written[0]._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    assert plan.count("Exchange hashpartitioning") == 1 and "SortMergeJoin" not in plan
