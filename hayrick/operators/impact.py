@@ -38,7 +38,7 @@ from hayrick.sources import scratch
 
 BANDS, BLOCK = 16, 65_536
 #: Rows of a shard, on average.
-ROWS = 1 << 13
+ROWS = 1 << 12
 #: Rows of the rarest terms that are scored first, in multiples of k.
 AHEAD = 4
 #: Shares of the threshold at which blocks are taken up, step by step.
