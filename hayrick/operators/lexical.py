@@ -30,6 +30,8 @@ K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 MOST = 1 << 16
 #: Cells of a task's matrix of terms by rows.
 CELLS = 1 << 21
+#: Tokens or stored terms that a task looks at together; a document with more is looked at alone.
+TOKENS = 1 << 20
 #: Scores this near to a query's k-th best are ranked, not dropped.
 NEAR = 2e-9
 
@@ -122,6 +124,15 @@ def _places(lists: pa.ListArray) -> tuple[pa.Array, np.ndarray]:
     return lists.flatten(), np.repeat(np.arange(len(lists)), sizes)
 
 
+def _stretches(batch: pa.RecordBatch, column: int, most: int) -> Iterator[pa.RecordBatch]:
+    """A batch in stretches of rows whose lists hold `most` elements at most, or of one row: Spark bounds rows of a batch, not how long they are."""
+    ends, at = np.cumsum(pc.fill_null(pc.list_value_length(batch.column(column)), 0).to_numpy(), dtype=np.int64), 0
+    while at < batch.num_rows:
+        stop = max(at + 1, int(np.searchsorted(ends, most + (ends[at - 1] if at else 0), "right")))
+        yield batch.slice(at, stop - at)
+        at = stop
+
+
 def _grouped(rows: np.ndarray, codes: np.ndarray, n_rows: int, n_codes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Offsets of the rows, and each row's distinct codes with how often it has them."""
     each, times = np.unique(rows * max(1, n_codes) + codes, return_counts=True)
@@ -130,7 +141,7 @@ def _grouped(rows: np.ndarray, codes: np.ndarray, n_rows: int, n_codes: int) ->
 
 
 def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in (part for whole in batches for part in _stretches(whole, 1, TOKENS)):
         tokens = batch.column(1)
         values, rows = _places(tokens)
         known = values.dictionary_encode()
@@ -162,7 +173,7 @@ def _in_index(index: DataFrame, terms: list[str]) -> DataFrame:
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         value_set = pa.array(wanted.value, pa.string())
-        for batch in batches:
+        for batch in (part for whole in batches for part in _stretches(whole, 2, TOKENS)):
             values, rows = _places(batch.column(2))
             codes = pc.index_in(values, value_set=value_set)
             there = codes.is_valid().to_numpy(zero_copy_only=False)
@@ -198,7 +209,7 @@ def _in_text(docs: DataFrame, phrases: list[list[str]]) -> DataFrame:
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, steps, ends, n_phrases = shared.value
         value_set = pa.array(words, pa.string())
-        for batch in batches:
+        for batch in (part for whole in batches for part in _stretches(whole, 1, TOKENS)):
             values, rows = _places(batch.column(1))
             codes = pc.fill_null(pc.index_in(values, value_set=value_set), -1).to_numpy().astype(np.int64)
             places, at = np.arange(len(codes)), np.zeros(len(codes), np.int64)  # where something begins, and how far it has come

@@ -3,6 +3,7 @@
 import math
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -86,3 +87,26 @@ def test_phrases_of_rows_that_share_an_id(spark):
     wanted = sum(idf * 3 * 2.2 / (3 + 1.2 * (0.25 + 0.75 * dl / avgdl)) for dl in (2, 4))
     (row,) = lexical.search_phrases(asked, docs, 5).collect()
     assert row["id"] == 1 and row["rank"] == 1 and row["score"] == pytest.approx(wanted, rel=1e-9)
+
+
+def test_a_batch_is_counted_in_stretches(monkeypatch):
+    """Before, the tokens of all rows of a batch were counted together, however many they were."""
+    texts = [["a", "b", "a"], None, [], ["c"] * 9, ["a"], ["b", "b"], ["d", "a", "d"], ["e"] * 4, None]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts, pa.list_(pa.string()))], ["id", "t"])
+    rows = lambda parts: [(r["id"], r["dl"], dict(zip(r["terms"], r["tfs"], strict=True))) for p in parts for r in p.to_pylist()]
+    wanted = [(i, None if t is None else len(t), {x: t.count(x) for x in t or ()}) for i, t in enumerate(texts)]
+    assert rows(lexical._count_terms([batch])) == wanted
+    monkeypatch.setattr(lexical, "TOKENS", 5, raising=False)
+    parts = list(lexical._count_terms([batch.slice(0, 4), batch.slice(4), batch.slice(0, 0)]))
+    assert rows(parts) == wanted
+    assert [p.num_rows for p in parts] == [3, 1, 2, 1, 2]  # 9 tokens of one row are counted alone
+
+
+@pytest.mark.parametrize("tokens", [1, 7])
+def test_stretches_give_the_rows_of_the_joins(spark, docs, tokens, monkeypatch):
+    monkeypatch.setattr(lexical, "TOKENS", tokens, raising=False)
+    queries = spark.createDataFrame([q for q in QUERIES if q[0] is not None], "qid int, term string")
+    wanted = found(lexical.top_k(lexical.bm25(queries, lexical.frequencies(docs), lexical.lengths(docs)), 20))
+    assert found(lexical.search(queries, lexical.counted(docs), 20)) == wanted
+    phrases = queries.withColumn("words", F.array("term"))
+    assert found(lexical.search_phrases(phrases, docs, 20)) == wanted
