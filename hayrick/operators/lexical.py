@@ -125,7 +125,7 @@ def _places(lists: pa.ListArray) -> tuple[pa.Array, np.ndarray]:
 
 
 def _stretches(batch: pa.RecordBatch, column: int, most: int) -> Iterator[pa.RecordBatch]:
-    """A batch in stretches of rows whose lists hold `most` elements at most, or of one row: Spark bounds rows of a batch, not how long they are."""
+    """A batch in stretches of rows whose lists hold `most` elements at most, or of one row: what is worked out for them takes several times their size."""
     ends, at = np.cumsum(pc.fill_null(pc.list_value_length(batch.column(column)), 0).to_numpy(), dtype=np.int64), 0
     while at < batch.num_rows:
         stop = max(at + 1, int(np.searchsorted(ends, most + (ends[at - 1] if at else 0), "right")))
