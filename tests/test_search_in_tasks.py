@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from hayrick.functions.porter import stem
 from hayrick.operators import lexical
+from hayrick.plans import catalogue
 
 
 def found(df):
@@ -110,3 +111,10 @@ def test_stretches_give_the_rows_of_the_joins(spark, docs, tokens, monkeypatch):
     assert found(lexical.search(queries, lexical.counted(docs), 20)) == wanted
     phrases = queries.withColumn("words", F.array("term"))
     assert found(lexical.search_phrases(phrases, docs, 20)) == wanted
+
+
+@pytest.mark.parametrize("name", ["rerank_apply"])
+def test_queries_join_no_postings(spark, name, monkeypatch):
+    """Before, these queries joined postings with terms of queries, and shuffled a row for each query and document."""
+    monkeypatch.setattr(lexical, "bm25", None)
+    assert not catalogue.QUERIES[name](spark, "/root/testdata/sf0.001").isEmpty()
