@@ -113,7 +113,7 @@ def test_stretches_give_the_rows_of_the_joins(spark, docs, tokens, monkeypatch):
     assert found(lexical.search_phrases(phrases, docs, 20)) == wanted
 
 
-@pytest.mark.parametrize("name", ["rerank_apply", "fallback_rank", "hybrid_search", "bm25_topk"])
+@pytest.mark.parametrize("name", ["rerank_apply", "fallback_rank", "hybrid_search", "bm25_topk", "production_prior"])
 def test_queries_join_no_postings(spark, name, monkeypatch):
     """Before, these queries joined postings with terms of queries, and shuffled a row for each query and document."""
     monkeypatch.setattr(lexical, "bm25", None)
