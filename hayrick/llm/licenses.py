@@ -134,7 +134,7 @@ def paragraphs(docs: DataFrame, *keep: str) -> DataFrame:
 
 def positioned(docs: DataFrame, *keep: str) -> DataFrame:
     """keep, block (a run of lines with words), line and word (numbers within it), ngram, and across (a pair over a line end)."""
-    blocks = docs.select(*keep, F.posexplode(F.split(F.lower(common.whole_text()), r"\n(?:[^\p{L}\p{N}\n]*\n)+")).alias("block", "text"))
+    blocks = docs.select(*keep, F.posexplode(F.split(F.lower(common.whole_text()), r"\n(?:[^\p{L}\p{N}\n]*+\n)++")).alias("block", "text"))
     lines = F.transform(F.split("text", "\n"), lambda x, i: F.transform(F.split(x, r"[^\p{L}\p{N}]+"), lambda w: F.struct(i.alias("line"), w.alias("w"))))
     words = blocks.select(*keep, "block", F.filter(F.flatten(lines), lambda w: w["w"] != "").alias("words"))
     both = words.select(*keep, "block", F.posexplode(F.arrays_zip(F.col("words").alias("a"), F.slice("words", 2, F.greatest(F.size("words") - 1, F.lit(0))).alias("b"))).alias("word", "z"))
@@ -283,7 +283,7 @@ def wrapped(model: Model, hits: DataFrame, contained: float) -> DataFrame:
     least = contained * of_notice([size for _, size in model.sizes])
     # Blocks that don't have enough of a notice altogether have no such window.
     enough = each.groupBy(*place, "notice").agg(F.countDistinct("ngram").alias("n"), F.countDistinct("line").alias("n_lines")).where((F.col("n") >= least) & (F.col("n_lines") > 1))
-    each = each.join(enough.select(*place, "notice"), [*place, "notice"]).withColumn("at", F.floor(F.col("word") * F.lit(SCALE) / of_notice(widths)))
+    each = each.join(enough.select(*place, "notice"), [*place, "notice"]).withColumn("at", F.floor(F.col("word").cast("bigint") * F.lit(SCALE) / of_notice(widths)))
     ordered = Window.partitionBy(*place, "notice").orderBy("at")
     inside = ordered.rangeBetween(0, SCALE - 1)  # one width from this word on
     each = each.select(*place, "notice", "word", "at", F.size(F.collect_set("ngram").over(inside)).alias("n"), F.min("line").over(inside).alias("first"), F.max("line").over(inside).alias("last")).distinct()

@@ -218,6 +218,19 @@ def test_wrapped_notices(spark, licensed):
     assert all(r["n_paragraphs"] == len(r["licences"]) and not r["n_unconfirmed"] for r in found)
 
 
+def test_notices_far_down_in_long_texts(spark, licensed):
+    """Places beyond 2,147 words of a block, where a product of whole numbers of 32 bits overflowed, and very many blank lines, which exhausted the stack of a task."""
+    import textwrap
+
+    body = textwrap.fill(WRAPPED["BSD"], 40)
+    rows = [(k, f"{prose(k, words)}\n{body}\n{prose(k + 5, 30)}", ["BSD"]) for k, words in enumerate((2000, 2200, 5000, 30_000))]
+    blank = "\n" + " \n" * 60_000
+    rows.append((10, f"{licenses.NOTICES['MIT'][1]}{blank}{body}", ["BSD", "MIT"]))
+    model = licenses.train(spark.createDataFrame([(i, t) for i, t, _ in licensed], "doc_id bigint, text string").repartition(3))
+    found = licenses.scan(spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id bigint, text string"), model).collect()
+    assert {r["doc_id"]: r["licences"] for r in found} == {i: e for i, _, e in rows}
+
+
 def test_co_training_sees_all_unlabelled_documents(spark):
     """The surest documents and the statistics are those of all rows, more than any sample held."""
     rnd = np.random.default_rng(1)
