@@ -132,12 +132,17 @@ def paragraphs(docs: DataFrame, *keep: str) -> DataFrame:
     return lines.where(F.trim("line") != "")
 
 
-def positioned(docs: DataFrame, *keep: str) -> DataFrame:
-    """keep, block (a run of lines with words), line and word (numbers within it), ngram, and across (a pair over a line end)."""
+def _starts(grams: list[str]) -> list[str]:
+    """The words that these n-grams begin with: others needn't be looked up."""
+    return sorted({g.split(" ")[0] for g in grams})
+
+
+def positioned(docs: DataFrame, starts: list[str], *keep: str) -> DataFrame:
+    """keep, block (a run of lines with words), line and word (numbers within it), ngram (begins with one of starts), and across (a pair over a line end)."""
     blocks = docs.select(*keep, F.posexplode(F.split(F.lower(common.whole_text()), r"\n(?:[^\p{L}\p{N}\n]*+\n)++")).alias("block", "text"))
     lines = F.transform(F.split("text", "\n"), lambda x, i: F.transform(F.split(x, r"[^\p{L}\p{N}]+"), lambda w: F.struct(i.alias("line"), w.alias("w"))))
     words = blocks.select(*keep, "block", F.filter(F.flatten(lines), lambda w: w["w"] != "").alias("words"))
-    both = words.select(*keep, "block", F.posexplode(F.arrays_zip(F.col("words").alias("a"), F.slice("words", 2, F.greatest(F.size("words") - 1, F.lit(0))).alias("b"))).alias("word", "z"))
+    both = words.select(*keep, "block", F.posexplode(F.arrays_zip(F.col("words").alias("a"), F.slice("words", 2, F.greatest(F.size("words") - 1, F.lit(0))).alias("b"))).alias("word", "z")).where(F.col("z.a.w").isin(starts))
     a, b = F.col("z.a"), F.col("z.b")
     two = F.array(F.struct(a["w"].alias("ngram"), F.lit(False).alias("across")), F.struct(F.concat(a["w"], F.lit(" "), b["w"]).alias("ngram"), (a["line"] != b["line"]).alias("across")))
     return both.select(*keep, "block", a["line"].alias("line"), "word", F.inline(two)).where(F.col("ngram").isNotNull())
@@ -179,10 +184,10 @@ class Model:
         return rows.select(*keep, F.element_at(F.array(*map(F.lit, FAMILIES)), F.col("k") + 1).alias("family"), (F.exp(F.col("best.z") - top) / total).alias("probability"), contained.alias("containment"))
 
 
-def _grams(lines: DataFrame, *keep: str) -> DataFrame:
-    """Words and pairs of neighbouring words of lines, each as often as it occurs."""
+def _grams(lines: DataFrame, starts: list[str], *keep: str) -> DataFrame:
+    """Words and pairs of neighbouring words of lines that begin with one of starts, each as often as it occurs."""
     words = lines.select(*keep, F.split(F.lower("line"), r"[^\p{L}\p{N}]+").alias("words"))
-    both = words.select(*keep, F.inline(F.arrays_zip(F.col("words").alias("a"), F.slice("words", 2, F.greatest(F.size("words") - 1, F.lit(0))).alias("b"))))
+    both = words.select(*keep, F.inline(F.arrays_zip(F.col("words").alias("a"), F.slice("words", 2, F.greatest(F.size("words") - 1, F.lit(0))).alias("b")))).where(F.col("a").isin(starts))
     return both.select(*keep, F.explode(F.array(F.col("a"), F.concat(F.col("a"), F.lit(" "), F.col("b")))).alias("ngram")).where(F.col("ngram").isNotNull())
 
 
@@ -190,7 +195,7 @@ def _touched(docs: DataFrame, grams: list[str]) -> DataFrame:
     """row, paragraph and line of paragraphs with any of these n-grams."""
     wanted = F.broadcast(docs.sparkSession.createDataFrame([(g,) for g in grams], "ngram string"))  # no more than the notices have
     rows = docs.select(F.monotonically_increasing_id().alias("row"), common.whole_text().alias("text"))
-    found = _grams(paragraphs(rows, "row"), "row", "paragraph", "line").join(wanted, "ngram", "left_semi")
+    found = _grams(paragraphs(rows, "row"), _starts(grams), "row", "paragraph", "line").join(wanted, "ngram", "left_semi")
     return common.materialize(found.groupBy("row", "paragraph").agg(F.first("line").alias("line")), "touched")
 
 
@@ -208,7 +213,7 @@ def train(docs: DataFrame, *, common_share: float = 0.005, false_share: float =
         of_notice.setdefault(row["notice"], set()).add(row["ngram"])
     everything = sorted(set().union(*of_notice.values()))
     known = F.broadcast(spark.createDataFrame([(g,) for g in everything], "ngram string"))
-    counts = lambda lines: {r["ngram"]: r["n"] for r in _grams(lines).join(known, "ngram").groupBy("ngram").agg(F.count(F.lit(1)).alias("n")).collect()}
+    counts = lambda lines: {r["ngram"]: r["n"] for r in _grams(lines, _starts(everything)).join(known, "ngram").groupBy("ngram").agg(F.count(F.lit(1)).alias("n")).collect()}
     text = docs.select(common.whole_text().alias("text"))
     n_all = text.agg(F.sum(F.size(F.filter(F.split("text", "\n"), lambda x: F.trim(x) != "")).cast("bigint"))).first()[0] or 0
     times = counts(paragraphs(text, "text").select("line"))
@@ -305,7 +310,8 @@ def scan(docs: DataFrame, model: Model, *, contained: float = 0.6) -> DataFrame:
     # Rows are told apart by id and text, so that rows with one id keep their own results.
     (key,) = common.unlike(docs.columns, "row_key")
     keyed = docs.withColumn(key, F.struct("doc_id", F.xxhash64("text").alias("text")))
-    known = positioned(keyed.select(F.col(key).alias("row_key"), "text"), "row_key").join(F.broadcast(model.weights.select("ngram")), "ngram")
+    starts = _starts([r["ngram"] for r in model.weights.select("ngram").collect()])
+    known = positioned(keyed.select(F.col(key).alias("row_key"), "text"), starts, "row_key").join(F.broadcast(model.weights.select("ngram")), "ngram")
     known = common.materialize(known, "known").join(F.broadcast(model.weights), "ngram")
     place = ["row_key", "block", "line"]
     found = model.judged(model.summed(known.where(~F.col("across")), place), place).where((F.col("family") != UNKNOWN) & (F.col("probability") >= model.threshold))
